@@ -1,9 +1,60 @@
-"""The corpus pipeline: stages over documents, each calling one operator of gradus.llm."""
+"""The corpus pipeline: stages over ``documents``, each calling one operator of gradus.llm.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
+again as the next stage's ``docs``. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from gradus.llm.common import stored, table
+from gradus.llm.exact_dedup import keep_one
+from gradus.llm.mixing import mixed
+from gradus.llm.near_dedup import keep_representatives
+from gradus.llm.pieces import encode_decode
+from gradus.llm.toxicity import without_toxic
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity operator rejects go."""
+    return without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts one stays."""
+    return keep_one(docs)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies one stays."""
+    return keep_representatives(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are repeated, or left out, as their source's target asks."""
+    return mixed(docs)
+
+
+def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of what is left; a row for each copy of the mix."""
+    return encode_decode(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("exact_dedup", exact_dedup_stage),
+    ("near_dedup", near_dedup_stage),
+    ("mixing", mixing_stage),
+    ("sentencepiece", sentencepiece_stage),
+]
+
+#: Merge rounds and segment scans have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -8,7 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .mixing import mixture
 from .near_dedup import near_dedup
+from .pieces import encode_decode
+from .toxicity import toxicity
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,16 +37,57 @@ FROM n WINDOW w AS (PARTITION BY normal ORDER BY points DESC, doc_id)
 """
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(table(spark, sf_dir, "documents"))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(table(spark, sf_dir, "documents"))
+
+
+OP8_SQL = r"""
+WITH n AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, ''))) || ':' || coalesce(source, '') AS name
+  FROM documents
+), p AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS s,
+         (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1 AS w
+  FROM n GROUP BY source
+), l AS (
+  SELECT *, CAST(sum(s) OVER () - coalesce(sum(3 * s) OVER o, 0) AS DOUBLE)
+            / CAST(sum(w) OVER () - coalesce(sum(w) OVER o, 0) AS DOUBLE) AS share
+  FROM p WINDOW o AS (ORDER BY s / w ASC, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), f AS (
+  SELECT arg_min(share, s / w) AS final FROM l WHERE w * share <= 3.0::DOUBLE * s
+), t AS (
+  SELECT source, s, least(3.0::DOUBLE * s, coalesce(w * final, 3.0::DOUBLE * s)) AS target FROM l CROSS JOIN f
+), r AS (
+  SELECT n.doc_id, n.size, t.s AS source_size, t.target,
+         CASE WHEN n.size > 0 THEN t.target / t.s ELSE 0.0::DOUBLE END AS rate,
+         CAST('0x' || substr(md5('gradus-mix:' || n.name), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS draw
+  FROM n JOIN t ON n.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target,
+       CAST(size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken,
+       CAST(floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) AS copies
+FROM r
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_toxicity": op3_toxicity,
         "op4_exact_dedup": op4_exact_dedup,
+        "op5_sentencepiece": op5_sentencepiece,
         "op7_near_dedup": op7_near_dedup,
+        "op8_mixing": op8_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL}
+    return {"op4_exact_dedup": OP4_SQL, "op8_mixing": OP8_SQL}
