@@ -26,9 +26,11 @@ HELD_OUT_MOD = 5
 #: Most labelled rows that the weights are learned from, by hash order of their ids.
 MAX_LABELLED = 50_000
 PREFIXES = (4, 6)
-PRIOR, Z, DRIFT, LEAST_COUNT, PURE = 2.0, 1.0, 0.02, 2, 0.5
+PRIOR, Z, LEAST_COUNT, PURE, WEAK = 2.0, 1.0, 3, 0.5, 1.0
+#: Least drift, and drift over the mean evidence of a word of clean text: chance finds must not chain.
+DRIFT, DRIFT_TIMES = 0.05, 4.0
 #: Expected chance finds at which the score is one half; least chance finds a text is credited with.
-LEVEL, FLOOR = 0.01, 0.05
+LEVEL, FLOOR = 0.01, 0.5
 MEMO = 500_000
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -81,11 +83,11 @@ def expected(scores: list[float], n: int, rate: float) -> float:
 class Model:
     """Evidence of units (bounded by the labelled sample) and the rate of chance segments."""
 
-    def __init__(self, evidence: dict[str, float], rate: float):
-        self.evidence, self.rate, self.memo = evidence, rate, {}
+    def __init__(self, evidence: dict[str, float], rate: float = 0.0, drift: float = DRIFT):
+        self.evidence, self.rate, self.drift, self.memo = evidence, rate, drift, {}
 
     def __getstate__(self):
-        return {"evidence": self.evidence, "rate": self.rate, "memo": {}}
+        return self.__dict__ | {"memo": {}}
 
     def weight(self, word: str) -> float:
         for u in reversed(units(word)):
@@ -106,8 +108,10 @@ class Model:
             got = list(map(memo.__getitem__, words))
         if not any(got):
             return len(words), []
-        places = [i for i, s in enumerate(got) if s > 0]
-        return len(words), segments(places, [got[i] for i in places])
+        # evidence is learned from documents that hold a word, so a word counts where it first occurs
+        first: set[str] = set()
+        places = [i for i, s in enumerate(got) if s > 0 and not (words[i] in first or first.add(words[i]))]
+        return len(words), segments(places, [got[i] for i in places], self.drift)
 
     def score(self, text: str | None) -> float:
         n, found = self.scan(text)
@@ -129,9 +133,9 @@ def evidence(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> dict
         value = math.log(y1 / y0) - prior - Z * math.sqrt(1 / y1 + 1 / y0)
         if unit.endswith("*"):
             value = value if rates[unit] >= PURE else 0.0
-            if value <= 0:
+            if value < WEAK:
                 continue
-        out[unit] = max(0.0, value)
+        out[unit] = value if value >= WEAK else 0.0
     return out
 
 
@@ -159,12 +163,14 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _chance(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    words = found = 0
+    """Words, words with evidence and their evidence."""
+    words, found, total = 0, 0, 0.0
     for b in batches:
         for text in b.column("text").to_pylist():
-            n, segs = model.scan(text)
-            words, found = words + n, found + len(segs)
-    yield pa.RecordBatch.from_arrays([pa.array([words]), pa.array([found])], names=["words", "found"])
+            every = _WORD.findall(text.lower()) if text else []
+            own = list(map(model.weight, set(every)))
+            words, found, total = words + len(every), found + sum(s > 0 for s in own), total + sum(own)
+    yield pa.RecordBatch.from_arrays([pa.array([words]), pa.array([found]), pa.array([total])], names=["words", "found", "total"])
 
 
 def labelled(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> DataFrame:
@@ -188,11 +194,12 @@ def learn(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Mode
     rows = [(r[0], r["n00"], r["n01"], r["n10"], r["n11"]) for r in some.toLocalIterator()]
     docs_of = next((r for r in rows if not r[0]), ("", 0, 0, 0, 0))
     rows = [r for r in rows if r[0]]
-    first = Model(evidence([(u, b, a) for u, a, b, _, _ in rows if b >= LEAST_COUNT], docs_of[2], docs_of[1]), 0.0)
+    first = Model(evidence([(u, b, a) for u, a, b, _, _ in rows if b >= LEAST_COUNT], docs_of[2], docs_of[1]))
     apart = docs.sparkSession.sparkContext.broadcast(first)
-    chance = sample.where("part = 1 and toxic = 0").select("text").mapInArrow(lambda it: _chance(it, apart.value), "words long, found long").agg(F.sum("words"), F.sum("found")).first()
+    chance = sample.where("part = 1 and toxic = 0").select("text").mapInArrow(lambda it: _chance(it, apart.value), "words long, found long, total double").agg(F.sum("words"), F.sum("found"), F.sum("total")).first()
     rate = ((chance[1] or 0) + 1) / ((chance[0] or 0) + 1)
-    return Model(evidence([(u, b + d, a + c) for u, a, b, c, d in rows], docs_of[2] + docs_of[4], docs_of[1] + docs_of[3]), rate)
+    drift = max(DRIFT, DRIFT_TIMES * (chance[2] or 0.0) / ((chance[0] or 0) + 1))
+    return Model(evidence([(u, b + d, a + c) for u, a, b, c, d in rows], docs_of[2] + docs_of[4], docs_of[1] + docs_of[3]), rate, drift)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> DataFrame:
