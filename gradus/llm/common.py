@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +49,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` computed once: on the disks of the executors, and anew from its lineage where one is lost."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
+def few(df: DataFrame) -> DataFrame:
+    """``df`` in fewer partitions, for tables that are far smaller than what they come from."""
+    return df.repartition(-(-int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 16))
+
+
 def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small in rows; texts differ much in length."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))

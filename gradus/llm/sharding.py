@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stored, text_of
+from .common import kept, stored, text_of
 
 SHARDS = 16
 
@@ -52,9 +52,9 @@ def shards(docs: DataFrame, n_shards: int = SHARDS) -> DataFrame:
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(text_of().cast("binary")).alias("text_crc32"),
     )
-    rows = stored(rows, "sizes")
+    rows = kept(rows)
     n_ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = stored(_placed(rows, n_ranges).select("doc_id", "size", "text_crc32", "start", "place"), "placed")
+    placed = kept(_placed(rows, n_ranges).select("doc_id", "size", "text_crc32", "start", "place"))
     total = placed.agg((F.max(F.col("start") + F.col("size"))).alias("total"))
     # one row
     cut = placed.join(F.broadcast(total)).withColumn(

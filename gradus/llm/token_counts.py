@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, shared_path, small_batches, stored, text_of
+from .common import SPACE, kept, shared_path, small_batches, text_of
 
 MODEL = "word_bpe_49k.json"
 LIMIT = 2048
@@ -153,7 +153,7 @@ def token_counts(docs: DataFrame, cache: str | None = None, model: str | None =
     text = text_of()
     seen = docs.select("doc_id", text.alias("text"))
     digest = F.sha2(normal(F.col("text"), by_word).cast("binary"), 256)
-    rows = stored(seen.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), digest.alias("digest")), "digests")
+    rows = kept(seen.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), digest.alias("digest")))
     misses = rows.select("digest").distinct().join(cached(spark, cache, name), "digest", "left_anti")
     if not misses.isEmpty():
         one = seen.select(digest.alias("digest"), "text").groupBy("digest").agg(F.first("text").alias("text"))
