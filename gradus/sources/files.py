@@ -51,7 +51,7 @@ def read_csv(spark: SparkSession, path: str, columns: tuple[str, ...] | None = N
     # a multi-line file is one task, so this number is its order
     rows = rows.withColumn("pos", F.monotonically_increasing_id())
     if strict:
-        seen = rows.agg(F.count("*").alias("n"), F.count(_BAD).alias("bad")).first()
+        seen = rows.agg(F.count("*").alias("n"), F.count(_BAD).alias("bad"), F.max(F.length(F.col(f"`{names[0]}`")))).first()
         if seen["n"] == 0 or seen["bad"]:
             raise SourceError(f"{path}: {seen['n']} rows, {seen['bad']} ragged")
     return rows.select("pos", *(F.coalesce(F.col(f"`{n}`"), F.lit("")).alias(n) for n in names))
