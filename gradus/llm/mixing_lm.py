@@ -11,8 +11,9 @@ logistic domain by weights that a gate selects and that learn from every bit; a
 the result by a gain and an offset that learn too. The sum of all is the log probability, per byte
 the bits per byte.
 
-Weights are the only thing that depends on order, and start anew every ``SEGMENT`` tokens, so all
-segments of a block are lanes of one numpy loop and a score depends on its text and the model alone.
+Weights are the only thing that depends on order. They learn from every bit of a token before the
+next token, and start anew every ``SEGMENT`` tokens, so all segments of a block are lanes of one numpy
+loop and a score depends on its text and the model alone.
 
 Texts are cut into blocks, one row each with the words' local numbers and the distinct words. Word
 counts of all training texts are added up by hash ranges and sent back to the blocks that asked, so
@@ -21,6 +22,7 @@ no task holds the vocabulary. Context tables have a fixed size and are added up
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +39,8 @@ HELD_MOD, HELD_REST = 7, 2
 BLOCK, RANGE = 4 << 20, 2_000_000
 #: Slots of each hashed context table (power of two); slots of one row when tables are added up.
 TABLE_BITS, PIECE = 20, 1 << 16
-CLASSES, CELL_BITS = 32, 6
-SEGMENT, TOKENS = 128, 1 << 17
+CLASSES, CELL_BITS = 32, 4
+SEGMENT, TOKENS = 128, 1 << 18
 RATE, REFINE_RATE, START = 0.02, 0.005, 0.35
 #: Frequent two-byte contexts of the spelling model; other contexts use one byte.
 SPELLED = 4096
@@ -52,6 +54,18 @@ GATES = 6
 _G1, _G2, _G3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
+def pack(a: np.ndarray) -> bytes:
+    """An integer array with its bytes dealt by place and compressed, after its length."""
+    planes = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T) if len(a) else np.zeros(0, np.uint8)
+    return len(a).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack(raw: bytes, kind: type) -> np.ndarray:
+    n, size = int.from_bytes(raw[:8], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(raw[8:], n * size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, n).T).view(kind).reshape(n) if n else np.zeros(0, kind)
+
+
 # ---------------------------------------------------------------- blocks
 
 
@@ -86,9 +100,9 @@ def _row(block: int, ids: list, held: np.ndarray, column: pa.Array) -> dict:
     own = np.bincount(numbers[train], minlength=len(uniq)).astype(np.int64)
     codes, times = np.unique(_trigrams(spelled, length, own > 0), return_counts=True)
     return {
-        "block": block, "doc_ids": ids, "held": held.tolist(), "sizes": (n + 1).astype(np.int32).tobytes(),
-        "tokens": numbers.astype(np.int32).tobytes(), "lengths": length.astype(np.int32).tobytes(), "spelled": spelled.tobytes(),
-        "own": own.tobytes(), "codes": codes.astype(np.int32).tobytes(), "times": times.astype(np.int64).tobytes(), "n_words": len(uniq),
+        "block": block, "doc_ids": ids, "held": held.tolist(), "sizes": pack((n + 1).astype(np.int32)),
+        "tokens": pack(numbers.astype(np.int32)), "lengths": pack(length.astype(np.int32)), "spelled": pack(spelled),
+        "own": pack(own), "codes": pack(codes.astype(np.int32)), "times": pack(times.astype(np.int64)), "n_words": len(uniq),
     }
 
 
@@ -132,8 +146,8 @@ def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _hash_of(row: dict) -> np.ndarray:
-    length = np.frombuffer(row["lengths"], np.int32).astype(np.int64)
-    data = np.frombuffer(row["spelled"], np.uint8)
+    length = unpack(row["lengths"], np.int32).astype(np.int64)
+    data = unpack(row["spelled"], np.uint8)
     ends = np.cumsum(length)
     out = np.zeros(len(length), np.uint64)
     full = length > 0
@@ -149,14 +163,14 @@ def _asks(ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
-                h, own = _hash_of(row), np.frombuffer(row["own"], np.int64)
+                h, own = _hash_of(row), unpack(row["own"], np.int64)
                 at = _range_of(h, ranges)
                 order = np.argsort(at, kind="stable")
                 cuts = np.searchsorted(at[order], np.arange(ranges + 1))
                 hs, ns = [], []
                 for r in range(ranges):
                     i = order[cuts[r] : cuts[r + 1]]
-                    hs.append(h[i].tobytes()), ns.append(own[i].astype(np.int32).tobytes())
+                    hs.append(h[i].tobytes()), ns.append(pack(own[i].astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(ranges, dtype=np.int32)), pa.array([row["block"]] * ranges, pa.int64()), pa.array(hs, pa.binary()), pa.array(ns, pa.binary())], names=["range", "block", "hashes", "counts"])
 
     return run
@@ -173,27 +187,27 @@ def _cell_of(h: np.ndarray) -> np.ndarray:
 
 def _answers(t: pa.Table) -> pa.Table:
     hs = [np.frombuffer(x, np.uint64) for x in t.column("hashes").to_pylist()]
-    ns = np.concatenate([np.frombuffer(x, np.int32) for x in t.column("counts").to_pylist()])
+    ns = np.concatenate([unpack(x, np.int32) for x in t.column("counts").to_pylist()])
     uniq, back = np.unique(np.concatenate(hs), return_inverse=True)
     c = np.bincount(back, weights=ns, minlength=len(uniq)).astype(np.int64)
     cells = np.bincount(class_of(c) << CELL_BITS | _cell_of(uniq), weights=c, minlength=CLASSES << CELL_BITS).astype(np.int64)
     stats = np.concatenate([[c.sum(), (c > 0).sum()], cells])
     out, at = [], 0
     for h in hs:
-        out.append(c[back[at : at + len(h)]].tobytes())
+        out.append(pack(c[back[at : at + len(h)]]))
         at += len(h)
     r = t.column("range")[0].as_py()
-    return pa.table({"block": pa.array([*t.column("block").to_pylist(), -1], pa.int64()), "range": pa.array([r] * (len(out) + 1), pa.int32()), "counts": pa.array([*out, stats.astype(np.int64).tobytes()], pa.binary())})
+    return pa.table({"block": pa.array([*t.column("block").to_pylist(), -1], pa.int64()), "range": pa.array([r] * (len(out) + 1), pa.int32()), "counts": pa.array([*out, pack(stats.astype(np.int64))], pa.binary())})
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = None
     for b in batches:
         for x in b.column("counts").to_pylist():
-            v = np.frombuffer(x, np.int64)
+            v = unpack(x, np.int64)
             total = v if total is None else total + v
     if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([pack(total)], pa.binary())], names=["counts"])
 
 
 def _coded(ranges: int):
@@ -205,10 +219,10 @@ def _coded(ranges: int):
                 h = _hash_of(row)
                 at = _range_of(h, ranges)
                 order = np.argsort(at, kind="stable")
-                got = {a["range"]: np.frombuffer(a["counts"], np.int64) for a in row["answers"]}
+                got = {a["range"]: unpack(a["counts"], np.int64) for a in row["answers"]}
                 c = np.zeros(len(h), np.int64)
                 c[order] = np.concatenate([got[r] for r in range(ranges) if r in got]) if len(h) else c
-                done.append(c.tobytes())
+                done.append(pack(c))
             keep = [b.column(n) for n in ("block", "doc_ids", "held", "sizes", "tokens", "lengths", "spelled")]
             yield pa.RecordBatch.from_arrays([*keep, pa.array(done, pa.binary())], names=["block", "doc_ids", "held", "sizes", "tokens", "lengths", "spelled", "counts"])
 
@@ -240,7 +254,8 @@ class Tokens:
         far[1:] = near[:-1]
         far[fresh] = 0
         pair = mix(before * _G1 + mix(second * _G2))
-        self.context = [None, mix(before * _G3 + _G1), pair, mix((near * 64 + far).astype(np.uint64) * _G2 + _G3)]
+        short = lambda x: (mix(x) >> np.uint64(32)).astype(np.uint32)
+        self.context = [None, short(before * _G3 + _G1), short(pair), short((near * 64 + far).astype(np.uint64) * _G2 + _G3)]
         # what followed the same two words when they last occurred in this text
         key = pair + doc.astype(np.uint64) * _G3
         order = np.argsort(key, kind="stable")
@@ -255,39 +270,68 @@ class Tokens:
         run[fresh] = 0
         self.run = np.minimum(15, run)
 
-    def decisions(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Token, node and bit of all decisions, token by token."""
-        rest = ~self.hit
-        count = self.can + rest * (5 + CELL_BITS * (self.cls > 0))
+    def decisions(self, code: Code, order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Number of decisions of each token (in ``order``); token, node and bit of all of them, token by token."""
+        order = np.arange(len(self.h)) if order is None else order
+        can, hit, cls, cell = self.can[order], self.hit[order], self.cls[order], self.cell[order]
+        rest = ~hit
+        deep = code.size[cls]
+        count = can + rest * (deep + CELL_BITS * (cls > 0))
         off = np.cumsum(count) - count
         total = int(count.sum())
-        token = np.repeat(np.arange(len(count)), count)
-        node, bit = np.empty(total, np.int64), np.empty(total, np.uint8)
-        node[off[self.can]] = _FLAG + self.run[self.can]
-        bit[off[self.can]] = self.hit[self.can]
+        node, bit = np.empty(total, np.int32), np.empty(total, np.uint8)
+        node[off[can]] = _FLAG + self.run[order[can]]
+        bit[off[can]] = hit[can]
         i = np.flatnonzero(rest)
-        at, cls = off[i] + self.can[i], self.cls[i]
-        for d in range(5):
-            node[at + d] = _CLASS + ((1 << d) | (cls >> (5 - d)))
-            bit[at + d] = cls >> (4 - d) & 1
-        i = i[cls > 0]
-        at, cls, cell = off[i] + self.can[i] + 5, self.cls[i], self.cell[i]
+        at = off[i] + can[i]
+        for d in range(code.depth):
+            k = np.flatnonzero(deep[i] > d)
+            kind = cls[i[k]]
+            node[at[k] + d] = _CLASS + code.node[kind, d]
+            bit[at[k] + d] = code.bit[kind, d]
+        i = i[cls[i] > 0]
+        at = off[i] + can[i] + deep[i]
+        cls, cell = cls[i], cell[i]
         for d in range(CELL_BITS):
             node[at + d] = _CELL + (cls << CELL_BITS) + ((1 << d) | (cell >> (CELL_BITS - d)))
             bit[at + d] = cell >> (CELL_BITS - 1 - d) & 1
-        return token, node, bit
+        return count, np.repeat(order, count), node, bit
 
     def slots(self, token: np.ndarray, node: np.ndarray) -> Iterator[np.ndarray]:
-        yield node
-        turned = node.astype(np.uint64) * _G1
+        yield node.astype(np.int64)
+        turned = node.astype(np.uint32) * np.uint32(0x9E3779B1)
         for k in range(1, ORDERS):
-            yield (((self.context[k][token] + turned) * _G2) >> np.uint64(64 - TABLE_BITS)).astype(np.int64) + BASES[k]
+            x = self.context[k][token] + turned
+            x ^= x >> np.uint32(15)
+            x *= np.uint32(0x85EBCA6B)
+            yield (x >> np.uint32(32 - TABLE_BITS)).astype(np.int64) + BASES[k]
+
+
+class Code:
+    """Prefix code of the frequency classes, shorter for those that hold more tokens."""
+
+    def __init__(self, mass: np.ndarray):
+        heap = [(int(m), i, (i,)) for i, m in enumerate(mass)]
+        heapq.heapify(heap)
+        path: list[list[tuple[int, int]]] = [[] for _ in mass]
+        for inner in range(len(mass) - 1):
+            a, b = heapq.heappop(heap), heapq.heappop(heap)
+            for bit, part in enumerate((a, b)):
+                for c in part[2]:
+                    path[c].append((inner, bit))
+            heapq.heappush(heap, (a[0] + b[0], len(mass) + inner, a[2] + b[2]))
+        self.size = np.array([len(p) for p in path])
+        self.depth = int(self.size.max())
+        self.node, self.bit = np.zeros((len(mass), self.depth), np.int32), np.zeros((len(mass), self.depth), np.uint8)
+        for c, p in enumerate(path):
+            for d, (n, bit) in enumerate(reversed(p)):
+                self.node[c, d], self.bit[c, d] = n, bit
 
 
 def _tokens_of(row: dict, train_only: bool) -> Iterator[tuple[int, int, np.ndarray, Tokens]]:
     """(first text, text after the last, number of each token, tokens) of runs of texts of a block."""
-    h, c = _hash_of(row), np.frombuffer(row["counts"], np.int64)
-    number, sizes = np.frombuffer(row["tokens"], np.int32), np.frombuffer(row["sizes"], np.int32).astype(np.int64)
+    h, c = _hash_of(row), unpack(row["counts"], np.int64)
+    number, sizes = unpack(row["tokens"], np.int32), unpack(row["sizes"], np.int32).astype(np.int64)
     held, ends = np.array(row["held"], bool), np.cumsum(sizes)
     a = 0
     while a < len(sizes):
@@ -302,20 +346,23 @@ def _tokens_of(row: dict, train_only: bool) -> Iterator[tuple[int, int, np.ndarr
         a = b
 
 
-def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    table = np.zeros(2 * SLOTS, np.int32)
-    for b in batches:
-        for row in b.to_pylist():
-            for _, _, _, t in _tokens_of(row, train_only=True):
-                token, node, bit = t.decisions()
-                for k, slot in enumerate(t.slots(token, node)):
-                    base, end = 2 * BASES[k], 2 * (BASES[k + 1] if k + 1 < ORDERS else SLOTS)
-                    table[base:end] += np.bincount(2 * slot + bit - base, minlength=end - base)
-    part = TaskContext.get().partitionId()
-    for k in range(SLOTS // PIECE):
-        piece = table[2 * k * PIECE : 2 * (k + 1) * PIECE]
-        if piece.any():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part], pa.int32()), pa.array([piece.astype(np.int64).tobytes()], pa.binary())], names=["piece", "part", "counts"])
+def _trained(code: Code):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(2 * SLOTS, np.int32)
+        for b in batches:
+            for row in b.to_pylist():
+                for _, _, _, t in _tokens_of(row, train_only=True):
+                    _, token, node, bit = t.decisions(code)
+                    for k, slot in enumerate(t.slots(token, node)):
+                        base, end = 2 * BASES[k], 2 * (BASES[k + 1] if k + 1 < ORDERS else SLOTS)
+                        table[base:end] += np.bincount(2 * slot + bit - base, minlength=end - base)
+        part = TaskContext.get().partitionId()
+        for k in range(SLOTS // PIECE):
+            piece = table[2 * k * PIECE : 2 * (k + 1) * PIECE]
+            if piece.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part], pa.int32()), pa.array([pack(piece.astype(np.int64))], pa.binary())], names=["piece", "part", "counts"])
+
+    return run
 
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,15 +370,15 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[tuple[int, int], np.ndarray] = {}
     for b in batches:
         for k, p, x in zip(*(b.column(n).to_pylist() for n in ("piece", "part", "counts")), strict=True):
-            v = np.frombuffer(x, np.int64)
+            v = unpack(x, np.int64)
             held[k, p] = held[k, p] + v if (k, p) in held else v
     for (k, p), v in held.items():
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([p], pa.int32()), pa.array([v.tobytes()], pa.binary())], names=["piece", "part", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([p], pa.int32()), pa.array([pack(v)], pa.binary())], names=["piece", "part", "counts"])
 
 
 def _stretched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in _added(batches):
-        n = np.frombuffer(b.column("counts")[0].as_py(), np.int64).reshape(-1, 2)
+        n = unpack(b.column("counts")[0].as_py(), np.int64).reshape(-1, 2)
         st = np.log((n[:, 1] + 0.4) / (n[:, 0] + 0.4))
         yield pa.RecordBatch.from_arrays([b.column("piece"), pa.array([np.clip(np.rint(st * 15), -127, 127).astype(np.int8).tobytes()], pa.binary())], names=["piece", "stretch"])
 
@@ -359,7 +406,7 @@ class Spelling:
 def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for codes, times in zip(b.column("codes").to_pylist(), b.column("times").to_pylist(), strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(codes, np.int32)), pa.array(np.frombuffer(times, np.int64))], names=["code", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(unpack(codes, np.int32)), pa.array(unpack(times, np.int64))], names=["code", "n"])
 
 
 def _spelling(blocks: DataFrame) -> Spelling:
@@ -380,47 +427,48 @@ def _spelling(blocks: DataFrame) -> Spelling:
 # ---------------------------------------------------------------- scores
 
 
-def mixed(st: np.ndarray, gate: np.ndarray, bit: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Probability of a one for each decision; lanes begin at ``first`` and have ``size`` decisions each."""
-    order = np.argsort(-size, kind="stable")
-    first, size = first[order], size[order]
-    lanes, k = len(first), st.shape[1]
+def mixed(st: np.ndarray, gate: np.ndarray, bit: np.ndarray, count: np.ndarray, lane: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """Probability of a one for each decision.
+
+    Tokens have ``count`` decisions and come step by step: those from ``steps[i]`` to ``steps[i + 1]``
+    are the i-th of their lanes.
+    """
+    lanes, k = int(lane.max()) + 1 if len(lane) else 0, st.shape[1]
     weights = np.full((lanes * GATES, k), START, np.float32)
     gain, offset = np.ones(lanes, np.float32), np.zeros(lanes, np.float32)
     out = np.empty(len(st), np.float32)
-    live = lanes - np.searchsorted(size[::-1], np.arange(int(size[0]) if lanes else 0), "right")
-    row = np.arange(lanes) * GATES
+    off = np.concatenate(([0], np.cumsum(count)))
     one = np.float32(1)
-    for step, n in enumerate(live.tolist()):
-        at = first[:n] + step
-        x, y = st[at], bit[at]
-        r = row[:n] + gate[at]
-        w = weights[r]
-        dot = np.einsum("ij,ij->i", w, x)
-        p = one / (one + np.exp(-dot))
-        weights[r] = w + ((y - p) * np.float32(RATE))[:, None] * x
-        g, o = gain[:n], offset[:n]
-        p = one / (one + np.exp(-(dot * g + o)))
-        out[at] = p
+    for a, b in zip(steps[:-1].tolist(), steps[1:].tolist(), strict=True):
+        lo, hi = int(off[a]), int(off[b])
+        x, y, own = st[lo:hi], bit[lo:hi], lane[a:b]
+        wide = np.repeat(own, count[a:b])
+        r = wide * GATES + gate[lo:hi]
+        dot = np.einsum("ij,ij->i", weights[r], x)
+        e = (y - one / (one + np.exp(-dot))) * np.float32(RATE)
+        for j in range(k):
+            weights[:, j] += np.bincount(r, weights=e * x[:, j], minlength=lanes * GATES)
+        p = one / (one + np.exp(-(dot * gain[wide] + offset[wide])))
+        out[lo:hi] = p
         e = (y - p) * np.float32(REFINE_RATE)
-        g += e * dot
-        o += e
-        np.clip(g, 0.3, 3.0, out=g)
+        first = off[a:b] - lo
+        gain[own] = np.clip(gain[own] + np.add.reduceat(e * dot, first), 0.3, 3.0)
+        offset[own] += np.add.reduceat(e, first)
     return out
 
 
 class Model:
-    def __init__(self, total: int, distinct: int, cells: np.ndarray, stretch: np.ndarray, spelling: Spelling):
-        self.total, self.distinct, self.cells, self.stretch, self.spelling = total, distinct, cells, stretch, spelling
+    def __init__(self, total: int, distinct: int, cells: np.ndarray, code: Code, stretch: np.ndarray, spelling: Spelling):
+        self.total, self.distinct, self.cells, self.code, self.stretch, self.spelling = total, distinct, cells, code, stretch, spelling
 
     def score(self, row: dict) -> dict[str, np.ndarray]:
         """Per text of a block: tokens, known tokens, base score, model score, bytes."""
         n = len(row["held"])
         out = {k: np.zeros(n) for k in ("n_tokens", "n_known", "base_score", "score", "spelled", "n_bytes")}
-        length = np.frombuffer(row["lengths"], np.int32).astype(np.int64)
-        counts = np.frombuffer(row["counts"], np.int64)
+        length = unpack(row["lengths"], np.int32).astype(np.int64)
+        counts = unpack(row["counts"], np.int64)
         rare = np.flatnonzero(class_of(counts) == 0)
-        spelled, ends = np.frombuffer(row["spelled"], np.uint8), np.cumsum(length)
+        spelled, ends = unpack(row["spelled"], np.uint8), np.cumsum(length)
         inner = np.arange(int(length[rare].sum())) - np.repeat(np.cumsum(length[rare]) - length[rare], length[rare])
         spell = np.zeros(len(length))
         spell[rare] = self.spelling.score(spelled[np.repeat((ends - length)[rare], length[rare]) + inner], length[rare])
@@ -432,18 +480,19 @@ class Model:
             add("n_known", (t.c > 0).astype(float))
             add("n_bytes", length[number] + 1.0)
             add("base_score", np.log10((t.c + 1) / (self.total + self.distinct + 1)))
-            token, node, bit = t.decisions()
+            # the i-th tokens of all segments together
+            place = np.arange(len(number)) - t.start
+            cut = np.concatenate(([True], (place[1:] // SEGMENT != place[:-1] // SEGMENT) | (t.doc[1:] != t.doc[:-1])))
+            lane, place = np.cumsum(cut) - 1, place % SEGMENT
+            order = np.argsort(place, kind="stable")
+            steps = np.concatenate(([0], np.cumsum(np.bincount(place))))
+            count, token, node, bit = t.decisions(self.code, order)
             st = np.empty((len(token), ORDERS), np.float32)
             for k, slot in enumerate(t.slots(token, node)):
                 st[:, k] = self.stretch[slot]
             st *= np.float32(1 / 15)
             gate = (node >= _CLASS).astype(np.int64) + (node >= _CELL) + 3 * (np.abs(st[:, 2]) > 0.5)
-            lane = (np.arange(len(number)) - t.start) // SEGMENT
-            cut = np.concatenate(([True], (lane[1:] != lane[:-1]) | (t.doc[1:] != t.doc[:-1])))
-            seg = np.cumsum(cut) - 1
-            size = np.bincount(seg[token], minlength=int(seg[-1]) + 1)
-            first = np.cumsum(size) - size
-            p = np.clip(mixed(st, gate, bit.astype(np.float32), first[size > 0], size[size > 0]).astype(np.float64), 1e-6, 1 - 1e-6)
+            p = np.clip(mixed(st, gate, bit.astype(np.float32), count, lane[order], steps).astype(np.float64), 1e-6, 1 - 1e-6)
             add("score", np.log10(np.where(bit == 1, p, 1 - p)), t.doc[token])
             rest = ~t.hit
             known = rest & (t.cls > 0)
@@ -478,20 +527,24 @@ def language_model_scores(docs: DataFrame) -> DataFrame:
     ranges = -(-entries // RANGE)
     asks = blocks.select("block", "lengths", "spelled", "own").mapInArrow(_asks(ranges), "range int, block long, hashes binary, counts binary")
     answers = stored(asks.groupBy("range").applyInArrow(_answers, "block long, range int, counts binary"), "answers")
-    total = np.sum([np.frombuffer(r[0], np.int64) for r in answers.where("block = -1").select("counts").coalesce(64).mapInArrow(_summed, "counts binary").collect()], axis=0)
+    total = np.sum([unpack(r[0], np.int64) for r in answers.where("block = -1").select("counts").coalesce(64).mapInArrow(_summed, "counts binary").collect()], axis=0)
     own = answers.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("range", "counts")).alias("answers"))
     coded = blocks.select("block", "doc_ids", "held", "sizes", "tokens", "lengths", "spelled").join(own, "block").mapInArrow(
         _coded(ranges), "block long, doc_ids array<long>, held array<boolean>, sizes binary, tokens binary, lengths binary, spelled binary, counts binary"
     )
     coded = stored(coded, "coded")
-    tables = coded.mapInArrow(_trained, "piece int, part int, counts binary")
+    cells = total[2:].reshape(CLASSES, -1)
+    mass = cells.sum(1)
+    mass[0], mass[1] = mass[1], mass[2] // 2  # as training tokens count without themselves
+    code = Code(mass + 1)
+    tables = coded.mapInArrow(_trained(code), "piece int, part int, counts binary")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     some = tables.withColumn("part", F.expr("part div 64")).repartition(n, "piece", "part").mapInArrow(_added, "piece int, part int, counts binary")
     pieces = some.withColumn("part", F.lit(0)).repartition(n, "piece").mapInArrow(_stretched, "piece int, stretch binary")
     stretch = np.zeros(SLOTS, np.int8)
     for r in pieces.toLocalIterator():  # SLOTS bytes in all
         stretch[r[0] * PIECE : (r[0] + 1) * PIECE] = np.frombuffer(r[1], np.int8)
-    model = Model(int(total[0]), int(total[1]), total[2:].reshape(CLASSES, -1), stretch, _spelling(blocks))
+    model = Model(int(total[0]), int(total[1]), cells, code, stretch, _spelling(blocks))
     shared = spark.sparkContext.broadcast(model)  # of fixed size
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
