@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import few, stored
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -24,10 +24,10 @@ def components(edges: DataFrame) -> DataFrame:
 
     Rounds are logarithmic in a component's width; each is written to the shared folder.
     """
-    edges = stored(edges.select("a", "b").where("a <> b").distinct(), "edges")
+    edges = stored(few(edges.select("a", "b").where("a <> b").distinct()), "edges")
     seen = None
     while True:
-        edges = stored(_stars(_stars(edges, large=True), large=False), "stars")
+        edges = stored(few(_stars(_stars(edges, large=True), large=False)), "stars")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

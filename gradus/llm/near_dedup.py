@@ -13,7 +13,7 @@
 4. Every candidate is confirmed on full sets before it links. Components are found by star rounds.
 
 With 24 bands of 3 rows a pair at similarity 0.75 is missed with probability 2e-6, at 0.85 1e-10.
-A sketch rules a pair out only six standard deviations below the threshold. No bucket, partner or
+A sketch rules a pair out only six standard deviations of its samples below the threshold. No bucket, partner or
 candidate is capped. Sets are held as 64-bit shingle hashes.
 """
 
@@ -26,19 +26,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored
+from .common import few, kept, small_batches, stored
 from .components import components
 from .textkernel import mix, text_shingles
 
-BANDS, ROWS, SKETCH_BITS = 24, 3, 512
-SAMPLES = BANDS * ROWS
+BANDS, ROWS = 24, 3
+#: MinHash samples (the first ``BANDS * ROWS`` make the bands) and bits of the odd sketch.
+SAMPLES, SKETCH_BITS = 256, 2048
 NUMERATOR, DENOMINATOR = 75, 100
 #: Members of one block of a bucket, and of one run of a star.
 BLOCK = 1024
 
 _rng = np.random.default_rng(7)
-_XOR = _rng.integers(0, 1 << 63, SAMPLES, dtype=np.uint64)
-_MUL = _rng.integers(0, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_XOR = _rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint32)
+_MUL = _rng.integers(0, 1 << 31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _SALT = _rng.integers(0, 1 << 63, SAMPLES, dtype=np.uint64)
 
 _SIGNED = "doc_id long, n_shingles long, c1 long, c2 long, keys binary, odd binary"
@@ -46,9 +47,9 @@ _SIGNED = "doc_id long, n_shingles long, c1 long, c2 long, keys binary, odd bina
 
 def minhash(sets: list[np.ndarray]) -> np.ndarray:
     """Minimum of each of the sample functions over each set; sets are not empty."""
-    flat = np.concatenate(sets)
+    flat = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
     at = np.cumsum([0] + [len(s) for s in sets[:-1]])
-    out = np.empty((len(sets), SAMPLES), np.uint64)
+    out = np.empty((len(sets), SAMPLES), np.uint32)
     for i in range(SAMPLES):
         out[:, i] = np.minimum.reduceat((flat ^ _XOR[i]) * _MUL[i], at)
     return out
@@ -56,7 +57,7 @@ def minhash(sets: list[np.ndarray]) -> np.ndarray:
 
 def band_keys(mins: np.ndarray) -> np.ndarray:
     keys = np.zeros((len(mins), BANDS), np.uint64)
-    grouped = mins.reshape(len(mins), BANDS, ROWS)
+    grouped = mins[:, : BANDS * ROWS].astype(np.uint64).reshape(len(mins), BANDS, ROWS)
     for r in range(ROWS):
         keys = mix(keys + grouped[:, :, r])
     return keys
@@ -64,7 +65,7 @@ def band_keys(mins: np.ndarray) -> np.ndarray:
 
 def odd_sketch(mins: np.ndarray) -> np.ndarray:
     """Parity bitmap of the samples, packed."""
-    cells = (mix(mins + _SALT) >> np.uint64(32)).astype(np.int64) % SKETCH_BITS
+    cells = (mix(mins.astype(np.uint64) + _SALT) >> np.uint64(32)).astype(np.int64) % SKETCH_BITS
     count = np.bincount((cells + np.arange(len(mins))[:, None] * SKETCH_BITS).ravel(), minlength=len(mins) * SKETCH_BITS)
     return np.packbits((count & 1).astype(np.uint8).reshape(len(mins), SKETCH_BITS), axis=1)
 
@@ -73,8 +74,8 @@ def most_xor(numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> int:
     """XOR population count above which a pair is six deviations below the threshold."""
     j = numerator / denominator
     differ = min(SAMPLES, SAMPLES * (1 - j) + 6 * np.sqrt(SAMPLES * j * (1 - j)))
-    mean = SKETCH_BITS * (1 - (1 - 2 / SKETCH_BITS) ** (2 * differ)) / 2
-    return int(mean + 6 * np.sqrt(SKETCH_BITS) / 6)
+    odd = SKETCH_BITS * (1 - (1 - 2 / SKETCH_BITS) ** (2 * differ)) / 2
+    return int(odd + 4 * (2 * differ) / np.sqrt(SKETCH_BITS))
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +106,8 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes = b.column("node").to_numpy(zero_copy_only=False)
         # the band takes part in the key, so one column tells buckets apart
         keys = mix(keys.view(np.uint64) + np.tile(np.arange(BANDS, dtype=np.uint64), len(nodes)) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(nodes, BANDS))], names=["bucket", "node"])
+        band = np.tile(np.arange(BANDS, dtype=np.int32), len(nodes))
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(band), pa.array(np.repeat(nodes, BANDS))], names=["bucket", "band", "node"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +130,7 @@ def _confirmed(numerator: int, denominator: int):
                     continue
                 assert at == (a, r), "the pivot's set comes first"
                 small, large = (s, own) if len(s) < len(own) else (own, s)
-                if DENOMINATOR and denominator * len(small) < numerator * len(large):
+                if denominator * len(small) < numerator * len(large):
                     continue
                 place = np.searchsorted(large, small)
                 place[place == len(large)] = 0
@@ -147,6 +149,7 @@ def _blocks(limit: int, best: bool):
         t = t.sort_by("node")
         node, comp, block = (t.column(c).to_numpy() for c in ("node", "comp", "block"))
         odd = np.frombuffer(b"".join(t.column("odd").to_pylist()), np.uint64).reshape(len(node), -1)
+        keys, band = np.frombuffer(b"".join(t.column("keys").to_pylist()), np.int64).reshape(len(node), BANDS), t.column("band")[0].as_py()
         keep, out = (t.column("i")[0].as_py() == t.column("j")[0].as_py()), [[], []]
         for lo in range(0, len(node), 256):
             part = slice(lo, lo + 256)
@@ -163,6 +166,8 @@ def _blocks(limit: int, best: bool):
                 y = k[x]
             else:
                 x, y = np.nonzero(ok & (node[part, None] < node[None, :]))
+                first = (keys[part][x] == keys[y]).argmax(1) == band
+                x, y = x[first], y[first]
             a, b = node[part][x], node[y]
             out[0].append(np.minimum(a, b)), out[1].append(np.maximum(a, b))
         return pa.table({"a": pa.array(np.concatenate(out[0]), pa.int64()), "b": pa.array(np.concatenate(out[1]), pa.int64())})
@@ -180,31 +185,27 @@ class NearDedup:
         small_batches(self.spark)
 
     def classes(self) -> None:
-        self.signed = stored(self.docs.mapInArrow(_signed, _SIGNED), "signed")
+        self.signed = kept(self.docs.mapInArrow(_signed, _SIGNED))
         found = self.signed.where("n_shingles > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("least"))
         # classes of rows without ids get a node of their own, below all others' order of roots
-        self.found = stored(found.withColumn("node", F.coalesce("least", F.expr("-4611686018427387904 - pmod(xxhash64(c1, c2), 4611686018427387904)"))), "classes")
+        self.found = kept(found.withColumn("node", F.coalesce("least", F.expr("-4611686018427387904 - pmod(xxhash64(c1, c2), 4611686018427387904)"))))
         rep = self.signed.where("n_shingles > 0").join(self.found.select("c1", "c2", "node", "least"), ["c1", "c2"]).where("doc_id = least")
-        self.nodes = stored(rep.select("node", "keys", "odd"), "nodes")
-        rows = self.nodes.select("node", "keys").mapInArrow(_exploded, "bucket long, node long")
+        self.nodes = kept(rep.select("node", "keys", "odd"))
+        rows = self.nodes.select("node", "keys").mapInArrow(_exploded, "bucket long, band int, node long")
         pivots = rows.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("most")).where("pivot < most")
-        self.members = stored(rows.join(pivots.select("bucket", "pivot"), "bucket"), "members")
-
-    def sets_of(self, pairs: DataFrame) -> DataFrame:
-        """The full sets of all nodes of ``pairs``."""
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        ids = wanted.join(self.found, "node").select("node", "least", "c1", "c2")
-        # rows that share an id are one node; those without ids are found by their class
-        by_id = self.docs.where("doc_id is not null").join(ids.where("least is not null").select("node", F.col("least").alias("doc_id")).hint("shuffle_hash"), "doc_id")
-        held = by_id.select("node", "text").mapInArrow(_sets, "node long, held binary")
-        return held
+        self.members = kept(rows.join(pivots.select("bucket", "pivot"), "bucket"))
+        # full sets of all nodes that share a bucket, once, dealt by node for every join to come
+        wanted = self.members.select(F.col("node").alias("doc_id")).distinct()
+        held = self.docs.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text")
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.sets = kept(held.mapInArrow(_sets, "node long, held binary").repartition(n, "node"))
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """Those of ``pairs`` (a, b) that reach the threshold on full sets."""
-        pairs = stored(pairs, "pairs")
+        pairs = kept(pairs)
         if pairs.isEmpty():
             return pairs
-        sets = stored(self.sets_of(pairs), "sets")
+        sets = self.sets
         runs = pairs.groupBy("a").agg(F.expr(f"cast(ceil(count(*) / {BLOCK}) as int)").alias("runs"))
         partners = pairs.join(runs, "a").select("a", F.expr("cast(pmod(xxhash64(b), runs) as int)").alias("run"), "b")
         theirs = partners.join(sets, partners.b == sets.node).select("a", "run", "b", "held")
@@ -226,31 +227,32 @@ class NearDedup:
     def rest(self, links: DataFrame, best: bool) -> DataFrame:
         """Candidates between different components that share a bucket."""
         comps = components(links)
-        rows = self.members.select("bucket", "node").join(comps, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("comp"))
+        rows = self.members.select("bucket", "band", "node").join(comps, "node", "left").select("bucket", "band", "node", F.coalesce("root", "node").alias("comp"))
         open_ = rows.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n")).where("x < y")
         blocks = F.expr(f"cast(ceil(n / {BLOCK}) as int)")
-        held = rows.join(open_.select("bucket", blocks.alias("k")), "bucket").join(self.nodes.select("node", "odd"), "node")
+        held = rows.join(open_.select("bucket", blocks.alias("k")), "bucket").join(self.nodes, "node")
         held = held.withColumn("block", F.expr("cast(pmod(xxhash64(node), k) as int)"))
-        held = held.select("bucket", "node", "comp", "odd", "block", F.explode(F.expr("sequence(0, k - 1)")).alias("o"))
-        held = held.select("bucket", "node", "comp", "odd", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
+        held = held.select("bucket", "band", "node", "comp", "keys", "odd", "block", F.explode(F.expr("sequence(0, k - 1)")).alias("o"))
+        held = held.select("bucket", "band", "node", "comp", "keys", "odd", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
         return held.groupBy("bucket", "i", "j").applyInArrow(_blocks(self.limit, best), "a long, b long").distinct()
 
     def links(self) -> DataFrame:
         self.classes()
-        links = stored(self.confirm(self.star()), "links")
-        tried = None
-        for best in (True, False):
-            pairs = stored(self.rest(links, best), "rest")
-            if tried is not None:
-                pairs = pairs.join(tried, ["a", "b"], "left_anti")
-            links = stored(links.union(self.confirm(pairs)), "links")
-            tried = pairs
-        return links
+        links = stored(few(self.confirm(self.star())), "links")
+        tried = links.limit(0)
+        while True:
+            pairs = stored(few(self.rest(links, best=True).join(tried, ["a", "b"], "left_anti")), "rest")
+            new = stored(few(self.confirm(pairs)), "links")
+            if new.isEmpty():
+                break
+            links, tried = links.union(new), tried.union(pairs)
+        pairs = self.rest(links, best=False).join(tried.union(pairs), ["a", "b"], "left_anti")
+        return stored(few(links.union(self.confirm(pairs))), "links")
 
     def result(self) -> DataFrame:
         comps = components(self.links())
         own = self.found.join(comps, "node", "left").select("c1", "c2", "least", F.coalesce("root", "node").alias("root"))
-        own = stored(own, "roots")
+        own = kept(own)
         named = own.groupBy("root").agg(F.min("least").alias("component"))
         own = own.join(named, "root").select("c1", "c2", "component")
         rows = self.signed.select("doc_id", "n_shingles", "c1", "c2")
