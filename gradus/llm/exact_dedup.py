@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, stored, text_of
+from .common import SPACE, kept, text_of
 
 FAN_IN = 16
 _KEY = ["text_sha256", "n_norm", "check"]
@@ -63,7 +63,7 @@ def exact_dedup(docs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
     one, the first read). Returns doc_id, keep_id, group_size, kept, text_sha256; a row for each
     input row, dropped ones too. Other columns of ``docs`` are not read; an empty table gives none.
     """
-    rows = stored(digests(docs), "digests")
+    rows = kept(digests(docs))
     n_runs = (rows.agg(F.max("run")).first()[0] or 0) + 1
     winners = tree_merge(rows, n_runs, fan_in)
     return rows.join(winners, _KEY).select(

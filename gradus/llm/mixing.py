@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE, stored, text_of
+from .common import SPACE, kept, text_of
 
 WEIGHTS = (1, 2, 3)
 #: A source's target, and so a document's copies, stop at this many times its size.
@@ -65,7 +65,7 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOS
     on doc_id (on the text where that is null) and source alone, so reruns agree and repeated rows
     are treated alike. An empty table gives no rows.
     """
-    rows = stored(docs.select("doc_id", "source", n_words(text_of()).alias("size"), _name().alias("_name")), "sizes")
+    rows = kept(docs.select("doc_id", "source", n_words(text_of()).alias("size"), _name().alias("_name")))
     rates = targets(rows, weights, most)
     out = rows.join(rates.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
     out = out.withColumn("copies", copies(F.col("_name"), F.col("source_size"), F.col("target"), seed))
@@ -76,7 +76,6 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST,
     """The rows of ``docs`` as often as the mix takes them, columns unchanged."""
     rows = docs.select("source", n_words(text_of()).alias("size"))
     rates = targets(rows, weights, most).select(F.col("source").alias("_source"), "source_size", "target")
-    rates = stored(rates, "rates")
     names = [c for c in docs.columns]
     out = docs.join(rates, F.col("source").eqNullSafe(F.col("_source")))
     out = out.withColumn("_copies", copies(_name(), F.col("source_size"), F.col("target"), seed)).where("_copies > 0")
