@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_mod, stored
+from .common import crc32_mod, small_batches, stored
 from .textkernel import chunks, mix, word_hashes, words
 
 HELD_MOD, HELD_REST = 7, 2
@@ -39,7 +39,7 @@ HELD_MOD, HELD_REST = 7, 2
 BLOCK, RANGE = 4 << 20, 2_000_000
 #: Slots of each hashed context table (power of two); slots of one row when tables are added up.
 TABLE_BITS, PIECE = 20, 1 << 16
-CLASSES, CELL_BITS = 32, 4
+CLASSES, CELL_BITS = 32, 3
 SEGMENT, TOKENS = 128, 1 << 18
 RATE, REFINE_RATE, START = 0.02, 0.005, 0.35
 #: Frequent two-byte contexts of the spelling model; other contexts use one byte.
@@ -98,7 +98,7 @@ def _row(block: int, ids: list, held: np.ndarray, column: pa.Array) -> dict:
     spelled = np.where((spelled >= 65) & (spelled <= 90), spelled + 32, spelled).astype(np.uint8)
     train = np.repeat(~held, n + 1)
     own = np.bincount(numbers[train], minlength=len(uniq)).astype(np.int64)
-    codes, times = np.unique(_trigrams(spelled, length, own > 0), return_counts=True)
+    codes, times = np.unique(_trigrams(spelled, length, own > 0).astype(np.int32), return_counts=True)
     return {
         "block": block, "doc_ids": ids, "held": held.tolist(), "sizes": pack((n + 1).astype(np.int32)),
         "tokens": pack(numbers.astype(np.int32)), "lengths": pack(length.astype(np.int32)), "spelled": pack(spelled),
@@ -298,13 +298,13 @@ class Tokens:
         return count, np.repeat(order, count), node, bit
 
     def slots(self, token: np.ndarray, node: np.ndarray) -> Iterator[np.ndarray]:
-        yield node.astype(np.int64)
+        yield node.astype(np.int64)  # each counted from its table's first slot
         turned = node.astype(np.uint32) * np.uint32(0x9E3779B1)
         for k in range(1, ORDERS):
             x = self.context[k][token] + turned
             x ^= x >> np.uint32(15)
             x *= np.uint32(0x85EBCA6B)
-            yield (x >> np.uint32(32 - TABLE_BITS)).astype(np.int64) + BASES[k]
+            yield (x >> np.uint32(32 - TABLE_BITS)).astype(np.int64)
 
 
 class Code:
@@ -355,7 +355,9 @@ def _trained(code: Code):
                     _, token, node, bit = t.decisions(code)
                     for k, slot in enumerate(t.slots(token, node)):
                         base, end = 2 * BASES[k], 2 * (BASES[k + 1] if k + 1 < ORDERS else SLOTS)
-                        table[base:end] += np.bincount(2 * slot + bit - base, minlength=end - base)
+                        slot <<= 1
+                        slot += bit
+                        table[base:end] += np.bincount(slot, minlength=end - base)
         part = TaskContext.get().partitionId()
         for k in range(SLOTS // PIECE):
             piece = table[2 * k * PIECE : 2 * (k + 1) * PIECE]
@@ -427,28 +429,37 @@ def _spelling(blocks: DataFrame) -> Spelling:
 # ---------------------------------------------------------------- scores
 
 
-def mixed(st: np.ndarray, gate: np.ndarray, bit: np.ndarray, count: np.ndarray, lane: np.ndarray, steps: np.ndarray) -> np.ndarray:
+def mixed(st: np.ndarray, phase: np.ndarray, bit: np.ndarray, count: np.ndarray, lane: np.ndarray, steps: np.ndarray) -> np.ndarray:
     """Probability of a one for each decision.
 
-    Tokens have ``count`` decisions and come step by step: those from ``steps[i]`` to ``steps[i + 1]``
-    are the i-th of their lanes.
+    Tokens have ``count`` decisions, each of a phase from 0 to 2, and come step by step: those from
+    ``steps[i]`` to ``steps[i + 1]`` are the i-th of their lanes. A token's decisions of one phase
+    share a weight set, chosen by the phase and by whether the longest context has an opinion.
     """
-    lanes, k = int(lane.max()) + 1 if len(lane) else 0, st.shape[1]
+    if not len(st):
+        return np.zeros(0, np.float32)
+    lanes, k = int(lane.max()) + 1, st.shape[1]
     weights = np.full((lanes * GATES, k), START, np.float32)
     gain, offset = np.ones(lanes, np.float32), np.zeros(lanes, np.float32)
     out = np.empty(len(st), np.float32)
     off = np.concatenate(([0], np.cumsum(count)))
+    fresh = np.concatenate(([True], phase[1:] != phase[:-1]))
+    fresh[off[:-1]] = True
+    head = np.flatnonzero(fresh)
+    span = np.diff(np.append(head, len(st)))
+    groups = np.searchsorted(head, off[steps])
+    mine = np.repeat(lane, count)[head]
+    sets = mine * GATES + phase[head] + 3 * (np.abs(st[head, min(2, k - 1)]) > 0.5)
     one = np.float32(1)
-    for a, b in zip(steps[:-1].tolist(), steps[1:].tolist(), strict=True):
+    for a, b, ga, gb in zip(steps[:-1].tolist(), steps[1:].tolist(), groups[:-1].tolist(), groups[1:].tolist(), strict=True):
         lo, hi = int(off[a]), int(off[b])
-        x, y, own = st[lo:hi], bit[lo:hi], lane[a:b]
-        wide = np.repeat(own, count[a:b])
-        r = wide * GATES + gate[lo:hi]
-        dot = np.einsum("ij,ij->i", weights[r], x)
+        x, y, own, r, n = st[lo:hi], bit[lo:hi], lane[a:b], sets[ga:gb], span[ga:gb]
+        w = weights[r]
+        dot = np.einsum("ij,ij->i", np.repeat(w, n, axis=0), x)
         e = (y - one / (one + np.exp(-dot))) * np.float32(RATE)
-        for j in range(k):
-            weights[:, j] += np.bincount(r, weights=e * x[:, j], minlength=lanes * GATES)
-        p = one / (one + np.exp(-(dot * gain[wide] + offset[wide])))
+        weights[r] = w + np.add.reduceat(e[:, None] * x, head[ga:gb] - lo, axis=0)
+        wide = count[a:b]
+        p = one / (one + np.exp(-(dot * np.repeat(gain[own], wide) + np.repeat(offset[own], wide))))
         out[lo:hi] = p
         e = (y - p) * np.float32(REFINE_RATE)
         first = off[a:b] - lo
@@ -489,11 +500,11 @@ class Model:
             count, token, node, bit = t.decisions(self.code, order)
             st = np.empty((len(token), ORDERS), np.float32)
             for k, slot in enumerate(t.slots(token, node)):
-                st[:, k] = self.stretch[slot]
+                st[:, k] = self.stretch[BASES[k] :][slot]
             st *= np.float32(1 / 15)
-            gate = (node >= _CLASS).astype(np.int64) + (node >= _CELL) + 3 * (np.abs(st[:, 2]) > 0.5)
-            p = np.clip(mixed(st, gate, bit.astype(np.float32), count, lane[order], steps).astype(np.float64), 1e-6, 1 - 1e-6)
-            add("score", np.log10(np.where(bit == 1, p, 1 - p)), t.doc[token])
+            phase = (node >= _CLASS).astype(np.int8) + (node >= _CELL)
+            p = mixed(st, phase, bit.astype(np.float32), count, lane[order], steps)
+            add("score", np.log10(np.clip(np.where(bit == 1, p, 1 - p), 1e-6, 1.0)), t.doc[token])
             rest = ~t.hit
             known = rest & (t.cls > 0)
             value = np.zeros(len(number))
@@ -517,10 +528,12 @@ def language_model_scores(docs: DataFrame) -> DataFrame:
     empty table gives no rows; without training texts every word is unknown.
     """
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+    rows_per_batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows_per_batch)
+    small_batches(spark)
     held = F.coalesce(crc32_mod("doc_id", HELD_MOD) == HELD_REST, F.lit(False))
     blocks = stored(docs.select("doc_id", "text", held.alias("held_out")).mapInArrow(_blocked, _BLOCKS), "blocks")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # rows are blocks from here on
+    spark.conf.set(rows_per_batch, "1")  # rows are blocks from here on
     entries = blocks.agg(F.sum("n_words")).first()[0]
     if not entries:
         return spark.createDataFrame([], _COLUMNS)
@@ -558,4 +571,6 @@ def language_model_scores(docs: DataFrame) -> DataFrame:
                     names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"],
                 )
 
-    return stored(coded.mapInArrow(scored, _COLUMNS), "scores")
+    scores = stored(coded.mapInArrow(scored, _COLUMNS), "scores")
+    spark.conf.set(rows_per_batch, before)
+    return scores

@@ -248,7 +248,7 @@ def test_pack():
 def test_mixing_learns():
     st = np.column_stack([np.full(2000, 2.0), np.full(2000, -2.0)]).astype(np.float32)
     bit = np.ones(2000, np.float32)
-    p = mixing_lm.mixed(st, np.zeros(2000, np.int64), bit, np.ones(2000, np.int64), np.zeros(2000, np.int64), np.arange(2001))
+    p = mixing_lm.mixed(st, np.zeros(2000, np.int8), bit, np.ones(2000, np.int64), np.zeros(2000, np.int64), np.arange(2001))
     assert p[-1] > 0.9 > p[0]
 
 
