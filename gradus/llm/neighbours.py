@@ -2,10 +2,11 @@
 
 Vectors are rotated at random; lists are the cells of centroids fitted on a bounded sample. Every
 row is indexed in its cell, and each query probes the cells with the largest products. Within a
-probed list candidates are scanned in blocks of columns: after each block a hypothesis test on the
-partial distance abandons those that are beyond the query's current bound with high confidence, so
-most candidates are left after a few columns. Survivors are scored in double precision on the
-original vectors.
+probed list candidates are scanned in blocks of columns, for many queries at once: after each block
+a hypothesis test on the partial distance abandons those that are beyond the query's bound with high
+confidence, and rows and queries without a candidate leave the block. A query's bound is the distance
+of its k-th nearest in a part of the sample, whose k nearest count as found. Survivors are scored in double precision on the original
+vectors.
 
 Largest inner products are nearest neighbours once each vector gets one more coordinate that gives
 all the same length, so the distance test applies to any lengths. Lists are split by size, so a cell
@@ -29,8 +30,10 @@ K, QUERY_MOD = 20, 20
 SAMPLE, PER_LIST, MOST_LISTS, PROBED = 20_000, 500, 1024, 0.8
 #: Columns of one step of the scan, and the test's width (larger: fewer wrong rejections).
 STEP, WIDTH = 16, 2.1
+#: Rows of the sample that queries get their bound from.
+BOUNDING = 8192
 #: Rows of one part of a list, queries handled together.
-PART, QUERIES = 4096, 1024
+PART, QUERIES, ROWS = 4096, 256, 2048
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -49,7 +52,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 class Index:
     """Rotation, centroids and the common length of augmented vectors."""
 
-    def __init__(self, sample: np.ndarray, longest: float, n_rows: int, seed: int = 11):
+    def __init__(self, ids: np.ndarray, sample: np.ndarray, longest: float, n_rows: int, seed: int = 11):
         r = np.random.default_rng(seed)
         self.longest, dim = longest, sample.shape[1] + 1
         self.rotation = np.linalg.qr(r.standard_normal((dim, dim)))[0]
@@ -62,6 +65,7 @@ class Index:
             total = np.zeros_like(self.centres)
             np.add.at(total, at, x)
             self.centres = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], self.centres)
+        self.bounding = ids[:BOUNDING], x[:BOUNDING], sample[:BOUNDING]
         self.probes = max(1, int(np.ceil(PROBED * lists)))
 
     def rotated(self, x: np.ndarray, query: bool = False) -> np.ndarray:
@@ -80,37 +84,67 @@ class Index:
         return np.argsort((self.centres**2).sum(1) / 2 - q @ self.centres.T, axis=1, kind="stable")[:, : self.probes]
 
 
-def scan(index: Index, ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The best candidates of one part of a list for each query: (query, vec_id, score).
-
-    A query's bound starts from its k-th best among the first k candidates, and candidates whose
-    partial distance over d of D columns exceeds (1 + WIDTH / sqrt(d))^2 * d / D times the bound go.
+    def bounds(self, ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, list, list]:
+        """Squared distance of each query's k-th nearest among the bounding rows, and the ids and scores of these k.
+
+        Infinite, and no rows, where there are fewer.
+        """
+        known, x, original = self.bounding
+        turned = self.rotated(q, query=True)
+        out, near, scores = np.full(len(q), np.inf), [[]] * len(q), [[]] * len(q)
+        if len(known) <= k:
+            return out, near, scores
+        for lo in range(0, len(q), QUERIES):
+            t = turned[lo : lo + QUERIES]
+            far = ((x**2).sum(1) - 2 * t @ x.T) + (t**2).sum(1)[:, None]
+            far[ids[lo : lo + QUERIES, None] == known[None, :]] = np.inf
+            at = np.argpartition(far, k - 1, axis=1)[:, :k]
+            out[lo : lo + QUERIES] = np.take_along_axis(far, at, 1).max(1)
+            for i in range(len(t)):
+                near[lo + i] = known[at[i]].tolist()
+                scores[lo + i] = (original[at[i]] * q[lo + i]).sum(1).tolist()
+        return out, near, scores
+
+
+def scan(index: Index, ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best candidates of one part of a list for each query: (query, vec_id, score), k at most of each.
+
+    Candidates whose partial distance over d of D columns exceeds (1 + WIDTH / sqrt(d))^2 * d / D
+    times the query's bound go.
     """
     turned, asked = index.rotated(x), index.rotated(q, query=True)
-    dim = turned.shape[1]
-    out: list[list[np.ndarray]] = [[], [], []]
-    for i in range(len(q)):
-        own = ids != query_ids[i]
-        start = np.flatnonzero(own)[:k]
-        bound = np.inf
-        if len(start) == k:
-            bound = np.max(((turned[start] - asked[i]) ** 2).sum(1))
-        alive = np.flatnonzero(own)
-        partial = np.zeros(len(alive))
-        for lo in range(0, dim, STEP):
-            d = min(dim, lo + STEP)
-            partial = partial + ((turned[alive, lo:d] - asked[i, lo:d]) ** 2).sum(1)
-            limit = bound * (d / dim) * (1 + WIDTH / np.sqrt(d)) ** 2 if d < dim else bound * (1 + 1e-9)
-            ok = partial <= limit
-            alive, partial = alive[ok], partial[ok]
-            if d < dim and len(alive) > 4 * k:
-                # the most promising so far tighten the bound
-                near = alive[np.argpartition(partial, k)[:k]]
-                bound = min(bound, np.max(((turned[near] - asked[i]) ** 2).sum(1)))
-        score = (x[alive] * q[i]).sum(1)
-        best = np.lexsort((ids[alive], -score))[:k]
-        out[0].append(np.full(len(best), query_ids[i])), out[1].append(ids[alive][best]), out[2].append(score[best])
-    return tuple(np.concatenate(o) if o else np.zeros(0) for o in out)
+    dim, slack = turned.shape[1], 1e-9 * (1 + index.longest**2)
+    got: list[list[np.ndarray]] = [[], []]
+    for qa in range(0, len(q), QUERIES):
+        for ra in range(0, len(x), ROWS):
+            qs, rows = np.arange(qa, min(len(q), qa + QUERIES)), np.arange(ra, min(len(x), ra + ROWS))
+            alive = query_ids[qs, None] != ids[None, rows]
+            partial = np.zeros(alive.shape)
+            for lo in range(0, dim, STEP):
+                d = min(dim, lo + STEP)
+                t, a = turned[rows, lo:d], asked[qs, lo:d]
+                partial += (t**2).sum(1)[None, :]
+                partial += (a**2).sum(1)[:, None]
+                partial -= 2 * (a @ t.T)
+                limit = bound[qs] * (d / dim) * (1 + WIDTH / np.sqrt(d)) ** 2 if d < dim else bound[qs]
+                alive &= partial <= (limit + slack)[:, None]
+                some = alive.any(0)
+                if some.mean() < 0.5:
+                    rows, partial, alive = rows[some], partial[:, some], alive[:, some]
+                some = alive.any(1)
+                if some.mean() < 0.5:
+                    qs, partial, alive = qs[some], partial[some], alive[some]
+                if not alive.size:
+                    break
+            i, j = np.nonzero(alive)
+            got[0].append(qs[i]), got[1].append(rows[j])
+    i, j = (np.concatenate(g) if g else np.zeros(0, np.int64) for g in got)
+    score = np.concatenate([np.zeros(0), *((x[j[lo : lo + 65536]] * q[i[lo : lo + 65536]]).sum(1) for lo in range(0, len(i), 65536))])
+    order = np.lexsort((ids[j], -score, i))
+    i, j, score = i[order], j[order], score[order]
+    first = np.searchsorted(i, i)
+    best = np.arange(len(i)) - first < k
+    return query_ids[i[best]], ids[j[best]], score[best]
 
 
 def fit(vectors: DataFrame) -> Index | None:
@@ -118,8 +152,8 @@ def fit(vectors: DataFrame) -> Index | None:
     stats = vectors.agg(F.count("*"), F.max(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v * v)))).first()
     if not stats[0]:
         return None
-    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toArrow()
-    return Index(_matrix(sample.column("embedding")), stats[1], stats[0])
+    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
+    return Index(sample.column("vec_id").to_numpy(), _matrix(sample.column("embedding")), stats[1], stats[0])
 
 
 def neighbours(vectors: DataFrame, k: int = K, query_mod: int = QUERY_MOD) -> DataFrame:
@@ -150,28 +184,31 @@ def neighbours(vectors: DataFrame, k: int = K, query_mod: int = QUERY_MOD) -> Da
     def probing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             q = _matrix(b.column("embedding"))
-            cells = held.value.probed(held.value.rotated(q, query=True)) if len(q) else np.zeros((0, held.value.probes), np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("embedding"), pa.array(cells.tolist(), pa.list_(pa.int64()))], names=["vec_id", "embedding", "cells"])
+            turned = held.value.rotated(q, query=True) if len(q) else q
+            cells = held.value.probed(turned) if len(q) else np.zeros((0, held.value.probes), np.int64)
+            bound, near, scores = held.value.bounds(b.column("vec_id").to_numpy(), q, k) if len(q) else ([], [], [])
+            yield pa.RecordBatch.from_arrays(
+                [b.column("vec_id"), b.column("embedding"), pa.array(bound, pa.float64()), pa.array(cells.tolist(), pa.list_(pa.int64())), pa.array(near, pa.list_(pa.int64())), pa.array(scores, pa.list_(pa.float64()))],
+                names=["vec_id", "embedding", "bound", "cells", "near", "scores"],
+            )
 
     indexed = kept(rows.mapInArrow(listed, "vec_id long, embedding array<double>, cell long"))
     parts = indexed.groupBy("cell").agg(F.expr(f"cast(ceil(count(*) / {PART}) as int)").alias("parts"))
-    queries = rows.where(F.pmod("vec_id", F.lit(query_mod)) == 0).mapInArrow(probing, "vec_id long, embedding array<double>, cells array<long>")
-    asks = queries.select("vec_id", "embedding", F.explode("cells").alias("cell")).join(parts, "cell")
-    asks = asks.select("cell", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), "vec_id", "embedding", F.lit(True).alias("asks"))
-    members = indexed.join(parts, "cell").select("cell", F.expr("cast(pmod(xxhash64(vec_id), parts) as int)").alias("part"), "vec_id", "embedding", F.lit(False).alias("asks"))
+    queries = kept(rows.where(F.pmod("vec_id", F.lit(query_mod)) == 0).mapInArrow(probing, "vec_id long, embedding array<double>, bound double, cells array<long>, near array<long>, scores array<double>"))
+    asks = queries.select("vec_id", "embedding", "bound", F.explode("cells").alias("cell")).join(parts, "cell")
+    asks = asks.select("cell", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), "vec_id", "embedding", "bound")
+    members = indexed.join(parts, "cell").select("cell", F.expr("cast(pmod(xxhash64(vec_id), parts) as int)").alias("part"), "vec_id", "embedding")
 
     def searched(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, x = left.column("vec_id").to_numpy(), _matrix(left.column("embedding"))
-        asked = right.column("vec_id").to_numpy(), _matrix(right.column("embedding"))
-        got: list[list[np.ndarray]] = [[], [], []]
-        for lo in range(0, len(asked[0]) if len(ids) else 0, QUERIES):
-            for o, v in zip(got, scan(held.value, ids, x, asked[0][lo : lo + QUERIES], asked[1][lo : lo + QUERIES], k), strict=True):
-                o.append(v)
-        cat = [np.concatenate(o) if o else np.zeros(0) for o in got]
-        return pa.table({"query_id": pa.array(cat[0].astype(np.int64)), "vec_id": pa.array(cat[1].astype(np.int64)), "score": pa.array(cat[2].astype(np.float64))})
+        asked, q, bound = right.column("vec_id").to_numpy(), _matrix(right.column("embedding")), right.column("bound").to_numpy()
+        got = scan(held.value, ids, x, asked, q, bound, k) if len(ids) and len(asked) else [np.zeros(0)] * 3
+        return pa.table({"query_id": pa.array(got[0].astype(np.int64)), "vec_id": pa.array(got[1].astype(np.int64)), "score": pa.array(got[2].astype(np.float64))})
 
     keys = ["cell", "part"]
     found = members.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInArrow(searched, "query_id long, vec_id long, score double")
+    known = queries.select(F.col("vec_id").alias("query_id"), F.explode(F.arrays_zip("near", "scores")).alias("n")).select("query_id", F.col("n.near").alias("vec_id"), F.col("n.scores").alias("score"))
+    found = found.union(known).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     # k rows at most of each query and part: one small sort per query
     w = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
