@@ -240,6 +240,14 @@ def test_class_code_is_a_prefix_code():
     assert sum(2.0 ** -len(w) for w in words) == 1.0 and len(words) == 32 and code.node.max() < 32
 
 
+def test_words_are_told_apart_by_six_bits_of_context():
+    h = np.arange(1, 5001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    t = mixing_lm.Tokens(h, np.full(5000, 9), np.zeros(5000, np.int64))
+    code = mixing_lm.Code(np.ones(32, np.int64))
+    count, *_ = t.decisions(code)
+    assert len(np.unique(t.cell)) == 64 and (count == code.size[t.cls] + 6).all()
+
+
 def test_pack():
     for a in (np.arange(-5, 70_000, 3), np.zeros(0, np.int64)):
         assert (mixing_lm.unpack(mixing_lm.pack(a), np.int64) == a).all()
