@@ -12,8 +12,9 @@ the result by a gain and an offset that learn too. The sum of all is the log pro
 the bits per byte.
 
 Weights are the only thing that depends on order. They learn from every bit of a token before the
-next token, and start anew every ``SEGMENT`` tokens, so all segments of a block are lanes of one numpy
-loop and a score depends on its text and the model alone.
+next token, from the first token of a text to its last, so the texts of a run are lanes of one numpy
+loop and a score depends on its text and the model alone. Texts of a block are ordered by length, so
+that few runs have as many steps as a long text has tokens.
 
 Texts are cut into blocks, one row each with the words' local numbers and the distinct words. Word
 counts of all training texts are added up by hash ranges and sent back to the blocks that asked, so
@@ -27,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +42,7 @@ BLOCK, RANGE = 4 << 20, 2_000_000
 #: Slots of each hashed context table (power of two); slots of one row when tables are added up.
 TABLE_BITS, PIECE = 20, 1 << 16
 CLASSES, CELL_BITS = 32, 6
-SEGMENT, TOKENS = 128, 1 << 18
+TOKENS = 1 << 18
 RATE, REFINE_RATE, START = 0.02, 0.005, 0.35
 #: Frequent two-byte contexts of the spelling model; other contexts use one byte.
 SPELLED = 4096
@@ -127,6 +129,7 @@ def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def out() -> pa.RecordBatch:
         t = pa.Table.from_batches(held).combine_chunks()
+        t = t.take(pc.sort_indices(pc.fill_null(pc.binary_length(t.column("text")), 0)))
         row = _row((part << 24) | k, t.column("doc_id").to_pylist(), t.column("held_out").to_numpy().astype(bool), pa.concat_arrays(t.column("text").chunks))
         return pa.RecordBatch.from_pylist([row], schema)
 
@@ -468,6 +471,13 @@ def mixed(st: np.ndarray, phase: np.ndarray, bit: np.ndarray, count: np.ndarray,
     return out
 
 
+def lanes(t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lane of each token, a whole text each; the tokens in the order of their places; where each place begins in it."""
+    place = np.arange(len(t.doc)) - t.start
+    lane = np.cumsum(place == 0) - 1
+    return lane, np.argsort(place, kind="stable"), np.concatenate(([0], np.cumsum(np.bincount(place))))
+
+
 class Model:
     def __init__(self, total: int, distinct: int, cells: np.ndarray, code: Code, stretch: np.ndarray, spelling: Spelling):
         self.total, self.distinct, self.cells, self.code, self.stretch, self.spelling = total, distinct, cells, code, stretch, spelling
@@ -491,12 +501,7 @@ class Model:
             add("n_known", (t.c > 0).astype(float))
             add("n_bytes", length[number] + 1.0)
             add("base_score", np.log10((t.c + 1) / (self.total + self.distinct + 1)))
-            # the i-th tokens of all segments together
-            place = np.arange(len(number)) - t.start
-            cut = np.concatenate(([True], (place[1:] // SEGMENT != place[:-1] // SEGMENT) | (t.doc[1:] != t.doc[:-1])))
-            lane, place = np.cumsum(cut) - 1, place % SEGMENT
-            order = np.argsort(place, kind="stable")
-            steps = np.concatenate(([0], np.cumsum(np.bincount(place))))
+            lane, order, steps = lanes(t)
             count, token, node, bit = t.decisions(self.code, order)
             st = np.empty((len(token), ORDERS), np.float32)
             for k, slot in enumerate(t.slots(token, node)):

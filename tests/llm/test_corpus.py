@@ -260,6 +260,17 @@ def test_mixing_learns():
     assert p[-1] > 0.9 > p[0]
 
 
+def test_weights_are_carried_through_a_long_text():
+    doc = np.repeat([0, 1], [1000, 3])
+    t = mixing_lm.Tokens(np.arange(1003, dtype=np.uint64), np.ones(1003, np.int64), doc)
+    lane, order, steps = mixing_lm.lanes(t)
+    assert (lane == doc).all() and len(steps) == 1001 and steps[-1] == 1003
+    st = np.tile(np.float32([2.0, -2.0]), (1003, 1))
+    p = mixing_lm.mixed(st, np.zeros(1003, np.int8), np.ones(1003, np.float32), np.ones(1003, np.int64), lane[order], steps)
+    own = p[lane[order] == 0]
+    assert (np.diff(own) > -1e-4).all() and own[-1] > own[127] > own[0]
+
+
 # ---------------------------------------------------------------- pipeline
 
 
