@@ -18,7 +18,9 @@ that few runs have as many steps as a long text has tokens.
 
 Texts are cut into blocks, one row each with the words' local numbers and the distinct words. Word
 counts of all training texts are added up by hash ranges and sent back to the blocks that asked, so
-no task holds the vocabulary. Context tables have a fixed size and are added up in two levels.
+no task holds the vocabulary. Contexts go the same way: what followed each is added up by ranges of
+context keys, whose bits grow with the number of tokens, and each block gets the predictions that its
+own tokens ask for. Only the table without context, of fixed size by nature, is sent to all.
 """
 
 from __future__ import annotations
@@ -39,19 +41,17 @@ from .textkernel import chunks, mix, word_hashes, words
 HELD_MOD, HELD_REST = 7, 2
 #: Bytes of text of a block; entries of one range of word hashes.
 BLOCK, RANGE = 4 << 20, 2_000_000
-#: Slots of each hashed context table (power of two); slots of one row when tables are added up.
-TABLE_BITS, PIECE = 20, 1 << 16
+#: Tokens in a context of one range of context keys; bits of a key beyond those of the number of tokens.
+EVENTS, SPARE = 1 << 20, 8
 CLASSES, CELL_BITS = 32, 6
 TOKENS = 1 << 18
 RATE, REFINE_RATE, START = 0.02, 0.005, 0.35
-#: Frequent two-byte contexts of the spelling model; other contexts use one byte.
-SPELLED = 4096
 
 _FLAG, _CLASS, _CELL = 0, 16, 48
-NODES = _CELL + CLASSES << CELL_BITS
+NODES = _CELL + (CLASSES << CELL_BITS)
 ORDERS = 4
-BASES = [0, 1 << 12, (1 << 12) + (1 << TABLE_BITS), (1 << 12) + (2 << TABLE_BITS)]
-SLOTS = -(-((1 << 12) + (3 << TABLE_BITS)) // PIECE) * PIECE
+#: An event's key: context, order (2 bits), string of decisions (16 bits).
+_STRING, _ORDER = np.uint64(16), np.uint64(18)
 GATES = 6
 _G1, _G2, _G3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -104,11 +104,11 @@ def _row(block: int, ids: list, held: np.ndarray, column: pa.Array) -> dict:
     return {
         "block": block, "doc_ids": ids, "held": held.tolist(), "sizes": pack((n + 1).astype(np.int32)),
         "tokens": pack(numbers.astype(np.int32)), "lengths": pack(length.astype(np.int32)), "spelled": pack(spelled),
-        "own": pack(own), "codes": pack(codes.astype(np.int32)), "times": pack(times.astype(np.int64)), "n_words": len(uniq),
+        "own": pack(own), "codes": pack(codes.astype(np.int32)), "times": pack(times.astype(np.int64)), "n_words": len(uniq), "n_tokens": len(tok),
     }
 
 
-_BLOCKS = "block long, doc_ids array<long>, held array<boolean>, sizes binary, tokens binary, lengths binary, spelled binary, own binary, codes binary, times binary, n_words long"
+_BLOCKS = "block long, doc_ids array<long>, held array<boolean>, sizes binary, tokens binary, lengths binary, spelled binary, own binary, codes binary, times binary, n_words long, n_tokens long"
 
 
 def _trigrams(spelled: np.ndarray, length: np.ndarray, which: np.ndarray | None = None) -> np.ndarray:
@@ -125,7 +125,7 @@ def _trigrams(spelled: np.ndarray, length: np.ndarray, which: np.ndarray | None
 
 def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, k, held, size = TaskContext.get().partitionId(), 0, [], 0
-    schema = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), *((c, pa.binary()) for c in ("sizes", "tokens", "lengths", "spelled", "own", "codes", "times")), ("n_words", pa.int64())])
+    schema = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), *((c, pa.binary()) for c in ("sizes", "tokens", "lengths", "spelled", "own", "codes", "times")), ("n_words", pa.int64()), ("n_tokens", pa.int64())])
 
     def out() -> pa.RecordBatch:
         t = pa.Table.from_batches(held).combine_chunks()
@@ -213,11 +213,21 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([pack(total)], pa.binary())], names=["counts"])
 
 
-def _coded(ranges: int):
+def _plain(row: dict, code: Code) -> np.ndarray:
+    """Counts of a block's training decisions without context: bit by bit of each node."""
+    out = np.zeros(2 * NODES, np.int64)
+    for *_, t in _tokens_of(row, train_only=True):
+        string, n = np.unique(t.events(1)[0] & np.uint64(0xFFFF), return_counts=True)
+        count, node, bit = decided(code, *strings(string))
+        out += np.bincount(node << 1 | bit, np.repeat(n, count), 2 * NODES).astype(np.int64)
+    return out
+
+
+def _coded(ranges: int, code: Code):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = b.to_pylist()
-            done = []
+            done, plain = [], []
             for row in rows:
                 h = _hash_of(row)
                 at = _range_of(h, ranges)
@@ -226,8 +236,9 @@ def _coded(ranges: int):
                 c = np.zeros(len(h), np.int64)
                 c[order] = np.concatenate([got[r] for r in range(ranges) if r in got]) if len(h) else c
                 done.append(pack(c))
+                plain.append(pack(_plain(row | {"counts": done[-1]}, code)))
             keep = [b.column(n) for n in ("block", "doc_ids", "held", "sizes", "tokens", "lengths", "spelled")]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(done, pa.binary())], names=["block", "doc_ids", "held", "sizes", "tokens", "lengths", "spelled", "counts"])
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(done, pa.binary()), pa.array(plain, pa.binary())], names=["block", "doc_ids", "held", "sizes", "tokens", "lengths", "spelled", "counts", "plain"])
 
     return run
 
@@ -257,8 +268,7 @@ class Tokens:
         far[1:] = near[:-1]
         far[fresh] = 0
         pair = mix(before * _G1 + mix(second * _G2))
-        short = lambda x: (mix(x) >> np.uint64(32)).astype(np.uint32)
-        self.context = [None, short(before * _G3 + _G1), short(pair), short((near * 64 + far).astype(np.uint64) * _G2 + _G3)]
+        self.context = [None, mix(before * _G3 + _G1), mix(pair), mix((near * 64 + far).astype(np.uint64) * _G2 + _G3)]
         # what followed the same two words when they last occurred in this text
         key = pair + doc.astype(np.uint64) * _G3
         order = np.argsort(key, kind="stable")
@@ -276,38 +286,53 @@ class Tokens:
     def decisions(self, code: Code, order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Number of decisions of each token (in ``order``); token, node and bit of all of them, token by token."""
         order = np.arange(len(self.h)) if order is None else order
-        can, hit, cls, cell = self.can[order], self.hit[order], self.cls[order], self.cell[order]
-        rest = ~hit
-        deep = code.size[cls]
-        count = can + rest * (deep + CELL_BITS * (cls > 0))
-        off = np.cumsum(count) - count
-        total = int(count.sum())
-        node, bit = np.empty(total, np.int32), np.empty(total, np.uint8)
-        node[off[can]] = _FLAG + self.run[order[can]]
-        bit[off[can]] = hit[can]
-        i = np.flatnonzero(rest)
-        at = off[i] + can[i]
-        for d in range(code.depth):
-            k = np.flatnonzero(deep[i] > d)
-            kind = cls[i[k]]
-            node[at[k] + d] = _CLASS + code.node[kind, d]
-            bit[at[k] + d] = code.bit[kind, d]
-        i = i[cls[i] > 0]
-        at = off[i] + can[i] + deep[i]
-        cls, cell = cls[i], cell[i]
-        for d in range(CELL_BITS):
-            node[at + d] = _CELL + (cls << CELL_BITS) + ((1 << d) | (cell >> (CELL_BITS - d)))
-            bit[at + d] = cell >> (CELL_BITS - 1 - d) & 1
+        count, node, bit = decided(code, self.can[order], self.run[order], self.hit[order], self.cls[order], self.cell[order])
         return count, np.repeat(order, count), node, bit
 
-    def slots(self, token: np.ndarray, node: np.ndarray) -> Iterator[np.ndarray]:
-        yield node.astype(np.int64)  # each counted from its table's first slot
-        turned = node.astype(np.uint32) * np.uint32(0x9E3779B1)
-        for k in range(1, ORDERS):
-            x = self.context[k][token] + turned
-            x ^= x >> np.uint32(15)
-            x *= np.uint32(0x85EBCA6B)
-            yield (x >> np.uint32(32 - TABLE_BITS)).astype(np.int64)
+    def events(self, bits: int) -> np.ndarray:
+        """Keys of each token's decisions in each of its contexts, a row for each order but the first."""
+        flag = np.where(self.can, 1 + self.run, 0)
+        string = np.where(self.hit, self.run, 16 + ((flag * CLASSES + self.cls) << CELL_BITS | np.where(self.cls > 0, self.cell, 0))).astype(np.uint64)
+        drop = np.uint64(64 - bits)
+        return np.stack([self.context[k] >> drop << drop | np.uint64(k) << _STRING | string for k in range(1, ORDERS)])
+
+
+def decided(code: Code, can: np.ndarray, run: np.ndarray, hit: np.ndarray, cls: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of decisions of each token; node and bit of all of them, token by token."""
+    count = lengths(code, can, hit, cls)
+    deep = code.size[cls]
+    off = np.cumsum(count) - count
+    total = int(count.sum())
+    node, bit = np.empty(total, np.int32), np.empty(total, np.uint8)
+    node[off[can]] = _FLAG + run[can]
+    bit[off[can]] = hit[can]
+    i = np.flatnonzero(~hit)
+    at = off[i] + can[i]
+    for d in range(code.depth):
+        k = np.flatnonzero(deep[i] > d)
+        kind = cls[i[k]]
+        node[at[k] + d] = _CLASS + code.node[kind, d]
+        bit[at[k] + d] = code.bit[kind, d]
+    i = i[cls[i] > 0]
+    at = off[i] + can[i] + deep[i]
+    cls, cell = cls[i], cell[i]
+    for d in range(CELL_BITS):
+        node[at + d] = _CELL + (cls << CELL_BITS) + ((1 << d) | (cell >> (CELL_BITS - d)))
+        bit[at + d] = cell >> (CELL_BITS - 1 - d) & 1
+    return count, node, bit
+
+
+def lengths(code: Code, can: np.ndarray, hit: np.ndarray, cls: np.ndarray) -> np.ndarray:
+    return can + ~hit * (code.size[cls] + CELL_BITS * (cls > 0))
+
+
+def strings(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What `decided` takes of events' keys."""
+    string = (keys & np.uint64(0xFFFF)).astype(np.int64)
+    hit = string < 16
+    x = np.where(hit, 0, string - 16)
+    flag = x >> CELL_BITS + 5
+    return hit | (flag > 0), np.where(hit, string, np.maximum(flag - 1, 0)), hit, (x >> CELL_BITS) % CLASSES, x & (1 << CELL_BITS) - 1
 
 
 class Code:
@@ -349,50 +374,76 @@ def _tokens_of(row: dict, train_only: bool) -> Iterator[tuple[int, int, np.ndarr
         a = b
 
 
-def _trained(code: Code):
+# ---------------------------------------------------------------- contexts
+
+
+def _events_of(row: dict, bits: int, train_only: bool) -> np.ndarray:
+    found = [t.events(bits) for *_, t in _tokens_of(row, train_only)]
+    return np.concatenate(found, axis=1) if found else np.zeros((ORDERS - 1, 0), np.uint64)
+
+
+def _context_range(keys: np.ndarray, ranges: int) -> np.ndarray:
+    """Ranges in the order of the keys."""
+    return (keys >> np.uint64(40)).astype(np.int64) * ranges >> 24
+
+
+def _context_asks(bits: int, ranges: int):
+    """Events of each block by range: their keys, and twice their number in training, one more if a text asks for them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(2 * SLOTS, np.int32)
         for b in batches:
             for row in b.to_pylist():
-                for _, _, _, t in _tokens_of(row, train_only=True):
-                    _, token, node, bit = t.decisions(code)
-                    for k, slot in enumerate(t.slots(token, node)):
-                        base, end = 2 * BASES[k], 2 * (BASES[k + 1] if k + 1 < ORDERS else SLOTS)
-                        slot <<= 1
-                        slot += bit
-                        table[base:end] += np.bincount(slot, minlength=end - base)
-        part = TaskContext.get().partitionId()
-        for k in range(SLOTS // PIECE):
-            piece = table[2 * k * PIECE : 2 * (k + 1) * PIECE]
-            if piece.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part], pa.int32()), pa.array([pack(piece.astype(np.int64))], pa.binary())], names=["piece", "part", "counts"])
+                own, n = np.unique(_events_of(row, bits, True), return_counts=True)
+                asked = np.unique(_events_of(row, bits, False))
+                keys = np.union1d(own, asked)
+                value = np.zeros(len(keys), np.int32)
+                value[np.searchsorted(keys, own)] = n << 1
+                value[np.searchsorted(keys, asked)] |= 1
+                cuts = np.searchsorted(_context_range(keys, ranges), np.arange(ranges + 1))
+                full = np.flatnonzero(np.diff(cuts))
+                for r in full.tolist():
+                    part = slice(cuts[r], cuts[r + 1])
+                    yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([row["block"]], pa.int64()), pa.array([pack(keys[part])], pa.binary()), pa.array([pack(value[part])], pa.binary())], names=["range", "block", "keys", "counts"])
 
     return run
 
 
-def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of the pieces of one partition, one array per piece and part."""
-    held: dict[tuple[int, int], np.ndarray] = {}
-    for b in batches:
-        for k, p, x in zip(*(b.column(n).to_pylist() for n in ("piece", "part", "counts")), strict=True):
-            v = unpack(x, np.int64)
-            held[k, p] = held[k, p] + v if (k, p) in held else v
-    for (k, p), v in held.items():
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([p], pa.int32()), pa.array([pack(v)], pa.binary())], names=["piece", "part", "counts"])
+def stretched(n: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    return np.clip(np.rint(np.log((n1 + 0.4) / (n - n1 + 0.4)) * 15), -127, 127).astype(np.int8)
 
 
-def _stretched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in _added(batches):
-        n = unpack(b.column("counts")[0].as_py(), np.int64).reshape(-1, 2)
-        st = np.log((n[:, 1] + 0.4) / (n[:, 0] + 0.4))
-        yield pa.RecordBatch.from_arrays([b.column("piece"), pa.array([np.clip(np.rint(st * 15), -127, 127).astype(np.int8).tobytes()], pa.binary())], names=["piece", "stretch"])
+def _context_answers(code: Code):
+    """The predictions that each block asked one range for, event by event."""
+
+    def run(t: pa.Table) -> pa.Table:
+        keys = [unpack(x, np.uint64) for x in t.column("keys").to_pylist()]
+        values = [unpack(x, np.int32) for x in t.column("counts").to_pylist()]
+        every, back = np.unique(np.concatenate(keys), return_inverse=True)
+        n = np.bincount(back, weights=np.concatenate(values) >> 1, minlength=len(every))
+        count, node, bit = decided(code, *strings(every))
+        off = np.cumsum(count) - count
+        context = every >> _STRING
+        context = np.cumsum(np.concatenate(([False], context[1:] != context[:-1])))
+        place, where = np.unique(np.repeat(context << 12, count) + node, return_inverse=True)
+        weight = np.repeat(n, count)
+        st = stretched(np.bincount(where, weight, len(place)), np.bincount(where, weight * bit, len(place)))[where]
+        out, at = [], 0
+        for v in values:
+            e = back[at : at + len(v)][v & 1 == 1]
+            c = count[e]
+            out.append(pack(st[np.repeat(off[e] - np.cumsum(c) + c, c) + np.arange(int(c.sum()))]))
+            at += len(v)
+        r = t.column("range")[0].as_py()
+        return pa.table({"block": t.column("block"), "range": pa.array([r] * len(out), pa.int32()), "counts": pa.array(out, pa.binary())})
+
+    return run
 
 
 # ---------------------------------------------------------------- spelling
 
 
 class Spelling:
-    """Byte probabilities after two bytes for frequent pairs, else after one; a space ends a word."""
+    """Byte probabilities after two bytes for pairs of training, else after one; a space ends a word."""
 
     def __init__(self, pairs: np.ndarray, after: np.ndarray, one: np.ndarray):
         p1 = (one + 0.5) / (one.sum(1, keepdims=True) + 128)
@@ -417,13 +468,12 @@ def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _spelling(blocks: DataFrame) -> Spelling:
     counts = stored(blocks.select("codes", "times").mapInArrow(_codes, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")), "codes")
     pair = F.expr("code div 256").cast("int")
-    top = counts.groupBy(pair.alias("pair")).agg(F.sum("n").alias("total")).orderBy(F.col("total").desc(), "pair").limit(SPELLED)
-    pairs = np.sort(np.array([r[0] for r in top.collect()], np.int64))  # at most SPELLED
+    pairs = np.sort(np.array([r[0] for r in counts.select(pair.alias("pair")).distinct().collect()], np.int64))  # at most 65,536
     one = np.zeros((256, 256))
     for r in counts.groupBy(F.expr("code div 256 % 256").cast("int").alias("a"), F.expr("code % 256").alias("b")).agg(F.sum("n").alias("n")).collect():  # at most 65,536
         one[r[0], r[1]] = r[2]
-    after = np.zeros((len(pairs), 256))
-    rows = counts.join(F.broadcast(top.select("pair")), pair == F.col("pair")).select("code", "n").toArrow()  # at most SPELLED * 256
+    after = np.zeros((len(pairs), 256), np.float32)
+    rows = counts.select("code", "n").toArrow()  # at most 256 of a pair
     code = rows.column("code").to_numpy()
     after[np.searchsorted(pairs, code >> 8), code & 255] = rows.column("n").to_numpy()
     return Spelling(pairs, after, one)
@@ -479,8 +529,9 @@ def lanes(t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Model:
-    def __init__(self, total: int, distinct: int, cells: np.ndarray, code: Code, stretch: np.ndarray, spelling: Spelling):
-        self.total, self.distinct, self.cells, self.code, self.stretch, self.spelling = total, distinct, cells, code, stretch, spelling
+    def __init__(self, total: int, distinct: int, cells: np.ndarray, code: Code, bits: int, plain: np.ndarray, spelling: Spelling):
+        self.total, self.distinct, self.cells, self.code, self.bits, self.spelling = total, distinct, cells, code, bits, spelling
+        self.plain = stretched(plain[::2] + plain[1::2], plain[1::2])
 
     def score(self, row: dict) -> dict[str, np.ndarray]:
         """Per text of a block: tokens, known tokens, base score, model score, bytes."""
@@ -493,7 +544,15 @@ class Model:
         inner = np.arange(int(length[rare].sum())) - np.repeat(np.cumsum(length[rare]) - length[rare], length[rare])
         spell = np.zeros(len(length))
         spell[rare] = self.spelling.score(spelled[np.repeat((ends - length)[rare], length[rare]) + inner], length[rare])
-        for _, _, number, t in _tokens_of(row, train_only=False):
+        runs = list(_tokens_of(row, train_only=False))
+        keys, event = np.unique(np.concatenate([t.events(self.bits) for *_, t in runs], axis=1), return_inverse=True)
+        event = event.reshape(ORDERS - 1, -1)
+        can, _, hit, cls, _ = strings(keys)
+        size = lengths(self.code, can, hit, cls)
+        off = np.cumsum(size) - size
+        answers = np.concatenate([unpack(a["counts"], np.int8) for a in sorted(row["answers"], key=lambda a: a["range"])])
+        at = 0
+        for _, _, number, t in runs:
             def add(name: str, value: np.ndarray, doc: np.ndarray = t.doc) -> None:
                 out[name] += np.bincount(doc, weights=value, minlength=n)
 
@@ -504,8 +563,11 @@ class Model:
             lane, order, steps = lanes(t)
             count, token, node, bit = t.decisions(self.code, order)
             st = np.empty((len(token), ORDERS), np.float32)
-            for k, slot in enumerate(t.slots(token, node)):
-                st[:, k] = self.stretch[BASES[k] :][slot]
+            st[:, 0] = self.plain[node]
+            inner = np.arange(len(token)) - np.repeat(np.cumsum(count) - count, count)
+            for k in range(1, ORDERS):
+                st[:, k] = answers[np.repeat(off[event[k - 1, at : at + len(number)][order]], count) + inner]
+            at += len(number)
             st *= np.float32(1 / 15)
             phase = (node >= _CLASS).astype(np.int8) + (node >= _CELL)
             p = mixed(st, phase, bit.astype(np.float32), count, lane[order], steps)
@@ -539,30 +601,29 @@ def language_model_scores(docs: DataFrame) -> DataFrame:
     held = F.coalesce(crc32_mod("doc_id", HELD_MOD) == HELD_REST, F.lit(False))
     blocks = stored(docs.select("doc_id", "text", held.alias("held_out")).mapInArrow(_blocked, _BLOCKS), "blocks")
     spark.conf.set(rows_per_batch, "1")  # rows are blocks from here on
-    entries = blocks.agg(F.sum("n_words")).first()[0]
+    entries, tokens = blocks.agg(F.sum("n_words"), F.sum("n_tokens")).first()
     if not entries:
         return spark.createDataFrame([], _COLUMNS)
     ranges = -(-entries // RANGE)
     asks = blocks.select("block", "lengths", "spelled", "own").mapInArrow(_asks(ranges), "range int, block long, hashes binary, counts binary")
     answers = stored(asks.groupBy("range").applyInArrow(_answers, "block long, range int, counts binary"), "answers")
     total = np.sum([unpack(r[0], np.int64) for r in answers.where("block = -1").select("counts").coalesce(64).mapInArrow(_summed, "counts binary").collect()], axis=0)
-    own = answers.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("range", "counts")).alias("answers"))
-    coded = blocks.select("block", "doc_ids", "held", "sizes", "tokens", "lengths", "spelled").join(own, "block").mapInArrow(
-        _coded(ranges), "block long, doc_ids array<long>, held array<boolean>, sizes binary, tokens binary, lengths binary, spelled binary, counts binary"
-    )
-    coded = stored(coded, "coded")
     cells = total[2:].reshape(CLASSES, -1)
     mass = cells.sum(1)
     mass[0], mass[1] = mass[1], mass[2] // 2  # as training tokens count without themselves
     code = Code(mass + 1)
-    tables = coded.mapInArrow(_trained(code), "piece int, part int, counts binary")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    some = tables.withColumn("part", F.expr("part div 64")).repartition(n, "piece", "part").mapInArrow(_added, "piece int, part int, counts binary")
-    pieces = some.withColumn("part", F.lit(0)).repartition(n, "piece").mapInArrow(_stretched, "piece int, stretch binary")
-    stretch = np.zeros(SLOTS, np.int8)
-    for r in pieces.toLocalIterator():  # SLOTS bytes in all
-        stretch[r[0] * PIECE : (r[0] + 1) * PIECE] = np.frombuffer(r[1], np.int8)
-    model = Model(int(total[0]), int(total[1]), cells, code, stretch, _spelling(blocks))
+    own = answers.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("range", "counts")).alias("answers"))
+    coded = blocks.select("block", "doc_ids", "held", "sizes", "tokens", "lengths", "spelled").join(own, "block").mapInArrow(
+        _coded(ranges, code), "block long, doc_ids array<long>, held array<boolean>, sizes binary, tokens binary, lengths binary, spelled binary, counts binary, plain binary"
+    )
+    coded = stored(coded, "coded")
+    bits = min(64 - int(_ORDER), tokens.bit_length() + SPARE)
+    ranges = -(-tokens * (ORDERS - 1) // EVENTS)
+    asks = coded.select("block", "held", "sizes", "tokens", "lengths", "spelled", "counts").mapInArrow(_context_asks(bits, ranges), "range int, block long, keys binary, counts binary")
+    answers = asks.groupBy("range").applyInArrow(_context_answers(code), "block long, range int, counts binary")
+    own = answers.groupBy("block").agg(F.collect_list(F.struct("range", "counts")).alias("answers"))
+    plain = np.sum([unpack(r[0], np.int64) for r in coded.select(F.col("plain").alias("counts")).coalesce(64).mapInArrow(_summed, "counts binary").collect()], axis=0)
+    model = Model(int(total[0]), int(total[1]), cells, code, bits, plain, _spelling(blocks))
     shared = spark.sparkContext.broadcast(model)  # of fixed size
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -576,6 +637,6 @@ def language_model_scores(docs: DataFrame) -> DataFrame:
                     names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"],
                 )
 
-    scores = stored(coded.mapInArrow(scored, _COLUMNS), "scores")
+    scores = stored(coded.drop("plain").join(own, "block").mapInArrow(scored, _COLUMNS), "scores")
     spark.conf.set(rows_per_batch, before)
     return scores

@@ -8,6 +8,8 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
@@ -248,6 +250,52 @@ def test_words_are_told_apart_by_six_bits_of_context():
     assert len(np.unique(t.cell)) == 64 and (count == code.size[t.cls] + 6).all()
 
 
+def test_contexts_are_counted_apart():
+    """Predictions that ranges answer against counts of every context on its own."""
+    r = random.Random(6)
+    rows = []
+    for block in range(2):
+        texts = [" ".join(r.choices([f"w{k}" for k in range(40)], k=r.randrange(1, 80))) for _ in range(30)]
+        row = mixing_lm._row(block, list(range(30)), np.arange(30) % 7 == 2, pa.array(texts))
+        rows.append(row | {"counts": row["own"]})
+    code = mixing_lm.Code(np.arange(1, 33))
+    ranges, bits = 5, 40
+    asks = pa.Table.from_batches(mixing_lm._context_asks(bits, ranges)(iter([pa.RecordBatch.from_pylist(rows)])))
+    answers, plain = {0: [], 1: []}, sum(mixing_lm._plain(row, code) for row in rows)
+    for k in range(ranges):
+        for a in mixing_lm._context_answers(code)(asks.filter(pa.compute.equal(asks["range"], k))).to_pylist():
+            answers[a["block"]].append(mixing_lm.unpack(a["counts"], np.int8))
+    seen, every = Counter(), Counter()
+    for row in rows:
+        for *_, t in mixing_lm._tokens_of(row, True):
+            _, token, node, bit = t.decisions(code)
+            every.update(zip(node.tolist(), bit.tolist(), strict=True))
+            for k in (1, 2, 3):
+                seen.update(zip([k] * len(node), t.context[k][token].tolist(), node.tolist(), bit.tolist(), strict=True))
+    assert all(plain[2 * n + b] == v for (n, b), v in every.items()) and plain.sum() == sum(every.values())
+    for block, row in enumerate(rows):
+        own = np.concatenate(answers[block])
+        ((*_, t),) = mixing_lm._tokens_of(row, False)
+        keys, event = np.unique(t.events(bits), return_inverse=True)
+        can, _, hit, cls, _ = mixing_lm.strings(keys)
+        size = mixing_lm.lengths(code, can, hit, cls)
+        off, event = np.cumsum(size) - size, event.reshape(3, -1)
+        count, token, node, _ = t.decisions(code)
+        inner = np.arange(len(token)) - np.repeat(np.cumsum(count) - count, count)
+        for k in (1, 2, 3):
+            n0, n1 = (np.array([seen[k, c, n, b] for c, n in zip(t.context[k][token].tolist(), node.tolist(), strict=True)]) for b in (0, 1))
+            assert (own[off[event[k - 1]][token] + inner] == mixing_lm.stretched(n0 + n1, n1)).all() and (n0 + n1).any()
+
+
+def test_all_byte_pairs_are_spelled(spark):
+    pairs = [bytes([a, b]) for a in range(0x21, 0x7F) for b in range(0x21, 0x7F)]
+    text = pa.array([" ".join(p.decode() for p in pairs)])
+    row = mixing_lm._row(0, [1], np.array([False]), text)
+    blocks = spark.createDataFrame([(bytearray(row["codes"]), bytearray(row["times"]))], "codes binary, times binary")
+    model = mixing_lm._spelling(blocks)
+    assert (model.slot >= 0).sum() == len(np.unique(mixing_lm.unpack(row["codes"], np.int32) >> 8)) > 4096
+
+
 def test_pack():
     for a in (np.arange(-5, 70_000, 3), np.zeros(0, np.int64)):
         assert (mixing_lm.unpack(mixing_lm.pack(a), np.int64) == a).all()
