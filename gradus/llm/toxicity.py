@@ -32,6 +32,8 @@ DRIFT, DRIFT_TIMES = 0.05, 4.0
 #: Expected chance finds at which the score is one half; least chance finds a text is credited with.
 LEVEL, FLOOR = 0.01, 0.5
 MEMO = 500_000
+#: Words over which a repeat of a word is damped: each one nearer than this before it halves its evidence.
+NEAR = 100
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -80,6 +82,23 @@ def expected(scores: list[float], n: int, rate: float) -> float:
     return best
 
 
+def damped(words: list[str], places: list[int], evidence: list[float]) -> list[float]:
+    """Scores of ``places``: evidence is learned from documents that hold a word, so near repeats tell less.
+
+    A word's evidence is halved for each occurrence in the chain of repeats, each at most ``NEAR`` words
+    after the one before, that leads to it; further on it counts in full again.
+    """
+    last: dict[str, tuple[int, float]] = {}
+    out = []
+    for i in places:
+        w = words[i]
+        at, share = last.get(w, (-NEAR - 1, 1.0))
+        share = share / 2 if i - at <= NEAR else 1.0
+        last[w] = i, share
+        out.append(share * evidence[i])
+    return out
+
+
 class Model:
     """Evidence of units (bounded by the labelled sample) and the rate of chance segments."""
 
@@ -108,10 +127,8 @@ class Model:
             got = list(map(memo.__getitem__, words))
         if not any(got):
             return len(words), []
-        # evidence is learned from documents that hold a word, so a word counts where it first occurs
-        first: set[str] = set()
-        places = [i for i, s in enumerate(got) if s > 0 and not (words[i] in first or first.add(words[i]))]
-        return len(words), segments(places, [got[i] for i in places], self.drift)
+        places = [i for i, s in enumerate(got) if s > 0]
+        return len(words), segments(places, damped(words, places, got), self.drift)
 
     def score(self, text: str | None) -> float:
         n, found = self.scan(text)
@@ -168,8 +185,9 @@ def _chance(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Reco
     for b in batches:
         for text in b.column("text").to_pylist():
             every = _WORD.findall(text.lower()) if text else []
-            own = list(map(model.weight, set(every)))
-            words, found, total = words + len(every), found + sum(s > 0 for s in own), total + sum(own)
+            got = list(map(model.weight, every))
+            own = damped(every, [i for i, s in enumerate(got) if s > 0], got)
+            words, found, total = words + len(every), found + len(own), total + sum(own)
     yield pa.RecordBatch.from_arrays([pa.array([words]), pa.array([found]), pa.array([total])], names=["words", "found", "total"])
 
 

@@ -19,7 +19,7 @@ from gradus.llm.mixing import mixed, mixture, targets
 from gradus.llm.mixing_lm import language_model_scores
 from gradus.llm.neighbours import neighbours
 from gradus.llm.sharding import shards
-from gradus.llm.toxicity import expected, segments, toxicity, without_toxic
+from gradus.llm.toxicity import Model, expected, segments, toxicity, without_toxic
 
 from ..conftest import DATA
 
@@ -137,6 +137,20 @@ def test_toxicity(spark, edge, nothing):
     assert toxicity(edge, spark.createDataFrame([], "doc_id long, toxic int")).count() == edge.count()
 
 
+def test_repeated_and_late_toxic_passages_score():
+    model = Model({w: 3.0 for w in ("grolf", "snarb", "quizzle", "blorp")}, rate=5e-4)
+    clean, bad = [f"w{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}" for k in range(100)], ["grolf", "snarb", "quizzle", "blorp"]
+    n, found = model.scan(" ".join(clean * 5 + bad + clean * 5 + bad + clean * 5))
+    assert n == 1508 and [(a, b) for a, b, _ in found] == [(500, 504), (1004, 1008)]
+    text = clean * 200  # 20,000 words
+    for k, w in enumerate(bad):
+        text[3000 * k + 1000] = w
+    early = model.score(" ".join(text))
+    text[19_000:19_004] = bad
+    assert early < 0.5 < model.score(" ".join(text)) and max(model.scan(" ".join(text))[1], key=lambda s: s[2])[:2] == (19_000, 19_004)
+    assert sum(x for *_, x in model.scan(" ".join(["grolf"] * 1000))[1]) <= 6.0  # one word over and over is at most twice its evidence
+
+
 # ---------------------------------------------------------------- secrets
 
 SECRET = 'token = "abcdefgh12345678"'
