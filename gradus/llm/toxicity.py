@@ -207,8 +207,12 @@ def learn(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Mode
     c = sample.mapInArrow(_counted, "unit string, part int, toxic int, n long").groupBy("unit").agg(
         *(F.sum(F.when((F.col("part") == p) & (F.col("toxic") == t), F.col("n")).otherwise(0)).alias(f"n{p}{t}") for p in (0, 1) for t in (0, 1))
     )
-    # units with little for "toxic" never count; the words below a pure prefix are kept through it
-    some = c.where(f"unit = '' or (n01 + n11 >= {LEAST_COUNT} and n01 + n11 > 0.2 * (n00 + n10))")
+    # units with little for "toxic" never count; the words below a pure prefix are kept through it.
+    # With LEAST_COUNT documents or more, evidence of WEAK asks for more than twice the base odds
+    size = {(r["part"], r["toxic"]): r["count"] for r in sample.groupBy("part", "toxic").count().collect()}
+    both = {t: size.get((0, t), 0) + size.get((1, t), 0) for t in (0, 1)}
+    odds = min((both[1] + 0.5) / (both[0] + 0.5), (size.get((0, 1), 0) + 0.5) / (size.get((0, 0), 0) + 0.5))
+    some = c.where(f"unit = '' or (n01 + n11 >= {LEAST_COUNT} and n01 + n11 > {min(0.2, 2 * odds)!r}D * (n00 + n10))")
     rows = [(r[0], r["n00"], r["n01"], r["n10"], r["n11"]) for r in some.toLocalIterator()]
     docs_of = next((r for r in rows if not r[0]), ("", 0, 0, 0, 0))
     rows = [r for r in rows if r[0]]

@@ -19,7 +19,7 @@ from gradus.llm.mixing import mixed, mixture, targets
 from gradus.llm.mixing_lm import language_model_scores
 from gradus.llm.neighbours import neighbours
 from gradus.llm.sharding import shards
-from gradus.llm.toxicity import Model, expected, segments, toxicity, without_toxic
+from gradus.llm.toxicity import Model, expected, learn, segments, toxicity, without_toxic
 
 from ..conftest import DATA
 
@@ -151,6 +151,14 @@ def test_repeated_and_late_toxic_passages_score():
     assert sum(x for *_, x in model.scan(" ".join(["grolf"] * 1000))[1]) <= 6.0  # one word over and over is at most twice its evidence
 
 
+def test_rare_toxicity_has_evidence(spark):
+    """A word at 0.15 times the clean documents is strong where toxic ones are a hundredth."""
+    rows = [(i, f"plain{'abcdefghij'[i % 10]} " + ("grolf" if i < 40 or i % 15 == 1 else "fine"), int(i < 40)) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    found = learn(docs.select("doc_id", "text"), docs.select("doc_id", "toxic")).evidence
+    assert found["grolf"] > 1.0 and not found.get("fine")
+
+
 # ---------------------------------------------------------------- secrets
 
 SECRET = 'token = "abcdefgh12345678"'
