@@ -70,5 +70,34 @@ def crc32_mod(doc_id: Column | str, mod: int) -> Column:
     return F.pmod(F.crc32(c.cast("string").cast("binary")), F.lit(mod))
 
 
+#: The row key that `keyed` adds.
+KEY = "_key"
+
+
+def keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """``docs`` with a key for each row, and whether every row has a key of its own.
+
+    The key is the doc_id; for a row without one, and for all but one of several texts under one id, it
+    is a number above all usual ids made from id and text. It depends on nothing but these two, so it is
+    the same whenever it is computed, and only rows that repeat id and text share it.
+    """
+    ids = docs.groupBy("doc_id").count().where("doc_id is null or count > 1")
+    if ids.isEmpty():
+        return docs.withColumn(KEY, F.col("doc_id")), True
+    twice = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n"), F.min(F.xxhash64("text")).alias("_least")).where("_n > 1").drop("_n")
+    own = F.col("doc_id").isNotNull() & (F.col("_least").isNull() | (F.col("_least") == F.xxhash64("text")))
+    made = F.expr("4611686018427387904 + pmod(xxhash64(doc_id, text), 4611686018427387904)")
+    rows = docs.join(twice, F.col("doc_id") == F.col("_id"), "left")
+    return rows.select(*docs.columns, F.when(own, F.col("doc_id")).otherwise(made).alias(KEY)), False
+
+
+def staying(docs: DataFrame, decide) -> DataFrame:
+    """The rows of ``docs`` that ``decide`` (doc_id, text to doc_id, kept) keeps by their keys; of repeated rows one."""
+    rows, single = keyed(docs)
+    stays = decide(rows.select(F.col(KEY).alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias(KEY))
+    found = rows.join(stays.hint("shuffle_hash"), KEY, "left_semi")
+    return (found if single else found.dropDuplicates([KEY])).select(*docs.columns)
+
+
 def text_of(c: str = "text") -> Column:
     return F.coalesce(F.col(c), F.lit(""))

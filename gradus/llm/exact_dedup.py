@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, kept, text_of
+from .common import SPACE, kept, staying, text_of
 
 FAN_IN = 16
 _KEY = ["text_sha256", "n_norm", "check"]
@@ -72,6 +72,8 @@ def exact_dedup(docs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
-    """``docs`` without the rows that `exact_dedup` drops; ids must be distinct and not null."""
-    stays = exact_dedup(docs, fan_in).where("kept").select("doc_id")
-    return docs.join(stays.hint("shuffle_hash"), "doc_id", "left_semi")
+    """``docs`` without the rows that `exact_dedup` drops, row by row: null and repeated ids do not matter.
+
+    Rows without an id are documents that stay unless they are copies; they come after all others.
+    """
+    return staying(docs, lambda rows: exact_dedup(rows, fan_in))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import few, kept, small_batches, stored
+from .common import few, kept, small_batches, staying, stored
 from .components import components
 from .textkernel import mix, text_shingles
 
@@ -311,6 +311,8 @@ def near_dedup(docs: DataFrame, numerator: int = NUMERATOR, denominator: int = D
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component; ids must be distinct and not null."""
-    stays = near_dedup(docs).where("kept").select("doc_id")
-    return docs.join(stays.hint("shuffle_hash"), "doc_id", "left_semi")
+    """``docs`` with one document of each component: that of the least id, rows without an id after all others.
+
+    Texts that share an id are documents of their own here; of rows that repeat id and text one stays.
+    """
+    return staying(docs, near_dedup)

@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -7,7 +8,7 @@ import numpy as np
 from gradus.llm import queries
 from gradus.llm.components import components
 from gradus.llm.exact_dedup import exact_dedup, keep_one
-from gradus.llm.near_dedup import band_keys, minhash, most_xor, near_dedup, odd_sketch
+from gradus.llm.near_dedup import band_keys, keep_representatives, minhash, most_xor, near_dedup, odd_sketch
 
 from ..conftest import DATA, plan
 
@@ -46,6 +47,20 @@ def test_keep_one(spark):
     assert {tuple(r) for r in keep_one(docs).collect()} == {(1, "a b", 0), (3, "c", 2)}
 
 
+def test_stages_on_nulls_and_repeated_ids(spark, edge, nothing):
+    extra = [(None, None), (20, "one text under an id of two texts"), (20, "quite another one, same id as that"), (None, "no id here at all today"), (None, "NO id here at all TODAY")]
+    docs = edge.union(spark.createDataFrame([(i, t, "s", 1.0, "x") for i, t in extra], edge.schema)).repartition(3)
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    once = keep_one(docs)
+    got = sorted((str(r["doc_id"]), re.sub(r"[\x20\x09-\x0D]", "", r["text"] or "")) for r in once.collect())
+    want = sorted((str(r[0]), re.sub(r"[\x20\x09-\x0D]", "", x[1] or "")) for r, x in zip(brute_exact(rows), rows, strict=True) if r[3])
+    assert got == want and once.columns == docs.columns
+    left = Counter(r["doc_id"] for r in keep_representatives(once.cache()).collect())
+    assert left == Counter({1: 1, 5: 1, 6: 1, 7: 1, 8: 1, 9: 1, 20: 2, None: 1})
+    assert Counter(r["doc_id"] for r in keep_representatives(docs).collect()) == left + Counter({3: 1, 4: 1, None: 1})
+    assert keep_one(nothing).count() == 0 and keep_representatives(nothing).count() == 0
+
+
 def shingle_set(text):
     w = (text or "").encode().lower().split()
     return {b" ".join(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({b" ".join(w)} if w else set())
