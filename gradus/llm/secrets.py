@@ -4,13 +4,13 @@ A worklist holds layers: the text itself, then what percent escapes, Unicode and
 escapes, base64 runs and compressed bytes in it unwrap to. Each layer is scanned, and unwrapped
 again until nothing new appears; a digest of every layer seen stops cycles. A find in a layer is
 mapped to the span of the original text that the layer came from: character by character where
-escapes were unwrapped in place, the whole encoded run for base64 and compressed bytes.
+escapes were unwrapped in place, the whole encoded run for base64 and compressed bytes. Runs may be
+broken over lines, and may begin anywhere in a stretch of their alphabet: every alignment is tried.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import hashlib
 import re
 import urllib.parse
@@ -30,8 +30,13 @@ _KEYS = ("password", "passwd", "secret", "token", "api")
 KINDS = ("assign", "access", "hex")
 
 _ESCAPE = re.compile(r"(?:%[0-9A-Fa-f]{2})+|\\u\{[0-9A-Fa-f]{1,6}\}|(?:\\u[0-9A-Fa-f]{4})+|(?:\\x[0-9A-Fa-f]{2})+|&#[xX]?[0-9A-Fa-f]{1,7};")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-_HEXRUN = re.compile(r"(?:[0-9A-Fa-f]{2}){16,}")
+_BREAK = r"[\x20\t]*\r?\n[\x20\t]*"
+_BASE64 = re.compile(rf"[A-Za-z0-9+/_-]{{16,}}(?:{_BREAK}[A-Za-z0-9+/_-]+)*={{0,2}}")
+_HEXRUN = re.compile(rf"[0-9A-Fa-f]{{16,}}(?:{_BREAK}[0-9A-Fa-f]+)*")
+_LINE = re.compile(r"[^\s=]+=*")
+#: Text inside other bytes; shorter stretches hold no find. Where compressed bytes may begin.
+_STRETCH = re.compile("[^\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\ufffd]{14,}")
+_MAGIC = re.compile(rb"\x1f\x8b\x08|\x28\xb5\x2f\xfd|\x78[\x01\x5e\x9c\xda]")
 #: Compressed bytes are unwrapped piece by piece; pieces of this size overlap by ``OVERLAP``.
 PIECE, OVERLAP = 1 << 22, 1 << 12
 
@@ -133,31 +138,50 @@ def _escapes(layer: Layer) -> Iterator[Layer]:
         yield Layer("".join(parts), marks)
 
 
+def _packed(raw: bytes) -> bool:
+    return raw[:2] == b"\x1f\x8b" or raw[:4] == b"\x28\xb5\x2f\xfd" or (raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] * 256 + raw[1]) % 31 == 0)
+
+
+def _members(raw: bytes) -> Iterator[bytes]:
+    """What all members and frames from the start of ``raw`` hold, in parts of bounded size; what follows them is left."""
+    while _packed(raw):
+        if raw[0] == 0x28:
+            import zstandard
+
+            way, at = zstandard.ZstdDecompressor().decompressobj(), 0
+            try:
+                while at < len(raw) and not way.eof:  # few bytes at a time, as they may hold much
+                    yield way.decompress(raw[at : at + 128])
+                    at += 128
+            except zstandard.ZstdError:
+                return
+            raw = way.unused_data + raw[at:] if way.eof else b""
+        else:
+            way, left = zlib.decompressobj(wbits=47), raw
+            try:
+                while not way.eof:
+                    out = way.decompress(left, PIECE)
+                    left = way.unconsumed_tail
+                    if not out and not left and not way.eof:
+                        break
+                    yield out
+            except zlib.error:
+                return
+            raw = way.unused_data
+
+
 def _inflated(raw: bytes) -> Iterator[bytes]:
     """Pieces of what gzip, zlib or zstandard bytes hold, overlapping so that no find is cut; all of it."""
-    if raw[:2] == b"\x1f\x8b" or (raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] * 256 + raw[1]) % 31 == 0):
-        way = zlib.decompressobj(wbits=47)
-        kept, left = b"", raw
-        try:
-            while not way.eof:
-                out = way.decompress(left, PIECE)
-                left = way.unconsumed_tail
-                if not out:
-                    break
-                yield kept + out
-                kept = out[-OVERLAP:]
-        except zlib.error:
-            return
-    elif raw[:4] == b"\x28\xb5\x2f\xfd":
-        import zstandard
-
-        kept = b""
-        try:
-            for out in zstandard.ZstdDecompressor().read_to_iter(raw, write_size=PIECE):
-                yield kept + out
-                kept = out[-OVERLAP:]
-        except zstandard.ZstdError:
-            return
+    held, new = bytearray(), False
+    for part in _members(raw):
+        held += part
+        new = new or bool(part)
+        if len(held) >= PIECE:
+            yield bytes(held)
+            del held[:-OVERLAP]
+            new = False
+    if new:
+        yield bytes(held)
 
 
 def _texts(raw: bytes) -> Iterator[str]:
@@ -175,21 +199,56 @@ def _texts(raw: bytes) -> Iterator[str]:
             yield text
 
 
+def _inner(raw: bytes) -> Iterator[str]:
+    """Text and compressed bytes that begin somewhere in decoded bytes."""
+    yield from _STRETCH.findall(raw.decode("utf-8", "replace"))
+    for m in _MAGIC.finditer(raw):
+        for piece in _inflated(raw[m.start() :]):
+            yield from _STRETCH.findall(piece.decode("utf-8", "replace"))
+
+
+def _base64(run: str) -> bytes:
+    run = run[: len(run) - (len(run) % 4 == 1)]
+    return base64.b64decode(run + "=" * (-len(run) % 4))
+
+
+def _spans(m: re.Match) -> Iterator[tuple[int, int, str]]:
+    """A run and the parts of it that may be one: from any line to the end of an even block, or a line of its own."""
+    lines = [(m.start() + x.start(), m.start() + x.end(), x[0]) for x in _LINE.finditer(m[0])]
+    yield m.start(), m.end(), "".join(x for *_, x in lines)
+    if len(lines) > 1:
+        yield from lines
+        at = 0
+        while at < len(lines) - 1:  # a block: a first line of any length, lines of one length, one that is not longer
+            width, end = len(lines[at + 1][2]), at + 1
+            while end < len(lines) and len(lines[end][2]) == width:
+                end += 1
+            ends = [end] + [end + 1] * (end < len(lines) and len(lines[end][2]) < width)
+            for first in (at, at + 1):
+                for last in ends:
+                    if last - first > 1 and (first, last) != (0, len(lines)):
+                        yield lines[first][0], lines[last - 1][1], "".join(x for *_, x in lines[first:last])
+            at = end
+
+
 def _runs(layer: Layer) -> Iterator[Layer]:
     """A layer for each run of base64 or hexadecimal digits that decodes to text or unpacks."""
-    for m in _BASE64.finditer(layer.text):
-        run = m[0].rstrip("=")
-        if len(run) % 4 == 1:
-            continue
-        try:
-            raw = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        for text in _texts(raw):
-            yield Layer(text, [(0, *layer.original(m.start(), m.end()), False)])
-    for m in _HEXRUN.finditer(layer.text):
-        for text in _texts(bytes.fromhex(m[0])):
-            yield Layer(text, [(0, *layer.original(m.start(), m.end()), False)])
+    for kind, pattern in ((4, _BASE64), (2, _HEXRUN)):
+        for m in pattern.finditer(layer.text):
+            for a, b, run in _spans(m):
+                run = run.rstrip("=").replace("-", "+").replace("_", "/")
+                if len(run) < (16 if kind == 4 else 32):
+                    continue
+                for skip in range(kind):
+                    part = run[skip:]
+                    raw = _base64(part) if kind == 4 else bytes.fromhex(part[: len(part) // 2 * 2])
+                    found = list(_texts(raw)) if not skip else []
+                    for text in found or _inner(raw):
+                        yield Layer(text, [(0, *layer.original(a, b), False)])
+                    if found:
+                        break
+                if found and (a, b) == m.span():
+                    break  # the whole run is one
 
 
 def scan(text: str | None) -> tuple[list[Span], list[Span], int]:

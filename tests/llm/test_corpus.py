@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -179,6 +180,37 @@ def test_layers(wrap):
     assert layers > 1 and set(own) <= set(every)
 
 
+def lines(s, width, end="\n"):
+    return end.join(s[k : k + width] for k in range(0, len(s), width))
+
+
+def noise(n):
+    return "".join(random.Random(8).choices("abcdefghij \n", k=n))
+
+
+@pytest.mark.parametrize("pack", [lambda b: b, gzip.compress, zlib.compress, lambda b: zstandard.ZstdCompressor().compress(b)])
+@pytest.mark.parametrize(
+    "wrap",
+    [
+        lambda b: lines(base64.b64encode(b).decode(), 76), lambda b: lines(base64.b64encode(b).decode(), 64, "\r\n"), lambda b: lines(b.hex(), 60), lambda b: "path/to_the-file/" + base64.b64encode(b).decode(),
+        lambda b: "ab/" + lines(base64.urlsafe_b64encode(b).decode().rstrip("="), 76), lambda b: "a" + b.hex(), lambda b: base64.b64encode(b).decode().rstrip("=") + "x" * (1 + (-len(base64.b64encode(b).decode().rstrip("="))) % 4),
+    ],
+)
+def test_layers_over_lines_and_glued(pack, wrap):
+    for before in (0, 31, 47, 200):
+        inner = wrap(pack((noise(before) + SECRET + noise(90)).encode()))
+        _, every, layers = secrets.scan(f"é {inner} end")
+        assert any(k == "assign" and a == 2 and 2 < b <= 2 + len(inner) for k, a, b in every), (before, inner, every)
+        _, every, _ = secrets.scan(f"é {inner}\nwords that follow it")
+        assert any(k == "assign" and a == 2 for k, a, b in every), (before, inner)
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, lambda b: zstandard.ZstdCompressor().compress(b)])
+def test_layers_of_several_members(pack):
+    inner = base64.b64encode(pack(b"first member") + pack(b"second") + pack(SECRET.encode())).decode()
+    assert any(k == "assign" for k, *_ in secrets.scan(f"é {inner} end")[1])
+
+
 def test_base_rules():
     spans = lambda t: secrets.base(t)
     assert spans("token: secret: abcdefghij") == [] and spans("PassWord:abcdefgh") == [("assign", 0, 17)]
