@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,8 +13,8 @@ from pyspark.sql import functions as F
 
 #: White space of every contract of this subpackage, as a character class body.
 SPACE = r"\x20\x09-\x0D"
-#: Rows of one Arrow batch handed to Python; with long texts a batch stays small.
-ARROW_ROWS = 512
+#: Rows and bytes of one Arrow batch handed to Python.
+ARROW_ROWS, ARROW_BYTES = 512, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,13 +24,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests, local mode) a temporary folder is set.
+    Only in local mode (tests) a temporary folder is set where the session has none; a cluster must name one.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         jsc = spark.sparkContext._jsc.sc().getCheckpointDir()
         where = jsc.get() if jsc.isDefined() else None
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = f"file://{tempfile.mkdtemp(prefix='gradus-')}"
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -49,6 +53,68 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextlib.contextmanager
+def session_conf(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """Settings of the session for the jobs run inside; what was set before comes back, after errors too."""
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+#: Shuffle files go when the job that made them ends (a lost one is computed anew).
+TIDY = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
+class Scratch:
+    """Tables that an operator keeps while it runs: written ones in the shared folder, cached ones on executors' disks.
+
+    All are gone when it ends, but for those that stay, and so are the shuffle files of its jobs.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths, self.held, self.conf = spark, {}, [], session_conf(spark, TIDY)
+
+    def __enter__(self) -> Scratch:
+        self.conf.__enter__()
+        return self
+
+    def stored(self, df: DataFrame, name: str, stays: bool = False) -> DataFrame:
+        path = shared_path(self.spark, name)
+        if not stays:
+            self.paths.setdefault(name, []).append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def kept(self, df: DataFrame) -> DataFrame:
+        self.held.append(kept(df))
+        return self.held[-1]
+
+    def drop(self, *names: str) -> None:
+        for name in names or tuple(self.paths):
+            for path in self.paths.pop(name, []):
+                delete(self.spark, path)
+
+    def free(self) -> None:
+        """Unpersist what `kept` holds so far."""
+        while self.held:
+            self.held.pop().unpersist()
+
+    def __exit__(self, *error) -> None:
+        self.conf.__exit__(*error)
+        self.free()
+        self.drop()
+
+
 def kept(df: DataFrame) -> DataFrame:
     """``df`` computed once: on the disks of the executors, and anew from its lineage where one is lost."""
     return df.persist(StorageLevel.DISK_ONLY)
@@ -60,8 +126,15 @@ def few(df: DataFrame) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small in rows; texts differ much in length."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Keep the session's Arrow batches small, in rows and in bytes: texts differ much in length.
+
+    Results are lazy, so the setting stays; smaller ones of the session are left as they are.
+    """
+    for name, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key).rstrip("bB")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
 
 
 def crc32_mod(doc_id: Column | str, mod: int) -> Column:

@@ -1,445 +1,51 @@
 """Language-model scores by online logistic mixing of hashed-context bit predictors.
 
 A text is its lower-cased words, then one end. Each token is a string of binary decisions: whether
-it repeats what followed the same two words earlier in the text, its frequency class, a few bits of
-its hash; then follows its share of its cell by counts. Words that training lacks are one class of
-their own, as in the unigram base; for the bits per byte their spelling is added. Each decision is predicted from several hashed contexts (none, the word before, two
-words before, their classes), whose counts come from all training texts. A training token counts
-with the class that it would have without itself, so unknown words are expected as often as new ones
-came up. The predictions meet in the
-logistic domain by weights that a gate selects and that learn from every bit; a last stage refines
-the result by a gain and an offset that learn too. The sum of all is the log probability, per byte
-the bits per byte.
-
-Weights are the only thing that depends on order. They learn from every bit of a token before the
-next token, from the first token of a text to its last, so the texts of a run are lanes of one numpy
-loop and a score depends on its text and the model alone. Texts of a block are ordered by length, so
-that few runs have as many steps as a long text has tokens.
-
-Texts are cut into blocks, one row each with the words' local numbers and the distinct words. Word
-counts of all training texts are added up by hash ranges and sent back to the blocks that asked, so
-no task holds the vocabulary. Contexts go the same way: what followed each is added up by ranges of
-context keys, whose bits grow with the number of tokens, and each block gets the predictions that its
-own tokens ask for. Only the table without context, of fixed size by nature, is sent to all.
+it repeats what followed the same two words earlier in the text, else the class of its count, then
+bits of its hash until it is one word of its class. Words that training lacks are one class of their
+own, as in the unigram base; for the bits per byte their spelling is added. Each decision is predicted
+by several contexts: none, the classes of the two words before, the word before, the two words before.
+Their counts come from all training texts (a training text is scored by what the others hold: its own
+event, and words that only it has once, are left out). The predictions meet in the logistic domain by weights that a
+gate selects and that learn from every decision; a gain that learns too refines the result. The sum of
+all is the log probability, per byte the bits per byte.
+
+A gate is a place in a token's string together with what its contexts know, so no two decisions of a
+token share weights: updating them after each decision, and after each token, are the same. That lets
+all texts of a block go through one numpy loop, a lane each, from the first token of a text to its
+last. A score depends on its text and the model alone.
+
+Texts are cut into blocks, one row each; words (lm_tokens) and contexts (lm_contexts) are added up by
+ranges of hashes and sent back to the blocks that asked. Only tables of fixed size are sent to all.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_mod, small_batches, stored
-from .textkernel import chunks, mix, word_hashes, words
+from . import lm_contexts as contexts
+from . import lm_tokens as tokens
+from .common import Scratch, crc32_mod, session_conf, small_batches
+from .lm_contexts import CLASSES, ORDERS, PAIRS, RUNS, SHORT, Text
+from .lm_tokens import CELL_BITS, CLASS_BITS, DEPTH, SCALE, STRING_BITS, TOP, stretched, unpack
 
 HELD_MOD, HELD_REST = 7, 2
-#: Bytes of text of a block; entries of one range of word hashes.
-BLOCK, RANGE = 4 << 20, 2_000_000
-#: Tokens in a context of one range of context keys; bits of a key beyond those of the number of tokens.
-EVENTS, SPARE = 1 << 20, 8
-CLASSES, CELL_BITS = 32, 6
-TOKENS = 1 << 18
-RATE, REFINE_RATE, START = 0.02, 0.005, 0.35
-
-_FLAG, _CLASS, _CELL = 0, 16, 48
-NODES = _CELL + (CLASSES << CELL_BITS)
-ORDERS = 4
-#: An event's key: context, order (2 bits), string of decisions (16 bits).
-_STRING, _ORDER = np.uint64(16), np.uint64(18)
-GATES = 6
-_G1, _G2, _G3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
-
-
-def pack(a: np.ndarray) -> bytes:
-    """An integer array with its bytes dealt by place and compressed, after its length."""
-    planes = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T) if len(a) else np.zeros(0, np.uint8)
-    return len(a).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
-
-
-def unpack(raw: bytes, kind: type) -> np.ndarray:
-    n, size = int.from_bytes(raw[:8], "little"), np.dtype(kind).itemsize
-    planes = np.frombuffer(pa.decompress(raw[8:], n * size, codec="zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(planes.reshape(size, n).T).view(kind).reshape(n) if n else np.zeros(0, kind)
-
-
-# ---------------------------------------------------------------- blocks
-
-
-def _row(block: int, ids: list, held: np.ndarray, column: pa.Array) -> dict:
-    """One block: tokens as numbers of distinct words (frequent words small), and these words."""
-    hashes, starts, ends, counts, data, base = [], [], [], [], [], 0
-    for _, _, raw, offsets in chunks(column):
-        s, e, firsts = words(raw, offsets)
-        hashes.append(word_hashes(raw, s, e))
-        starts.append(s + base), ends.append(e + base), counts.append(np.diff(firsts)), data.append(raw)
-        base += len(raw)
-    h, s, e, n, raw = (np.concatenate(x) for x in (hashes, starts, ends, counts, data))
-    docs = np.arange(len(n))
-    tok = np.zeros(len(h) + len(n), np.uint64)
-    at = np.arange(len(h)) + np.repeat(docs, n)
-    tok[at] = h
-    from_word = np.full(len(tok), -1)
-    from_word[at] = np.arange(len(h))
-    uniq, first, back, freq = np.unique(tok, return_index=True, return_inverse=True, return_counts=True)
-    order = np.argsort(-freq, kind="stable")
-    place = np.empty(len(order), np.int32)
-    place[order] = np.arange(len(order), dtype=np.int32)
-    numbers = place[back]
-    first = from_word[first[order]]
-    length = np.where(first >= 0, e[first] - s[first], 0) if len(h) else np.zeros(len(first), np.int64)
-    begin = np.where(first >= 0, s[first], 0) if len(h) else np.zeros(len(first), np.int64)
-    total = int(length.sum())
-    inner = np.arange(total) - np.repeat(np.cumsum(length) - length, length)
-    spelled = raw[np.repeat(begin, length) + inner]
-    spelled = np.where((spelled >= 65) & (spelled <= 90), spelled + 32, spelled).astype(np.uint8)
-    train = np.repeat(~held, n + 1)
-    own = np.bincount(numbers[train], minlength=len(uniq)).astype(np.int64)
-    codes, times = np.unique(_trigrams(spelled, length, own > 0).astype(np.int32), return_counts=True)
-    return {
-        "block": block, "doc_ids": ids, "held": held.tolist(), "sizes": pack((n + 1).astype(np.int32)),
-        "tokens": pack(numbers.astype(np.int32)), "lengths": pack(length.astype(np.int32)), "spelled": pack(spelled),
-        "own": pack(own), "codes": pack(codes.astype(np.int32)), "times": pack(times.astype(np.int64)), "n_words": len(uniq), "n_tokens": len(tok),
-    }
-
-
-_BLOCKS = "block long, doc_ids array<long>, held array<boolean>, sizes binary, tokens binary, lengths binary, spelled binary, own binary, codes binary, times binary, n_words long, n_tokens long"
-
-
-def _trigrams(spelled: np.ndarray, length: np.ndarray, which: np.ndarray | None = None) -> np.ndarray:
-    """Codes (two bytes before, byte) of words, a space before and after each."""
-    ends = np.cumsum(length)
-    padded = np.full(len(spelled) + 3 * len(length), 32, np.int64)
-    k = np.arange(len(length))
-    padded[np.arange(len(spelled)) + np.repeat(3 * k + 2, length)] = spelled
-    code = (padded[:-2] << 16) | (padded[1:-1] << 8) | padded[2:] if len(padded) else padded
-    begin = ends - length + 3 * k
-    take = np.repeat(begin, length + 1) + (np.arange(int((length + 1).sum())) - np.repeat(np.cumsum(length + 1) - length - 1, length + 1))
-    return code[take] if which is None else code[take][np.repeat(which, length + 1)]
-
-
-def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, k, held, size = TaskContext.get().partitionId(), 0, [], 0
-    schema = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), *((c, pa.binary()) for c in ("sizes", "tokens", "lengths", "spelled", "own", "codes", "times")), ("n_words", pa.int64()), ("n_tokens", pa.int64())])
-
-    def out() -> pa.RecordBatch:
-        t = pa.Table.from_batches(held).combine_chunks()
-        t = t.take(pc.sort_indices(pc.fill_null(pc.binary_length(t.column("text")), 0)))
-        row = _row((part << 24) | k, t.column("doc_id").to_pylist(), t.column("held_out").to_numpy().astype(bool), pa.concat_arrays(t.column("text").chunks))
-        return pa.RecordBatch.from_pylist([row], schema)
-
-    for b in batches:
-        for at in range(0, b.num_rows, 64):
-            piece = b.slice(at, 64)
-            held.append(piece)
-            size += piece.column("text").nbytes
-            if size >= BLOCK:
-                yield out()
-                k, held, size = k + 1, [], 0
-    if held:
-        yield out()
-
-
-# ---------------------------------------------------------------- word counts
-
-
-def _hash_of(row: dict) -> np.ndarray:
-    length = unpack(row["lengths"], np.int32).astype(np.int64)
-    data = unpack(row["spelled"], np.uint8)
-    ends = np.cumsum(length)
-    out = np.zeros(len(length), np.uint64)
-    full = length > 0
-    out[full] = word_hashes(data, (ends - length)[full], ends[full])
-    return out
-
-
-def _range_of(h: np.ndarray, ranges: int) -> np.ndarray:
-    return ((h >> np.uint64(16)) % np.uint64(ranges)).astype(np.int64)
-
-
-def _asks(ranges: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                h, own = _hash_of(row), unpack(row["own"], np.int64)
-                at = _range_of(h, ranges)
-                order = np.argsort(at, kind="stable")
-                cuts = np.searchsorted(at[order], np.arange(ranges + 1))
-                hs, ns = [], []
-                for r in range(ranges):
-                    i = order[cuts[r] : cuts[r + 1]]
-                    hs.append(h[i].tobytes()), ns.append(pack(own[i].astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(ranges, dtype=np.int32)), pa.array([row["block"]] * ranges, pa.int64()), pa.array(hs, pa.binary()), pa.array(ns, pa.binary())], names=["range", "block", "hashes", "counts"])
-
-    return run
-
-
-def class_of(c: np.ndarray) -> np.ndarray:
-    """0 for unknown words, else one more than the power of two of the count."""
-    return np.where(c > 0, np.minimum(CLASSES - 1, 1 + np.log2(np.maximum(c, 1)).astype(np.int64)), 0)
-
-
-def _cell_of(h: np.ndarray) -> np.ndarray:
-    return (mix(h) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
-
-
-def _answers(t: pa.Table) -> pa.Table:
-    hs = [np.frombuffer(x, np.uint64) for x in t.column("hashes").to_pylist()]
-    ns = np.concatenate([unpack(x, np.int32) for x in t.column("counts").to_pylist()])
-    uniq, back = np.unique(np.concatenate(hs), return_inverse=True)
-    c = np.bincount(back, weights=ns, minlength=len(uniq)).astype(np.int64)
-    cells = np.bincount(class_of(c) << CELL_BITS | _cell_of(uniq), weights=c, minlength=CLASSES << CELL_BITS).astype(np.int64)
-    stats = np.concatenate([[c.sum(), (c > 0).sum()], cells])
-    out, at = [], 0
-    for h in hs:
-        out.append(pack(c[back[at : at + len(h)]]))
-        at += len(h)
-    r = t.column("range")[0].as_py()
-    return pa.table({"block": pa.array([*t.column("block").to_pylist(), -1], pa.int64()), "range": pa.array([r] * (len(out) + 1), pa.int32()), "counts": pa.array([*out, pack(stats.astype(np.int64))], pa.binary())})
-
-
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = None
-    for b in batches:
-        for x in b.column("counts").to_pylist():
-            v = unpack(x, np.int64)
-            total = v if total is None else total + v
-    if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([pack(total)], pa.binary())], names=["counts"])
-
-
-def _plain(row: dict, code: Code) -> np.ndarray:
-    """Counts of a block's training decisions without context: bit by bit of each node."""
-    out = np.zeros(2 * NODES, np.int64)
-    for *_, t in _tokens_of(row, train_only=True):
-        string, n = np.unique(t.events(1)[0] & np.uint64(0xFFFF), return_counts=True)
-        count, node, bit = decided(code, *strings(string))
-        out += np.bincount(node << 1 | bit, np.repeat(n, count), 2 * NODES).astype(np.int64)
-    return out
-
-
-def _coded(ranges: int, code: Code):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = b.to_pylist()
-            done, plain = [], []
-            for row in rows:
-                h = _hash_of(row)
-                at = _range_of(h, ranges)
-                order = np.argsort(at, kind="stable")
-                got = {a["range"]: unpack(a["counts"], np.int64) for a in row["answers"]}
-                c = np.zeros(len(h), np.int64)
-                c[order] = np.concatenate([got[r] for r in range(ranges) if r in got]) if len(h) else c
-                done.append(pack(c))
-                plain.append(pack(_plain(row | {"counts": done[-1]}, code)))
-            keep = [b.column(n) for n in ("block", "doc_ids", "held", "sizes", "tokens", "lengths", "spelled")]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(done, pa.binary()), pa.array(plain, pa.binary())], names=["block", "doc_ids", "held", "sizes", "tokens", "lengths", "spelled", "counts", "plain"])
-
-    return run
-
-
-# ---------------------------------------------------------------- decisions
-
-
-class Tokens:
-    """A run of tokens of whole texts with all that predictors look at."""
-
-    def __init__(self, h: np.ndarray, c: np.ndarray, doc: np.ndarray):
-        self.h, self.c, self.doc, n = h, c, doc, len(h)
-        self.cls, self.cell = class_of(c), _cell_of(h)
-        fresh = np.concatenate(([True], doc[1:] != doc[:-1])) if n else np.zeros(0, bool)
-        self.start = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
-        before = np.zeros(n, np.uint64)
-        before[1:] = h[:-1]
-        before[fresh] = 1
-        second = np.zeros(n, np.uint64)
-        second[1:] = before[:-1]
-        second[fresh] = 2
-        own = self.cls + 1
-        near = np.zeros(n, np.int64)
-        near[1:] = own[:-1]
-        near[fresh] = 0
-        far = np.zeros(n, np.int64)
-        far[1:] = near[:-1]
-        far[fresh] = 0
-        pair = mix(before * _G1 + mix(second * _G2))
-        self.context = [None, mix(before * _G3 + _G1), mix(pair), mix((near * 64 + far).astype(np.uint64) * _G2 + _G3)]
-        # what followed the same two words when they last occurred in this text
-        key = pair + doc.astype(np.uint64) * _G3
-        order = np.argsort(key, kind="stable")
-        same = key[order][1:] == key[order][:-1]
-        last = np.full(n, -1)
-        last[order[1:][same]] = order[:-1][same]
-        self.can = last >= 0
-        self.hit = self.can & (h[np.maximum(last, 0)] == h)
-        miss = np.maximum.accumulate(np.where(~self.hit | fresh, np.arange(n), -1))
-        run = np.zeros(n, np.int64)
-        run[1:] = np.arange(n - 1) - miss[:-1]
-        run[fresh] = 0
-        self.run = np.minimum(15, run)
-
-    def decisions(self, code: Code, order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Number of decisions of each token (in ``order``); token, node and bit of all of them, token by token."""
-        order = np.arange(len(self.h)) if order is None else order
-        count, node, bit = decided(code, self.can[order], self.run[order], self.hit[order], self.cls[order], self.cell[order])
-        return count, np.repeat(order, count), node, bit
-
-    def events(self, bits: int) -> np.ndarray:
-        """Keys of each token's decisions in each of its contexts, a row for each order but the first."""
-        flag = np.where(self.can, 1 + self.run, 0)
-        string = np.where(self.hit, self.run, 16 + ((flag * CLASSES + self.cls) << CELL_BITS | np.where(self.cls > 0, self.cell, 0))).astype(np.uint64)
-        drop = np.uint64(64 - bits)
-        return np.stack([self.context[k] >> drop << drop | np.uint64(k) << _STRING | string for k in range(1, ORDERS)])
-
-
-def decided(code: Code, can: np.ndarray, run: np.ndarray, hit: np.ndarray, cls: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Number of decisions of each token; node and bit of all of them, token by token."""
-    count = lengths(code, can, hit, cls)
-    deep = code.size[cls]
-    off = np.cumsum(count) - count
-    total = int(count.sum())
-    node, bit = np.empty(total, np.int32), np.empty(total, np.uint8)
-    node[off[can]] = _FLAG + run[can]
-    bit[off[can]] = hit[can]
-    i = np.flatnonzero(~hit)
-    at = off[i] + can[i]
-    for d in range(code.depth):
-        k = np.flatnonzero(deep[i] > d)
-        kind = cls[i[k]]
-        node[at[k] + d] = _CLASS + code.node[kind, d]
-        bit[at[k] + d] = code.bit[kind, d]
-    i = i[cls[i] > 0]
-    at = off[i] + can[i] + deep[i]
-    cls, cell = cls[i], cell[i]
-    for d in range(CELL_BITS):
-        node[at + d] = _CELL + (cls << CELL_BITS) + ((1 << d) | (cell >> (CELL_BITS - d)))
-        bit[at + d] = cell >> (CELL_BITS - 1 - d) & 1
-    return count, node, bit
-
-
-def lengths(code: Code, can: np.ndarray, hit: np.ndarray, cls: np.ndarray) -> np.ndarray:
-    return can + ~hit * (code.size[cls] + CELL_BITS * (cls > 0))
-
-
-def strings(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """What `decided` takes of events' keys."""
-    string = (keys & np.uint64(0xFFFF)).astype(np.int64)
-    hit = string < 16
-    x = np.where(hit, 0, string - 16)
-    flag = x >> CELL_BITS + 5
-    return hit | (flag > 0), np.where(hit, string, np.maximum(flag - 1, 0)), hit, (x >> CELL_BITS) % CLASSES, x & (1 << CELL_BITS) - 1
-
-
-class Code:
-    """Prefix code of the frequency classes, shorter for those that hold more tokens."""
-
-    def __init__(self, mass: np.ndarray):
-        heap = [(int(m), i, (i,)) for i, m in enumerate(mass)]
-        heapq.heapify(heap)
-        path: list[list[tuple[int, int]]] = [[] for _ in mass]
-        for inner in range(len(mass) - 1):
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            for bit, part in enumerate((a, b)):
-                for c in part[2]:
-                    path[c].append((inner, bit))
-            heapq.heappush(heap, (a[0] + b[0], len(mass) + inner, a[2] + b[2]))
-        self.size = np.array([len(p) for p in path])
-        self.depth = int(self.size.max())
-        self.node, self.bit = np.zeros((len(mass), self.depth), np.int32), np.zeros((len(mass), self.depth), np.uint8)
-        for c, p in enumerate(path):
-            for d, (n, bit) in enumerate(reversed(p)):
-                self.node[c, d], self.bit[c, d] = n, bit
-
-
-def _tokens_of(row: dict, train_only: bool) -> Iterator[tuple[int, int, np.ndarray, Tokens]]:
-    """(first text, text after the last, number of each token, tokens) of runs of texts of a block."""
-    h, c = _hash_of(row), unpack(row["counts"], np.int64)
-    number, sizes = unpack(row["tokens"], np.int32), unpack(row["sizes"], np.int32).astype(np.int64)
-    held, ends = np.array(row["held"], bool), np.cumsum(sizes)
-    a = 0
-    while a < len(sizes):
-        lo = int(ends[a] - sizes[a])
-        b = max(a + 1, int(np.searchsorted(ends, lo + TOKENS, "right")))
-        num, doc = number[lo : ends[b - 1]], np.repeat(np.arange(a, b), sizes[a:b])
-        if train_only:
-            stay = ~held[doc]
-            num, doc = num[stay], doc[stay]
-        if len(num):
-            yield a, b, num, Tokens(h[num], c[num] - train_only, doc)
-        a = b
-
-
-# ---------------------------------------------------------------- contexts
-
-
-def _events_of(row: dict, bits: int, train_only: bool) -> np.ndarray:
-    found = [t.events(bits) for *_, t in _tokens_of(row, train_only)]
-    return np.concatenate(found, axis=1) if found else np.zeros((ORDERS - 1, 0), np.uint64)
-
-
-def _context_range(keys: np.ndarray, ranges: int) -> np.ndarray:
-    """Ranges in the order of the keys."""
-    return (keys >> np.uint64(40)).astype(np.int64) * ranges >> 24
-
-
-def _context_asks(bits: int, ranges: int):
-    """Events of each block by range: their keys, and twice their number in training, one more if a text asks for them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                own, n = np.unique(_events_of(row, bits, True), return_counts=True)
-                asked = np.unique(_events_of(row, bits, False))
-                keys = np.union1d(own, asked)
-                value = np.zeros(len(keys), np.int32)
-                value[np.searchsorted(keys, own)] = n << 1
-                value[np.searchsorted(keys, asked)] |= 1
-                cuts = np.searchsorted(_context_range(keys, ranges), np.arange(ranges + 1))
-                full = np.flatnonzero(np.diff(cuts))
-                for r in full.tolist():
-                    part = slice(cuts[r], cuts[r + 1])
-                    yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([row["block"]], pa.int64()), pa.array([pack(keys[part])], pa.binary()), pa.array([pack(value[part])], pa.binary())], names=["range", "block", "keys", "counts"])
-
-    return run
-
-
-def stretched(n: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint(np.log((n1 + 0.4) / (n - n1 + 0.4)) * 15), -127, 127).astype(np.int8)
-
-
-def _context_answers(code: Code):
-    """The predictions that each block asked one range for, event by event."""
-
-    def run(t: pa.Table) -> pa.Table:
-        keys = [unpack(x, np.uint64) for x in t.column("keys").to_pylist()]
-        values = [unpack(x, np.int32) for x in t.column("counts").to_pylist()]
-        every, back = np.unique(np.concatenate(keys), return_inverse=True)
-        n = np.bincount(back, weights=np.concatenate(values) >> 1, minlength=len(every))
-        count, node, bit = decided(code, *strings(every))
-        off = np.cumsum(count) - count
-        context = every >> _STRING
-        context = np.cumsum(np.concatenate(([False], context[1:] != context[:-1])))
-        place, where = np.unique(np.repeat(context << 12, count) + node, return_inverse=True)
-        weight = np.repeat(n, count)
-        st = stretched(np.bincount(where, weight, len(place)), np.bincount(where, weight * bit, len(place)))[where]
-        out, at = [], 0
-        for v in values:
-            e = back[at : at + len(v)][v & 1 == 1]
-            c = count[e]
-            out.append(pack(st[np.repeat(off[e] - np.cumsum(c) + c, c) + np.arange(int(c.sum()))]))
-            at += len(v)
-        r = t.column("range")[0].as_py()
-        return pa.table({"block": t.column("block"), "range": pa.array([r] * len(out), pa.int32()), "counts": pa.array(out, pa.binary())})
-
-    return run
-
-
-# ---------------------------------------------------------------- spelling
+#: Predictors: none, classes before, word before, two words before.
+INPUTS = 2 + len(ORDERS)
+#: Gates besides the place in the string: nothing known, the word before, two words before, a repeat is possible.
+GATES = 4
+RATE, REFINE_RATE = 0.03, 0.02
+#: First weights of each gate's inputs.
+START = np.array([[0.7, 0.5, 0.0, 0.0], [0.55, 0.3, 0.5, 0.0], [0.35, 0.15, 0.5, 0.8], [0.4, 0.2, 0.4, 0.5]], np.float32)
+#: Bytes from which texts are put into blocks by their length.
+LONG = 12 << 10
+#: Tokens whose predictions are held at once.
+CHUNK = 1 << 15
 
 
 class Spelling:
@@ -453,7 +59,7 @@ class Spelling:
         self.log1, self.log2 = np.log10(p1).astype(np.float32), np.log10(p2).astype(np.float32)
 
     def score(self, spelled: np.ndarray, length: np.ndarray) -> np.ndarray:
-        code = _trigrams(spelled, length)
+        code = tokens.trigrams(spelled, length)
         slot = self.slot[code >> 8]
         value = np.where(slot >= 0, self.log2[slot, code & 255] if len(self.log2) else 0, self.log1[code >> 8 & 255, code & 255])
         return np.add.reduceat(value.astype(np.float64), np.cumsum(length + 1) - length - 1) if len(length) else np.zeros(0)
@@ -465,125 +71,219 @@ def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(unpack(codes, np.int32)), pa.array(unpack(times, np.int64))], names=["code", "n"])
 
 
-def _spelling(blocks: DataFrame) -> Spelling:
-    counts = stored(blocks.select("codes", "times").mapInArrow(_codes, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")), "codes")
-    pair = F.expr("code div 256").cast("int")
-    pairs = np.sort(np.array([r[0] for r in counts.select(pair.alias("pair")).distinct().collect()], np.int64))  # at most 65,536
-    one = np.zeros((256, 256))
-    for r in counts.groupBy(F.expr("code div 256 % 256").cast("int").alias("a"), F.expr("code % 256").alias("b")).agg(F.sum("n").alias("n")).collect():  # at most 65,536
-        one[r[0], r[1]] = r[2]
-    after = np.zeros((len(pairs), 256), np.float32)
-    rows = counts.select("code", "n").toArrow()  # at most 256 of a pair
-    code = rows.column("code").to_numpy()
-    after[np.searchsorted(pairs, code >> 8), code & 255] = rows.column("n").to_numpy()
+def spelling(blocks: DataFrame) -> Spelling:
+    """From the byte triples of training words, a table of fixed size (2^24 at most)."""
+    counts = blocks.select("codes", "times").mapInArrow(_codes, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    code, n = counts.column("code").to_numpy(), counts.column("n").to_numpy()
+    pairs = np.unique(code >> 8)
+    one, after = np.zeros((256, 256)), np.zeros((len(pairs), 256), np.float32)
+    np.add.at(one, (code >> 8 & 255, code & 255), n)
+    after[np.searchsorted(pairs, code >> 8), code & 255] = n
     return Spelling(pairs, after, one)
 
 
-# ---------------------------------------------------------------- scores
+# ---------------------------------------------------------------- mixing
 
 
-def mixed(st: np.ndarray, phase: np.ndarray, bit: np.ndarray, count: np.ndarray, lane: np.ndarray, steps: np.ndarray) -> np.ndarray:
-    """Probability of a one for each decision.
+def mixed(table: np.ndarray, index: np.ndarray, flags: np.ndarray, can: np.ndarray, gate: np.ndarray, count: np.ndarray, start: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """log10 of the probability that the mixer gives each token's decisions, of which there are ``count``.
 
-    Tokens have ``count`` decisions, each of a phase from 0 to 2, and come step by step: those from
-    ``steps[i]`` to ``steps[i + 1]`` are the i-th of their lanes. A token's decisions of one phase
-    share a weight set, chosen by the phase and by whether the longest context has an opinion.
+    Texts are the runs of ``sizes`` (falling) tokens from ``start``. ``index`` (inputs, tokens) names the rows of
+    ``table`` that hold the inputs' opinions of what each decision turned out to be, 0 where there is
+    none; ``flags`` (inputs, tokens) are those of the first decision of tokens that ``can`` repeat.
+    With that orientation a decision's error is one less its probability. Weights and gains climb
+    its logarithm. Weights count steps of opinions, so they are ``SCALE`` times smaller than those of whole units.
     """
-    if not len(st):
-        return np.zeros(0, np.float32)
-    lanes, k = int(lane.max()) + 1, st.shape[1]
-    weights = np.full((lanes * GATES, k), START, np.float32)
-    gain, offset = np.ones(lanes, np.float32), np.zeros(lanes, np.float32)
-    out = np.empty(len(st), np.float32)
-    off = np.concatenate(([0], np.cumsum(count)))
-    fresh = np.concatenate(([True], phase[1:] != phase[:-1]))
-    fresh[off[:-1]] = True
-    head = np.flatnonzero(fresh)
-    span = np.diff(np.append(head, len(st)))
-    groups = np.searchsorted(head, off[steps])
-    mine = np.repeat(lane, count)[head]
-    sets = mine * GATES + phase[head] + 3 * (np.abs(st[head, min(2, k - 1)]) > 0.5)
-    one = np.float32(1)
-    for a, b, ga, gb in zip(steps[:-1].tolist(), steps[1:].tolist(), groups[:-1].tolist(), groups[1:].tolist(), strict=True):
-        lo, hi = int(off[a]), int(off[b])
-        x, y, own, r, n = st[lo:hi], bit[lo:hi], lane[a:b], sets[ga:gb], span[ga:gb]
-        w = weights[r]
-        dot = np.einsum("ij,ij->i", np.repeat(w, n, axis=0), x)
-        e = (y - one / (one + np.exp(-dot))) * np.float32(RATE)
-        weights[r] = w + np.add.reduceat(e[:, None] * x, head[ga:gb] - lo, axis=0)
-        wide = count[a:b]
-        p = one / (one + np.exp(-(dot * np.repeat(gain[own], wide) + np.repeat(offset[own], wide))))
-        out[lo:hi] = p
-        e = (y - p) * np.float32(REFINE_RATE)
-        first = off[a:b] - lo
-        gain[own] = np.clip(gain[own] + np.add.reduceat(e * dot, first), 0.3, 3.0)
-        offset[own] += np.add.reduceat(e, first)
+    lanes = len(sizes)
+    sets = lanes * GATES
+    weights = np.empty((INPUTS, sets, DEPTH), np.float32)
+    for g in range(GATES):
+        weights[:, g::GATES] = START[g][:, None, None] / SCALE
+    gains = np.ones((sets, DEPTH), np.float32)
+    # rows move as one item
+    item, small = np.dtype((np.void, 4 * DEPTH)), np.dtype((np.void, DEPTH))
+    w_rows, g_rows, source = weights.view(item).reshape(-1), gains.view(item).reshape(-1), table.view(small).reshape(-1)
+    out = np.empty(int(sizes.sum()))
+    active = lanes - np.searchsorted(sizes[::-1], np.arange(int(sizes[0]) if lanes else 0), "right")
+    ends = np.cumsum(active)
+    one, rate, refine, least = np.float32(1), np.float32(RATE / SCALE**2), np.float32(REFINE_RATE / RATE * SCALE**2), np.float32(0.3)
+    s0 = 0
+    while s0 < len(active):
+        base = int(ends[s0] - active[s0])
+        s1 = max(s0 + 1, int(np.searchsorted(ends, base + CHUNK, "right")))
+        wide = active[s0:s1]
+        total = int(wide.sum())
+        cuts = np.cumsum(wide) - wide
+        lane = np.arange(total) - np.repeat(cuts, wide)
+        i = start[lane] + np.repeat(np.arange(s0, s1), wide)
+        own = lane * GATES + gate[i]
+        # step by step, input by input, lane by lane
+        place = np.repeat(INPUTS * cuts, wide) + lane
+        step = np.repeat(wide, wide)
+        pick, rows = np.empty(INPUTS * total, np.int64), np.empty(INPUTS * total, np.int64)
+        for k in range(INPUTS):
+            pick[place + k * step] = index[k, i]
+            rows[place + k * step] = own + k * sets
+        x = source.take(pick).view(np.int8).reshape(-1, DEPTH).astype(np.float32)
+        some = np.flatnonzero(can[i])
+        for k in range(len(flags)):
+            x[(place + k * step)[some], 0] = flags[k, i[some]]
+        q = np.empty((total, DEPTH), np.float32)
+        for lo, n in zip(cuts.tolist(), wide.tolist(), strict=True):
+            hi = lo + n
+            at, xs = rows[INPUTS * lo : INPUTS * hi], x[INPUTS * lo : INPUTS * hi].reshape(INPUTS, n, DEPTH)
+            w = w_rows.take(at).view(np.float32).reshape(INPUTS, n, DEPTH)
+            dot = np.add.reduce(w * xs, axis=0)
+            sure = g_rows.take(own[lo:hi]).view(np.float32).reshape(n, DEPTH)
+            e = np.exp(np.multiply(dot, sure, out=q[lo:hi]))
+            e += one
+            np.divide(rate, e, out=e)
+            w += e * sure * xs
+            w_rows[at] = w.reshape(-1).view(item)
+            e *= dot
+            e *= refine
+            sure += e
+            np.maximum(sure, least, out=sure)
+            g_rows[own[lo:hi]] = sure.reshape(-1).view(item)
+        # decisions that are not there come out as one half
+        np.negative(q, out=q)
+        np.exp(q, out=q)
+        q += one
+        p = np.divide(np.float32(2), q, out=q)
+        out[i] = np.log10(np.multiply.reduce(p, axis=1, dtype=np.float64)) - count[i] * np.log10(2)
+        s0 = s1
     return out
 
 
-def lanes(t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lane of each token, a whole text each; the tokens in the order of their places; where each place begins in it."""
-    place = np.arange(len(t.doc)) - t.start
-    lane = np.cumsum(place == 0) - 1
-    return lane, np.argsort(place, kind="stable"), np.concatenate(([0], np.cumsum(np.bincount(place))))
-
-
 class Model:
-    def __init__(self, total: int, distinct: int, cells: np.ndarray, code: Code, bits: int, plain: np.ndarray, spelling: Spelling):
-        self.total, self.distinct, self.cells, self.code, self.bits, self.spelling = total, distinct, cells, code, bits, spelling
-        self.plain = stretched(plain[::2] + plain[1::2], plain[1::2])
+    """The tables of fixed size: opinions without context, by the classes before, about repeats."""
+
+    def __init__(self, top: np.ndarray, stats: np.ndarray, keep: int, range_bits: int):
+        self.distinct, top = int(top[0]), top[1:].reshape(CLASSES, 1 << TOP)
+        self.total, self.keep, self.range_bits = int(top.sum()), keep, range_bits
+        short, flags = stats[: PAIRS << SHORT].reshape(PAIRS, 1 << SHORT), stats[PAIRS << SHORT :].reshape(RUNS, CLASSES, 2)
+        self.short, self.top = _tree(short), _tree(top)
+        self.classes = _tree(short.sum(0).reshape(1, CLASSES, -1).sum(2))[0]
+        self.flag_pair = stretched(flags, flags[..., ::-1])
+        run = flags.sum(1)
+        self.flag = stretched(run, run[..., ::-1])
+
+    def wide(self) -> np.ndarray:
+        """Opinions by the classes before as rows of all decisions."""
+        out = np.zeros((PAIRS << SHORT, DEPTH), np.int8)
+        out[:, 1 : 1 + SHORT] = self.short.reshape(-1, SHORT)
+        out.reshape(PAIRS, 1 << SHORT, DEPTH)[:, : 1 << SHORT - CLASS_BITS, 1 + CLASS_BITS :] = 0  # unknown words have no cells
+        return out
+
+    def words(self, row: dict) -> tuple[np.ndarray, np.ndarray]:
+        """Opinions without context of each word's string, and how many decisions it has; last two for unknown words and repeats."""
+        place, c = unpack(row["places"], np.uint64), unpack(row["counts"], np.int64)
+        cls, depth = tokens.class_of(c), unpack(row["depth"], np.uint8).astype(np.int64)
+        plain = np.zeros((len(c) + 2, DEPTH), np.int8)
+        plain[:-2, 1 : 1 + CLASS_BITS] = self.classes[cls]
+        plain[-2, 1 : 1 + CLASS_BITS] = self.classes[0]
+        plain[:-2, 1 + CLASS_BITS : 1 + CLASS_BITS + TOP] = self.top[cls, tokens.cell_of(place) >> CELL_BITS - TOP]
+        plain[:-2, 1 + CLASS_BITS + TOP :] = unpack(row["deep"], np.int8).reshape(len(c), -1)
+        used = np.concatenate((CLASS_BITS + np.where(cls > 0, depth, 0), [CLASS_BITS, 0]))
+        plain *= np.arange(DEPTH)[None, :] <= used[:, None]
+        return plain, used
 
     def score(self, row: dict) -> dict[str, np.ndarray]:
-        """Per text of a block: tokens, known tokens, base score, model score, bytes."""
-        n = len(row["held"])
-        out = {k: np.zeros(n) for k in ("n_tokens", "n_known", "base_score", "score", "spelled", "n_bytes")}
-        length = unpack(row["lengths"], np.int32).astype(np.int64)
-        counts = unpack(row["counts"], np.int64)
-        rare = np.flatnonzero(class_of(counts) == 0)
-        spelled, ends = unpack(row["spelled"], np.uint8), np.cumsum(length)
-        inner = np.arange(int(length[rare].sum())) - np.repeat(np.cumsum(length[rare]) - length[rare], length[rare])
-        spell = np.zeros(len(length))
-        spell[rare] = self.spelling.score(spelled[np.repeat((ends - length)[rare], length[rare]) + inner], length[rare])
-        runs = list(_tokens_of(row, train_only=False))
-        keys, event = np.unique(np.concatenate([t.events(self.bits) for *_, t in runs], axis=1), return_inverse=True)
-        event = event.reshape(ORDERS - 1, -1)
-        can, _, hit, cls, _ = strings(keys)
-        size = lengths(self.code, can, hit, cls)
-        off = np.cumsum(size) - size
-        answers = np.concatenate([unpack(a["counts"], np.int8) for a in sorted(row["answers"], key=lambda a: a["range"])])
-        at = 0
-        for _, _, number, t in runs:
-            def add(name: str, value: np.ndarray, doc: np.ndarray = t.doc) -> None:
-                out[name] += np.bincount(doc, weights=value, minlength=n)
-
-            add("n_tokens", np.ones(len(number)))
-            add("n_known", (t.c > 0).astype(float))
-            add("n_bytes", length[number] + 1.0)
-            add("base_score", np.log10((t.c + 1) / (self.total + self.distinct + 1)))
-            lane, order, steps = lanes(t)
-            count, token, node, bit = t.decisions(self.code, order)
-            st = np.empty((len(token), ORDERS), np.float32)
-            st[:, 0] = self.plain[node]
-            inner = np.arange(len(token)) - np.repeat(np.cumsum(count) - count, count)
-            for k in range(1, ORDERS):
-                st[:, k] = answers[np.repeat(off[event[k - 1, at : at + len(number)][order]], count) + inner]
-            at += len(number)
-            st *= np.float32(1 / 15)
-            phase = (node >= _CLASS).astype(np.int8) + (node >= _CELL)
-            p = mixed(st, phase, bit.astype(np.float32), count, lane[order], steps)
-            add("score", np.log10(np.clip(np.where(bit == 1, p, 1 - p), 1e-6, 1.0)), t.doc[token])
-            rest = ~t.hit
-            known = rest & (t.cls > 0)
-            value = np.zeros(len(number))
-            value[known] = np.log10(t.c[known] / self.cells[t.cls[known], t.cell[known]])
-            add("score", value)
-            add("spelled", np.where(rest & ~known, spell[number], 0.0))
-        return out
+        """Per text of a block: tokens, known tokens, base score, model score, log10 of spelling, bytes."""
+        t = Text(row, self.keep)
+        n = len(t.sizes)
+        plain, used = self.words(row)
+        none = len(used) - 1
+        word = np.where(t.hit, none, t.word)
+        short = t.pair << SHORT | t.strings[t.rank] >> STRING_BITS - SHORT
+        tables, index = [plain, self.wide()], [word, np.where(t.hit, none, len(plain) + short)]
+        decisions = np.arange(DEPTH)[None, :] <= used[:, None]
+        for k in ORDERS:
+            *_, asked, event = t.events(k)
+            rows, at = contexts.answered(row["answers"], k, self.range_bits, asked, event, t)
+            of = np.full(len(rows), none)
+            of[at] = word  # an event is one word
+            rows *= decisions[of]
+            index.append(at + sum(map(len, tables)))
+            tables.append(rows)
+        knows = [(rows[:, 1] != 0)[at - base] for rows, at, base in zip(tables[2:], index[2:], np.cumsum([len(x) for x in tables])[1:], strict=False)]
+        gate = np.where(t.can, 3, np.where(knows[1], 2, np.where(knows[0], 1, 0)))
+        hit = t.hit.astype(np.int8)
+        flags = np.stack([self.flag[t.run, hit], self.flag_pair[t.run, t.near, hit]])
+        longest = np.argsort(-t.sizes, kind="stable")
+        score = mixed(np.concatenate(tables), np.stack(index), flags, t.can, gate, t.can + used[word], t.start[longest], t.sizes[longest])
+        length, spell, share = unpack(row["lengths"], np.int32), np.frombuffer(row["spell"], np.float32), unpack(row["share"], np.float32)
+        unknown = (t.word == len(t.count)) & ~t.hit
+        score += np.where(unknown | t.hit, 0.0, share[t.number])
+        values = {
+            "n_tokens": np.ones(len(t.number)), "n_known": t.count[t.number] > 0, "base_score": np.log10((t.count[t.number] + 1) / (self.total + self.distinct + 1)),
+            "score": score, "spelled": np.where(unknown, spell[t.number], 0.0), "n_bytes": length[t.number] + 1.0,
+        }
+        return {k: np.bincount(t.doc, weights=v, minlength=n) for k, v in values.items()}
+
+
+def _tree(counts: np.ndarray) -> np.ndarray:
+    """Opinions of each leaf's path: counts (contexts, leaves) to (contexts, leaves, bits)."""
+    bits = counts.shape[1].bit_length() - 1
+    out = np.zeros((*counts.shape, bits), np.int8)
+    for d in range(bits):
+        same = counts.reshape(len(counts), 2 << d, -1).sum(2)
+        other = same.reshape(len(counts), -1, 2)[:, :, ::-1].reshape(same.shape)
+        seen = same + other > 0
+        out[:, :, d] = np.repeat(np.where(seen, stretched(same, other), 0), counts.shape[1] >> d + 1, axis=1)
+    return out
+
+
+def _coded(blocks: DataFrame, own: DataFrame, spell) -> DataFrame:
+    """Blocks with the counts, strings and spelling of their words."""
+    names = ["block", "doc_ids", "held", "sizes", "tokens", "places", "lengths"]
+    made = ["counts", "depth", "deep", "share", "spell"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = {c: [] for c in made}
+            for row in b.to_pylist():
+                got = sorted(row["answers"], key=lambda a: a["range"])
+                for c, kind in (("counts", np.int64), ("depth", np.uint8), ("deep", np.int8), ("share", np.float32)):
+                    out[c].append(tokens.pack(np.concatenate([unpack(a[c], kind) for a in got])))
+                c, length = unpack(out["counts"][-1], np.int64), unpack(row["lengths"], np.int32).astype(np.int64)
+                # words that some text does not know are spelled
+                rare, begin = np.flatnonzero(c < 2), np.cumsum(length) - length
+                inner = np.arange(int(length[rare].sum())) - np.repeat(np.cumsum(length[rare]) - length[rare], length[rare])
+                value = np.zeros(len(c), np.float32)
+                value[rare] = spell.value.score(unpack(row["spelled"], np.uint8)[np.repeat(begin[rare], length[rare]) + inner], length[rare])
+                out["spell"].append(value.tobytes())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *(pa.array(out[c], pa.binary()) for c in made)], names=[*names, *made])
+
+    schema = "block long, doc_ids array<long>, held array<boolean>, " + ", ".join(f"{c} binary" for c in [*names[3:], *made])
+    return blocks.select(*names, "spelled").join(own, "block").mapInArrow(run, schema)
 
 
 _COLUMNS = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
 
 
+def _scored(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for b in batches:
+            for row in b.to_pylist():
+                s, k = m.score(row), len(row["held"])
+                columns = [pa.array(row["doc_ids"], pa.int64()), pa.array(row["held"], pa.bool_()), *(pa.array(s[c].astype(np.int64)) for c in ("n_tokens", "n_known")), pa.array([m.total] * k, pa.int64())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(s["base_score"]), pa.array(s["score"]), pa.array(-(s["score"] + s["spelled"]) / np.log10(2) / s["n_bytes"])], names=[c.split()[0] for c in _COLUMNS.split(", ")])
+
+    return run
+
+
+def _total(df: DataFrame, column: str) -> np.ndarray:
+    """Sum of packed arrays of fixed size; at most 64 of them reach the driver."""
+    return np.sum([unpack(r[0], np.int64) for r in df.select(F.col(column).alias("counts")).coalesce(64).mapInArrow(tokens.summed, "counts binary").collect()], axis=0)
+
+
+def _lists(answers: DataFrame, *columns: str) -> DataFrame:
+    """What ranges answered each block: bounded by the words, or events, of the block."""
+    return answers.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("range", *columns)).alias("answers"))
+
+
 def language_model_scores(docs: DataFrame) -> DataFrame:
     """Score all whole texts of ``docs`` (doc_id, text) by a model of those that are not held out.
 
@@ -591,52 +291,36 @@ def language_model_scores(docs: DataFrame) -> DataFrame:
     doc_id, held_out, n_tokens (words and the end), n_known (tokens seen in training), train_tokens,
     base_score (add-one unigram log10 probability), score (the model's log10 probability; as in the
     base all unknown words are one event) and bits_per_byte (with the spelling of unknown words, over the
-    bytes of words and ends). Null and empty texts are the end alone. Repeated rows are texts of their own. An
-    empty table gives no rows; without training texts every word is unknown.
+    bytes of words and ends). Null and empty texts are the end alone. Repeated rows are texts of their own. Other
+    columns are not read. An empty table gives no rows; without training texts every word is unknown.
+    Runs its jobs when called; the result is a table in the shared folder, other tables of it are deleted.
     """
     spark = docs.sparkSession
-    rows_per_batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(rows_per_batch)
     small_batches(spark)
     held = F.coalesce(crc32_mod("doc_id", HELD_MOD) == HELD_REST, F.lit(False))
-    blocks = stored(docs.select("doc_id", "text", held.alias("held_out")).mapInArrow(_blocked, _BLOCKS), "blocks")
-    spark.conf.set(rows_per_batch, "1")  # rows are blocks from here on
-    entries, tokens = blocks.agg(F.sum("n_words"), F.sum("n_tokens")).first()
-    if not entries:
-        return spark.createDataFrame([], _COLUMNS)
-    ranges = -(-entries // RANGE)
-    asks = blocks.select("block", "lengths", "spelled", "own").mapInArrow(_asks(ranges), "range int, block long, hashes binary, counts binary")
-    answers = stored(asks.groupBy("range").applyInArrow(_answers, "block long, range int, counts binary"), "answers")
-    total = np.sum([unpack(r[0], np.int64) for r in answers.where("block = -1").select("counts").coalesce(64).mapInArrow(_summed, "counts binary").collect()], axis=0)
-    cells = total[2:].reshape(CLASSES, -1)
-    mass = cells.sum(1)
-    mass[0], mass[1] = mass[1], mass[2] // 2  # as training tokens count without themselves
-    code = Code(mass + 1)
-    own = answers.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("range", "counts")).alias("answers"))
-    coded = blocks.select("block", "doc_ids", "held", "sizes", "tokens", "lengths", "spelled").join(own, "block").mapInArrow(
-        _coded(ranges, code), "block long, doc_ids array<long>, held array<boolean>, sizes binary, tokens binary, lengths binary, spelled binary, counts binary, plain binary"
-    )
-    coded = stored(coded, "coded")
-    bits = min(64 - int(_ORDER), tokens.bit_length() + SPARE)
-    ranges = -(-tokens * (ORDERS - 1) // EVENTS)
-    asks = coded.select("block", "held", "sizes", "tokens", "lengths", "spelled", "counts").mapInArrow(_context_asks(bits, ranges), "range int, block long, keys binary, counts binary")
-    answers = asks.groupBy("range").applyInArrow(_context_answers(code), "block long, range int, counts binary")
-    own = answers.groupBy("block").agg(F.collect_list(F.struct("range", "counts")).alias("answers"))
-    plain = np.sum([unpack(r[0], np.int64) for r in coded.select(F.col("plain").alias("counts")).coalesce(64).mapInArrow(_summed, "counts binary").collect()], axis=0)
-    model = Model(int(total[0]), int(total[1]), cells, code, bits, plain, _spelling(blocks))
-    shared = spark.sparkContext.broadcast(model)  # of fixed size
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for b in batches:
-            for row in b.to_pylist():
-                s = m.score(row)
-                k = len(row["held"])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(row["doc_ids"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(s["n_tokens"].astype(np.int64)), pa.array(s["n_known"].astype(np.int64)), pa.array([m.total] * k, pa.int64()), pa.array(s["base_score"]), pa.array(s["score"]), pa.array(-(s["score"] + s["spelled"]) / np.log10(2) / s["n_bytes"])],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"],
-                )
-
-    scores = stored(coded.drop("plain").join(own, "block").mapInArrow(scored, _COLUMNS), "scores")
-    spark.conf.set(rows_per_batch, before)
-    return scores
+    with Scratch(spark) as scratch:
+        rows = docs.select("doc_id", "text", held.alias("held_out"))
+        # a block takes as many steps as its longest text has tokens, so long texts meet others of their length
+        size = F.coalesce(F.octet_length("text"), F.lit(0))
+        long = rows.where(size >= LONG).repartitionByRange(size)
+        blocks = rows.where(size < LONG).mapInArrow(tokens.blocked(0), tokens.BLOCKS).union(long.mapInArrow(tokens.blocked(1), tokens.BLOCKS))
+        blocks = scratch.stored(blocks, "blocks")
+        with session_conf(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "1"}):  # rows are blocks from here on
+            entries, n = blocks.agg(F.sum("n_words"), F.sum("n_tokens")).first()
+            if not entries:
+                return spark.createDataFrame([], _COLUMNS)
+            word_bits = min(CELL_BITS, (-(-entries // tokens.RANGE) - 1).bit_length())
+            asks = blocks.select("block", "places", "own").mapInArrow(tokens.word_asks(word_bits), tokens.WORD_ASKS)
+            answers = scratch.stored(asks.groupBy("range").applyInArrow(tokens.word_answers(word_bits), tokens.WORD_ANSWERS), "words")
+            top = _total(answers.where("block = -1"), "counts")
+            spell = spark.sparkContext.broadcast(spelling(blocks))  # of fixed size
+            coded = scratch.stored(_coded(blocks, _lists(answers, "counts", "depth", "deep", "share"), spell), "coded")
+            scratch.drop("blocks", "words")
+            range_bits = (-(-n // contexts.EVENTS) - 1).bit_length()
+            keep = min(64 - STRING_BITS + range_bits, 64, n.bit_length() + contexts.SPARE)
+            asks = coded.select("block", "held", "sizes", "tokens", "places", "counts").mapInArrow(contexts.context_asks(keep, range_bits), contexts.ASKS)
+            answers = scratch.stored(asks.groupBy("range").applyInArrow(contexts.context_answers, contexts.ANSWERS), "contexts")
+            model = Model(top, _total(answers.where("block = -1"), "train"), keep, range_bits)
+            shared = spark.sparkContext.broadcast(model)  # of fixed size
+            scores = coded.join(_lists(answers, "train", "held"), "block").mapInArrow(_scored(shared), _COLUMNS)
+            return scratch.stored(scores, "scores", stays=True)
