@@ -1,10 +1,15 @@
 """SentencePiece (BPE with byte fallback) encoding and decoding by vectorised merge rounds.
 
 The symbols of all words of a batch lie in one flat numpy array. A round looks up the rank of
-every neighbouring pair, takes the minimum per word, merges its leftmost occurrences in all words
-at once and compacts the array; words without a pair leave. It ends when no pair remains. Equal
-pairs merge together only if no pair that their product can form outranks them; otherwise a word
-merges its leftmost one, so the result is that of merging one pair at a time.
+every neighbouring pair, takes the minimum per segment, merges its leftmost occurrences in all
+segments at once and compacts the array; words without a pair leave. It ends when no pair remains.
+Equal pairs merge together only if no pair that their product can form outranks them; otherwise a
+segment merges its leftmost one, so the result is that of merging one pair at a time.
+
+A short word is one segment. In a long one every pair has its own: the symbols that a longest piece
+can reach on either side. What changes a pair's symbols before its turn is a chain of merges that
+begins at a pair of no worse rank within that reach, so a pair that is the minimum there is safe to
+merge, however long the word is; rounds do not grow with it.
 
 Words are cut where no piece of the model can reach across (before a space mark, at characters
 that no longer piece holds), which the vocabulary itself tells; each worker keeps a bounded memo of
@@ -27,6 +32,8 @@ MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: Words whose encoding a worker remembers, and symbols of one pass of merge rounds.
 MEMO, PASS = 300_000, 1 << 20
+#: Rank of what is no pair.
+NONE = np.int64(1 << 40)
 
 
 def _path(name: str) -> str:
@@ -79,6 +86,7 @@ class Pieces:
         risky = np.zeros(n, bool)
         risky[[i for i in own if best.get(i, own[i] + 1) <= own[i]]] = True
         self.risky = risky[self.made]
+        self.reach = max(map(len, ids))
         self.char = np.arange(0x110000, dtype=np.int64) + n
         for p, i in ids.items():
             if len(p) == 1:
@@ -90,37 +98,76 @@ class Pieces:
         marks_ok = not any(x[1] == MARK and x[0] != MARK for x in inner)
         self.cut = re.compile(f"{MARK}*[^{MARK}{stop}]+|{MARK}+" + (f"|[{stop}]" if stop else "") if marks_ok else r"(?s).+")
         self.memo: dict[str, tuple[int, str, str]] = {}
+        probe = " A\u00c5\uff21  e\u0301\tx \n\u3000"
+        if lib.normalize(probe) != self.marked(probe):
+            raise ValueError("models that normalise texts, beyond a mark for each space and one before the text, are not supported")
+
+    @staticmethod
+    def marked(text: str) -> str:
+        return MARK + text.replace(" ", MARK)
 
     def merged(self, words: list[str]) -> list[np.ndarray]:
         """The symbols that remain of each word after all merges."""
-        sizes = np.array([len(w) for w in words])
+        out: list[np.ndarray] = [None] * len(words)
+        for long in (False, True):
+            which = [i for i, w in enumerate(words) if (len(w) > self.reach) == long]
+            for i, syms in zip(which, self.rounds([words[i] for i in which], long), strict=True):
+                out[i] = syms
+        return out
+
+    def least(self, rank: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The least rank within reach before each pair of its word, and from it on."""
+        after = rank.copy()
+        before = np.full_like(rank, NONE)
+        before[1:][word[1:] == word[:-1]] = rank[:-1][word[1:] == word[:-1]]
+        step, width = 1, 1
+        while width < self.reach + 1:
+            step = min(width, self.reach + 1 - width)
+            same = word[step:] == word[:-step] if step < len(word) else np.zeros(0, bool)
+            if len(same):
+                np.minimum(after[:-step], after[step:].copy(), out=after[:-step], where=same)
+                np.minimum(before[step:], before[:-step].copy(), out=before[step:], where=same)
+            width += step
+        return before, after
+
+    def rounds(self, words: list[str], long: bool) -> list[np.ndarray]:
+        """Merge rounds over words that are all longer than the reach, or all not."""
+        sizes = np.array([len(w) for w in words], np.int64)
         sym = self.char[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)]
         word = np.repeat(np.arange(len(words)), sizes)
         out: list[np.ndarray] = [None] * len(words)
-        none = np.int64(1 << 40)
         while len(sym):
             key = sym[:-1] * self.width + sym[1:]
             at = np.searchsorted(self.keys, key)
             at[at == len(self.keys)] = 0
             ok = (self.keys[at] == key) & (word[1:] == word[:-1])
-            rank = np.full(len(sym), none)
+            rank = np.full(len(sym), NONE)
             rank[:-1][ok] = self.ranks[at[ok]]
             first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
             least = np.minimum.reduceat(rank, first)
             size = np.diff(np.append(first, len(sym)))
-            done = least == none
+            done = least == NONE
             if done.any():
                 for f, s in zip(first[done].tolist(), size[done].tolist(), strict=True):
                     out[word[f]] = sym[f : f + s]
-            hit = np.flatnonzero((rank == np.repeat(least, size)) & (rank != none))
+            if long:
+                before, after = self.least(rank, word)
+                hit = np.flatnonzero((rank == np.minimum(before, after)) & (rank != NONE))
+                lead = before[hit] > rank[hit]
+            else:
+                hit = np.flatnonzero((rank == np.repeat(least, size)) & (rank != NONE))
+                lead = np.concatenate(([True], word[hit][1:] != word[hit][:-1])) if len(hit) else hit
             if not len(hit):
                 break
-            # of overlapping hits every second stays; a risky product merges once a word
+            # of overlapping hits every second stays; a risky product merges once a segment
             run = np.concatenate(([True], np.diff(hit) != 1))
             place = np.arange(len(hit))
-            odd = (place - np.maximum.accumulate(np.where(run, place, 0))) & 1
-            lead = np.concatenate(([True], word[hit][1:] != word[hit][:-1]))
-            hit = hit[((odd == 0) & ~self.risky[at[hit]]) | lead]
+            start = np.maximum.accumulate(np.where(run, place, 0))
+            even = (place - start) & 1 == 0
+            if long:  # a run waits until its first pair is settled
+                held = (hit > 0) & (rank[hit - 1] == rank[hit]) & (word[hit - 1] == word[hit])
+                even &= ~held[start]
+            hit = hit[(even & ~self.risky[at[hit]]) | lead]
             sym[hit] = self.made[at[hit]]
             stay = ~np.repeat(done, size)
             stay[hit + 1] = False
@@ -163,7 +210,7 @@ class Pieces:
     def cut_words(self, text: str | None) -> list[str]:
         if not text:
             return []
-        return self.cut.findall(MARK + text.replace(" ", MARK))
+        return self.cut.findall(self.marked(text))
 
     def encode_words(self, cut: list[list[str]]) -> list[list[tuple[int, str, str]]]:
         """The memo's entries of the words of each text, new words encoded together."""

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import public_tokenizers
 import sentencepiece
@@ -56,6 +57,24 @@ def test_pieces_equal_the_library():
         assert own.encode(t) == ids and own.decode(ids) == lib.decode(ids), repr(t)
 
 
+def test_long_words_equal_the_library():
+    """Words without a space, as long as texts, in time that grows with them."""
+    path = public_tokenizers.path(MODEL)
+    lib, own = sentencepiece.SentencePieceProcessor(model_file=path), pieces(path)
+    r = random.Random(5)
+    english = "thequickbrownfoxjumpsoverthelazydogandthenitgoesonandonuntilsomebodystopsit"
+    for n in (100, 3000, 80_000):
+        for letters in ("abcdefghijklmnopqrstuvwxyz", "ab", "aaab", "ing", "etaoinshr", "0123456789abcdef", "-=", english):
+            word = "".join(r.choices(letters, k=n)) if letters is not english else (english * (n // 70 + 1))[:n]
+            began = time.process_time()
+            ids = own.encode(word, end=False)
+            assert ids == lib.encode(word), (letters, n)
+            assert time.process_time() - began < 5, (letters, n)
+    for n in (17, 33, 1000, 50_000):
+        for unit in ("a", "ab", "-", "=-", "haha", "\u4e2d"):
+            assert own.encode(unit * n, end=False) == lib.encode(unit * n), (unit, n)
+
+
 def test_encode_decode(spark, edge, nothing):
     lib = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(MODEL))
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
