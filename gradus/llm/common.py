@@ -82,18 +82,24 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths, self.held, self.conf = spark, {}, [], session_conf(spark, TIDY)
+        self.spark, self.paths, self.tables, self.held, self.conf = spark, {}, [], [], session_conf(spark, TIDY)
 
     def __enter__(self) -> Scratch:
         self.conf.__enter__()
         return self
 
-    def stored(self, df: DataFrame, name: str, stays: bool = False) -> DataFrame:
+    def stored(self, df: DataFrame, name: str, stays: bool = False, by: str | None = None) -> DataFrame:
+        """``df`` written and read back; with ``by`` in buckets of that column, which joins need not deal out again."""
         path = shared_path(self.spark, name)
         if not stays:
             self.paths.setdefault(name, []).append(path)
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        if by is None:
+            df.write.parquet(path)
+            return self.spark.read.schema(df.schema).parquet(path)
+        table = path.rsplit("/", 1)[1].replace("-", "_")
+        self.tables.append(table)
+        df.write.bucketBy(int(self.spark.conf.get("spark.sql.shuffle.partitions")), by).option("path", path).saveAsTable(table)
+        return self.spark.table(table)
 
     def kept(self, df: DataFrame) -> DataFrame:
         self.held.append(kept(df))
@@ -112,6 +118,8 @@ class Scratch:
     def __exit__(self, *error) -> None:
         self.conf.__exit__(*error)
         self.free()
+        for table in self.tables:
+            self.spark.sql(f"drop table if exists {table}")
         self.drop()
 
 

@@ -18,7 +18,7 @@ from .lm_tokens import CELL_BITS, CLASS_BITS, CLASSES, LEAST, STRING_BITS, cell_
 from .textkernel import mix
 
 #: Tokens of one range of contexts; bits of a context beyond those of the number of tokens.
-EVENTS, SPARE = 1 << 19, 8
+EVENTS, SPARE = 1 << 19, 6
 #: Orders of context that are counted so: the word before, two words before.
 ORDERS = (1, 2)
 #: Leading bits of a string that the classes of the two words before tell about, and the number of such contexts.
@@ -147,13 +147,16 @@ ANSWERS = "block long, range int, train binary, held binary"
 
 
 def squeezed(rows: np.ndarray) -> bytes:
-    """Rows of opinions about strings, compressed."""
-    return len(rows).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(rows), codec="zstd", asbytes=True)
+    """Rows of opinions about strings, bit by bit, compressed."""
+    return len(rows).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(rows.T), codec="zstd", asbytes=True)
 
 
-def spread(raw: bytes) -> np.ndarray:
+def spread(raw: bytes, out: np.ndarray) -> int:
+    """Put rows into the columns of ``out`` after its first; how many there are."""
     n = int.from_bytes(raw[:8], "little")
-    return np.frombuffer(pa.decompress(raw[8:], n * STRING_BITS, codec="zstd", asbytes=True), np.int8).reshape(n, STRING_BITS)
+    if len(out):
+        out[:n, 1:] = np.frombuffer(pa.decompress(raw[8:], n * STRING_BITS, codec="zstd", asbytes=True), np.int8).reshape(STRING_BITS, n).T
+    return n
 
 
 def context_answers(t: pa.Table) -> pa.Table:
@@ -179,14 +182,12 @@ def context_answers(t: pa.Table) -> pa.Table:
     return pa.table({"block": t.column("block"), "range": pa.array([r] * len(keys), pa.int32()), "train": pa.array(train, pa.binary()), "held": pa.array(held, pa.binary())})
 
 
-def answered(answers: list[dict], k: int, range_bits: int, asked: np.ndarray, event: np.ndarray, text: Text) -> tuple[np.ndarray, np.ndarray]:
-    """All rows of opinions of one order (about every decision), the last of zeros, and the row of each token (the last where it asked nothing)."""
-    own = sorted((a for a in answers if a["range"] >> range_bits == k - 1), key=lambda a: a["range"])
-    train, held = ([spread(a[c]) for a in own] for c in ("train", "held"))
-    first = sum(map(len, train))
-    rows, at = np.zeros((first + sum(map(len, held)) + 1, 1 + STRING_BITS), np.int8), 0
-    for part in (*train, *held):
-        rows[at : at + len(part), 1:] = part
-        at += len(part)
+def answered(answers: list[dict], k: int, range_bits: int, asked: np.ndarray, event: np.ndarray, text: Text, table: np.ndarray) -> np.ndarray:
+    """Puts all rows of opinions of one order (about every decision) into ``table``; the row of each token, the one after the last where it asked nothing."""
+    own, at = sorted((a for a in answers if a["range"] >> range_bits == k - 1), key=lambda a: a["range"]), 0
+    for who in ("train", "held"):
+        for a in own:
+            at += spread(a[who], table[at:])
+    first = int((asked >> 1).sum())
     place = np.where(text.held, (first - 1 + np.cumsum(asked & 1))[event], (np.cumsum(asked >> 1) - 1)[event])
-    return rows, np.where(text.hit, len(rows) - 1, place)
+    return np.where(text.hit, at, place)

@@ -168,12 +168,10 @@ class Model:
         run = flags.sum(1)
         self.flag = stretched(run, run[..., ::-1])
 
-    def wide(self) -> np.ndarray:
+    def wide(self, out: np.ndarray) -> None:
         """Opinions by the classes before as rows of all decisions."""
-        out = np.zeros((PAIRS << SHORT, DEPTH), np.int8)
         out[:, 1 : 1 + SHORT] = self.short.reshape(-1, SHORT)
         out.reshape(PAIRS, 1 << SHORT, DEPTH)[:, : 1 << SHORT - CLASS_BITS, 1 + CLASS_BITS :] = 0  # unknown words have no cells
-        return out
 
     def words(self, row: dict) -> tuple[np.ndarray, np.ndarray]:
         """Opinions without context of each word's string, and how many decisions it has; last two for unknown words and repeats."""
@@ -196,22 +194,29 @@ class Model:
         none = len(used) - 1
         word = np.where(t.hit, none, t.word)
         short = t.pair << SHORT | t.strings[t.rank] >> STRING_BITS - SHORT
-        tables, index = [plain, self.wide()], [word, np.where(t.hit, none, len(plain) + short)]
-        decisions = np.arange(DEPTH)[None, :] <= used[:, None]
-        for k in ORDERS:
-            *_, asked, event = t.events(k)
-            rows, at = contexts.answered(row["answers"], k, self.range_bits, asked, event, t)
-            of = np.full(len(rows), none)
-            of[at] = word  # an event is one word
-            rows *= decisions[of]
-            index.append(at + sum(map(len, tables)))
-            tables.append(rows)
-        knows = [(rows[:, 1] != 0)[at - base] for rows, at, base in zip(tables[2:], index[2:], np.cumsum([len(x) for x in tables])[1:], strict=False)]
-        gate = np.where(t.can, 3, np.where(knows[1], 2, np.where(knows[0], 1, 0)))
+        of = [t.events(k)[3:] for k in ORDERS]
+        ends = np.cumsum([len(plain), PAIRS << SHORT, *(int((asked >> 1).sum() + (asked & 1).sum()) for asked, _ in of)])
+        table, index = np.zeros((ends[-1], DEPTH), np.int8), np.empty((INPUTS, len(word)), np.int32)
+        table[: ends[0]] = plain
+        self.wide(table[ends[0] : ends[1]])
+        index[0], index[1] = word, np.where(t.hit, none, ends[0] + short)
+        decisions = (np.arange(DEPTH)[None, :] <= used[:, None]).view(np.int8)
+        knows = []
+        for k, (asked, event) in zip(ORDERS, of, strict=True):
+            rows = table[ends[k] : ends[k + 1]]
+            at = contexts.answered(row["answers"], k, self.range_bits, asked, event, t, rows)
+            own = np.full(len(rows) + 1, none)
+            own[at] = word  # an event is one word
+            for lo in range(0, len(rows), CHUNK):
+                rows[lo : lo + CHUNK] *= decisions[own[lo : min(len(rows), lo + CHUNK)]]
+            knows.append(np.append(rows[:, 1] != 0, False)[at])
+            index[1 + k] = np.where(t.hit, none, at + ends[k])
+        gate = np.where(t.can, 3, np.where(knows[1], 2, np.where(knows[0], 1, 0))).astype(np.int8)
+        del of, own, rows
         hit = t.hit.astype(np.int8)
         flags = np.stack([self.flag[t.run, hit], self.flag_pair[t.run, t.near, hit]])
         longest = np.argsort(-t.sizes, kind="stable")
-        score = mixed(np.concatenate(tables), np.stack(index), flags, t.can, gate, t.can + used[word], t.start[longest], t.sizes[longest])
+        score = mixed(table, index, flags, t.can, gate, t.can + used[word], t.start[longest], t.sizes[longest])
         length, spell, share = unpack(row["lengths"], np.int32), np.frombuffer(row["spell"], np.float32), unpack(row["share"], np.float32)
         unknown = (t.word == len(t.count)) & ~t.hit
         score += np.where(unknown | t.hit, 0.0, share[t.number])
@@ -314,7 +319,8 @@ def language_model_scores(docs: DataFrame) -> DataFrame:
             answers = scratch.stored(asks.groupBy("range").applyInArrow(tokens.word_answers(word_bits), tokens.WORD_ANSWERS), "words")
             top = _total(answers.where("block = -1"), "counts")
             spell = spark.sparkContext.broadcast(spelling(blocks))  # of fixed size
-            coded = scratch.stored(_coded(blocks, _lists(answers, "counts", "depth", "deep", "share"), spell), "coded")
+            # dealt by block, so that what the contexts answer comes to it
+            coded = scratch.stored(_coded(blocks, _lists(answers, "counts", "depth", "deep", "share"), spell), "coded", by="block")
             scratch.drop("blocks", "words")
             range_bits = (-(-n // contexts.EVENTS) - 1).bit_length()
             keep = min(64 - STRING_BITS + range_bits, 64, n.bit_length() + contexts.SPARE)

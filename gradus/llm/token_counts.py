@@ -2,9 +2,12 @@
 
 Each text gets a digest of its normalised content together with a digest of the tokenizer file.
 Digests that the cache holds take their stored count; of the rest one text per digest is encoded
-and its count appended to the cache, a Parquet table that any number of runs share. Copies reduce
-on the map side before anything is dealt out, and the final join moves digests only, so a group of
-copies of a third of all rows is one row on one side and rows of a few bytes on the other.
+and its count appended to the cache, a Parquet table that any number of runs share, in a folder for
+each tokenizer version. Only digests and marks (other hashes of the text as it stands, cheap to
+compute again) meet the cache; texts are dealt out only if a bitmap of fixed size has the mark of a
+miss. Copies reduce on the map side before anything is dealt out, and the final join moves digests
+only, so a group of copies of a third of all rows is one row on one side and rows of a few bytes on
+the other.
 
 The normal form changes nothing that the tokenizer sees: runs of white space become one space and
 A-Z becomes a-z, and only for tokenizers whose own normaliser does that; texts that hold the first
@@ -20,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, kept, shared_path, small_batches, text_of
+from .common import SPACE, TIDY, kept, session_conf, shared_path, small_batches, text_of
 
 MODEL = "word_bpe_49k.json"
 LIMIT = 2048
 #: Words whose count a worker remembers.
 MEMO = 500_000
+#: log2 of the bits of the map that tells which texts can be misses.
+MAP_BITS = 24
 _CACHE = "digest string, version string, n_tokens long"
 
 
@@ -127,11 +132,35 @@ def _counted(batches: Iterator[pa.RecordBatch], model: str, name: str) -> Iterat
 
 def cached(spark: SparkSession, cache: str, name: str) -> DataFrame:
     """digest, n_tokens that the cache holds for a tokenizer version; empty if there is no cache yet."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(cache)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{cache}/version={name}")
     there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-    rows = spark.read.schema(_CACHE).parquet(cache) if there else spark.createDataFrame([], _CACHE)
+    rows = spark.read.schema(_CACHE).parquet(path.toString()) if there else spark.createDataFrame([], _CACHE)
     # two runs at once may append the same digest; their counts agree
-    return rows.where(F.col("version") == name).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
+    return rows.groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
+
+
+def _marked(marks: DataFrame, bits: int = MAP_BITS) -> DataFrame:
+    """One row: a bitmap of 2^``bits`` bits of ``marks`` (mark), in pieces of 32,768 bits by their number."""
+    at = F.pmod("mark", F.lit(1 << bits))
+    per = marks.select(F.bitmap_bucket_number(at).alias("piece"), F.bitmap_bit_position(at).alias("bit")).groupBy("piece").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    return per.agg(F.map_from_entries(F.collect_list(F.struct("piece", "bits"))).alias("_map"))  # 2^(bits - 15) pieces of 4 KB at most
+
+
+def _may_be(mark: Column, bits: int = MAP_BITS) -> Column:
+    """Whether the bitmap in ``_map`` has the bit of a mark."""
+    at = F.pmod(mark, F.lit(1 << bits))
+    place = F.bitmap_bit_position(at)
+    byte = F.substring(F.col("_map")[F.bitmap_bucket_number(at)], (place / 8).cast("int") + 1, F.lit(1))
+    bit = F.call_function("shiftright", F.conv(F.hex(byte), 16, 10).cast("int"), F.pmod(place, F.lit(8)).cast("int"))
+    return F.coalesce(bit.bitwiseAND(F.lit(1)) == 1, F.lit(False))
+
+
+def missing(docs: DataFrame, misses: DataFrame, hits: bool) -> DataFrame:
+    """digest, text of one text for each of ``misses`` (mark, size, digest); of ``docs`` (text, mark, size) only possible misses move."""
+    if hits:
+        docs = docs.join(F.broadcast(_marked(misses.select("mark")))).where(_may_be(F.col("mark"))).drop("_map")
+    one = docs.groupBy("mark", "size").agg(F.first("text").alias("text"))
+    return one.join(misses.select("mark", "size", "digest").hint("shuffle_hash"), ["mark", "size"]).select("digest", "text")
 
 
 def token_counts(docs: DataFrame, cache: str | None = None, model: str | None = None, limit: int = LIMIT) -> DataFrame:
@@ -141,7 +170,7 @@ def token_counts(docs: DataFrame, cache: str | None = None, model: str | None =
     ``cache`` is the folder of the digest cache, new in the shared folder if not given; misses are
     appended to it before this returns. Returns doc_id, n_bytes, n_tokens, over_limit (more than
     ``limit`` tokens) and digest for each row. Null texts count as empty, of 0 tokens; null or
-    repeated ids and rows do not matter; an empty table gives no rows.
+    repeated ids and rows do not matter; other columns are not read; an empty table gives no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -150,14 +179,19 @@ def token_counts(docs: DataFrame, cache: str | None = None, model: str | None =
     with open(local, encoding="utf-8") as f:
         by_word = normalises(json.load(f))
     cache = cache or shared_path(spark, "token-cache")
-    text = text_of()
-    seen = docs.select("doc_id", text.alias("text"))
+    # two hashes and the length tell texts apart where the digest tells normal forms apart
+    size = F.octet_length("text").cast("long") * (1 << 32) + F.crc32(F.col("text").cast("binary"))
+    seen = docs.select("doc_id", text_of().alias("text"))
     digest = F.sha2(normal(F.col("text"), by_word).cast("binary"), 256)
-    rows = kept(seen.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), digest.alias("digest")))
-    misses = rows.select("digest").distinct().join(cached(spark, cache, name), "digest", "left_anti")
-    if not misses.isEmpty():
-        one = seen.select(digest.alias("digest"), "text").groupBy("digest").agg(F.first("text").alias("text"))
-        missing = one.join(misses.hint("shuffle_hash"), "digest", "left_semi")
-        missing.mapInArrow(lambda it: _counted(it, model, name), _CACHE).write.mode("append").parquet(cache)
+    rows = kept(seen.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), digest.alias("digest"), F.xxhash64("text").alias("mark"), size.alias("size")))
+    known = cached(spark, cache, name)
+    one = rows.groupBy("digest").agg(F.min(F.struct("mark", "size")).alias("m")).select("digest", "m.mark", "m.size")
+    hits = not known.isEmpty()
+    misses = kept(one.join(known, "digest", "left_anti"))
+    with session_conf(spark, TIDY):
+        if not misses.isEmpty():
+            texts = seen.select("text", F.xxhash64("text").alias("mark"), size.alias("size"))
+            missing(texts, misses, hits).mapInArrow(lambda it: _counted(it, model, name), _CACHE).write.mode("append").parquet(f"{cache}/version={name}")
+    misses.unpersist()
     counts = cached(spark, cache, name)
     return rows.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "digest")

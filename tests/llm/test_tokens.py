@@ -4,6 +4,7 @@ import time
 
 import public_tokenizers
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from gradus.llm import token_counts as tc
@@ -49,6 +50,21 @@ def test_cache_holds_only_distinct_misses(spark, edge, tmp_path):
     assert spark.read.parquet(cache).count() == before + 1
 
 
+def test_hits_send_no_text(spark, tmp_path):
+    """Of texts that the cache holds, the bitmap lets almost none pass; every miss passes."""
+    rows = spark.range(4000).select(F.concat(F.lit("text "), F.col("id").cast("string")).alias("text")).withColumn("mark", F.xxhash64("text")).withColumn("size", F.length("text").cast("long"))
+    misses = rows.where("text like '%7'").withColumn("digest", F.md5("text"))
+    through = rows.join(F.broadcast(tc._marked(misses.select("mark")))).where(tc._may_be(F.col("mark")))
+    assert 400 <= through.count() < 410
+    got = tc.missing(rows, misses, True).collect()
+    assert sorted(r["text"] for r in got) == sorted(f"text {i}" for i in range(7, 4000, 10)) and all(hashlib.md5(r["text"].encode()).hexdigest() == r["digest"] for r in got)
+    cache = str(tmp_path / "cache")
+    docs = rows.select(F.lit(1).alias("doc_id"), "text")
+    tc.token_counts(docs, cache).count()
+    files = sorted(p.name for p in (tmp_path / "cache").rglob("*.parquet"))
+    assert tc.token_counts(docs, cache).count() == 4000 and files == sorted(p.name for p in (tmp_path / "cache").rglob("*.parquet"))
+
+
 def test_pieces_equal_the_library():
     path = public_tokenizers.path(MODEL)
     lib, own = sentencepiece.SentencePieceProcessor(model_file=path), pieces(path)
