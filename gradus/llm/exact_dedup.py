@@ -1,12 +1,14 @@
-"""Exact dedup by a tree merge of digest runs (DataFrame functions only).
-
-Each input partition is a run: its rows are reduced to one row per digest with the
-identifier that stays. Runs then meet in rounds: in each round ``fan_in`` neighbouring
-runs become one, digest by digest, and every level keeps the verified best identifier
-(most code points, then smallest doc_id, then first row) and the number of rows. The
-last level has one run, whose digests are dealt over all tasks; no level ever holds the
-texts, and a digest has at most ``fan_in`` rows per task that merges it, so a group of
-copies that holds a third of all rows costs no more than any other.
+"""Exact dedup by a tree merge of sorted digest runs (DataFrame functions only).
+
+Rows are dealt by the input partition they come from: each is a run, sorted by digest and reduced to one
+row per digest with the identifier that stays. Runs then meet in binomial rounds: in round k every
+run exchanges with the partners whose numbers differ from its own in digit k alone, and keeps of
+all of them the digests that have that digit; each partition merges the sorted parts that it gets,
+digest by digest, and retains the verified best identifier (most code points, then smallest doc_id,
+then first row) and the number of rows. After one round for each digit a run holds all of its
+digests and no other, and the runs together are the whole; at no level does a partition hold more than
+its share, nor a text. A digest has one row in each run at most, so a group of copies that holds a
+third of all rows costs no more than any other.
 
 "Verified" means that a group's identity is SHA-256 of the normalised text together with
 its length and an independent 64-bit hash: rows fall into one group only if all three agree.
@@ -17,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, kept, staying, text_of
+from .common import SPACE, by_size, kept, staying, text_of
 
 FAN_IN = 16
 _KEY = ["text_sha256", "n_norm", "check"]
@@ -40,20 +42,27 @@ def digests(docs: DataFrame) -> DataFrame:
     )
 
 
-def tree_merge(runs: DataFrame, n_runs: int, fan_in: int = FAN_IN) -> DataFrame:
-    """Winner and size of each digest: rounds of multiway merges until one run is left."""
+def tree_merge(rows: DataFrame, n_runs: int, fan_in: int = FAN_IN) -> DataFrame:
+    """Winner and size of each digest: sorted runs, merged in rounds of exchanges of ``fan_in`` partners at most."""
+    rounds = 0
+    while fan_in**rounds < n_runs:
+        rounds += 1
+    digits = next(d for d in range(1, fan_in + 1) if d**rounds >= n_runs)  # as few as make room for all runs
     best = F.struct((-F.col("n_points")).alias("short"), F.col("doc_id").isNull().alias("none"), "doc_id", "row_id")
-    level = runs.groupBy("run", *_KEY).agg(F.min(best).alias("best"), F.count("*").alias("rows"))
-    while n_runs > 1:
-        n_runs = -(-n_runs // fan_in)
-        level = (
-            level.withColumn("run", F.expr(f"cast(run div {fan_in} as int)"))
-            .groupBy("run", *_KEY)
-            .agg(F.min("best").alias("best"), F.sum("rows").alias("rows"))
-        )
+    level = _merged(rows.withColumn("best", best).withColumn("rows", F.lit(1)), max(1, n_runs))
+    for k in range(rounds):
+        step = digits**k
+        own, other = F.expr(f"cast(run div {step} % {digits} as int)"), F.expr(f"cast(pmod(check, {step * digits}L) div {step} as int)")
+        level = _merged(level.withColumn("run", F.col("run") + (other - own) * step), digits**rounds)
     return level.select(*_KEY, F.col("best.doc_id").alias("keep_id"), F.col("best.row_id").alias("keep_row"), F.col("rows").alias("group_size"))
 
 
+def _merged(runs: DataFrame, n: int) -> DataFrame:
+    """Runs dealt to partitions by their number and sorted there; one row for each digest of a run."""
+    level = runs.repartition(n, "run").sortWithinPartitions("run", *_KEY)
+    return level.groupBy("run", *_KEY).agg(F.min("best").alias("best"), F.sum("rows").alias("rows"))
+
+
 def exact_dedup(docs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
     """Decide for each row of ``docs`` (doc_id, text) whether it stays.
 
@@ -62,11 +71,12 @@ def exact_dedup(docs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
     then the smallest doc_id stays (null ids after all others; of rows that also share the id
     one, the first read). Returns doc_id, keep_id, group_size, kept, text_sha256; a row for each
     input row, dropped ones too. Other columns of ``docs`` are not read; an empty table gives none.
+    Counts runs, and rows, by a job when called.
     """
     rows = kept(digests(docs))
-    n_runs = (rows.agg(F.max("run")).first()[0] or 0) + 1
-    winners = tree_merge(rows, n_runs, fan_in)
-    return rows.join(winners, _KEY).select(
+    last, total = rows.agg(F.max("run"), F.count("*")).first()
+    winners = kept(tree_merge(rows, (last or 0) + 1, fan_in))
+    return by_size(rows, winners, _KEY, "group_size", total).select(
         "doc_id", "keep_id", "group_size", (F.col("row_id") == F.col("keep_row")).alias("kept"), "text_sha256"
     )
 
