@@ -128,6 +128,21 @@ def kept(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.DISK_ONLY)
 
 
+#: A key with more than one in this many of all rows is hot: there are fewer such keys than this.
+HOT = 1024
+
+
+def by_size(rows: DataFrame, side: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """``rows`` joined with ``side``, which has one row for each key and the number of its rows in ``size``.
+
+    Hot keys, fewer than ``HOT`` by their size, are broadcast; what is dealt out has no key with more
+    rows than that share of all.
+    """
+    hot, cold = side.where(F.col(size) * HOT > total), side.where(F.col(size) * HOT <= total)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(rest)
+
+
 def few(df: DataFrame) -> DataFrame:
     """``df`` in fewer partitions, for tables that are far smaller than what they come from."""
     return df.repartition(-(-int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 16))

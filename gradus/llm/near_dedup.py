@@ -4,7 +4,8 @@
    set of five-word shingles, a digest of that set, the keys of its MinHash bands and an odd
    sketch: the parity bitmap of its (index, minimum) samples. The population count of the XOR
    of two sketches estimates how many samples differ, most precisely at high similarity.
-2. Documents with the same set are one class; only classes go on.
+2. Documents with the same set are one class and one node; only classes go on, so repeated rows and
+   copies cost nothing further.
 3. Classes that share a band are candidates. First each class is held against the least class
    of the bucket that it meets most often (a star, linear in the bucket). Classes that are not
    yet connected and share a bucket are then compared in blocks by their sketches, each pair in
@@ -14,7 +15,8 @@
 
 With 24 bands of 3 rows a pair at similarity 0.75 is missed with probability 2e-6, at 0.85 1e-10.
 A sketch rules a pair out only six standard deviations of its samples below the threshold. No bucket, partner or
-candidate is capped. Sets are held as 64-bit shingle hashes.
+candidate is capped. Sets are held as 64-bit shingle hashes, and links are confirmed on these full sets
+of hashes; two different shingles of one pair share a hash with probability below 1e-11 for a million shingles.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import few, kept, small_batches, staying, stored
+from .common import Scratch, by_size, few, small_batches, staying
 from .components import components
 from .textkernel import mix, text_shingles
 
@@ -42,7 +44,7 @@ _XOR = _rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint32)
 _MUL = _rng.integers(0, 1 << 31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _SALT = _rng.integers(0, 1 << 63, SAMPLES, dtype=np.uint64)
 
-_SIGNED = "doc_id long, n_shingles long, c1 long, c2 long, keys binary, odd binary"
+_SIGNED = "doc_id long, mark long, size long, n_shingles long, c1 long, c2 long, keys binary, odd binary"
 
 
 def minhash(sets: list[np.ndarray]) -> np.ndarray:
@@ -78,6 +80,11 @@ def most_xor(numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> int:
     return int(odd + 4 * (2 * differ) / np.sqrt(SKETCH_BITS))
 
 
+def set_digest(s: np.ndarray) -> tuple[int, int]:
+    """What names a class: two sums of the set's hashes."""
+    return int(mix(s).sum(dtype=np.uint64).astype(np.int64)), int(np.bitwise_xor.reduce(mix(s + np.uint64(77))).astype(np.int64))
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes, digests, keys, odds = [], [], [], []
@@ -92,11 +99,11 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     digests.append((None, None)), keys.append(None), odds.append(None)
                     continue
                 k, o = next(made)
-                digests.append((int((mix(s).sum(dtype=np.uint64)).astype(np.int64)), int(np.bitwise_xor.reduce(mix(s + np.uint64(77))).astype(np.int64))))
+                digests.append(set_digest(s))
                 keys.append(k.tobytes()), odds.append(o.tobytes())
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array(keys, pa.binary()), pa.array(odds, pa.binary())],
-            names=["doc_id", "n_shingles", "c1", "c2", "keys", "odd"],
+            [*(batch.column(c) for c in ("doc_id", "mark", "size")), pa.array(sizes, pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array(keys, pa.binary()), pa.array(odds, pa.binary())],
+            names=["doc_id", "mark", "size", "n_shingles", "c1", "c2", "keys", "odd"],
         )
 
 
@@ -112,8 +119,9 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        held = [s.tobytes() for _, sets in text_shingles(b.column("text")) for s in sets]
-        yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(held, pa.binary())], names=["node", "held"])
+        sets = [s for _, some in text_shingles(b.column("text")) for s in some]
+        names = [set_digest(s) if len(s) else (None, None) for s in sets]
+        yield pa.RecordBatch.from_arrays([pa.array([n[0] for n in names], pa.int64()), pa.array([n[1] for n in names], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["c1", "c2", "held"])
 
 
 def linked(a: np.ndarray, b: np.ndarray, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> bool:
@@ -131,15 +139,14 @@ def _confirmed(numerator: int, denominator: int):
     """Pairs of a stream ordered by (a, run): the set of ``a`` comes first, then its partners'."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, own = None, []
+        at, own = None, None
         for batch in batches:
             left, right = [], []
             for a, r, b, held in zip(*(batch.column(c).to_pylist() for c in ("a", "run", "b", "held")), strict=True):
                 s = np.frombuffer(held, np.uint64)
-                if b is None:  # rows that share an id are several sets of one node
-                    own = [*own, s] if at == (a, r) else [s]
-                    at = (a, r)
-                elif at == (a, r) and any(linked(s, o, numerator, denominator) for o in own):
+                if b is None:
+                    at, own = (a, r), s
+                elif at == (a, r) and linked(s, own, numerator, denominator):
                     left.append(a), right.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
@@ -209,31 +216,36 @@ def _joined(limit: int, numerator: int, denominator: int):
 class NearDedup:
     """The stages of the operator over one table of documents; see `near_dedup`."""
 
-    def __init__(self, docs: DataFrame, numerator: int = NUMERATOR, denominator: int = DENOMINATOR):
-        self.spark, self.docs = docs.sparkSession, docs.select("doc_id", "text")
+    def __init__(self, docs: DataFrame, scratch: Scratch, numerator: int = NUMERATOR, denominator: int = DENOMINATOR):
+        self.spark, self.scratch = docs.sparkSession, scratch
+        # two hashes and the length tell texts apart
+        size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") * (1 << 32) + F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+        self.docs = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"), size.alias("size"))
         self.numerator, self.denominator = numerator, denominator
         self.limit = most_xor(numerator, denominator)
         small_batches(self.spark)
 
     def classes(self) -> None:
-        self.signed = kept(self.docs.mapInArrow(_signed, _SIGNED))
-        found = self.signed.where("n_shingles > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("least"))
-        # classes of rows without ids get a node of their own, below all others' order of roots
-        self.found = kept(found.withColumn("node", F.coalesce("least", F.expr("-4611686018427387904 - pmod(xxhash64(c1, c2), 4611686018427387904)"))))
-        rep = self.signed.where("n_shingles > 0").join(self.found.select("c1", "c2", "node", "least"), ["c1", "c2"]).where("doc_id = least")
-        self.nodes = kept(rep.select("node", "keys", "odd"))
+        signed = self.scratch.stored(self.docs.mapInArrow(_signed, _SIGNED), "signed")
+        self.signed = signed.select("doc_id", "n_shingles", "c1", "c2")
+        per = signed.where("n_shingles > 0").groupBy("c1", "c2").agg(
+            F.min("doc_id").alias("least"), F.count("*").alias("rows"), F.min(F.struct("mark", "size")).alias("text"), F.first("keys").alias("keys"), F.first("odd").alias("odd")
+        )  # a class has one set, and so one sketch
+        self.found = self.scratch.stored(per.withColumn("node", F.monotonically_increasing_id()), "classes")
+        self.nodes = self.found.select("node", "keys", "odd")
         rows = self.nodes.select("node", "keys").mapInArrow(_exploded, "bucket long, band int, node long")
         pivots = rows.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("most")).where("pivot < most")
-        self.members = kept(rows.join(pivots.select("bucket", "pivot"), "bucket"))
+        self.members = self.scratch.kept(rows.join(pivots.select("bucket", "pivot"), "bucket"))
         # full sets of all nodes that share a bucket, once, dealt by node for every join to come
-        wanted = self.members.select(F.col("node").alias("doc_id")).distinct()
-        held = self.docs.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text")
+        wanted = self.members.select("node").distinct().join(self.found.select("node", "c1", "c2", "text.mark", "text.size"), "node")
+        text = self.docs.select("mark", "size", "text").join(wanted.select("mark", "size").hint("shuffle_hash"), ["mark", "size"], "left_semi").groupBy("mark", "size").agg(F.first("text").alias("text"))
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        self.sets = kept(held.mapInArrow(_sets, "node long, held binary").repartition(n, "node"))
+        held = text.select("text").mapInArrow(_sets, "c1 long, c2 long, held binary")
+        self.sets = self.scratch.kept(held.join(wanted.select("node", "c1", "c2").hint("shuffle_hash"), ["c1", "c2"]).select("node", "held").repartition(n, "node"))
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """Those of ``pairs`` (a, b) that reach the threshold on full sets."""
-        pairs = kept(pairs)
+        pairs = self.scratch.kept(pairs)
         if pairs.isEmpty():
             return pairs
         sets = self.sets
@@ -257,7 +269,7 @@ class NearDedup:
 
     def rest(self, links: DataFrame) -> DataFrame:
         """All links between different components that share a bucket, but those that others imply."""
-        comps = components(links)
+        comps = components(links, self.scratch)
         rows = self.members.select("bucket", "band", "node").join(comps, "node", "left").select("bucket", "band", "node", F.coalesce("root", "node").alias("comp"))
         open_ = rows.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n")).where("x < y")
         blocks = F.expr(f"cast(ceil(n / {BLOCK}) as int)")
@@ -271,19 +283,18 @@ class NearDedup:
 
     def links(self) -> DataFrame:
         self.classes()
-        links = stored(few(self.confirm(self.star())), "links")
-        return stored(few(links.union(self.rest(links))), "links")
+        links = self.scratch.stored(few(self.confirm(self.star())), "links")
+        return self.scratch.stored(few(links.union(self.rest(links))), "links")
 
     def result(self) -> DataFrame:
-        comps = components(self.links())
-        own = self.found.join(comps, "node", "left").select("c1", "c2", "least", F.coalesce("root", "node").alias("root"))
-        own = kept(own)
-        named = own.groupBy("root").agg(F.min("least").alias("component"))
-        own = own.join(named, "root").select("c1", "c2", "component")
-        rows = self.signed.select("doc_id", "n_shingles", "c1", "c2")
-        linked = rows.where("n_shingles > 0").join(own, ["c1", "c2"]).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
-        lone = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-        return linked.union(lone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("doc_id").isNotNull())
+        comps = components(self.links(), self.scratch)
+        own = self.scratch.kept(self.found.join(comps, "node", "left").select("c1", "c2", "least", "rows", F.coalesce("root", "node").alias("root")))
+        named = own.groupBy("root").agg(F.min("least").alias("component_id"))
+        own = self.scratch.kept(own.join(named, "root").select("c1", "c2", "rows", "component_id"))
+        total = self.signed.count()
+        linked = by_size(self.signed.where("n_shingles > 0"), own, ["c1", "c2"], "rows", total).select("doc_id", "n_shingles", "component_id")
+        lone = self.signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+        return linked.union(lone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 def _near(limit: int):
@@ -303,11 +314,13 @@ def near_dedup(docs: DataFrame, numerator: int = NUMERATOR, denominator: int = D
     ``denominator * |A and B| >= numerator * |A or B|``. Returns for each row doc_id, n_shingles,
     component_id (the smallest id reachable over links, its own included) and kept
     (doc_id = component_id). Null, empty and blank texts have no shingles and are linked with
-    nothing. Rows that share an id are one document to links. Rows without an id take part in
-    links only with their own class of equal sets; they are never kept and name no component.
-    An empty table gives no rows.
+    nothing. Rows are documents of their own, those that share an id too. Rows without an id link
+    others, but are never kept and name no component (it is null where no row of it has an id).
+    An empty table gives no rows. Runs its jobs when called; the result is a table in the shared
+    folder, all others are deleted.
     """
-    return NearDedup(docs, numerator, denominator).result()
+    with Scratch(docs.sparkSession) as scratch:
+        return scratch.stored(NearDedup(docs, scratch, numerator, denominator).result(), "near", stays=True)
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:

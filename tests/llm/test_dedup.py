@@ -1,3 +1,4 @@
+import os
 import random
 import re
 from collections import Counter
@@ -6,9 +7,10 @@ import duckdb
 import numpy as np
 
 from gradus.llm import queries
+from gradus.llm.common import Scratch
 from gradus.llm.components import components
 from gradus.llm.exact_dedup import exact_dedup, keep_one
-from gradus.llm.near_dedup import band_keys, keep_representatives, minhash, most_xor, near_dedup, odd_sketch
+from gradus.llm.near_dedup import NearDedup, band_keys, keep_representatives, minhash, most_xor, near_dedup, odd_sketch
 
 from ..conftest import DATA, plan
 
@@ -131,6 +133,29 @@ def test_near_edges(spark, edge, nothing):
     assert near_dedup(nothing).count() == 0
 
 
+def test_repeated_rows_are_one_node(spark):
+    """200 equal rows of one id, and 200 copies under other ids, are one node, one set and no candidate."""
+    text, near = " ".join(f"w{k}" for k in range(40)), " ".join(f"w{k}" for k in range(41))
+    docs = spark.createDataFrame([(7, text)] * 200 + [(100 + k, text) for k in range(200)] + [(9, near), (7, "other words under the id of seven, quite")], "doc_id long, text string").repartition(3)
+    with Scratch(spark) as scratch:
+        n = NearDedup(docs, scratch)
+        n.classes()
+        assert n.found.count() == 3 and n.sets.count() == 2 and n.members.select("node").distinct().count() == 2
+        assert n.confirm(n.star()).count() == 1
+    got = Counter((r["doc_id"], r["component_id"], r["n_shingles"]) for r in near_dedup(docs).collect())
+    assert got == Counter({(7, 7, 36): 200, **{(100 + k, 7, 36): 1 for k in range(200)}, (9, 7, 37): 1, (7, 7, 4): 1})
+
+
+def test_near_leaves_nothing_behind(spark, edge):
+    from gradus.llm.common import shared_dir
+
+    near_dedup(edge)
+    before, held = set(os.listdir(shared_dir(spark).removeprefix("file://"))), len(spark.sparkContext._jsc.getPersistentRDDs())
+    near_dedup(edge)
+    after = set(os.listdir(shared_dir(spark).removeprefix("file://")))
+    assert {x.split("-")[1] for x in after - before} == {"near"} and len(spark.sparkContext._jsc.getPersistentRDDs()) == held
+
+
 def test_sketches():
     r = np.random.default_rng(1)
     a = r.integers(0, 1 << 63, 1000, dtype=np.uint64)
@@ -157,5 +182,6 @@ def test_components(spark):
     for a, b in edges:
         x, y = sorted((find(a), find(b)))
         root[y] = x
-    got = {x["node"]: x["root"] for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    with Scratch(spark) as scratch:
+        got = {x["node"]: x["root"] for x in components(spark.createDataFrame(edges, "a long, b long"), scratch).collect()}
     assert got == {k: find(k) for k in root if any(k in e and e[0] != e[1] for e in edges)}
