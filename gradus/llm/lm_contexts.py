@@ -52,8 +52,9 @@ class Text:
         before[self.start] = 0
         second[1:] = before[:-1]
         second[self.start] = 0
-        cls = class_of(c)
-        self.strings, rank = np.unique(np.append(np.where(cls > 0, cls << CELL_BITS | cell_of(places), 0), 0), return_inverse=True)
+        cls, past = class_of(c), CELL_BITS - unpack(row["depth"], np.uint8).astype(np.int64)
+        # bits past those that name a word are zeros
+        self.strings, rank = np.unique(np.append(np.where(cls > 0, cls << CELL_BITS | cell_of(places) >> past << past, 0), 0), return_inverse=True)
         lone = (cls[number] == 0) | (~self.held & (c[number] == 1))
         self.word = np.where(lone, unknown, number)
         self.rank = rank[self.word]
@@ -118,10 +119,10 @@ ASKS = "range int, block long, keys binary, counts binary"
 _ASKS = pa.schema([("range", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 
 
-def context_asks(keep: int, range_bits: int):
-    """Events of each block by order and range: keys, and four times their number in training and who asks.
+def context_asks(keep: int, range_bits: int, k: int):
+    """Events of order ``k`` of each block by range: keys, and four times their number in training and who asks.
 
-    A task also sends its `Text.stats`, to a range below zero; there are as many of these as of the others.
+    With the first order a task also sends its `Text.stats`, to a range below zero; there are as many of these as of the others.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,12 +130,12 @@ def context_asks(keep: int, range_bits: int):
         for b in batches:
             for row in b.to_pylist():
                 t, rows = Text(row, keep), []
-                stats = t.stats() if stats is None else stats + t.stats()
-                for k in ORDERS:
-                    hashes, strings, n, asked, _ = t.events(k)
-                    keys, value = (hashes & inner) << np.uint64(STRING_BITS) | strings, (n << 2 | asked).astype(np.int32)
-                    for r, at in slices(hashes, keep - range_bits, 1 << range_bits):
-                        rows.append({"range": (k - 1 << range_bits) + r, "block": row["block"], "keys": pack(keys[at]), "counts": pack(value[at])})
+                if k == ORDERS[0]:
+                    stats = t.stats() if stats is None else stats + t.stats()
+                hashes, strings, n, asked, _ = t.events(k)
+                keys, value = (hashes & inner) << np.uint64(STRING_BITS) | strings, (n << 2 | asked).astype(np.int32)
+                for r, at in slices(hashes, keep - range_bits, 1 << range_bits):
+                    rows.append({"range": (k - 1 << range_bits) + r, "block": row["block"], "keys": pack(keys[at]), "counts": pack(value[at])})
                 yield pa.RecordBatch.from_pylist(rows, _ASKS)
         if stats is not None:
             to = -1 - TaskContext.get().partitionId() % (1 << range_bits)
@@ -147,15 +148,15 @@ ANSWERS = "block long, range int, train binary, held binary"
 
 
 def squeezed(rows: np.ndarray) -> bytes:
-    """Rows of opinions about strings, bit by bit, compressed."""
-    return len(rows).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(rows.T), codec="zstd", asbytes=True)
+    """Rows of opinions about strings, compressed."""
+    return len(rows).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(rows), codec="zstd", asbytes=True)
 
 
 def spread(raw: bytes, out: np.ndarray) -> int:
     """Put rows into the columns of ``out`` after its first; how many there are."""
     n = int.from_bytes(raw[:8], "little")
     if len(out):
-        out[:n, 1:] = np.frombuffer(pa.decompress(raw[8:], n * STRING_BITS, codec="zstd", asbytes=True), np.int8).reshape(STRING_BITS, n).T
+        out[:n, 1:] = np.frombuffer(pa.decompress(raw[8:], n * STRING_BITS, codec="zstd", asbytes=True), np.int8).reshape(n, STRING_BITS)
     return n
 
 

@@ -29,7 +29,7 @@ LEAST = 3
 #: Decisions of a token: whether it repeats what followed before, class, cell.
 DEPTH = 1 + STRING_BITS
 #: Steps of a prediction in the logistic domain, and its smoothing.
-SCALE, SMOOTH = 15, 0.4
+SCALE, SMOOTH = 8, 0.4
 
 
 def pack(a: np.ndarray) -> bytes:

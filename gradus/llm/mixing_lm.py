@@ -324,8 +324,12 @@ def language_model_scores(docs: DataFrame) -> DataFrame:
             scratch.drop("blocks", "words")
             range_bits = (-(-n // contexts.EVENTS) - 1).bit_length()
             keep = min(64 - STRING_BITS + range_bits, 64, n.bit_length() + contexts.SPARE)
-            asks = coded.select("block", "held", "sizes", "tokens", "places", "counts").mapInArrow(contexts.context_asks(keep, range_bits), contexts.ASKS)
-            answers = scratch.stored(asks.groupBy("range").applyInArrow(contexts.context_answers, contexts.ANSWERS), "contexts")
+            seen = coded.select("block", "held", "sizes", "tokens", "places", "counts", "depth")
+            answers = None
+            for k in ORDERS:  # one after the other, so that only one's events are on the disks
+                asks = seen.mapInArrow(contexts.context_asks(keep, range_bits, k), contexts.ASKS)
+                own = scratch.stored(asks.groupBy("range").applyInArrow(contexts.context_answers, contexts.ANSWERS), "contexts")
+                answers = own if answers is None else answers.union(own)
             model = Model(top, _total(answers.where("block = -1"), "train"), keep, range_bits)
             shared = spark.sparkContext.broadcast(model)  # of fixed size
             scores = coded.join(_lists(answers, "train", "held"), "block").mapInArrow(_scored(shared), _COLUMNS)

@@ -317,7 +317,7 @@ def lm_rows(texts, n_blocks=2, held=lambda i: i % 7 == 2):
 
 def lm_answered(rows, keep, bits, monkeypatch):
     monkeypatch.setattr(lm_contexts, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": staticmethod(lambda: 0)}))}))
-    asks = pa.Table.from_batches(list(lm_contexts.context_asks(keep, bits)(iter([pa.RecordBatch.from_pylist(rows)]))))
+    asks = pa.Table.from_batches([b for k in (1, 2) for b in lm_contexts.context_asks(keep, bits, k)(iter([pa.RecordBatch.from_pylist(rows)]))])
     answers = pa.concat_tables([lm_contexts.context_answers(asks.filter(pa.compute.equal(asks["range"], r))) for r in sorted(set(asks["range"].to_pylist()))]).to_pylist()
     for row in rows:
         row["answers"] = [a for a in answers if a["block"] == row["block"]]
@@ -370,7 +370,7 @@ def test_contexts_are_counted_apart(monkeypatch):
                 s, own, want = int(t.strings[t.rank[i]]), int(not t.held[i]), []
                 for d in range(25):
                     same, every = (seen[k, int(hashes[ids[i]]), x, s >> 25 - x] - own for x in (d + 1, d))
-                    want.append(round(math.log((same + 0.4) / (every - same + 0.4)) * 15))
+                    want.append(round(math.log((same + 0.4) / (every - same + 0.4)) * lm_tokens.SCALE))
                 assert np.abs(table[at[i], 1:] - np.array(want)).max() <= 1 and table[at[i], 0] == 0
                 some += any(want)
     assert some > 500
@@ -380,7 +380,7 @@ def scalar_mix(t, table, index, flags, count, used):
     """The mixer decision by decision in plain Python, updating after each one."""
     out = np.zeros(len(t.number))
     for a, n in zip(t.start.tolist(), t.sizes.tolist(), strict=True):
-        w = {(g, d): [float(x) / 15 for x in mixing_lm.START[g]] for g in range(4) for d in range(26)}
+        w = {(g, d): [float(x) / lm_tokens.SCALE for x in mixing_lm.START[g]] for g in range(4) for d in range(26)}
         gain = dict.fromkeys(w, 1.0)
         for i in range(a, a + n):
             g = count["gate"][i]
@@ -392,7 +392,7 @@ def scalar_mix(t, table, index, flags, count, used):
                 sure = gain[g, d]
                 p = 1 / (1 + math.exp(-dot * sure))
                 out[i] += math.log10(p)
-                w[g, d] = [p0 + mixing_lm.RATE / 225 * (1 - p) * sure * q for p0, q in zip(w[g, d], x, strict=True)]
+                w[g, d] = [p0 + mixing_lm.RATE / lm_tokens.SCALE**2 * (1 - p) * sure * q for p0, q in zip(w[g, d], x, strict=True)]
                 gain[g, d] = max(0.3, sure + mixing_lm.REFINE_RATE * (1 - p) * dot)
     return out
 
