@@ -30,39 +30,38 @@ def option_letters(prefix: str = "") -> Column:
     return F.concat(*(F.when(clean(f"{prefix}{x}") != "", F.lit(x)).otherwise("") for x in LETTERS))
 
 
-def _letters(c: Column) -> Column:
-    return F.filter(F.split(c, ""), lambda x: x != "")
-
-
 def _only(c: Column) -> Column:
     """The option letters that occur in ``c``, in order."""
     return F.concat(*(F.when(F.contains(c, F.lit(x)), F.lit(x)).otherwise("") for x in LETTERS))
 
 
-def assess(value: Column | str, category: Column | str, options: Column | str) -> Column:
-    """struct(canonical, error) of an answer; exactly one of the two is null.
+def with_assessment(rows: DataFrame, value: Column | str, category: Column | str, options: Column | str, name: str) -> DataFrame:
+    """Adds ``name``: struct(canonical, error) of an answer; exactly one of the two is null.
 
     The first rule that fails names the error: unknown category, no options, empty, letters other
     than A to D, a letter twice, a letter that is not an option, wrong number of letters. ``multi``
     is a set and gets sorted, ``sequence`` a permutation of all options whose order stays.
+    What several rules look at is a column of its own, so it is computed once a row.
     """
-    kind, have = category_of(category), _only(F.upper(F.coalesce(col(options), F.lit(""))))
-    answer = F.upper(clean(value))
-    letters = _letters(answer)
-    foreign = F.array_sort(F.array_distinct(F.filter(letters, lambda x: ~F.contains(have, x))))
-    one = kind.isin(*ONE_LETTER)
+    kind, have, answer, foreign = (F.col(f"_{x}") for x in ("kind", "have", "answer", "foreign"))
+    rows = rows.withColumns({"_kind": category_of(category), "_have": _only(F.upper(F.coalesce(col(options), F.lit("")))), "_answer": F.upper(clean(value)), "_shown": F.coalesce(col(category), F.lit(""))})
+    rows = rows.withColumn("_foreign", F.concat(*(F.when(F.contains(answer, F.lit(x)) & ~F.contains(have, F.lit(x)), F.lit(x)).otherwise("") for x in LETTERS)))
+    twice = F.lit(False)
+    for x in LETTERS:
+        twice = twice | (F.length(answer) - F.length(F.replace(answer, F.lit(x), F.lit(""))) > 1)
     error = (
-        F.when(~kind.isin(*CATEGORIES), F.concat(F.lit("unknown category: "), F.coalesce(col(category), F.lit(""))))
+        F.when(~kind.isin(*CATEGORIES), F.concat(F.lit("unknown category: "), F.col("_shown")))
         .when(have == "", F.lit("question has no available options"))
         .when(answer == "", F.lit("prediction is empty"))
-        .when(~answer.rlike("^[A-D]+$"), F.lit("prediction must contain only letters A-D"))
-        .when(F.size(F.array_distinct(letters)) != F.size(letters), F.lit("prediction contains duplicate option letters"))
-        .when(F.size(foreign) > 0, F.concat(F.lit("prediction selects unavailable option(s): "), F.array_join(foreign, "")))
-        .when(one & (F.length(answer) != 1), F.concat(kind, F.lit(" requires exactly one option")))
+        .when(F.translate(answer, LETTERS, "") != "", F.lit("prediction must contain only letters A-D"))
+        .when(twice, F.lit("prediction contains duplicate option letters"))
+        .when(foreign != "", F.concat(F.lit("prediction selects unavailable option(s): "), foreign))
+        .when(kind.isin(*ONE_LETTER) & (F.length(answer) != 1), F.concat(kind, F.lit(" requires exactly one option")))
         .when((kind == "sequence") & (F.length(answer) != F.length(have)), F.concat(F.lit("sequence requires a permutation of all options: "), have))
     )
-    canonical = F.when(error.isNull(), F.when(kind == "multi", _only(answer)).otherwise(answer))
-    return F.struct(canonical.alias("canonical"), error.alias("error"))
+    rows = rows.withColumn("_error", error)
+    canonical = F.when(F.col("_error").isNull(), F.when(kind == "multi", _only(answer)).otherwise(answer))
+    return rows.withColumn(name, F.struct(canonical.alias("canonical"), F.col("_error").alias("error"))).drop("_kind", "_have", "_answer", "_shown", "_foreign", "_error")
 
 
 def answer_space(spark: SparkSession) -> DataFrame:
@@ -103,28 +102,30 @@ BOXED = r"(?iU)\\boxed\s*\{\s*([A-D\s,;/|]+?)\s*\}"
 LABELLED = r"(?iU)(?:final\s+answer|answer|答案)\s*(?:is\s*)?[:：]?\s*([A-D](?:[\s,;/|]*[A-D])*)\b"
 
 
-def parse(raw: Column | str, category: Column | str, options: Column | str) -> Column:
-    """struct(candidate, prediction, is_valid, method, error) of a model's raw output.
+def with_parsed(rows: DataFrame, raw: Column | str, category: Column | str, options: Column | str, name: str) -> DataFrame:
+    """Adds ``name``: struct(candidate, prediction, is_valid, method, error) of a model's raw output.
 
     The whole text may be the answer; else all boxed and labelled answers must agree.
     """
-    text = clean(raw)
-    found = [F.array_compact(F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(1)), compact)) for p in (BOXED, LABELLED)]
-    every = F.array_distinct(F.concat(*found))
-    exact = compact(text)
-    candidate = F.coalesce(exact, F.when(F.size(every) == 1, F.element_at(every, 1)))
-    method = F.when(exact.isNotNull(), "exact").when(F.size(every) > 1, "ambiguous").when((F.size(every) == 1) & (F.size(found[0]) > 0), "boxed").when(F.size(every) == 1, "labeled")
-    own = assess(candidate, category, options)
+    text, every, exact, candidate = (F.col(f"_{x}") for x in ("text", "every", "exact", "candidate"))
+    rows = rows.withColumns({"_text": clean(raw), "_category": col(category), "_options": col(options)})
+    found = {f"_in_{k}": F.array_compact(F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(1)), compact)) for k, p in (("boxed", BOXED), ("labelled", LABELLED))}
+    rows = rows.withColumn("_exact", compact("_text")).withColumns({k: F.when(exact.isNull(), v).otherwise(F.array().cast("array<string>")) for k, v in found.items()})
+    rows = rows.withColumn("_every", F.array_distinct(F.concat(*found)))
+    rows = rows.withColumn("_candidate", F.coalesce(exact, F.when(F.size(every) == 1, F.element_at(every, 1))))
+    method = F.when(exact.isNotNull(), "exact").when(F.size(every) > 1, "ambiguous").when((F.size(every) == 1) & (F.size("_in_boxed") > 0), "boxed").when(F.size(every) == 1, "labeled")
+    rows = with_assessment(rows, candidate, "_category", "_options", "_own")
     error = (
         F.when(text == "", F.lit("model output is empty"))
         .when(candidate.isNull() & (F.size(every) > 1), F.concat(F.lit("model output contains conflicting answer candidates: ['"), F.array_join(F.array_sort(every), "', '"), F.lit("']")))
         .when(candidate.isNull(), F.lit("model output does not match an accepted answer-only format"))
-        .otherwise(own["error"])
+        .otherwise(F.col("_own.error"))
     )
-    prediction = F.when(candidate.isNotNull() & (text != ""), own["canonical"])
-    return F.struct(
-        F.when(text != "", candidate).alias("candidate"), prediction.alias("prediction"), prediction.isNotNull().alias("is_valid"), F.when(text != "", method).alias("method"), error.alias("error")
+    rows = rows.withColumns({"_prediction": F.when(candidate.isNotNull() & (text != ""), F.col("_own.canonical")), "_method": method, "_error": error})
+    out = F.struct(
+        F.when(text != "", candidate).alias("candidate"), F.col("_prediction").alias("prediction"), F.col("_prediction").isNotNull().alias("is_valid"), F.when(text != "", F.col("_method")).alias("method"), F.col("_error").alias("error")
     )
+    return rows.withColumn(name, out).drop("_text", "_category", "_options", "_exact", *found, "_every", "_candidate", "_own", "_prediction", "_method", "_error")
 
 
 def option_layout_ok(source: str = "source", category: str = "category") -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: White space as Python's str.strip() knows it: Unicode white space and U+001C to U+001F.
 _SPACE = r"[\s\x{1c}-\x{1f}]"
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
 def col(c: Column | str) -> Column:
@@ -15,7 +16,7 @@ def col(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """All white space off both ends; null stays null."""
-    return F.regexp_replace(col(c), f"(?U)^{_SPACE}+|{_SPACE}+$", "")
+    return F.btrim(col(c), F.lit(SPACES))
 
 
 def clean(c: Column | str) -> Column:
@@ -29,7 +30,8 @@ def is_blank(c: Column | str) -> Column:
 
 def squeeze(c: Column | str) -> Column:
     """Words joined by single spaces, in lower case (the key by which options are compared)."""
-    return F.lower(F.regexp_replace(clean(c), f"(?U){_SPACE}+", " "))
+    words = F.regexp_replace(clean(c), f"(?U){_SPACE}+", " ")
+    return F.lower(words)
 
 
 def kilo(seconds: Column | str) -> Column:

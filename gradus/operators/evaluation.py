@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.answers import assess, category_of, option_letters
+from ..functions.answers import category_of, option_letters, with_assessment
 from ..functions.text import clean, is_blank
 
 MISSING = "<missing>"
@@ -52,8 +52,8 @@ def assessed(references: DataFrame, predictions: DataFrame, id_col: str = "qa_id
     """Each reference with its prediction, both in canonical form, and whether they agree."""
     p = predictions.select(clean(id_col).alias("_id"), F.col("prediction").alias("raw"))
     rows = references.withColumn("_id", clean(id_col)).join(p, "_id")
-    options = option_letters()
-    rows = rows.withColumn("_truth", assess("answer", "category", options)).withColumn("_given", assess("raw", "category", options))
+    rows = rows.withColumn("_options", option_letters())
+    rows = with_assessment(with_assessment(rows, "answer", "category", "_options", "_truth"), "raw", "category", "_options", "_given")
     return rows.select(
         F.col("_id").alias(id_col),
         category_of("category").alias("category"),

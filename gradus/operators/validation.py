@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.answers import CATEGORIES, assess, category_of, option_layout_ok, option_letters, options_unique
+from ..functions.answers import CATEGORIES, category_of, option_layout_ok, option_letters, options_unique, with_assessment
 from ..functions.arrays import ascending, close, midpoints
 from ..functions.paths import safe_relative
 from ..functions.text import clean
@@ -73,7 +73,7 @@ def judged(submission: DataFrame, tests: DataFrame) -> DataFrame:
     first = first.select("_id", category_of("category").alias("category"), option_letters().alias("_options"), F.lit(True).alias("known"))
     rows = submission.withColumn("_id", clean("qa_id")).join(first, "_id", "left")
     raw = F.coalesce("prediction", F.lit(""))
-    rows = rows.withColumn("_own", assess(raw, "category", "_options"))
+    rows = with_assessment(rows, raw, "category", "_options", "_own")
     error = F.when(F.col("known").isNull(), F.lit("unknown id")).when(F.col("_own.error").isNotNull(), F.col("_own.error")).when(raw != F.col("_own.canonical"), F.concat(F.lit("non-canonical; expected "), F.col("_own.canonical")))
     return rows.select("pos", F.col("_id").alias("qa_id"), "category", raw.alias("prediction"), error.alias("error"))
 

@@ -346,8 +346,8 @@ SELECT kind, prediction, count(*) AS n FROM (SELECT o_orderkey % 7 AS kind, CASE
 def answer_parse(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey") % 7
     raw = F.when(k == 0, "Final answer: b").when(k == 1, "so \\boxed{ C } it is").when(k == 2, " a ").when(k == 3, "answer: A or \\boxed{B}").when(k == 4, "no idea").when(k == 5, "The answer is D").otherwise("")
-    rows = table(spark, d, "orders").select(k.alias("kind"), answers.parse(raw, F.lit("single"), F.lit("ABCD"))["prediction"].alias("prediction"))
-    return rows.groupBy("kind", "prediction").agg(F.count("*").alias("n"))
+    rows = answers.with_parsed(table(spark, d, "orders").select(k.alias("kind"), raw.alias("raw")), "raw", F.lit("single"), F.lit("ABCD"), "own")
+    return rows.groupBy("kind", F.col("own.prediction").alias("prediction")).agg(F.count("*").alias("n"))
 
 
 @query("prompt_hashes", f"""

@@ -19,13 +19,13 @@ def one(spark, column):
 
 def test_accepted_answers(spark):
     rows = spark.createDataFrame(ACCEPTED, "v string, c string, want string")
-    for r in rows.select("want", answers.assess("v", "c", F.lit("ABCD")).alias("a")).collect():
+    for r in answers.with_assessment(rows, "v", "c", F.lit("ABCD"), "a").collect():
         assert r["a"]["canonical"] == r["want"] and r["a"]["error"] is None
 
 
 def test_rejected_answers(spark):
     rows = spark.createDataFrame(REJECTED, "v string, c string, o string, why string")
-    for r in rows.select("why", answers.assess("v", "c", "o").alias("a")).collect():
+    for r in answers.with_assessment(rows, "v", "c", "o", "a").collect():
         assert r["a"]["canonical"] is None and r["why"] in r["a"]["error"], r
 
 
@@ -38,7 +38,7 @@ def test_rejected_answers(spark):
     ],
 )
 def test_parse(spark, raw, kind, options, prediction, method):
-    got = one(spark, answers.parse(F.lit(raw), F.lit(kind), F.lit(options)))
+    got = answers.with_parsed(spark.range(1), F.lit(raw), F.lit(kind), F.lit(options), "a").first()["a"]
     assert (got["prediction"], got["method"], got["is_valid"]) == (prediction, method, prediction is not None)
     assert (got["error"] is None) == (prediction is not None)
 
