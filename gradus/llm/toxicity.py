@@ -2,9 +2,10 @@
 
 A word's evidence is the log-odds of toxic to other labelled documents that hold it, with a
 Dirichlet prior whose mean is the evidence of the word's own prefix (and a prefix's prior that of
-all documents), lowered by ``Z`` standard deviations; a word that was never seen has its longest
-known prefix's evidence. Every other word costs a small drift. A linear-time scan finds all
-maximal-scoring segments of a text. The sum statistics of extreme-value theory turn the segments
+all documents), drawn towards zero by ``Z`` standard deviations: above it for toxic words, below it
+for words of clean texts; a word that was never seen has its longest known prefix's evidence. Every
+word without evidence for toxicity costs a small drift besides. A linear-time scan over these signed
+scores finds all maximal-scoring segments of a text. The sum statistics of extreme-value theory turn the segments
 into an expected number of equally good finds in clean text of that length, with the rate of
 chance segments measured on labelled clean documents that took no part in the weights.
 """
@@ -26,7 +27,7 @@ HELD_OUT_MOD = 5
 #: Most labelled rows that the weights are learned from, by hash order of their ids.
 MAX_LABELLED = 50_000
 PREFIXES = (4, 6)
-PRIOR, Z, LEAST_COUNT, PURE, WEAK = 2.0, 1.0, 3, 0.5, 1.0
+PRIOR, Z, LEAST_COUNT, LEAST_CLEAN, PURE, WEAK = 2.0, 1.0, 3, 10, 0.5, 1.0
 #: Least drift, and drift over the mean evidence of a word of clean text: chance finds must not chain.
 DRIFT, DRIFT_TIMES = 0.05, 4.0
 #: Expected chance finds at which the score is one half; least chance finds a text is credited with.
@@ -43,7 +44,7 @@ def units(word: str) -> list[str]:
 
 
 def segments(places: list[int], scores: list[float], drift: float = DRIFT) -> list[tuple[int, int, float]]:
-    """All maximal-scoring segments (first, after last, score): positive scores at ``places``, -drift elsewhere.
+    """All maximal-scoring segments (first, after last, score): ``scores`` at ``places``, -drift elsewhere.
 
     Each candidate keeps the next one to its left with a smaller left sum, so the search is linear.
     """
@@ -53,7 +54,7 @@ def segments(places: list[int], scores: list[float], drift: float = DRIFT) -> li
         start, left = p, total
         total += s
         last = p
-        while True:
+        while s > 0:
             j = len(found) - 1
             while j >= 0 and found[j][2] >= left:
                 j = found[j][4]
@@ -125,10 +126,12 @@ class Model:
             for w in set(words).difference(memo):
                 memo[w] = self.weight(w)
             got = list(map(memo.__getitem__, words))
-        if not any(got):
+        toxic = [i for i, s in enumerate(got) if s > 0]
+        if not toxic:
             return len(words), []
-        places = [i for i, s in enumerate(got) if s > 0]
-        return len(words), segments(places, damped(words, places, got), self.drift)
+        own = dict(zip(toxic, damped(words, toxic, got), strict=True))
+        places = [i for i, s in enumerate(got) if s]
+        return len(words), segments(places, [own[i] if i in own else got[i] - self.drift for i in places], self.drift)
 
     def score(self, text: str | None) -> float:
         n, found = self.scan(text)
@@ -137,7 +140,10 @@ class Model:
 
 
 def evidence(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> dict[str, float]:
-    """Positive lowered log-odds of units from (unit, toxic documents, clean documents with it)."""
+    """Signed log-odds of units, drawn towards zero, from (unit, toxic documents, clean documents with it).
+
+    Toxic ones count from ``WEAK`` on, of prefixes only those that toxic documents have for the most part.
+    """
     base = (toxic + 0.5) / (toxic + clean + 1)
     prior = math.log(base / (1 - base))
     rates, out = {}, {}
@@ -147,12 +153,11 @@ def evidence(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> dict
         mean = min(0.9, mean)
         y1, y0 = n1 + PRIOR * mean, n0 + PRIOR * (1 - mean)
         rates[unit] = y1 / (y1 + y0)
-        value = math.log(y1 / y0) - prior - Z * math.sqrt(1 / y1 + 1 / y0)
-        if unit.endswith("*"):
-            value = value if rates[unit] >= PURE else 0.0
-            if value < WEAK:
-                continue
-        out[unit] = value if value >= WEAK else 0.0
+        odds, wide = math.log(y1 / y0) - prior, Z * math.sqrt(1 / y1 + 1 / y0)
+        if not unit.endswith("*"):
+            out[unit] = odds - wide if odds - wide >= WEAK else min(0.0, odds + wide)
+        elif odds - wide >= WEAK and rates[unit] >= PURE:
+            out[unit] = odds - wide
     return out
 
 
@@ -212,11 +217,12 @@ def learn(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Mode
     size = {(r["part"], r["toxic"]): r["count"] for r in sample.groupBy("part", "toxic").count().collect()}
     both = {t: size.get((0, t), 0) + size.get((1, t), 0) for t in (0, 1)}
     odds = min((both[1] + 0.5) / (both[0] + 0.5), (size.get((0, 1), 0) + 0.5) / (size.get((0, 0), 0) + 0.5))
-    some = c.where(f"unit = '' or (n01 + n11 >= {LEAST_COUNT} and n01 + n11 > {min(0.2, 2 * odds)!r}D * (n00 + n10))")
+    # what is in some clean documents may have evidence against
+    some = c.where(f"unit = '' or (unit not like '%*' and n00 + n10 >= {LEAST_CLEAN}) or (n01 + n11 >= {LEAST_COUNT} and n01 + n11 > {min(0.2, 2 * odds)!r}D * (n00 + n10))")
     rows = [(r[0], r["n00"], r["n01"], r["n10"], r["n11"]) for r in some.toLocalIterator()]
     docs_of = next((r for r in rows if not r[0]), ("", 0, 0, 0, 0))
     rows = [r for r in rows if r[0]]
-    first = Model(evidence([(u, b, a) for u, a, b, _, _ in rows if b >= LEAST_COUNT], docs_of[2], docs_of[1]))
+    first = Model(evidence([(u, b, a) for u, a, b, _, _ in rows if b >= LEAST_COUNT or a >= LEAST_CLEAN], docs_of[2], docs_of[1]))
     apart = docs.sparkSession.sparkContext.broadcast(first)
     chance = sample.where("part = 1 and toxic = 0").select("text").mapInArrow(lambda it: _chance(it, apart.value), "words long, found long, total double").agg(F.sum("words"), F.sum("found"), F.sum("total")).first()
     rate = ((chance[1] or 0) + 1) / ((chance[0] or 0) + 1)
