@@ -1,7 +1,9 @@
 """Approximate nearest neighbours by an adaptive dimension scan over probed lists.
 
 Vectors are rotated at random; lists are the cells of centroids fitted on a bounded sample. Every
-row is indexed in its cell, and each query probes the cells with the largest products. Within a
+row is indexed in its cell, and each query probes the cells that are nearest to it: as many of them as
+find ``RECALL`` of the neighbours that the sample's queries have within the sample, which is measured when the
+index is fitted. Lists grow with the square root of the rows. Within a
 probed list candidates are scanned in blocks of columns, for many queries at once: after each block
 a hypothesis test on the partial distance abandons those that are beyond the query's bound with high
 confidence, and rows and queries without a candidate leave the block. A query's bound is the distance
@@ -26,8 +28,10 @@ from pyspark.sql import functions as F
 from .common import kept, small_batches
 
 K, QUERY_MOD = 20, 20
-#: Rows of the sample that centroids are fitted on; rows per list aimed at; share of lists probed.
-SAMPLE, PER_LIST, MOST_LISTS, PROBED = 20_000, 500, 1024, 0.8
+#: Most rows of the sample that centroids are fitted on; lists per square root of the rows; bytes of the sample, of the centroids and of the bounding rows at most.
+SAMPLE, LISTS, BYTES = 20_000, 0.5, 64 << 20
+#: Share of the sample's own neighbours that the probed lists must hold, and the sample's queries it is measured on.
+RECALL, MEASURED = 0.97, 512
 #: Columns of one step of the scan, and the test's width (larger: fewer wrong rejections).
 STEP, WIDTH = 16, 2.1
 #: Rows of the sample that queries get their bound from.
@@ -52,11 +56,11 @@ def _matrix(column: pa.Array) -> np.ndarray:
 class Index:
     """Rotation, centroids and the common length of augmented vectors."""
 
-    def __init__(self, ids: np.ndarray, sample: np.ndarray, longest: float, n_rows: int, seed: int = 11):
+    def __init__(self, ids: np.ndarray, sample: np.ndarray, longest: float, n_rows: int, lists: int | None = None, k: int = K, seed: int = 11):
         r = np.random.default_rng(seed)
         self.longest, dim = longest, sample.shape[1] + 1
         self.rotation = np.linalg.qr(r.standard_normal((dim, dim)))[0]
-        lists = int(max(1, min(MOST_LISTS, round(n_rows / PER_LIST), len(sample))))
+        lists = int(max(1, min(lists or round(LISTS * n_rows**0.5), len(sample), BYTES // (8 * dim))))
         x = self.rotated(sample)
         self.centres = x[r.choice(len(x), lists, replace=False)]
         for _ in range(5):
@@ -65,8 +69,31 @@ class Index:
             total = np.zeros_like(self.centres)
             np.add.at(total, at, x)
             self.centres = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], self.centres)
-        self.bounding = ids[:BOUNDING], x[:BOUNDING], sample[:BOUNDING]
-        self.probes = max(1, int(np.ceil(PROBED * lists)))
+        bounding = min(BOUNDING, BYTES // (16 * dim))
+        self.bounding = ids[:bounding], x[:bounding], sample[:bounding]
+        self.probes = self.wanted(x, sample, k)
+
+    def wanted(self, x: np.ndarray, sample: np.ndarray, k: int) -> int:
+        """How many lists hold ``RECALL`` of the neighbours of the sample's first rows within the sample.
+
+        Neighbours within a sample are farther away than those among all rows, and so in more lists.
+        """
+        lists, n = len(self.centres), min(MEASURED, len(x))
+        k = min(k, len(x) - 1)
+        if k < 1:
+            return lists
+        q, cells = self.rotated(sample[:n], query=True), self.cells(x)
+        near = sample[:n] @ sample.T
+        near[np.arange(n), np.arange(n)] = -np.inf
+        best = np.argpartition(-near, k - 1, axis=1)[:, :k]
+        place = np.empty((n, lists), np.int64)
+        np.put_along_axis(place, self.order(q), np.arange(lists)[None, :], 1)
+        found = np.sort(np.take_along_axis(place, cells[best], 1).ravel())
+        return int(found[min(len(found) - 1, int(np.ceil(RECALL * len(found))) - 1)]) + 1
+
+    def order(self, q: np.ndarray) -> np.ndarray:
+        """All lists of each query, nearest first."""
+        return np.argsort((self.centres**2).sum(1) / 2 - q @ self.centres.T, axis=1, kind="stable")
 
     def rotated(self, x: np.ndarray, query: bool = False) -> np.ndarray:
         """Augmented by the coordinate that fills up the length (none for queries), and turned."""
@@ -81,8 +108,7 @@ class Index:
         return out
 
     def probed(self, q: np.ndarray) -> np.ndarray:
-        return np.argsort((self.centres**2).sum(1) / 2 - q @ self.centres.T, axis=1, kind="stable")[:, : self.probes]
-
+        return self.order(q)[:, : self.probes]
 
     def bounds(self, ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, list, list]:
         """Squared distance of each query's k-th nearest among the bounding rows, and the ids and scores of these k.
@@ -147,33 +173,34 @@ def scan(index: Index, ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q:
     return query_ids[i[best]], ids[j[best]], score[best]
 
 
-def fit(vectors: DataFrame) -> Index | None:
-    """Index parameters from a bounded sample; None without vectors."""
-    stats = vectors.agg(F.count("*"), F.max(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v * v)))).first()
-    if not stats[0]:
-        return None
-    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
-    return Index(sample.column("vec_id").to_numpy(), _matrix(sample.column("embedding")), stats[1], stats[0])
+def fit(vectors: DataFrame, dim: int, n_rows: int, longest: float, lists: int | None = None, k: int = K) -> Index:
+    """Index parameters from a bounded sample of vectors of one length."""
+    most = max(1, min(SAMPLE, BYTES // (8 * dim)))
+    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).toArrow()
+    return Index(sample.column("vec_id").to_numpy(), _matrix(sample.column("embedding")), longest, n_rows, lists, k)
 
 
-def neighbours(vectors: DataFrame, k: int = K, query_mod: int = QUERY_MOD) -> DataFrame:
+def neighbours(vectors: DataFrame, k: int = K, query_mod: int = QUERY_MOD, lists: int | None = None) -> DataFrame:
     """The k nearest found of each query, nearest first, ties to the smaller vec_id.
 
     Queries are the rows of ``vectors`` (vec_id, embedding) whose id is divisible by ``query_mod``,
     candidates all rows but those of the query's own id; nearness is the inner product in double
     precision. Rows with a null id, or a vector that is null, empty, zero or holds null or not finite
-    components take no part. Of rows that repeat an id the first by component order counts. Vectors
-    must have one length. Returns query_id, rank (from 1), vec_id, score; fewer than k
-    rows where there are fewer candidates; an empty table gives none.
+    components take no part, nor do vectors of another length than most have (of equals, the greater).
+    Of rows that repeat an id the first by component order counts. ``lists`` overrides the number of
+    lists. Returns query_id, rank (from 1), vec_id, score; fewer than k rows where there are fewer
+    candidates; an empty table gives none. Other columns are not read. The index is fitted when called.
     """
     spark = vectors.sparkSession
     small_batches(spark)
     rows = kept(usable(vectors).groupBy("vec_id").agg(F.min("embedding").alias("embedding")))
-    index = fit(rows)
     schema = "query_id long, rank int, vec_id long, score double"
-    if index is None:
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v * v))
+    stats = rows.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n"), F.max(norm).alias("longest")).orderBy(F.desc("n"), F.desc("dim")).first()
+    if stats is None:
         return spark.createDataFrame([], schema)
-    held = spark.sparkContext.broadcast(index)  # at most MOST_LISTS centroids
+    rows = rows.where(F.size("embedding") == stats["dim"])
+    held = spark.sparkContext.broadcast(fit(rows, stats["dim"], stats["n"], stats["longest"], lists, k))  # centroids and bounding rows, of BYTES each at most
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

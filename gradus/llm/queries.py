@@ -27,6 +27,29 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards(table(spark, sf_dir, "documents"))
 
 
+#: The checksum is the bytewise table form of CRC-32, its table made from the polynomial.
+OP2_SQL = r"""
+WITH RECURSIVE bits AS (
+  SELECT i AS n, CAST(i AS BIGINT) AS c, 0 AS k FROM range(256) r(i)
+  UNION ALL SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8
+), t AS (
+  SELECT list(c ORDER BY n) AS tab FROM bits WHERE k = 8
+), d AS (
+  SELECT doc_id, CAST(coalesce(octet_length(encode(text)), 0) + 1 AS BIGINT) AS size,
+         list_concat([4294967295], list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT))) AS bytes
+  FROM documents
+), c AS (
+  SELECT doc_id, size, xor(list_reduce(bytes, lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295) AS text_crc32 FROM d CROSS JOIN t
+), p AS (
+  SELECT *, CAST(sum(size) OVER w - size AS BIGINT) AS start, row_number() OVER w - 1 AS place, CAST(sum(size) OVER () AS BIGINT) AS total
+  FROM c WINDOW w AS (ORDER BY doc_id ASC NULLS LAST, text_crc32 ROWS UNBOUNDED PRECEDING)
+), s AS (
+  SELECT *, CAST(least(15, ((2 * start + size) * 16) // (2 * total)) AS INTEGER) AS shard FROM p
+)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, place - min(place) OVER (PARTITION BY shard) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s
+"""
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -120,4 +143,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL, "op8_mixing": OP8_SQL}
+    return {"op2_sharding": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op8_mixing": OP8_SQL}

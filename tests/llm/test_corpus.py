@@ -1,7 +1,9 @@
 import base64
 import gzip
+import hashlib
 import math
 import random
+import re
 import urllib.parse
 import zlib
 from collections import Counter
@@ -18,7 +20,7 @@ import corpus_pipeline
 from gradus.llm import lm_contexts, lm_tokens, mixing_lm, queries, secrets
 from gradus.llm.mixing import mixed, mixture, targets
 from gradus.llm.mixing_lm import language_model_scores
-from gradus.llm.neighbours import neighbours
+from gradus.llm.neighbours import Index, neighbours
 from gradus.llm.sharding import shards
 from gradus.llm.toxicity import Model, expected, learn, segments, toxicity, without_toxic
 
@@ -50,6 +52,14 @@ def test_shards_are_even(spark):
     assert len(per) == 16 and all(abs(r["b"] - mean) <= 20_000 for r in per)
 
 
+def test_shards_against_sql(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    want = c.sql(queries.OP2_SQL)
+    assert sorted(map(tuple, shards(docs).select(*want.columns).collect())) == sorted(want.fetchall())
+
+
 # ---------------------------------------------------------------- mixing
 
 
@@ -96,19 +106,63 @@ def test_mixture_against_sql(spark):
 # ---------------------------------------------------------------- toxicity
 
 
-def test_segments_are_maximal():
+def all_maximal(line, lo, hi):
+    """By definition: the best stretch, then those of what lies before and after it."""
+    sums = np.concatenate(([0.0], np.cumsum(line[lo:hi])))
+    gain = np.triu(sums[None, :] - sums[:, None], 1)
+    if hi <= lo or gain.max() <= 1e-12:
+        return []
+    a, b = max(np.argwhere(gain >= gain.max() - 1e-12).tolist(), key=lambda x: x[0] - x[1])
+    return [*all_maximal(line, lo, lo + a), (lo + a, lo + b), *all_maximal(line, lo + b, hi)]
+
+
+def test_segments_are_all_maximal_ones():
     r = random.Random(2)
     for _ in range(200):
-        places = sorted(r.sample(range(40), r.randrange(1, 12)))
-        scores = [r.uniform(0.1, 3) for _ in places]
-        line = [-0.3] * 40
+        places = sorted(r.sample(range(30), r.randrange(1, 18)))
+        scores = [r.uniform(0.1, 3) if r.random() < 0.6 else r.uniform(-2, -0.3) for _ in places]
+        line = [-0.3] * 30
         for p, s in zip(places, scores, strict=True):
             line[p] = s
-        best = max(sum(line[a:b]) for a in range(40) for b in range(a + 1, 41))
         found = segments(places, scores, 0.3)
-        assert max(s for _, _, s in found) == pytest.approx(best)
+        assert [(a, b) for a, b, _ in found] == all_maximal(line, 0, 30)
         assert all(sum(line[a:b]) == pytest.approx(s) for a, b, s in found)
-        assert all(x[1] <= y[0] for x, y in zip(found, found[1:], strict=False))
+
+
+def test_evidence_is_signed(spark):
+    """Words of clean texts speak against, words of toxic ones for, words of both not at all; a clean word parts two passages."""
+    rows = [(i, ("grolf " if i % 5 == 1 else "plain ") + "common", int(i % 5 == 1)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = learn(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    assert model.evidence["grolf"] > 1 and model.evidence["plain"] < -1 and model.evidence["common"] == 0
+    assert len(model.scan("grolf common common grolf")[1]) == 1 < len(model.scan("grolf plain plain plain plain grolf")[1])
+
+
+def test_toxicity_query_against_a_plain_scan(spark):
+    """Scores of the registered query by the model's evidence, word by word and stretch by stretch."""
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    model = learn(docs, labels)
+    got = {r["doc_id"]: r for r in queries.op3_toxicity(spark, DATA).collect()}
+    assert len(got) == docs.count()
+    some = 0
+    for i, text in docs.where("length(text) < 4000").select("doc_id", "text").collect():
+        words = re.findall(r"[^\W\d_]+", (text or "").lower())
+        line, last = [], {}
+        for k, w in enumerate(words):
+            e = next((model.evidence[u] for u in (w, w[:6] + "*", w[:4] + "*") if u in model.evidence and (u == w or len(w) >= len(u))), 0.0)
+            if e > 0:
+                at, share = last.get(w, (-1000, 1.0))
+                share = share / 2 if k - at <= 100 else 1.0
+                last[w] = k, share
+                line.append(share * e)
+            else:
+                line.append(e - model.drift)
+        found = all_maximal(line, 0, len(line)) if any(x > 0 for x in line) else []
+        assert got[i]["n_segments"] == len(found), i
+        want = 0.01 / (0.01 + expected([sum(line[a:b]) for a, b in found], len(words), model.rate))
+        assert got[i]["score"] == pytest.approx(want), i
+        some += bool(found)
+    assert some > 3
 
 
 def test_expected_falls_with_evidence():
@@ -157,7 +211,7 @@ def test_rare_toxicity_has_evidence(spark):
     rows = [(i, f"plain{'abcdefghij'[i % 10]} " + ("grolf" if i < 40 or i % 15 == 1 else "fine"), int(i < 40)) for i in range(4000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     found = learn(docs.select("doc_id", "text"), docs.select("doc_id", "toxic")).evidence
-    assert found["grolf"] > 1.0 and not found.get("fine")
+    assert found["grolf"] > 1.0 and found.get("fine", 0.0) <= 0
 
 
 # ---------------------------------------------------------------- secrets
@@ -228,6 +282,46 @@ def test_secret_scan(spark, edge, nothing):
 # ---------------------------------------------------------------- neighbours
 
 
+def plain_finds(text):
+    """The contract's base finds, kind by kind."""
+    out = [("assign", m.start(), m.end()) for m in re.finditer(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[1]) >= 8]
+    out += [("access", m.start(), m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    out += [("hex", m.start(), m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 32]
+    return sorted(out, key=lambda s: (s[1], ("assign", "access", "hex").index(s[0])))
+
+
+def test_secret_query_against_a_plain_scan(spark):
+    """Base columns of every document; its base finds are among its spans, and one layer of escapes or base64 adds what a plain scan of it has."""
+    got = {r["doc_id"]: r for r in queries.op6_secret_scan(spark, DATA).collect()}
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()
+    assert len(got) == len(docs)
+    for i, text in docs:
+        own, text = plain_finds(text or ""), text or ""
+        counts = [sum(k == kind for k, _, _ in own) for kind in ("assign", "access", "hex")]
+        assert [got[i]["n_assign"], got[i]["n_access"], got[i]["n_hex"]] == counts
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in own).encode()).hexdigest()
+        spans = set(got[i]["spans"].split(",")) - {""}
+        assert {f"{k}:{a}:{b}" for k, a, b in own} <= spans
+        for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])(?:[A-Za-z0-9+/]{4}){5,}={0,2}(?![A-Za-z0-9+/_=-])", text):
+            try:
+                inner = base64.b64decode(m[0], validate=True).decode()
+            except ValueError:
+                continue
+            if inner.isprintable():
+                assert {f"{k}:{m.start()}:{m.end()}" for k, _, _ in plain_finds(inner)} <= spans
+
+
+def test_finds_across_pieces_and_glued(monkeypatch):
+    """Runs across the cut between unpacked pieces, and after letters of their own alphabet."""
+    inner = base64.b64encode((SECRET * 200).encode()).decode()
+    for at in (1000, (1 << 22) - 3000, (1 << 22) - 100):
+        text = "x " * (at // 2) + inner + " y" * 200_000
+        packed = base64.b64encode(zlib.compress(text.encode())).decode()
+        assert any(k == "assign" for k, _, _ in secrets.scan(f"see {packed} there")[1]), at
+    for glue in ("img/", "a/b/", "x-", "q_"):
+        assert any(k == "assign" for k, _, _ in secrets.scan(glue + base64.b64encode(SECRET.encode()).decode())[1]), glue
+
+
 def test_neighbours(spark):
     v = spark.read.parquet(f"{DATA}/embeddings.parquet")
     odd = spark.createDataFrame([(10_000, None), (10_020, [0.0] * 64), (10_040, [float("nan")] * 64), (10_060, [None] + [1.0] * 63), (None, [1.0] * 64)], "vec_id long, embedding array<float>")
@@ -252,7 +346,7 @@ def test_neighbours_over_lists(spark):
     x[:700] = x[0]  # a hot vector
     v = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
     got = {}
-    for row in neighbours(v, k=10, query_mod=100).orderBy("rank").collect():
+    for row in neighbours(v, k=10, query_mod=100, lists=120).orderBy("rank").collect():
         got.setdefault(row["query_id"], []).append(row["vec_id"])
     hit = 0
     for q in range(0, 3000, 100):
@@ -264,6 +358,37 @@ def test_neighbours_over_lists(spark):
     assert neighbours(v.limit(0)).count() == 0 and neighbours(v.where("vec_id = 0")).count() == 0
 
 
+def test_probes_follow_the_measured_recall():
+    """Clustered rows need few lists, spread ones most of them; what the probed lists hold is near what was asked for."""
+    r = np.random.default_rng(8)
+    tight = np.repeat(r.standard_normal((100, 32)) * 5, 40, axis=0) + r.standard_normal((4000, 32)) * 0.3
+    tight = r.permutation(tight / np.linalg.norm(tight, axis=1)[:, None])
+    spread = r.standard_normal((4000, 32))
+    probes = []
+    for x in (tight, spread):
+        index = Index(np.arange(4000), x, float(np.linalg.norm(x, axis=1).max()), 4000, 120)
+        assert len(index.centres) == 120
+        cells, held, every = index.cells(index.rotated(x)), 0, 0
+        for i in range(0, 4000, 20):
+            s = x @ x[i]
+            s[i] = -np.inf
+            best, seen = np.argsort(-s)[:20], set(index.probed(index.rotated(x[i : i + 1], query=True))[0].tolist())
+            held, every = held + sum(c in seen for c in cells[best].tolist()), every + 20
+        assert held / every > 0.94
+        probes.append(index.probes)
+    assert probes[0] < 20 < probes[1] <= 120
+
+
+def test_neighbours_edges(spark):
+    """Vectors of another length take no part, ids that repeat count once, clashing columns are not read."""
+    rows = [(i, [float(i % 7), 1.0, float(i)], "x", 0.5) for i in range(60)] + [(61, [1.0, 2.0], "x", 0.5), (62, [], "x", 0.5), (20, [9.0, 9.0, 9.0], "x", 0.5)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>, cell string, score double")
+    got = neighbours(v, k=5).collect()
+    ids = Counter((r["query_id"], r["vec_id"]) for r in got)
+    assert set(ids.values()) == {1} and not {61, 62} & {i for pair in ids for i in pair} and {r["query_id"] for r in got} == {0, 20, 40}
+    assert all(r["query_id"] != r["vec_id"] for r in got) and len(got) == 15
+
+
 # ---------------------------------------------------------------- language model
 
 
