@@ -143,6 +143,29 @@ def by_size(rows: DataFrame, side: DataFrame, keys: list[str], size: str, total:
     return rows.join(F.broadcast(hot), keys).unionByName(rest)
 
 
+#: log2 of the bits of a bitmap.
+MAP_BITS = 24
+
+
+def bitmap(marks: DataFrame, bits: int = MAP_BITS) -> DataFrame:
+    """One row of fixed size: the bits that ``marks`` (mark: long) set, in pieces of 32,768 bits by their number.
+
+    It lets rows go that cannot be wanted before they are dealt out; with more marks than bits more pass, never fewer.
+    """
+    at = F.pmod("mark", F.lit(1 << bits))
+    per = marks.select(F.bitmap_bucket_number(at).alias("piece"), F.bitmap_bit_position(at).alias("bit")).groupBy("piece").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    return per.agg(F.map_from_entries(F.collect_list(F.struct("piece", "bits"))).alias("_map"))  # 2^(bits - 15) pieces of 4 KB at most
+
+
+def may_be(mark: Column, bits: int = MAP_BITS) -> Column:
+    """Whether the bitmap in ``_map`` has the bit of a mark."""
+    at = F.pmod(mark, F.lit(1 << bits))
+    place = F.bitmap_bit_position(at)
+    byte = F.substring(F.col("_map")[F.bitmap_bucket_number(at)], (place / 8).cast("int") + 1, F.lit(1))
+    bit = F.call_function("shiftright", F.conv(F.hex(byte), 16, 10).cast("int"), F.pmod(place, F.lit(8)).cast("int"))
+    return F.coalesce(bit.bitwiseAND(F.lit(1)) == 1, F.lit(False))
+
+
 def few(df: DataFrame) -> DataFrame:
     """``df`` in fewer partitions, for tables that are far smaller than what they come from."""
     return df.repartition(-(-int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 16))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, by_size, few, small_batches, staying
+from .common import Scratch, bitmap, by_size, few, may_be, small_batches, staying
 from .components import components
 from .textkernel import mix, text_shingles
 
@@ -119,9 +119,8 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        sets = [s for _, some in text_shingles(b.column("text")) for s in some]
-        names = [set_digest(s) if len(s) else (None, None) for s in sets]
-        yield pa.RecordBatch.from_arrays([pa.array([n[0] for n in names], pa.int64()), pa.array([n[1] for n in names], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["c1", "c2", "held"])
+        held = [s.tobytes() for _, sets in text_shingles(b.column("text")) for s in sets]
+        yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(held, pa.binary())], names=["node", "held"])
 
 
 def linked(a: np.ndarray, b: np.ndarray, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> bool:
@@ -227,21 +226,23 @@ class NearDedup:
 
     def classes(self) -> None:
         signed = self.scratch.stored(self.docs.mapInArrow(_signed, _SIGNED), "signed")
-        self.signed = signed.select("doc_id", "n_shingles", "c1", "c2")
         per = signed.where("n_shingles > 0").groupBy("c1", "c2").agg(
             F.min("doc_id").alias("least"), F.count("*").alias("rows"), F.min(F.struct("mark", "size")).alias("text"), F.first("keys").alias("keys"), F.first("odd").alias("odd")
         )  # a class has one set, and so one sketch
         self.found = self.scratch.stored(per.withColumn("node", F.monotonically_increasing_id()), "classes")
+        self.signed = self.scratch.stored(signed.select("doc_id", "n_shingles", "c1", "c2"), "rows")
+        self.scratch.drop("signed")
         self.nodes = self.found.select("node", "keys", "odd")
         rows = self.nodes.select("node", "keys").mapInArrow(_exploded, "bucket long, band int, node long")
         pivots = rows.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("most")).where("pivot < most")
         self.members = self.scratch.kept(rows.join(pivots.select("bucket", "pivot"), "bucket"))
         # full sets of all nodes that share a bucket, once, dealt by node for every join to come
-        wanted = self.members.select("node").distinct().join(self.found.select("node", "c1", "c2", "text.mark", "text.size"), "node")
-        text = self.docs.select("mark", "size", "text").join(wanted.select("mark", "size").hint("shuffle_hash"), ["mark", "size"], "left_semi").groupBy("mark", "size").agg(F.first("text").alias("text"))
+        wanted = self.members.select("node").distinct().join(self.found.select("node", "text.mark", "text.size"), "node")
+        wanted = self.scratch.stored(few(wanted), "wanted")
+        text = self.docs.select("mark", "size", "text").join(F.broadcast(bitmap(wanted.select("mark")))).where(may_be(F.col("mark"))).groupBy("mark", "size").agg(F.first("text").alias("text"))
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        held = text.select("text").mapInArrow(_sets, "c1 long, c2 long, held binary")
-        self.sets = self.scratch.kept(held.join(wanted.select("node", "c1", "c2").hint("shuffle_hash"), ["c1", "c2"]).select("node", "held").repartition(n, "node"))
+        held = text.join(wanted.hint("shuffle_hash"), ["mark", "size"]).select("node", "text").mapInArrow(_sets, "node long, held binary")
+        self.sets = self.scratch.kept(held.repartition(n, "node"))
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """Those of ``pairs`` (a, b) that reach the threshold on full sets."""

@@ -23,14 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, TIDY, kept, session_conf, shared_path, small_batches, text_of
+from .common import SPACE, TIDY, bitmap, kept, may_be, session_conf, shared_path, small_batches, text_of
 
 MODEL = "word_bpe_49k.json"
 LIMIT = 2048
 #: Words whose count a worker remembers.
 MEMO = 500_000
-#: log2 of the bits of the map that tells which texts can be misses.
-MAP_BITS = 24
 _CACHE = "digest string, version string, n_tokens long"
 
 
@@ -139,26 +137,10 @@ def cached(spark: SparkSession, cache: str, name: str) -> DataFrame:
     return rows.groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
 
 
-def _marked(marks: DataFrame, bits: int = MAP_BITS) -> DataFrame:
-    """One row: a bitmap of 2^``bits`` bits of ``marks`` (mark), in pieces of 32,768 bits by their number."""
-    at = F.pmod("mark", F.lit(1 << bits))
-    per = marks.select(F.bitmap_bucket_number(at).alias("piece"), F.bitmap_bit_position(at).alias("bit")).groupBy("piece").agg(F.bitmap_construct_agg("bit").alias("bits"))
-    return per.agg(F.map_from_entries(F.collect_list(F.struct("piece", "bits"))).alias("_map"))  # 2^(bits - 15) pieces of 4 KB at most
-
-
-def _may_be(mark: Column, bits: int = MAP_BITS) -> Column:
-    """Whether the bitmap in ``_map`` has the bit of a mark."""
-    at = F.pmod(mark, F.lit(1 << bits))
-    place = F.bitmap_bit_position(at)
-    byte = F.substring(F.col("_map")[F.bitmap_bucket_number(at)], (place / 8).cast("int") + 1, F.lit(1))
-    bit = F.call_function("shiftright", F.conv(F.hex(byte), 16, 10).cast("int"), F.pmod(place, F.lit(8)).cast("int"))
-    return F.coalesce(bit.bitwiseAND(F.lit(1)) == 1, F.lit(False))
-
-
 def missing(docs: DataFrame, misses: DataFrame, hits: bool) -> DataFrame:
     """digest, text of one text for each of ``misses`` (mark, size, digest); of ``docs`` (text, mark, size) only possible misses move."""
     if hits:
-        docs = docs.join(F.broadcast(_marked(misses.select("mark")))).where(_may_be(F.col("mark"))).drop("_map")
+        docs = docs.join(F.broadcast(bitmap(misses.select("mark")))).where(may_be(F.col("mark"))).drop("_map")
     one = docs.groupBy("mark", "size").agg(F.first("text").alias("text"))
     return one.join(misses.select("mark", "size", "digest").hint("shuffle_hash"), ["mark", "size"]).select("digest", "text")
 

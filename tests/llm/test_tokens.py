@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from gradus.llm import token_counts as tc
+from gradus.llm.common import bitmap, may_be
 from gradus.llm.pieces import MODEL, encode_decode, pieces
 
 MIX = ["a", "B", " ", "  ", "\n", "é", "é", "İ", "ſ", "K", "'s", "'ll", "<|", "<|endoftext|>", "1", "２", "中", "　", "\x85", "\x1c", "!?", "ς", "ﬁ", "🤦", ".", ",", "a.", "▁", "</s>", "<0x41>", "abab", "ing"]
@@ -54,7 +55,7 @@ def test_hits_send_no_text(spark, tmp_path):
     """Of texts that the cache holds, the bitmap lets almost none pass; every miss passes."""
     rows = spark.range(4000).select(F.concat(F.lit("text "), F.col("id").cast("string")).alias("text")).withColumn("mark", F.xxhash64("text")).withColumn("size", F.length("text").cast("long"))
     misses = rows.where("text like '%7'").withColumn("digest", F.md5("text"))
-    through = rows.join(F.broadcast(tc._marked(misses.select("mark")))).where(tc._may_be(F.col("mark")))
+    through = rows.join(F.broadcast(bitmap(misses.select("mark")))).where(may_be(F.col("mark")))
     assert 400 <= through.count() < 410
     got = tc.missing(rows, misses, True).collect()
     assert sorted(r["text"] for r in got) == sorted(f"text {i}" for i in range(7, 4000, 10)) and all(hashlib.md5(r["text"].encode()).hexdigest() == r["digest"] for r in got)
