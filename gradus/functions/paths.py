@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import clean, col
@@ -37,5 +37,12 @@ def trainable_module(name: Column | str, suffixes: tuple[str, ...] = ("q_proj",
     return F.element_at(parts, -1).isin(*suffixes) & ~F.arrays_overlap(parts, F.array(*map(F.lit, FROZEN)))
 
 
+def incomplete_layers(modules: DataFrame, name: str = "name", suffixes: tuple[str, ...] = ("q_proj", "v_proj")) -> DataFrame:
+    """layer, missing of decoder layers that have some of the trained projections, but not all."""
+    own = modules.where(trainable_module(name, suffixes)).select(layer_of(name).alias("layer"), F.element_at(F.split(col(name), r"\."), -1).alias("part"))
+    gone = F.array_except(F.array(*map(F.lit, suffixes)), F.collect_set("part"))
+    return own.groupBy("layer").agg(gone.alias("missing")).where(F.size("missing") > 0)
+
+
 def layer_of(name: Column | str) -> Column:
     return F.regexp_replace(col(name), r"\.[^.]*$", "")

@@ -20,7 +20,7 @@ LINE_SEQUENCE = (
 )
 LINE_PLAIN = "Do not provide an explanation or punctuation."
 LINE_ANSWER = "Final answer:"
-#: Fields whose values must not show in a prompt, and patterns of such values.
+# Fields whose values must not show in a prompt, and patterns of such values.
 SENSITIVE = ("path", "clip_key", "action_name", "subject_id", "trial_id", "source_relative_path")
 MARKERS = {
     "raw_video_extension": r"\.mp4\b",

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.answers import category_of, option_letters, with_assessment
+from ..functions.answers import category_of, category_rank, option_letters, with_assessment
 from ..functions.text import clean, is_blank
 
 MISSING = "<missing>"
@@ -20,11 +20,8 @@ def id_counts(rows: DataFrame, id_col: str = "qa_id", examples: int = 5) -> Data
     """One row: blank ids, ids that occur twice or more, the first of them in order."""
     per = rows.groupBy(clean(id_col).alias("id")).count()
     twice = (F.col("id") != "") & (F.col("count") > 1)
-    return per.agg(
-        F.coalesce(F.sum(F.when(F.col("id") == "", F.col("count"))), F.lit(0)).alias("blank"),
-        F.count_if(twice).alias("duplicates"),
-        F.slice(F.array_sort(F.collect_list(F.when(twice, F.col("id")))), 1, examples).alias("examples"),
-    )
+    first = per.where(twice).select("id").orderBy("id").limit(examples).agg(F.array_sort(F.collect_list("id")).alias("examples"))
+    return per.agg(F.coalesce(F.sum(F.when(F.col("id") == "", F.col("count"))), F.lit(0)).alias("blank"), F.count_if(twice).alias("duplicates")).crossJoin(first)
 
 
 def id_difference(expected: DataFrame, actual: DataFrame, id_col: str = "qa_id") -> DataFrame:
@@ -117,7 +114,18 @@ def in_target_order(records: DataFrame, targets: DataFrame, id_col: str = "qa_id
     return records.join(targets.select(id_col, "pos"), id_col)
 
 
-def order_violations(records: DataFrame) -> DataFrame:
-    """Records (seq, pos) that stand after one of a later target."""
-    before = F.max("pos").over(W.orderBy("seq").rowsBetween(W.unboundedPreceding, -1))
-    return records.withColumn("before", before).where("before >= pos").drop("before")
+def order_violations(records: DataFrame, block: int = 1 << 16) -> DataFrame:
+    """Records (seq, pos) that stand after one of a later target.
+
+    Only the greatest places of blocks of ``block`` consecutive records are ordered as a whole.
+    """
+    rows = records.withColumn("_block", F.floor(F.col("seq") / block))
+    tops = rows.groupBy("_block").agg(F.max("pos").alias("_top"))
+    tops = tops.select("_block", F.max("_top").over(W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)).alias("_earlier"))
+    inside = F.max("pos").over(W.partitionBy("_block").orderBy("seq").rowsBetween(W.unboundedPreceding, -1))
+    return rows.withColumn("_inside", inside).join(tops, "_block").withColumn("before", F.greatest("_inside", "_earlier")).where("before >= pos").drop("_block", "_inside", "_earlier")
+
+
+def in_taxonomy_order(rows: DataFrame, category: str = "category") -> DataFrame:
+    """Rows of a report with the known categories in the order of the taxonomy, then the others by name."""
+    return rows.orderBy(category_rank(category).asc_nulls_last(), category)

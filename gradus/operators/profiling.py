@@ -165,15 +165,16 @@ def memory_table(after: DataFrame, sampled: DataFrame, peaks: DataFrame) -> Data
 
 
 def run_facts(runs: DataFrame) -> DataFrame:
-    """Derived columns of runs (targets, resumed, elapsed_s, load_s): inference time and rates.
+    """Derived columns of runs (targets, resumed, elapsed_s, load_s, backend): inference time and rates.
 
-    Engine load is no request's time. A run that was resumed to its end executed nothing and is not measured.
+    Engine load is no request's time. A run that was resumed to its end executed nothing and is not
+    measured, nor is one that names no backend.
     """
     spent = F.greatest(F.lit(0.0), F.coalesce("elapsed_s", F.lit(0.0)) - F.coalesce("load_s", F.lit(0.0)))
     return (
         runs.withColumn("inference_s", spent)
         .withColumn("executed", F.col("targets") - F.coalesce("resumed", F.lit(0)))
-        .withColumn("measured", F.col("executed") > 0)
+        .withColumn("measured", (F.col("executed") > 0) & (F.coalesce("backend", F.lit("")) != ""))
         .withColumn("s_per_request", F.try_divide("inference_s", "targets"))
         .withColumn("rps", F.try_divide("targets", "inference_s"))
     )

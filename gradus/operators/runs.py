@@ -17,11 +17,15 @@ def first_targets(rows: DataFrame, limit: int | None) -> DataFrame:
         return rows
     if limit <= 0:
         raise ValueError("limit must be positive")
+    if limit > (n := rows.count()):
+        raise ValueError(f"limit {limit} is beyond the {n} rows")
     return rows.where(F.col("pos") < limit)
 
 
 def pending(targets: DataFrame, records: DataFrame, id_col: str = "qa_id") -> DataFrame:
-    """Targets without a valid record; invalid and failed ones are tried again."""
+    """Targets without a valid record; invalid and failed ones are tried again. Records of other ids are refused."""
+    if (row := unknown_records(targets, records, id_col).first()) is not None:
+        raise ValueError(f"record of an id that is no target: {row[id_col]}")
     return targets.join(records.where("status = 'valid'").select(id_col), id_col, "left_anti")
 
 
@@ -71,9 +75,9 @@ def first_mismatch(actual: DataFrame, expected: DataFrame, id_col: str = "qa_id"
 
 
 def best_repeats(runs: DataFrame, key: list[str], rate: str = "throughput_rps", order: str = "pos") -> DataFrame:
-    """The fastest single run of each configuration that ran at least twice, the earlier one of equals."""
+    """The fastest single measured run of each configuration that was measured at least twice, the earlier one of equals."""
     w = W.partitionBy(*key)
-    ok = runs.where(F.col(rate).isNotNull())
+    ok = runs.where(F.col(rate).isNotNull() & F.col("measured"))
     ok = ok.withColumn("repeats", F.count("*").over(w)).withColumn("_rn", F.row_number().over(w.orderBy(F.col(rate).desc(), order)))
     return ok.where("repeats >= 2 and _rn = 1").drop("_rn")
 

@@ -37,8 +37,10 @@ def zero(code: str, count: str, what: str, examples: str | None = None) -> Colum
     return check(code, F.col(count) == 0, F.col(count), F.lit(0), detail)
 
 
-def _examples(which: Column, value: Column, n: int = 10) -> Column:
-    return F.slice(F.array_sort(F.collect_list(F.when(which, value))), 1, n)
+def first_values(rows: DataFrame, value: Column, order: Column | str, name: str, n: int = 10) -> DataFrame:
+    """One row: the values of the first ``n`` rows in order, a bounded list whatever the number of rows."""
+    top = rows.select((F.col(order) if isinstance(order, str) else order).alias("o"), value.alias("v")).orderBy("o", "v").limit(n)
+    return top.agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "v"))), lambda x: x["v"]).alias(name))
 
 
 def schema_checks(spark: SparkSession, tables: dict[str, tuple[list[str], tuple[str, ...], str]]) -> DataFrame:
@@ -54,7 +56,8 @@ def schema_checks(spark: SparkSession, tables: dict[str, tuple[list[str], tuple[
 def _ids(rows: DataFrame, label: str) -> DataFrame:
     per = rows.groupBy(clean("qa_id").alias("id")).count()
     twice = (F.col("id") != "") & (F.col("count") > 1)
-    row = per.agg(F.coalesce(F.sum(F.when(F.col("id") == "", F.col("count"))), F.lit(0)).alias("blank"), F.count_if(twice).alias("twice"), _examples(twice, F.col("id")).alias("ids"))
+    row = per.agg(F.coalesce(F.sum(F.when(F.col("id") == "", F.col("count"))), F.lit(0)).alias("blank"), F.count_if(twice).alias("twice"))
+    row = row.crossJoin(first_values(per.where(twice), F.col("id"), "id", "ids"))
     return checks(row, zero(f"{label}_nonempty_ids", "blank", f"{label} blank qa_id"), zero(f"{label}_unique_ids", "twice", f"{label} duplicate qa_id", "ids"))
 
 
@@ -82,11 +85,9 @@ def submission_report(tests: DataFrame, template: DataFrame, submission: DataFra
     """All checks of a submission against its template and test questions (each with a 0-based ``pos``)."""
     own = lambda d: [c for c in d.columns if c != "pos"]
     parts = [schema_checks(tests.sparkSession, {"test_schema": (own(tests), QA_COLUMNS, "superset"), "template_columns": (own(template), SUBMISSION_COLUMNS, "ordered"), "submission_columns": (own(submission), SUBMISSION_COLUMNS, "ordered")})]
-    layout, unique = option_layout_ok(), options_unique()
-    row = tests.agg(
-        F.array_sort(F.collect_set(F.when(~category_of("category").isin(*CATEGORIES), category_of("category")))).alias("kinds"),
-        F.count_if(~layout).alias("layout"), _examples(~layout, clean("qa_id")).alias("layout_ids"), F.count_if(~unique).alias("twice"), _examples(~unique, clean("qa_id")).alias("twice_ids"),
-    )
+    rows = tests.select("pos", clean("qa_id").alias("id"), category_of("category").alias("kind"), option_layout_ok().alias("laid"), options_unique().alias("apart"))
+    row = rows.agg(F.array_sort(F.collect_set(F.when(~F.col("kind").isin(*CATEGORIES), F.substring("kind", 1, 40)))).alias("kinds"), F.count_if(~F.col("laid")).alias("layout"), F.count_if(~F.col("apart")).alias("twice"))
+    row = row.crossJoin(first_values(rows.where("not laid"), F.col("id"), "pos", "layout_ids")).crossJoin(first_values(rows.where("not apart"), F.col("id"), "pos", "twice_ids"))
     parts.append(checks(row, check("test_categories", F.size("kinds") == 0, F.array_join("kinds", ","), F.lit("known taxonomy"), F.lit("test categories")), zero("test_option_layout", "layout", "option layout", "layout_ids"), zero("test_unique_options", "twice", "equal options", "twice_ids")))
     parts += [_ids(d, n) for n, d in (("test", tests), ("template", template), ("submission", submission))]
     parts.append(_order(template, tests, "template_matches_test_order", "template ids must follow the test questions"))
@@ -97,11 +98,18 @@ def submission_report(tests: DataFrame, template: DataFrame, submission: DataFra
     new = b.join(a, "id", "left_anti").agg(F.count("*").alias("unexpected"))
     parts.append(checks(gone.crossJoin(new), check("submission_id_set", (F.col("missing") == 0) & (F.col("unexpected") == 0), F.concat_ws(",", F.col("missing").cast("string"), F.col("unexpected").cast("string")), F.lit("0,0"), F.lit("missing, unexpected ids"))))
     parts.append(_order(submission, template, "submission_id_order", "ids must follow the template"))
-    bad = judged(submission, tests).agg(F.count_if(F.col("error").isNotNull()).alias("bad"), _examples(F.col("error").isNotNull(), F.concat_ws(":", "qa_id", "error"), 5).alias("bad_ids"))
+    own = judged(submission, tests).where("error is not null")
+    bad = own.agg(F.count("*").alias("bad")).crossJoin(first_values(own, F.concat_ws(":", "qa_id", "error"), "pos", "bad_ids", 5))
     parts.append(checks(bad, zero("prediction_format", "bad", "predictions must be canonical", "bad_ids")))
     return reduce(DataFrame.unionByName, parts)
 
 
+def submission_counts(submission: DataFrame, tests: DataFrame) -> DataFrame:
+    """Rows of a submission by the category of their question (of questions that are known), and how many of them are no canonical answer."""
+    rows = judged(submission, tests).where("category is not null")
+    return rows.groupBy("category").agg(F.count("*").alias("n"), F.count_if(F.col("error").isNotNull()).alias("invalid"), (F.count("*") - F.count_if(F.col("error").isNotNull())).alias("canonical"))
+
+
 def verdict(report: DataFrame) -> DataFrame:
     """One row: PASS only if every check passed, and the codes that did not."""
     failed = F.col("status") != "PASS"
@@ -188,10 +196,10 @@ def run_report(records: DataFrame, targets: DataFrame, claimed: str, id_col: str
 
 
 def gates(metrics: DataFrame, limits: dict[str, tuple[str, float, str]]) -> DataFrame:
-    """Named metrics (code, value) against limits: code to (comparison, bound, severity)."""
+    """Named metrics (code, value) against limits: code to (comparison, bound, severity ``critical``, ``minor`` or ``info``)."""
     rows = [(k, op, float(v), s) for k, (op, v, s) in limits.items()]
     bounds = metrics.sparkSession.createDataFrame(rows, "code string, op string, bound double, severity string")
     value, bound = F.col("value"), F.col("bound")
     ok = F.when(F.col("op") == "<", value < bound).when(F.col("op") == "<=", value <= bound).when(F.col("op") == ">", value > bound).when(F.col("op") == ">=", value >= bound).otherwise(value == bound)
-    status = F.when(F.col("value").isNull(), "MISSING").when(ok, "PASS").when(F.col("severity") == "critical", "FAIL").otherwise("WARN")
+    status = F.when(F.col("value").isNull(), "MISSING").when(F.col("severity") == "info", "INFO").when(ok, "PASS").when(F.col("severity") == "critical", "FAIL").otherwise("WARN")
     return bounds.join(metrics, "code", "left").select("code", status.alias("status"), "severity", value.cast("string").alias("observed"), F.concat_ws(" ", "op", bound.cast("string")).alias("expected"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import answers, arrays, hashing, paths, prompts
-from ..operators import evaluation, profiling, runs, splits, validation
+from ..operators import evaluation, profiling, runs, splits, suites, validation
 from .carriers import PREDICTIONS_SQL, QA_SQL, REQUESTS_SQL, judged_sql, predictions, qa, requests, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -169,12 +169,12 @@ def device_memory(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("run_facts", """
-SELECT run, targets, resumed, elapsed_s, load_s, i AS inference_s, targets - coalesce(resumed, 0) AS executed, targets - coalesce(resumed, 0) > 0 AS measured, i / targets AS s_per_request, targets / nullif(i, 0) AS rps
-FROM (SELECT o_orderkey AS run, CAST(1 + o_orderkey % 9 AS BIGINT) AS targets, CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey % 9 END AS resumed, o_totalprice AS elapsed_s, o_totalprice / (1 + o_orderkey % 3) AS load_s,
+SELECT run, targets, resumed, elapsed_s, load_s, i AS inference_s, backend, targets - coalesce(resumed, 0) AS executed, targets - coalesce(resumed, 0) > 0 AND coalesce(backend, '') <> '' AS measured, i / targets AS s_per_request, targets / nullif(i, 0) AS rps
+FROM (SELECT o_orderkey AS run, CAST(1 + o_orderkey % 9 AS BIGINT) AS targets, CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey % 9 END AS resumed, o_totalprice AS elapsed_s, o_totalprice / (1 + o_orderkey % 3) AS load_s, CASE o_orderkey % 7 WHEN 1 THEN '' WHEN 2 THEN NULL ELSE 'engine' END AS backend,
       greatest(0.0, o_totalprice - o_totalprice / (1 + o_orderkey % 3)) AS i FROM orders)""")
 def run_facts(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
-    rows = table(spark, d, "orders").select(k.alias("run"), (1 + k % 9).alias("targets"), F.when(k % 4 == 0, k % 9).alias("resumed"), F.col("o_totalprice").alias("elapsed_s"), (F.col("o_totalprice") / (1 + k % 3)).alias("load_s"))
+    rows = table(spark, d, "orders").select(k.alias("run"), (1 + k % 9).alias("targets"), F.when(k % 4 == 0, k % 9).alias("resumed"), F.col("o_totalprice").alias("elapsed_s"), (F.col("o_totalprice") / (1 + k % 3)).alias("load_s"), F.when(k % 7 == 1, "").when(k % 7 != 2, "engine").alias("backend"))
     return profiling.run_facts(rows)
 
 
@@ -191,12 +191,13 @@ def training_steps(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("split_coverage", f"""
-WITH s AS (SELECT q.*, CASE WHEN fold < 3 THEN 'train' WHEN fold = 3 THEN 'dev' ELSE 'confirm' END AS split, k % 23 <> 7 AS there FROM ({QA_SQL}) q)
+WITH s AS (SELECT q.*, CASE WHEN fold < 3 THEN 'train' WHEN fold = 3 THEN 'dev' ELSE 'confirm' END AS split, k % 23 <> 7 OR fold = 4 AS there FROM ({QA_SQL}) q)
 SELECT split, count(*) AS expected, count(*) FILTER (there) AS available, count(*) FILTER (NOT there) AS missing,
-       (SELECT array_to_string(list(qa_id ORDER BY qa_id), ',') FROM (SELECT qa_id FROM s t WHERE t.split = s.split AND NOT there ORDER BY qa_id LIMIT 10)) AS examples, 'INCOMPLETE' AS status FROM s GROUP BY split""")
+       (SELECT array_to_string(list(qa_id ORDER BY qa_id), ',') FROM (SELECT qa_id FROM s t WHERE t.split = s.split AND NOT there ORDER BY qa_id LIMIT 10)) AS examples,
+       CASE WHEN count(*) FILTER (NOT there) = 0 THEN 'PASS' ELSE 'INCOMPLETE' END AS status FROM s GROUP BY split""")
 def split_coverage(spark: SparkSession, d: str) -> DataFrame:
     rows = qa(spark, d).withColumn("split", splits.split_of("fold"))
-    return splits.coverage(rows, rows.where("k % 23 <> 7"), "qa_id").withColumn("examples", F.array_join("examples", ","))
+    return splits.coverage(rows, rows.where("k % 23 <> 7 or fold = 4"), "qa_id").withColumn("examples", F.nullif(F.array_join("examples", ","), F.lit("")))
 
 
 @query("subject_leaks", "SELECT count(*) AS leaking FROM (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(DISTINCT o_orderkey % 5) > 1)")
@@ -280,16 +281,19 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
 _RECORDS = "SELECT CAST(o_orderkey AS VARCHAR) AS qa_id, o_orderkey AS k, CASE WHEN o_orderkey % 10 = 3 THEN 'invalid' WHEN o_orderkey % 10 = 7 THEN 'failed' ELSE 'valid' END AS status, CAST(1 + o_orderkey % 3 AS INT) AS attempts FROM orders WHERE o_orderkey % 4 <> 1"
 
 
-@query("resume_pending", f"SELECT qa_id FROM ({QA_SQL}) WHERE pos < 10000 AND qa_id NOT IN (SELECT qa_id FROM ({_RECORDS}) WHERE status = 'valid')")
+@query("resume_pending", f"SELECT qa_id FROM ({QA_SQL}) WHERE qa_id NOT IN (SELECT qa_id FROM ({_RECORDS}) WHERE status = 'valid')")
 def resume_pending(spark: SparkSession, d: str) -> DataFrame:
-    return runs.pending(runs.first_targets(qa(spark, d), 10000), _records(spark, d)).select("qa_id")
+    return runs.pending(qa(spark, d), _records(spark, d)).select("qa_id")
 
 
 @query("status_counts", f"""
-SELECT count(*) AS targets, count(*) FILTER (status = 'valid') AS valid, count(*) FILTER (status = 'invalid') AS invalid, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status IS NULL) AS pending, 'INCOMPLETE' AS result
-FROM ({QA_SQL}) LEFT JOIN ({_RECORDS}) r USING (qa_id)""")
+SELECT run, targets, valid, invalid, failed, pending, CASE WHEN targets > 0 AND valid = targets THEN 'PASS' ELSE 'INCOMPLETE' END AS result FROM (
+  SELECT run, count(*) AS targets, count(*) FILTER (status = 'valid') AS valid, count(*) FILTER (status = 'invalid') AS invalid, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status IS NULL) AS pending
+  FROM (SELECT unnest(['every', 'done']) AS run) CROSS JOIN ({QA_SQL}) q LEFT JOIN ({_RECORDS}) r USING (qa_id) WHERE run = 'every' OR (q.k % 4 <> 1 AND q.k % 10 NOT IN (3, 7)) GROUP BY run)""")
 def status_counts(spark: SparkSession, d: str) -> DataFrame:
-    return runs.status_counts(qa(spark, d), _records(spark, d))
+    rows, records = qa(spark, d), _records(spark, d)
+    done = rows.where("k % 4 <> 1 and k % 10 not in (3, 7)")
+    return runs.status_counts(rows, records).withColumn("run", F.lit("every")).union(runs.status_counts(done, records).withColumn("run", F.lit("done")))
 
 
 @query("upsert_attempts", f"""
@@ -325,9 +329,10 @@ def first_mismatch(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("best_repeats", """
-SELECT user_id, event_type, event_id, value, n AS repeats FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY value DESC, event_id) AS rn, count(*) OVER (PARTITION BY user_id, event_type) AS n FROM events) WHERE rn = 1 AND n >= 2""")
+SELECT user_id, event_type, event_id, value, n AS repeats FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY value DESC, event_id) AS rn, count(*) OVER (PARTITION BY user_id, event_type) AS n FROM events WHERE event_id % 6 <> 0) WHERE rn = 1 AND n >= 2""")
 def best_repeats(spark: SparkSession, d: str) -> DataFrame:
-    return runs.best_repeats(table(spark, d, "events"), ["user_id", "event_type"], "value", "event_id").select("user_id", "event_type", "event_id", "value", "repeats")
+    rows = table(spark, d, "events").withColumn("measured", F.col("event_id") % 6 != 0)
+    return runs.best_repeats(rows, ["user_id", "event_type"], "value", "event_id").select("user_id", "event_type", "event_id", "value", "repeats")
 
 
 @query("config_labels", """
@@ -341,11 +346,16 @@ def config_labels(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- text and validation
 
 
-@query("answer_parse", """
-SELECT kind, prediction, count(*) AS n FROM (SELECT o_orderkey % 7 AS kind, CASE o_orderkey % 7 WHEN 0 THEN 'B' WHEN 1 THEN 'C' WHEN 2 THEN 'A' WHEN 5 THEN 'D' END AS prediction FROM orders) GROUP BY ALL""")
+_RAW = ["Final answer: b", r"so \boxed{ C } it is", " a ", r"answer: A or \boxed{B}", "no idea", "The answer is D", "", r"\boxed{d} answer: D"]
+
+
+@query("answer_parse", f"""
+WITH r AS (SELECT o_orderkey % 8 AS kind, {"CASE o_orderkey % 8 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_RAW)) + " END"} AS raw FROM orders),
+f AS (SELECT kind, upper(trim(raw)) AS whole, list_distinct(list_concat(regexp_extract_all(upper(raw), '\\\\BOXED\\{{\\s*([A-D])\\s*\\}}', 1), regexp_extract_all(upper(raw), 'ANSWER\\s*(?:IS\\s*)?:?\\s*([A-D])\\b', 1))) AS found FROM r)
+SELECT kind, CASE WHEN regexp_full_match(whole, '[A-D]') THEN whole WHEN len(found) = 1 THEN found[1] END AS prediction, count(*) AS n FROM f GROUP BY ALL""")
 def answer_parse(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("o_orderkey") % 7
-    raw = F.when(k == 0, "Final answer: b").when(k == 1, "so \\boxed{ C } it is").when(k == 2, " a ").when(k == 3, "answer: A or \\boxed{B}").when(k == 4, "no idea").when(k == 5, "The answer is D").otherwise("")
+    k = F.col("o_orderkey") % len(_RAW)
+    raw = F.element_at(F.array(*map(F.lit, _RAW)), k.cast("int") + 1)
     rows = answers.with_parsed(table(spark, d, "orders").select(k.alias("kind"), raw.alias("raw")), "raw", F.lit("single"), F.lit("ABCD"), "own")
     return rows.groupBy("kind", F.col("own.prediction").alias("prediction")).agg(F.count("*").alias("n"))
 
@@ -376,8 +386,9 @@ def fingerprints(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("n_nationkey", hashing.fingerprint("n_name", "n_nationkey", "note").alias("digest"))
 
 
-@query("safe_paths", """
-SELECT safe, count(*) AS n FROM (SELECT CASE WHEN p_partkey % 6 IN (0, 5) THEN true ELSE false END AS safe FROM part) GROUP BY safe""")
+@query("safe_paths", r"""
+WITH n AS (SELECT CASE p_partkey % 6 WHEN 1 THEN '../x' WHEN 2 THEN '/abs' WHEN 3 THEN 'a\b' WHEN 4 THEN 'a//b' WHEN 5 THEN 'a/b c.jpg' ELSE 'd/' || p_partkey END AS name FROM part)
+SELECT safe, count(*) AS n FROM (SELECT name <> '' AND len(list_filter(string_split(name, '/'), lambda p: p IN ('', '.', '..'))) = 0 AND NOT contains(name, '\') AND NOT contains(name, ':') AS safe FROM n) GROUP BY safe""")
 def safe_paths(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
     name = F.when(k % 6 == 1, "../x").when(k % 6 == 2, "/abs").when(k % 6 == 3, "a\\b").when(k % 6 == 4, "a//b").when(k % 6 == 5, "a/b c.jpg").otherwise(F.concat(F.lit("d/"), k.cast("string")))
@@ -393,19 +404,23 @@ def clip_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("answer_space_sizes", """
-SELECT * FROM (VALUES ('single', 4), ('combination', 4), ('object_interaction', 4), ('emotion', 4), ('multi', 15), ('sequence', 24)) t(category, outputs)""")
+WITH o AS (SELECT s.mask, bit_count(s.mask) AS n FROM range(1, 16) s(mask)), c AS (SELECT unnest(['single', 'multi', 'combination', 'sequence', 'object_interaction', 'emotion']) AS category)
+SELECT category, CAST(n AS INT) AS letters, count(DISTINCT mask) AS option_sets, CAST(sum(CASE category WHEN 'multi' THEN (1 << n) - 1 WHEN 'sequence' THEN factorial(n) ELSE n END) AS BIGINT) AS outputs FROM o CROSS JOIN c GROUP BY category, n""")
 def answer_space_sizes(spark: SparkSession, d: str) -> DataFrame:
-    return answers.answer_space(spark).where("options = 'ABCD'").groupBy("category").agg(F.count("*").cast("int").alias("outputs"))
+    return answers.answer_space(spark).groupBy("category", F.length("options").alias("letters")).agg(F.count_distinct("options").alias("option_sets"), F.count("*").alias("outputs"))
 
 
-@query("next_tokens", "SELECT n_nationkey AS id, CASE n_nationkey % 4 WHEN 0 THEN '1' WHEN 1 THEN '2' ELSE '' END AS tokens, n_nationkey % 4 IN (1, 2) AS \"end\" FROM nation WHERE n_nationkey % 4 < 3")
+@query("next_tokens", """
+WITH o AS (SELECT unnest([[1], [1, 2], [3, 1]]) AS output), p AS (SELECT n_nationkey AS id, CASE n_nationkey % 4 WHEN 0 THEN [] WHEN 1 THEN [1] WHEN 2 THEN [1, 2] ELSE [9] END AS prefix FROM nation)
+SELECT id, array_to_string(list_sort(list(DISTINCT output[len(prefix) + 1]) FILTER (output[len(prefix) + 1] IS NOT NULL)), ',') AS tokens, bool_or(len(output) = len(prefix)) AS "end"
+FROM p JOIN o ON len(output) >= len(prefix) AND list_slice(output, 1, len(prefix)) = prefix GROUP BY id""")
 def next_tokens(spark: SparkSession, d: str) -> DataFrame:
-    outs = spark.createDataFrame([([1],), ([1, 2],)], "output array<int>")
+    outs = spark.createDataFrame([([1],), ([1, 2],), ([3, 1],)], "output array<int>")
     k = F.col("n_nationkey") % 4
     empty = F.array().cast("array<int>")
     prefix = F.when(k == 0, empty).when(k == 1, F.array(F.lit(1))).when(k == 2, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(9)))
     out = answers.next_tokens(table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), prefix.alias("prefix")), outs)
-    return out.withColumn("tokens", F.array_join("tokens", ","))
+    return out.withColumn("tokens", F.when(F.size("tokens") > 0, F.array_join("tokens", ",")))
 
 
 @query("timeline_report", """
@@ -431,31 +446,267 @@ def file_report(spark: SparkSession, d: str) -> DataFrame:
     return validation.file_report(manifest, rows.where("p_partkey % 5 <> 0").select("path", "bytes", "sha256")).groupBy("problem").agg(F.count("*").alias("n"))
 
 
-@query("archive_report", """
-SELECT code, CASE WHEN observed = '0' THEN 'PASS' ELSE 'FAIL' END AS status, observed FROM (
-  SELECT unnest(['safe_names', 'plain_entries', 'methods', 'member_bytes', 'manifest_entries']) AS code, unnest([CAST(count(*) FILTER (p_partkey % 101 = 1) AS VARCHAR), CAST(count(*) FILTER (p_partkey % 103 = 2) AS VARCHAR), CAST(count(*) FILTER (p_partkey % 107 = 3) AS VARCHAR), '0', CAST(count(*) FILTER (p_partkey % 109 = 4) AS VARCHAR)]) AS observed FROM part)""")
-def archive_report(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("p_partkey")
-    name = F.when(k % 101 == 1, F.concat(F.lit("../"), k.cast("string"))).otherwise(F.concat(F.lit("m/"), k.cast("string")))
-    entries = table(spark, d, "part").select(name.alias("name"), F.col("p_size").cast("long").alias("file_size"), F.col("p_size").cast("long").alias("compress_size"), F.when(k % 107 == 3, 12).otherwise(8).alias("compress_type"), F.lit(0).alias("flag_bits"), F.lit(0).cast("long").alias("external_attr"), (k % 103 == 2).alias("is_dir"), (k % 109 == 4).alias("off"))
-    manifest = entries.select(F.col("name").alias("path"), (F.col("file_size") + F.col("off").cast("long")).alias("bytes"), F.lit("0" * 64).alias("sha256"))
-    report = validation.archive_report(entries, manifest, "manifest.json", 1 << 20)
-    return report.where(F.col("code").isin("safe_names", "plain_entries", "methods", "member_bytes", "manifest_entries")).select("code", "status", "observed")
+def _check_sql(rules: dict[str, tuple[str, str]]) -> str:
+    """A report's rows from (observed, passed) expressions over one-row queries."""
+    return "\nUNION ALL ".join(f"SELECT '{code}' AS code, CASE WHEN {ok} THEN 'PASS' ELSE 'FAIL' END AS status, CAST({seen} AS VARCHAR) AS observed" for code, (seen, ok) in rules.items())
+
+
+def _zero_sql(source: str, rules: dict[str, str]) -> dict[str, tuple[str, str]]:
+    """Rules that count the rows of ``source`` for which a condition holds, and pass at 0."""
+    found = {code: f"(SELECT count(*) FROM {source} WHERE {bad})" for code, bad in rules.items()}
+    return {code: (n, f"{n} = 0") for code, n in found.items()}
+
 
+_ENTRIES = """
+WITH e AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 101 = 1 THEN '../' || p_partkey WHEN p_partkey % 113 = 5 THEN 'm/A' || p_partkey // 226 WHEN p_partkey = 7 THEN 'manifest.json' ELSE 'm/' || p_partkey END AS name,
+  CAST(p_size AS BIGINT) * CASE WHEN p_partkey % 211 = 8 THEN 1000000 ELSE 1 END AS size, CAST(p_size AS BIGINT) AS packed FROM part),
+c AS (SELECT lower(name) FROM e GROUP BY 1 HAVING count(*) > 1),
+m AS (SELECT any_value(k) AS k, name FROM e WHERE name <> 'manifest.json' GROUP BY name HAVING count(*) = 1)
+"""
 
-@query("submission_report", f"""
-SELECT code, CASE WHEN ok THEN 'PASS' ELSE 'FAIL' END AS status FROM (SELECT unnest(['test_schema', 'template_columns', 'submission_columns', 'test_categories', 'test_option_layout', 'test_unique_options', 'test_nonempty_ids', 'test_unique_ids', 'template_nonempty_ids', 'template_unique_ids', 'submission_nonempty_ids', 'submission_unique_ids', 'template_matches_test_order', 'submission_row_count', 'submission_id_set', 'submission_id_order', 'prediction_format']) AS code,
-  unnest([true, true, true, true, (SELECT count(*) FROM ({QA_SQL}) WHERE trim(D) = '' AND NOT (trim(source) = 'HARn' AND lower(category) = 'single')) = 0, true, true, true, true, true, true, true, true, true, true, true,
-    (SELECT count(*) FROM ({J}) WHERE bad IS NOT NULL OR raw <> given) = 0]) AS ok)""")
+
+@query("archive_report", _ENTRIES + _check_sql({
+    "archive_bytes": ("1048576", "1048576 <= 536870912"),
+    "entries": ("(SELECT count(*) FROM e)", "(SELECT count(*) FROM e) BETWEEN 1 AND 20000"),
+    "expanded": ("(SELECT CAST(sum(size) AS BIGINT) FROM e)", "(SELECT sum(size) FROM e) <= 536870912"),
+    "marker": ("(SELECT count(*) FROM e WHERE name = 'manifest.json')", "(SELECT count(*) FROM e WHERE name = 'manifest.json') = 1"),
+    **_zero_sql("c", {"unique_names": "true"}),
+    **_zero_sql("e", {"safe_names": "contains(name, '..')", "plain_entries": "k % 103 = 2 OR k % 127 = 6", "regular_files": "k % 131 = 9", "methods": "k % 107 = 3", "member_bytes": "size > 16777216", "member_ratio": "size > 50 * packed"}),
+    **_zero_sql("m", {"manifest_entries": "k % 109 = 4", "manifest_digests": "k % 137 = 11"}),
+}))
+def archive_report(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    name = F.when(k % 101 == 1, F.concat(F.lit("../"), k)).when(k % 113 == 5, F.concat(F.lit("m/A"), F.floor(k / 226))).when(k == 7, "manifest.json").otherwise(F.concat(F.lit("m/"), k))
+    size = F.col("p_size").cast("long")
+    entries = table(spark, d, "part").select(
+        k.alias("k"), name.alias("name"), (size * F.when(k % 211 == 8, 1_000_000).otherwise(1)).alias("file_size"), size.alias("compress_size"), F.when(k % 107 == 3, 12).otherwise(8).alias("compress_type"),
+        F.when(k % 127 == 6, 1).otherwise(0).alias("flag_bits"), F.when(k % 131 == 9, F.lit(0o120777 << 16)).otherwise(F.lit(0)).cast("long").alias("external_attr"), (k % 103 == 2).alias("is_dir"),
+    )
+    alone = entries.where("name <> 'manifest.json'").groupBy("name").agg(F.count("*").alias("n"), F.first("k").alias("k"), F.first("file_size").alias("bytes")).where("n = 1")
+    k = F.col("k")
+    manifest = alone.select(F.col("name").alias("path"), (F.col("bytes") + F.when(k % 109 == 4, 1).otherwise(0)).alias("bytes"), F.when(k % 137 == 11, "0f").otherwise("0" * 64).alias("sha256"))
+    listed = entries.join(alone.select("name"), "name", "left_semi").union(entries.where("name = 'manifest.json'").select("name", *(c for c in entries.columns if c != "name")))
+    # entries that share a name are judged by that alone
+    own = validation.archive_report(listed.drop("k"), manifest, "manifest.json", 1 << 20).where("code in ('manifest_entries', 'manifest_digests')")
+    every = validation.archive_report(entries.drop("k"), manifest, "manifest.json", 1 << 20).where("code not in ('manifest_entries', 'manifest_digests')")
+    return every.union(own).select("code", "status", "observed")
+
+
+_SUBMITTED = f"""
+WITH t AS (SELECT pos, k, CASE WHEN k % 61 = 4 THEN ' ' WHEN k % 67 = 5 THEN '1' ELSE qa_id END AS id, trim(source) AS source, CASE WHEN k % 97 = 8 THEN 'odd' ELSE lower(category) END AS category, CASE WHEN k % 41 = 5 THEN ' One' ELSE B END AS B, D FROM ({QA_SQL})),
+i AS (SELECT trim(id) AS id, count(*) AS n FROM t GROUP BY 1),
+s AS (SELECT pos, k, qa_id AS id, prediction FROM ({PREDICTIONS_SQL}) WHERE k % 53 <> 9 UNION ALL SELECT 10000000 + k, k, 'x' || k, 'A' FROM ({QA_SQL}) WHERE k % 59 = 3),
+o AS (SELECT pos, t.id AS x, s.id AS y FROM (SELECT pos, trim(id) AS id FROM t) t FULL JOIN s USING (pos)),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trim(id) ORDER BY pos) AS rn FROM t) WHERE rn = 1 AND trim(id) <> ''),
+j AS (SELECT s.id, f.category, g.given, g.bad, s.prediction FROM s LEFT JOIN f ON trim(f.id) = s.id LEFT JOIN ({J}) g ON g.k = f.k AND g.qa_id = s.id)
+"""
+_COLUMNS = "qa_id,source,path,category,question,A,B,C,D"
+
+
+@query("submission_report", _SUBMITTED + _check_sql({
+    "test_schema": (f"'{_COLUMNS}'", "true"), "template_columns": ("'qa_id,prediction'", "true"), "submission_columns": ("'qa_id,prediction'", "true"),
+    "test_categories": ("(SELECT coalesce(string_agg(DISTINCT category, ','), '') FROM t WHERE category = 'odd')", "(SELECT count(*) FROM t WHERE category = 'odd') = 0"),
+    **_zero_sql("t", {"test_option_layout": "trim(D) = '' AND NOT (source = 'HARn' AND category = 'single')", "test_unique_options": "lower(trim(B)) = 'one'", "test_nonempty_ids": "trim(id) = ''", "template_nonempty_ids": "trim(id) = ''"}),
+    **_zero_sql("i", {"test_unique_ids": "n > 1 AND id <> ''", "template_unique_ids": "n > 1 AND id <> ''"}),
+    **_zero_sql("s", {"submission_nonempty_ids": "trim(id) = ''"}), **_zero_sql("(SELECT id FROM s GROUP BY id HAVING count(*) > 1)", {"submission_unique_ids": "true"}),
+    "template_matches_test_order": ("'exact'", "true"),
+    "submission_row_count": ("(SELECT count(*) FROM s)", "(SELECT count(*) FROM s) = (SELECT count(*) FROM t)"),
+    "submission_id_set": ("(SELECT count(*) FROM i WHERE id NOT IN (SELECT id FROM s)) || ',' || (SELECT count(DISTINCT id) FROM s WHERE id NOT IN (SELECT id FROM i))", "(SELECT count(*) FROM i WHERE id NOT IN (SELECT id FROM s)) + (SELECT count(*) FROM s WHERE id NOT IN (SELECT id FROM i)) = 0"),
+    "submission_id_order": ("CASE WHEN (SELECT count(*) FROM o WHERE x IS DISTINCT FROM y) = 0 THEN 'exact' ELSE 'first mismatch at data row ' || coalesce(CAST((SELECT min(pos) + 1 FROM o WHERE x <> y) AS VARCHAR), 'None') END", "(SELECT count(*) FROM o WHERE x IS DISTINCT FROM y) = 0"),
+    **_zero_sql("j", {"prediction_format": "category IS NULL OR category = 'odd' OR bad IS NOT NULL OR given IS NULL OR given <> prediction"}),
+}))
 def submission_report(spark: SparkSession, d: str) -> DataFrame:
-    tests = qa(spark, d).select("pos", *validation.QA_COLUMNS)
+    tests, submission = _submitted(spark, d)
     template = tests.select("pos", "qa_id", F.lit("A").alias("prediction"))
-    return validation.submission_report(tests, template, predictions(spark, d).select("pos", "qa_id", "prediction")).select("code", "status")
+    return validation.submission_report(tests, template, submission).select("code", "status", "observed")
+
+
+@query("submission_counts", _SUBMITTED + """
+SELECT category, count(*) AS n, count(*) FILTER (category = 'odd' OR bad IS NOT NULL OR given IS NULL OR given <> prediction) AS invalid, count(*) FILTER (NOT (category = 'odd' OR bad IS NOT NULL OR given IS NULL OR given <> prediction)) AS canonical
+FROM j WHERE category IS NOT NULL GROUP BY category""")
+def submission_counts(spark: SparkSession, d: str) -> DataFrame:
+    tests, submission = _submitted(spark, d)
+    return validation.submission_counts(submission, tests)
+
+
+def _submitted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Questions with blank and repeated ids, unknown categories and equal options; a submission with missing and unknown ids."""
+    k = F.col("k")
+    rows = qa(spark, d).withColumns({"qa_id": F.when(k % 61 == 4, " ").when(k % 67 == 5, "1").otherwise(F.col("qa_id")), "category": F.when(k % 97 == 8, "odd").otherwise(F.col("category")), "B": F.when(k % 41 == 5, " One").otherwise(F.col("B"))})
+    own = predictions(spark, d).where("k % 53 <> 9").select("pos", "qa_id", "prediction")
+    lone = rows.where("k % 59 = 3").select((k + 10_000_000).alias("pos"), F.concat(F.lit("x"), k).alias("qa_id"), F.lit("A").alias("prediction"))
+    return rows.select("pos", *validation.QA_COLUMNS), own.union(lone)
 
 
-@query("quality_gates", "SELECT * FROM (VALUES ('customers', 'PASS', 'critical'), ('negative_balance', 'WARN', 'minor'), ('unmeasured', 'MISSING', 'critical')) t(code, status, severity)")
+@query("quality_gates", """
+WITH m AS (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (c_acctbal < 0) AS DOUBLE) AS low, max(c_acctbal) AS top FROM customer)
+SELECT 'customers' AS code, CASE WHEN n > 0 THEN 'PASS' ELSE 'FAIL' END AS status, 'critical' AS severity FROM m UNION ALL SELECT 'negative_balance', CASE WHEN low = 0 THEN 'PASS' ELSE 'WARN' END, 'minor' FROM m
+UNION ALL SELECT 'highest', CASE WHEN top < 5000 THEN 'PASS' ELSE 'FAIL' END, 'critical' FROM m UNION ALL SELECT 'noted', 'INFO', 'info' FROM m UNION ALL SELECT 'unmeasured', CASE WHEN count(*) = 0 THEN 'MISSING' ELSE 'PASS' END, 'critical' FROM (SELECT 1 FROM m WHERE n < 0)""")
 def quality_gates(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer")
-    m = c.agg(F.count("*").cast("double").alias("customers"), F.count_if(F.col("c_acctbal") < 0).cast("double").alias("negative_balance"))
+    m = c.agg(F.count("*").cast("double").alias("customers"), F.count_if(F.col("c_acctbal") < 0).cast("double").alias("negative_balance"), F.max("c_acctbal").cast("double").alias("highest")).withColumn("noted", F.col("customers"))
     metrics = m.select(F.explode(F.array(*(F.struct(F.lit(n).alias("code"), F.col(n).alias("value")) for n in m.columns))).alias("x")).select("x.*")
-    return validation.gates(metrics, {"customers": (">", 0, "critical"), "negative_balance": ("==", 0, "minor"), "unmeasured": ("<", 1, "critical")}).select("code", "status", "severity")
+    limits = {"customers": (">", 0, "critical"), "negative_balance": ("==", 0, "minor"), "highest": ("<", 5000, "critical"), "noted": (">", 0, "info"), "unmeasured": ("<", 1, "critical")}
+    return validation.gates(metrics, limits).select("code", "status", "severity")
+
+
+# ---------------------------------------------------------------- suites
+
+
+def _clips(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Questions, an index of cached clips (one for each), sidecars and images, with faults by the key's remainders."""
+    k = F.col("k")
+    text = lambda *parts: F.concat(*(p if not isinstance(p, str) else F.lit(p) for p in parts))
+    off = lambda m, r, bad, good: F.when(k % m == r, bad).otherwise(good)
+    rows = qa(spark, d)
+    frames = rows.where("k % 29 <> 1").select(
+        k, off(83, 2, F.lit("s"), text("s", k)).alias("sample_id"), off(43, 3, text("q", k), F.col("qa_id")).alias("qa_ids"), off(47, 4, F.lit("2"), F.lit("1")).alias("qa_count"), text("train:", "path").alias("_"),
+        text("train:", F.col("path")).alias("clip_key"), off(31, 5, F.lit("other"), F.col("source")).alias("source"), F.lit("train").alias("split"), off(37, 6, F.lit("failed"), F.lit("ok")).alias("status"), F.lit("IR").alias("modality"),
+        F.lit("h1").alias("config_hash"), F.lit("v1").alias("protocol_version"), F.lit("0;5").alias("source_frame_indices"), F.lit("0.25;0.75").alias("normalized_positions"), F.lit("1.0;2.0").alias("target_timestamps_seconds"),
+        off(71, 7, F.lit("2.0;1.0"), F.lit("1.0;2.0")).alias("actual_timestamps_seconds"), text("c", off(89, 8, F.lit(8), k), "/a;c", k, "/b").alias("frame_paths"), text("c", k, "/metadata.json").alias("metadata_path"),
+    ).drop("_")
+    numbers = lambda *x: F.array(*map(F.lit, x))
+    sidecars = frames.where("k % 59 <> 9").select(
+        "sample_id", "clip_key", "source", "split", "status", off(61, 10, F.lit("Depth"), F.lit("IR")).alias("modality"), "config_hash", "protocol_version", F.array("qa_ids").alias("qa_ids"), F.lit(1).alias("qa_count"),
+        off(67, 11, F.lit(3), F.lit(2)).alias("num_frames"), F.lit(2).alias("requested_frames"), F.lit(2).alias("actual_frames"), F.lit(448).alias("image_size"), off(73, 12, F.lit("crop"), F.lit("letterbox")).alias("resize_mode"),
+        numbers(0.25, 0.75).alias("normalized_positions"), off(79, 13, numbers(1.0, 2.1), numbers(1.0, 2.0)).alias("target_timestamps_seconds"), off(71, 7, numbers(2.0, 1.0), numbers(1.0, 2.0)).alias("actual_timestamps_seconds"),
+        off(53, 14, numbers(0, 6), numbers(0, 5)).alias("source_frame_indices"), numbers("a", "b").alias("frame_files"), text("c", k).alias("folder"),
+    )
+    images = frames.select("k", F.explode(F.split("frame_paths", ";")).alias("path")).where("k % 97 <> 15").select("path", off(101, 16, F.lit(447), F.lit(448)).alias("width"), F.lit(448).alias("height"), off(103, 17, F.lit(1), F.lit(3)).alias("channels"), F.lit(True).alias("is_jpeg"))
+    return rows, frames, sidecars, images.dropDuplicates(["path"])
+
+
+#: Clips whose id is their own; the shared id stands for many and is judged only as such.
+_CLIPS = f"""
+WITH q AS (SELECT * FROM ({QA_SQL})), f AS (SELECT * FROM q WHERE k % 29 <> 1), own AS (SELECT * FROM f WHERE k % 83 <> 2), linked AS (SELECT * FROM own WHERE k % 43 <> 3)
+"""
+_FIXED = {"status": "ok", "modality": "IR", "config_hash": "h1", "protocol_version": "v1", "split": "train"}
+_GONE = "k % 59 = 9"
+_CLIP_RULES = {
+    "cache_status": "k % 37 = 6", "cache_modality": "false", "cache_config_hash": "false", "cache_protocol_version": "false", "cache_split": "false", "sidecar": _GONE,
+    **{f"sidecar_{c}": _GONE for c in ("clip_key", "source", "split", "status", "config_hash", "protocol_version")}, "sidecar_modality": f"{_GONE} OR k % 61 = 10", "sidecar_questions": f"{_GONE} OR k % 47 = 4",
+    "frame_count": f"{_GONE} OR k % 67 = 11", "image_protocol": f"{_GONE} OR k % 73 = 12", "timeline_normalized_positions": _GONE, "timeline_target_timestamps_seconds": f"{_GONE} OR k % 79 = 13", "timeline_actual_timestamps_seconds": _GONE,
+    "sampling": _GONE, "timestamps_sorted": f"{_GONE} OR k % 71 = 7", "frame_indices": f"{_GONE} OR k % 53 = 14", "frame_list": "false", "frame_files": f"{_GONE} OR (k % 89 = 8 AND k <> 8)",
+}
+_IMAGES = """(SELECT 'c' || k || '/b' AS path, k % 97 = 15 OR k % 101 = 16 OR k % 103 = 17 AS bad FROM linked UNION ALL SELECT 'c' || k || '/a', k % 97 = 15 OR k % 101 = 16 OR k % 103 = 17 FROM linked WHERE k % 89 <> 8)"""
+
+
+def _own_clips(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    rows, frames, sidecars, images = _clips(spark, d)
+    return rows, frames.where("k % 83 <> 2").drop("k"), sidecars.where("sample_id <> 's'"), images
+
+
+@query("cached_input_report", _CLIPS + _check_sql({
+    **_zero_sql("(SELECT 1 WHERE false)", {"sample_ids": "true", "qa_linked_once": "true"}),
+    **_zero_sql("q", {"qa_linked": "k % 29 = 1 OR k % 43 = 3 OR k % 83 = 2"}), **_zero_sql("linked", {"qa_source": "k % 31 = 5"}), **_zero_sql("own", {"qa_count": "k % 47 = 4"}),
+    **_zero_sql("linked", _CLIP_RULES),
+}))
+def cached_input_report(spark: SparkSession, d: str) -> DataFrame:
+    rows, frames, sidecars, images = _own_clips(spark, d)
+    none = spark.createDataFrame([], "path string, bytes long, sha256 string")
+    report = suites.cached_input_report(rows, frames, sidecars, images, none, none, _FIXED, n=2)
+    left = ("frames_of_one_clip", "images", "manifest_paths", "assets_registered", "assets")
+    return report.where(~F.col("code").isin(*left)).select("code", "status", "observed")
+
+
+@query("fold_report", f"""
+WITH q AS (SELECT *, k % 5 AS f FROM ({QA_SQL})), j AS (SELECT * FROM q WHERE k % 83 <> 6)
+""" + _check_sql({
+    **_zero_sql("(SELECT 1 WHERE false)", {"unique_qa_ids": "true", "unique_fold_ids": "true", "unique_pilot_ids": "true"}),
+    **_zero_sql("q", {"fold_ids": "k % 83 = 6"}), "pilot_ids": ("1", "false"),
+    **_zero_sql("j", {
+        "plain_ids": "false", "fold_version": "k % 31 = 2", "fold_number": "k % 37 = 3", "fold_groups": "k % 41 = 4", "fold_fields": "k % 43 = 5", "fold_clip": "k % 47 = 7", "prompts": "k % 67 = 8",
+        "answers": "lower(category) IN ('single', 'combination', 'object_interaction', 'emotion') AND k % 53 = 9 OR lower(category) = 'sequence' AND k % 53 = 9 OR lower(category) = 'multi' AND k % 53 = 9",
+    }),
+    **_zero_sql("(SELECT s FROM (SELECT CASE WHEN k % 41 = 4 THEN '' ELSE 'u' || clip % 50 END AS s, CASE WHEN k % 37 = 3 THEN 7 ELSE f END AS f FROM j) GROUP BY s HAVING count(DISTINCT f) > 1)", {"leaks_subject_id": "true"}),
+    **_zero_sql("(SELECT c FROM (SELECT CASE WHEN k % 47 = 7 THEN 'train:other' ELSE 'train:' || path END AS c, CASE WHEN k % 37 = 3 THEN 7 ELSE f END AS f FROM j) GROUP BY c HAVING count(DISTINCT f) > 1)", {"leaks_clip_key": "true"}),
+    **_zero_sql("j", {"pilot_fold": "k % 101 = 10 AND (k % 37 = 3 OR f <> 4)"}),
+}))
+def fold_report(spark: SparkSession, d: str) -> DataFrame:
+    return suites.fold_report(*_folds(spark, d)).select("code", "status", "observed")
+
+
+def _folds(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Questions, their folds and a pilot, with faults by the key's remainders."""
+    k = F.col("k")
+    rows = qa(spark, d)
+    folds = rows.where("k % 83 <> 6").select(
+        "qa_id", F.when(k % 43 == 5, "?").otherwise(F.col("source")).alias("source"), "category", F.when(k % 31 == 2, "v0").otherwise("subject_grouped_v1").alias("fold_version"), F.when(k % 37 == 3, "7").otherwise((k % 5).cast("string")).alias("fold"),
+        F.when(k % 41 == 4, "").otherwise(F.concat(F.lit("u"), F.col("clip") % 50)).alias("subject_id"), F.concat(F.lit("train:"), F.when(k % 47 == 7, "other").otherwise(F.col("path"))).alias("clip_key"),
+    )
+    rows = rows.withColumns({"question": F.when(k % 67 == 8, "see x.mp4").otherwise(F.col("question")), "answer": F.when(k % 53 == 9, "AA").otherwise(F.col("answer"))})
+    pilot = rows.where("k % 101 = 10 and k % 83 <> 6").select("qa_id").union(spark.createDataFrame([("nobody",)], "qa_id string"))
+    return rows, folds, pilot
+
+
+@query("training_coverage", f"""
+WITH r AS (SELECT *, CASE WHEN k % 37 = 3 THEN NULL WHEN fold < 3 THEN 'train' WHEN fold = 3 THEN 'dev' ELSE 'confirm' END AS split, k % 29 <> 1 AND k % 43 <> 3 AND k % 83 <> 2 AS there FROM ({QA_SQL}) WHERE k % 83 <> 6 AND k % 101 <> 10)
+SELECT split, count(*) AS expected, count(*) FILTER (there) AS available, count(*) FILTER (NOT there) AS missing, CASE WHEN count(*) FILTER (NOT there) = 0 THEN 'PASS' ELSE 'INCOMPLETE' END AS status FROM r WHERE split IS NOT NULL GROUP BY split""")
+def training_coverage(spark: SparkSession, d: str) -> DataFrame:
+    rows, folds, pilot = _folds(spark, d)
+    return suites.training_coverage(rows, folds, pilot, _own_clips(spark, d)[1]).where("split is not null").drop("examples")
+
+
+@query("sidecar_differences", _CLIPS + """
+SELECT "column", count(*) AS n FROM (SELECT unnest(CASE WHEN k % 59 = 9 THEN ['<missing>'] WHEN k % 61 = 10 THEN ['modality'] ELSE [] END) AS "column" FROM own) GROUP BY 1""")
+def sidecar_differences(spark: SparkSession, d: str) -> DataFrame:
+    _, frames, sidecars, _ = _own_clips(spark, d)
+    return validation.sidecar_differences(frames, sidecars, "sample_id", ["clip_key", "source", "modality"]).groupBy("column").agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- runs: checks and places
+
+
+@query("run_report", f"""
+WITH r AS (SELECT r.*, k % 71 = 8 AS bad FROM ({_RECORDS}) r), n AS (SELECT count(*) AS n, count(DISTINCT qa_id) AS ids FROM (SELECT qa_id FROM r UNION ALL SELECT qa_id FROM r WHERE k % 90 = 6)), t AS (SELECT qa_id FROM ({QA_SQL}) WHERE k % 17 <> 3)
+""" + _check_sql({
+    "unique_records": ("(SELECT n - ids FROM n)", "(SELECT n - ids FROM n) = 0"),
+    **_zero_sql("(SELECT qa_id FROM r UNION ALL SELECT qa_id FROM r WHERE k % 90 = 6)", {"known_records": "qa_id NOT IN (SELECT qa_id FROM t)"}),
+    **_zero_sql("(SELECT bad FROM r UNION ALL SELECT bad FROM r WHERE k % 90 = 6)", {"record_hashes": "bad"}),
+    "claimed_status": ("'PASS'", "(SELECT count(*) FROM r WHERE status = 'valid') = (SELECT count(*) FROM t)"),
+}))
+def run_report(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("qa_id").cast("long")
+    records = _records(spark, d).withColumns({"record_sha256": F.when(k % 71 == 8, "x").otherwise("y"), "expected_sha256": F.lit("y")})
+    records = records.union(records.where(k % 90 == 6))
+    return validation.run_report(records, qa(spark, d).where("k % 17 <> 3"), "PASS").select("code", "status", "observed")
+
+
+@query("order_violations", """
+WITH r AS (SELECT event_id AS seq, CASE WHEN event_id % 97 = 5 THEN event_id - 40 ELSE event_id END AS pos FROM events)
+SELECT seq, pos, before FROM (SELECT *, max(pos) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM r) WHERE before >= pos""")
+def order_violations(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("event_id")
+    return evaluation.order_violations(table(spark, d, "events").select(i.alias("seq"), F.when(i % 97 == 5, i - 40).otherwise(i).alias("pos")), 512).select("seq", "pos", "before")
+
+
+@query("latest_complete", "SELECT o_custkey AS run, max(o_orderkey) AS step, 'p' || max(o_orderkey) AS path FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY o_custkey")
+def latest_complete(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    return runs.latest_complete(table(spark, d, "orders").select(F.col("o_custkey").alias("run"), k.alias("step"), F.concat(F.lit("p"), k).alias("path"), (k % 3 != 0).alias("verified")))
+
+
+@query("memory_table", """
+WITH d AS (SELECT user_id AS device, max(value) AS m FROM events GROUP BY user_id)
+SELECT a.device, a.m AS used_mib, b.m AS sampled_peak, c.m / 2 AS allocator_peak FROM d a LEFT JOIN d b ON a.device = b.device AND b.device % 2 = 0 LEFT JOIN d c ON a.device = c.device AND c.device % 3 = 0""")
+def memory_table(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events").groupBy(F.col("user_id").alias("device")).agg(F.max("value").alias("m"))
+    return profiling.memory_table(rows.select("device", F.col("m").alias("used_mib")), rows.where("device % 2 = 0").select("device", F.col("m").alias("sampled_peak")), rows.where("device % 3 = 0").select("device", (F.col("m") / 2).alias("allocator_peak")))
+
+
+@query("completion_labels", """
+WITH p AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 7 = 3 THEN [0, 1, 0, 1, 1] ELSE [0, 1, 1, 1, 1] END AS mask, [0, 5, 6, p_size, 9] AS tokens FROM part)
+SELECT k, CASE WHEN k % 7 <> 3 AND tokens[4] <> 9 THEN array_to_string([-100, -100, -100, tokens[4], 9], ',') END AS labels FROM p""")
+def completion_labels(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    ints = lambda *x: F.array(*(F.lit(v) if isinstance(v, int) else v for v in x))
+    size = F.col("p_size").cast("int")
+    rows = table(spark, d, "part").select(k.alias("k"), ints(0, 5, 6, size, 9).alias("full"), F.when(k % 7 == 3, ints(0, 1, 0, 1, 1)).otherwise(ints(0, 1, 1, 1, 1)).alias("mask"), ints(5, 6).alias("prefix"), ints(1, 1).alias("prefix_mask"), ints(size).alias("answer"))
+    return rows.select("k", F.array_join(arrays.completion_labels("full", "mask", "prefix", "prefix_mask", "answer", 9), ",").alias("labels"))
+
+
+@query("incomplete_layers", "SELECT 'layers.' || p_size || '.attn' AS layer, CASE WHEN count(*) FILTER (p_partkey % 2 = 0) = 0 THEN 'q_proj' ELSE 'v_proj' END AS missing FROM part WHERE p_partkey % 5 = 1 AND p_size % 4 <> 0 GROUP BY p_size HAVING count(DISTINCT p_partkey % 2) = 1")
+def incomplete_layers(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    name = F.concat(F.when(F.col("p_size") % 4 == 0, "visual.").otherwise(""), F.lit("layers."), F.col("p_size"), F.lit(".attn."), F.when(k % 2 == 0, "q_proj").otherwise("v_proj"))
+    return paths.incomplete_layers(table(spark, d, "part").where(k % 5 == 1).select(name.alias("name"))).withColumn("missing", F.array_join("missing", ","))

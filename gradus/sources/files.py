@@ -57,16 +57,31 @@ def read_csv(spark: SparkSession, path: str, columns: tuple[str, ...] | None = N
     return rows.select("pos", *(F.coalesce(F.col(f"`{n}`"), F.lit("")).alias(n) for n in names))
 
 
+def try_csv(spark: SparkSession, path: str, columns: tuple[str, ...]) -> tuple[DataFrame, str | None]:
+    """A lenient read: rows (none, where the file is missing or unreadable) and what is wrong with it, for a check row."""
+    none = spark.createDataFrame([], "pos long, " + ", ".join(f"`{c}` string" for c in columns))
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return none, f"{path}: missing"
+    try:
+        return read_csv(spark, path, strict=False), None
+    except SourceError as e:
+        return none, str(e)
+
+
 def read_qa(spark: SparkSession, path: str, expected: int | None = None) -> DataFrame:
-    """Questions in the exact column layout, every rule of a question row checked in one pass."""
-    from ..functions.answers import CATEGORIES, category_of, option_letters
+    """Questions in the exact column layout, every rule of a question row checked in one pass.
+
+    Ids have no outer white space; categories are in the taxonomy letter by letter.
+    """
+    from ..functions.answers import CATEGORIES, option_letters
     from ..functions.text import clean
     from ..operators.validation import QA_COLUMNS
 
     rows = read_csv(spark, path, QA_COLUMNS, mode="ordered")
     found = rows.agg(
         F.count("*").alias("rows"), F.count_distinct(clean("qa_id")).alias("ids"), F.count_if(clean("qa_id") == "").alias("blank ids"),
-        F.count_if(~category_of("category").isin(*CATEGORIES)).alias("unknown categories"), F.count_if(clean("question") == "").alias("blank questions"), F.count_if(option_letters() == "").alias("rows without options"),
+        F.count_if(clean("qa_id") != F.col("qa_id")).alias("padded ids"), F.count_if(~F.col("category").isin(*CATEGORIES)).alias("unknown categories"), F.count_if(clean("question") == "").alias("blank questions"), F.count_if(option_letters() == "").alias("rows without options"),
     ).first().asDict()
     if found["rows"] != found["ids"] or (expected is not None and found["rows"] != expected) or any(found[k] for k in list(found)[2:]):
         raise SourceError(f"{path}: {found}")
@@ -76,6 +91,8 @@ def read_qa(spark: SparkSession, path: str, expected: int | None = None) -> Data
 def read_manifest(spark: SparkSession, path: str, baseline: str | None = None, prefix: str = "data/") -> DataFrame:
     """path, bytes, sha256 of a manifest's files, below ``prefix``, unique and safe."""
     doc = spark.read.json(path, schema=MANIFEST, multiLine=True)
+    if doc.where("schema_version = 1").isEmpty():
+        raise SourceError(f"{path}: another version of the schema")
     if baseline is not None and doc.where(F.col("baseline_id") == baseline).isEmpty():
         raise SourceError(f"{path}: another baseline")
     rows = doc.select(F.inline("files"))
@@ -108,7 +125,7 @@ def read_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
 
 
 def read_images(spark: SparkSession, root: str) -> DataFrame:
-    """path, width, height, channels, is_jpeg; an image that cannot be decoded has width -1."""
+    """path, width, height, channels (3: RGB), is_jpeg; an image that cannot be decoded has width -1 (the rules are those of the suites)."""
     shapes = spark.read.format("image").option("recursiveFileLookup", "true").load(root).select(F.col("image.origin").alias("path"), "image.width", "image.height", F.col("image.nChannels").alias("channels"))
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", (F.hex(F.substring("content", 1, 3)) == "FFD8FF").alias("is_jpeg"))
     trim = F.regexp_replace("path", "^file:/*", "/")
@@ -125,7 +142,7 @@ def discover_runs(spark: SparkSession, root: str) -> DataFrame:
     return summaries.join(contracts, "run_id", "left").select(
         "run_id", "status", "signature", F.coalesce("contract.engine", F.lit("transformers")).alias("engine"), F.coalesce("contract.dataset", F.lit("?")).alias("dataset"),
         F.coalesce("contract.engine_options", F.create_map().cast("map<string,string>")).alias("engine_options"), F.coalesce(F.size("target_ids"), F.lit(0)).alias("targets"), F.coalesce("resumed_valid", F.lit(0)).alias("resumed"),
-        "counts.*", F.col("elapsed_seconds").alias("elapsed_s"), F.col("backend.load_seconds").alias("load_s"), F.col("latency.batch.throughput_rps").alias("throughput_rps"),
+        "counts.*", F.col("elapsed_seconds").alias("elapsed_s"), F.col("backend.backend").alias("backend"), F.col("backend.load_seconds").alias("load_s"), F.col("latency.batch.throughput_rps").alias("throughput_rps"),
     )
 
 

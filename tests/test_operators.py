@@ -98,7 +98,9 @@ def test_replica_blocks(spark, n):
 
 def test_best_repeat(spark):
     rows = spark.createDataFrame([("k", 0, 1.39), ("k", 1, 1.41), ("k", 2, 1.52), ("l", 3, 9.0), ("m", 4, 2.0), ("m", 5, 2.0)], "key string, pos int, throughput_rps double")
-    assert {r["pos"] for r in runs.best_repeats(rows, ["key"]).collect()} == {2, 4}
+    measured = rows.withColumn("measured", F.lit(True))
+    assert {r["pos"] for r in runs.best_repeats(measured, ["key"]).collect()} == {2, 4}
+    assert {r["pos"] for r in runs.best_repeats(measured.withColumn("measured", F.col("pos") != 2), ["key"]).collect()}.isdisjoint({2})
 
 
 def test_generate(spark):
