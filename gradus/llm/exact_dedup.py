@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, by_size, kept, staying, text_of
+from .common import SPACE, Scratch, by_size, staying, text_of
 
 FAN_IN = 16
 _KEY = ["text_sha256", "n_norm", "check"]
@@ -71,14 +71,15 @@ def exact_dedup(docs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
     then the smallest doc_id stays (null ids after all others; of rows that also share the id
     one, the first read). Returns doc_id, keep_id, group_size, kept, text_sha256; a row for each
     input row, dropped ones too. Other columns of ``docs`` are not read; an empty table gives none.
-    Counts runs, and rows, by a job when called.
+    Runs its jobs when called; the result is a table in the shared folder.
     """
-    rows = kept(digests(docs))
-    last, total = rows.agg(F.max("run"), F.count("*")).first()
-    winners = kept(tree_merge(rows, (last or 0) + 1, fan_in))
-    return by_size(rows, winners, _KEY, "group_size", total).select(
-        "doc_id", "keep_id", "group_size", (F.col("row_id") == F.col("keep_row")).alias("kept"), "text_sha256"
-    )
+    with Scratch(docs.sparkSession) as scratch:
+        rows = scratch.kept(digests(docs))
+        last, total = rows.agg(F.max("run"), F.count("*")).first()
+        winners = scratch.kept(tree_merge(rows, (last or 0) + 1, fan_in))
+        out = by_size(rows, winners, _KEY, "group_size", total)
+        out = out.select("doc_id", "keep_id", "group_size", (F.col("row_id") == F.col("keep_row")).alias("kept"), "text_sha256")
+        return scratch.stored(out, "exact", stays=True)
 
 
 def keep_one(docs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:

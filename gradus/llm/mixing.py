@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE, kept, text_of
+from .common import SPACE, Scratch, text_of
 
 WEIGHTS = (1, 2, 3)
 #: A source's target, and so a document's copies, stop at this many times its size.
@@ -63,13 +63,16 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOS
     Returns doc_id, size, source_size, target, taken (size times copies), copies. Null texts have
     size 0, null sources are a source of their own; a source of size 0 has target 0. Draws depend
     on doc_id (on the text where that is null) and source alone, so reruns agree and repeated rows
-    are treated alike. An empty table gives no rows.
+    are treated alike. An empty table gives no rows. Runs its jobs when called; the result is a table
+    in the shared folder.
     """
-    rows = kept(docs.select("doc_id", "source", n_words(text_of()).alias("size"), _name().alias("_name")))
-    rates = targets(rows, weights, most)
-    out = rows.join(rates.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
-    out = out.withColumn("copies", copies(F.col("_name"), F.col("source_size"), F.col("target"), seed))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+    with Scratch(docs.sparkSession) as scratch:
+        rows = scratch.kept(docs.select("doc_id", "source", n_words(text_of()).alias("size"), _name().alias("_name")))
+        rates = targets(rows, weights, most)
+        out = rows.join(rates.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
+        out = out.withColumn("copies", copies(F.col("_name"), F.col("source_size"), F.col("target"), seed))
+        out = out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+        return scratch.stored(out, "mixture", stays=True)
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:

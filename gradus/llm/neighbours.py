@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import kept, small_batches
+from .common import Scratch, small_batches
 
 K, QUERY_MOD = 20, 20
 #: Most rows of the sample that centroids are fitted on; lists per square root of the rows; bytes of the sample, of the centroids and of the bounding rows at most.
@@ -189,11 +189,17 @@ def neighbours(vectors: DataFrame, k: int = K, query_mod: int = QUERY_MOD, lists
     components take no part, nor do vectors of another length than most have (of equals, the greater).
     Of rows that repeat an id the first by component order counts. ``lists`` overrides the number of
     lists. Returns query_id, rank (from 1), vec_id, score; fewer than k rows where there are fewer
-    candidates; an empty table gives none. Other columns are not read. The index is fitted when called.
+    candidates; an empty table gives none. Other columns are not read. Runs its jobs when called; the
+    result is a table in the shared folder.
     """
+    small_batches(vectors.sparkSession)
+    with Scratch(vectors.sparkSession) as scratch:
+        return scratch.stored(_searched(vectors, scratch, k, query_mod, lists), "neighbours", stays=True)
+
+
+def _searched(vectors: DataFrame, scratch: Scratch, k: int, query_mod: int, lists: int | None) -> DataFrame:
     spark = vectors.sparkSession
-    small_batches(spark)
-    rows = kept(usable(vectors).groupBy("vec_id").agg(F.min("embedding").alias("embedding")))
+    rows = scratch.kept(usable(vectors).groupBy("vec_id").agg(F.min("embedding").alias("embedding")))
     schema = "query_id long, rank int, vec_id long, score double"
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v * v))
     stats = rows.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n"), F.max(norm).alias("longest")).orderBy(F.desc("n"), F.desc("dim")).first()
@@ -219,9 +225,9 @@ def neighbours(vectors: DataFrame, k: int = K, query_mod: int = QUERY_MOD, lists
                 names=["vec_id", "embedding", "bound", "cells", "near", "scores"],
             )
 
-    indexed = kept(rows.mapInArrow(listed, "vec_id long, embedding array<double>, cell long"))
+    indexed = scratch.kept(rows.mapInArrow(listed, "vec_id long, embedding array<double>, cell long"))
     parts = indexed.groupBy("cell").agg(F.expr(f"cast(ceil(count(*) / {PART}) as int)").alias("parts"))
-    queries = kept(rows.where(F.pmod("vec_id", F.lit(query_mod)) == 0).mapInArrow(probing, "vec_id long, embedding array<double>, bound double, cells array<long>, near array<long>, scores array<double>"))
+    queries = scratch.kept(rows.where(F.pmod("vec_id", F.lit(query_mod)) == 0).mapInArrow(probing, "vec_id long, embedding array<double>, bound double, cells array<long>, near array<long>, scores array<double>"))
     asks = queries.select("vec_id", "embedding", "bound", F.explode("cells").alias("cell")).join(parts, "cell")
     asks = asks.select("cell", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), "vec_id", "embedding", "bound")
     members = indexed.join(parts, "cell").select("cell", F.expr("cast(pmod(xxhash64(vec_id), parts) as int)").alias("part"), "vec_id", "embedding")

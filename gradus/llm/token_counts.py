@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, TIDY, bitmap, kept, may_be, session_conf, shared_path, small_batches, text_of
+from .common import SPACE, Scratch, bitmap, by_size, may_be, shared_path, small_batches, text_of
 
 MODEL = "word_bpe_49k.json"
 LIMIT = 2048
@@ -165,15 +165,15 @@ def token_counts(docs: DataFrame, cache: str | None = None, model: str | None =
     size = F.octet_length("text").cast("long") * (1 << 32) + F.crc32(F.col("text").cast("binary"))
     seen = docs.select("doc_id", text_of().alias("text"))
     digest = F.sha2(normal(F.col("text"), by_word).cast("binary"), 256)
-    rows = kept(seen.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), digest.alias("digest"), F.xxhash64("text").alias("mark"), size.alias("size")))
-    known = cached(spark, cache, name)
-    one = rows.groupBy("digest").agg(F.min(F.struct("mark", "size")).alias("m")).select("digest", "m.mark", "m.size")
-    hits = not known.isEmpty()
-    misses = kept(one.join(known, "digest", "left_anti"))
-    with session_conf(spark, TIDY):
+    with Scratch(spark) as scratch:
+        rows = scratch.kept(seen.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), digest.alias("digest"), F.xxhash64("text").alias("mark"), size.alias("size")))
+        known = cached(spark, cache, name)
+        one = scratch.kept(rows.groupBy("digest").agg(F.min(F.struct("mark", "size")).alias("m"), F.count("*").alias("rows")).select("digest", "m.mark", "m.size", "rows"))
+        misses = scratch.kept(one.join(known, "digest", "left_anti"))
         if not misses.isEmpty():
             texts = seen.select("text", F.xxhash64("text").alias("mark"), size.alias("size"))
-            missing(texts, misses, hits).mapInArrow(lambda it: _counted(it, model, name), _CACHE).write.mode("append").parquet(f"{cache}/version={name}")
-    misses.unpersist()
-    counts = cached(spark, cache, name)
-    return rows.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "digest")
+            missing(texts, misses, not known.isEmpty()).mapInArrow(lambda it: _counted(it, model, name), _CACHE).write.mode("append").parquet(f"{cache}/version={name}")
+        counts = scratch.kept(one.select("digest", "rows").join(cached(spark, cache, name), "digest"))
+        total = rows.count()
+        out = by_size(rows, counts, ["digest"], "rows", total).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "digest")
+        return scratch.stored(out, "token-counts", stays=True)
