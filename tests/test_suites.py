@@ -1,10 +1,13 @@
 """Composed suites on files' rows, settings documents and lenient sources."""
 
+import io
+import zipfile
+
 import pytest
 from pyspark.sql import functions as F
 
 from gradus.operators import evaluation, runs, suites
-from gradus.sources import files, settings
+from gradus.sources import archives, files, settings
 from gradus.sources.files import SourceError
 
 SETTINGS = """
@@ -99,3 +102,29 @@ def test_cached_inputs(spark):
     failed = lambda q: {r["code"]: r["observed"] for r in suites.cached_input_report(q, frames, sidecars, images, manifest, files_, fixed, q, n=2).where("status = 'FAIL'").collect()}
     assert failed(qa.where("qa_id = 'q1'")) == {"assets": "1"}
     assert failed(qa) == {"frame_files": "1", "frames_of_one_clip": "1", "images": "1", "assets_registered": "1", "assets": "2"}
+
+
+def test_archives_are_bounded(tmp_path):
+    path, content = f"{tmp_path}/a.zip", {"m/a.txt": b"one", "m/b/c.bin": bytes(range(256))}
+    archives.write_archive(path, content, "m.json", {"id": 1}, ("m/",))
+    assert archives.extract_archive(path, f"{tmp_path}/out", "m.json")["id"] == 1
+    assert (tmp_path / "out/m/b/c.bin").read_bytes() == content["m/b/c.bin"]
+    for bad in ({"x/a": b"1"}, {"m/../a": b"1"}, {"m.json": b"1"}):
+        with pytest.raises(SourceError):
+            archives.write_archive(path, bad, "m.json", {}, ("m/",))
+    raw = (tmp_path / "a.zip").read_bytes()
+
+    def remade(change) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(io.BytesIO(raw)) as a, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as b:
+            entries = {i.filename: a.read(i) for i in a.infolist()}
+            for name, data in change(entries).items():
+                b.writestr(name, data)
+        return out.getvalue()
+
+    changes = [lambda e: e | {"m/a.txt": b"two"}, lambda e: e | {"m/extra": b""}, lambda e: {k: v for k, v in e.items() if k != "m/a.txt"}, lambda e: e | {"../up": b""}, lambda e: e | {"M/A.txt": b"one"}, lambda e: {k: v for k, v in e.items() if k != "m.json"}, lambda e: e | {"m/bomb": bytes(1 << 20)}]
+    for n, change in enumerate(changes):
+        (tmp_path / f"bad{n}.zip").write_bytes(remade(change))
+        with pytest.raises(SourceError):
+            archives.extract_archive(f"{tmp_path}/bad{n}.zip", f"{tmp_path}/bad{n}", "m.json")
+        assert not (tmp_path / f"bad{n}").exists()
