@@ -611,3 +611,23 @@ def test_pipeline(spark):
     out = corpus_pipeline.run(spark, DATA)
     mix = mixture(kept[3]).agg(F.sum("copies")).first()[0]
     assert out.count() == mix and out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_pipeline_edges(spark, edge, nothing):
+    """Nulls, repeated rows, ties, a long text and clashing columns through all stages; the empty table too."""
+    docs, sizes = edge, [edge.count()]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, DATA).cache()
+        assert docs.columns == edge.columns, name
+        sizes.append(docs.count())
+    # nothing is toxic; of the row that repeats, its copy and near copy, and of empty texts, one stays; then copies by the mix
+    assert sizes[:4] == [12, 12, 8, 7]
+    left = Counter(r["doc_id"] for r in docs.collect())
+    assert set(left) <= {1, 5, 6, 7, 8, 9, None} and max(left.values()) <= 3
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
+    assert Counter(r["doc_id"] for r in out.collect()) == left
+    empty = nothing.select("doc_id", "text", "source", "extra")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        empty = stage(spark, empty, DATA)
+        assert empty.columns == ["doc_id", "text", "source", "extra"]
+    assert corpus_pipeline.STAGES[-1][1](spark, empty, DATA).count() == 0
