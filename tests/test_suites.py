@@ -86,6 +86,11 @@ def test_order_over_blocks(spark):
         assert sorted(r["pos"] for r in evaluation.order_violations(rows, block).collect()) == [2, 3, 4]
 
 
+def test_taxonomy_order(spark):
+    rows = spark.createDataFrame([(c,) for c in ("emotion", "zebra", "single", "sequence", "apple", "multi")], "category string")
+    assert [r[0] for r in evaluation.in_taxonomy_order(rows).collect()] == ["single", "multi", "sequence", "emotion", "apple", "zebra"]
+
+
 def test_cached_inputs(spark):
     """One good clip and one with a shared, a grey and an unregistered image."""
     row = lambda i, frames: (f"s{i}", f"q{i}", "1", f"k{i}", "HAU", "test", "ok", "IR", "h", "v", "1;2", "0.25;0.75", "1.0;2.0", "1.0;2.0", frames, f"c{i}/metadata.json")
