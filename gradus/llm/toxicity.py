@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -100,6 +101,26 @@ def damped(words: list[str], places: list[int], evidence: list[float]) -> list[f
     return out
 
 
+def apart(words: list[str], own: dict[int, float], found: list[tuple[int, int, float]]) -> list[float]:
+    """Scores of segments as evidence beside each other, best first.
+
+    Segments of the same words are not independent finds: what a word adds to a segment is halved
+    for every better segment that has it.
+    """
+    best = sorted(found, key=lambda x: (-x[2], x[0]))
+    if len(best) < 2:
+        return [s for *_, s in best]
+    seen: Counter[str] = Counter()
+    out, at = [], sorted(own)
+    for a, b, score in best:
+        inside = at[bisect_left(at, a) : bisect_left(at, b)]
+        fresh = score - sum(own[i] * (1 - 0.5 ** seen[words[i]]) for i in inside)
+        seen.update({words[i] for i in inside})
+        if fresh > 0:
+            out.append(fresh)
+    return out
+
+
 class Model:
     """Evidence of units (bounded by the labelled sample) and the rate of chance segments."""
 
@@ -115,8 +136,8 @@ class Model:
                 return e
         return 0.0
 
-    def scan(self, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
-        """Number of words and the segments."""
+    def scan(self, text: str | None) -> tuple[int, list[tuple[int, int, float]], list[float]]:
+        """Number of words, the segments, and their scores as `apart` counts them."""
         words = _WORD.findall(text.lower()) if text else []
         memo = self.memo
         got = list(map(memo.get, words))
@@ -128,15 +149,15 @@ class Model:
             got = list(map(memo.__getitem__, words))
         toxic = [i for i, s in enumerate(got) if s > 0]
         if not toxic:
-            return len(words), []
+            return len(words), [], []
         own = dict(zip(toxic, damped(words, toxic, got), strict=True))
         places = [i for i, s in enumerate(got) if s]
-        return len(words), segments(places, [own[i] if i in own else got[i] - self.drift for i in places], self.drift)
+        found = segments(places, [own[i] if i in own else got[i] - self.drift for i in places], self.drift)
+        return len(words), found, apart(words, own, found)
 
     def score(self, text: str | None) -> float:
-        n, found = self.scan(text)
-        e = expected([s for _, _, s in found], n, self.rate)
-        return LEVEL / (LEVEL + e)
+        n, _, scores = self.scan(text)
+        return LEVEL / (LEVEL + expected(scores, n, self.rate))
 
 
 def evidence(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> dict[str, float]:
@@ -245,10 +266,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> D
         m = model.value
         for b in batches:
             found = [m.scan(t) for t in b.column("text").to_pylist()]
-            best = [max(s, key=lambda x: x[2], default=(None, None, 0)) for _, s in found]
-            scores = [LEVEL / (LEVEL + expected([x[2] for x in s], n, m.rate)) for n, s in found]
+            best = [max(s, key=lambda x: x[2], default=(None, None, 0)) for _, s, _ in found]
+            scores = [LEVEL / (LEVEL + expected(s, n, m.rate)) for n, _, s in found]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("held_out"), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array([len(s) for _, s in found], pa.int32()), pa.array([x[0] for x in best], pa.int64()), pa.array([x[1] for x in best], pa.int64())],
+                [b.column("doc_id"), b.column("held_out"), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array([len(s) for _, s, _ in found], pa.int32()), pa.array([x[0] for x in best], pa.int64()), pa.array([x[1] for x in best], pa.int64())],
                 names=["doc_id", "held_out", "score", "predicted", "n_segments", "best_from", "best_to"],
             )
 

@@ -159,7 +159,13 @@ def test_toxicity_query_against_a_plain_scan(spark):
                 line.append(e - model.drift)
         found = all_maximal(line, 0, len(line)) if any(x > 0 for x in line) else []
         assert got[i]["n_segments"] == len(found), i
-        want = 0.01 / (0.01 + expected([sum(line[a:b]) for a, b in found], len(words), model.rate))
+        scores, seen = [], Counter()
+        for a, b in sorted(found, key=lambda x: (-sum(line[x[0] : x[1]]), x[0])):
+            toxic = [k for k in range(a, b) if line[k] > 0]
+            fresh = sum(line[a:b]) - sum(line[k] * (1 - 0.5 ** seen[words[k]]) for k in toxic)
+            seen.update({words[k] for k in toxic})
+            scores += [fresh] if fresh > 0 else []
+        want = 0.01 / (0.01 + expected(scores, len(words), model.rate))
         assert got[i]["score"] == pytest.approx(want), i
         some += bool(found)
     assert some > 3
@@ -195,15 +201,23 @@ def test_toxicity(spark, edge, nothing):
 def test_repeated_and_late_toxic_passages_score():
     model = Model({w: 3.0 for w in ("grolf", "snarb", "quizzle", "blorp")}, rate=5e-4)
     clean, bad = [f"w{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}" for k in range(100)], ["grolf", "snarb", "quizzle", "blorp"]
-    n, found = model.scan(" ".join(clean * 5 + bad + clean * 5 + bad + clean * 5))
-    assert n == 1508 and [(a, b) for a, b, _ in found] == [(500, 504), (1004, 1008)]
+    n, found, scores = model.scan(" ".join(clean * 5 + bad + clean * 5 + bad + clean * 5))
+    assert n == 1508 and len(scores) == 2 and scores[1] == pytest.approx(scores[0] / 2, abs=0.2) and [(a, b) for a, b, _ in found] == [(500, 504), (1004, 1008)]
     text = clean * 200  # 20,000 words
     for k, w in enumerate(bad):
         text[3000 * k + 1000] = w
     early = model.score(" ".join(text))
     text[19_000:19_004] = bad
     assert early < 0.5 < model.score(" ".join(text)) and max(model.scan(" ".join(text))[1], key=lambda s: s[2])[:2] == (19_000, 19_004)
-    assert sum(x for *_, x in model.scan(" ".join(["grolf"] * 1000))[1]) <= 6.0  # one word over and over is at most twice its evidence
+    assert sum(model.scan(" ".join(["grolf"] * 1000))[2]) <= 6.0  # one word over and over is at most twice its evidence
+
+
+def test_one_word_over_and_over_is_one_find():
+    """A word of a long clean text that happens to have evidence, far apart each time, is not many finds."""
+    model = Model({"grolf": 3.5}, rate=5e-4)
+    clean = [f"w{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}" for k in range(100)] * 3
+    once, often = model.score(" ".join([*clean, "grolf", *clean])), model.score(" ".join(([*clean, "grolf"]) * 12))
+    assert once < 0.5 and often < 0.5 and len(model.scan(" ".join(([*clean, "grolf"]) * 12))[1]) == 12
 
 
 def test_rare_toxicity_has_evidence(spark):
