@@ -14,6 +14,7 @@ from .mixing_lm import language_model_scores
 from .near_dedup import near_dedup
 from .neighbours import neighbours
 from .pieces import encode_decode
+from .prefix_trie import conversation_trie
 from .secrets import secret_scan
 from .sharding import shards
 from .token_counts import token_counts
@@ -132,6 +133,52 @@ def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations")).drop("node")
+
+
+#: Prefixes are lists of digests; the checksum of an id is the bytewise table form of CRC-32.
+OP13_SQL = r"""
+WITH RECURSIVE bits AS (
+  SELECT i AS n, CAST(i AS BIGINT) AS c, 0 AS k FROM range(256) r(i)
+  UNION ALL SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8
+), tab AS (
+  SELECT list(c ORDER BY n) AS tab FROM bits WHERE k = 8
+), said AS (
+  SELECT conv_id, turn, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS d,
+         len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS w
+  FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT conv_id, list({'d': d, 'w': w} ORDER BY turn ASC NULLS FIRST, d) AS t,
+         list_concat([4294967295], list_transform(regexp_extract_all(hex(encode(CAST(conv_id AS VARCHAR))), '..'), lambda x: CAST('0x' || x AS BIGINT))) AS bytes
+  FROM said GROUP BY conv_id
+), headed AS (
+  SELECT conv_id, t, xor(list_reduce(bytes, lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295) % 4 AS h FROM own CROSS JOIN tab
+), rebuilt AS (
+  SELECT x.conv_id, list_concat(coalesce(list_slice(b.t, 1, x.h), []), list_slice(x.t, x.h + 1, len(x.t))) AS t
+  FROM headed x LEFT JOIN own b ON b.conv_id = x.conv_id - x.conv_id % 20
+), prefix AS (
+  SELECT conv_id, t, unnest(range(len(t) + 1)) AS depth FROM rebuilt
+), node AS (
+  SELECT list_transform(list_slice(t, 1, depth), lambda x: x.d) AS path, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         max(CASE WHEN depth > 0 THEN t[depth].w ELSE 0 END) AS w,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE depth = len(t)), '')) AS ends_sha256
+  FROM prefix GROUP BY path, depth
+), child AS (
+  SELECT list_slice(path, 1, depth - 1) AS path, count(*) AS n FROM node WHERE depth > 0 GROUP BY 1
+), above AS (
+  SELECT n.path, (n.n_convs - 1) * n.w AS saved, CASE WHEN c.n IS NULL THEN 1 ELSE 0 END AS leaf, coalesce(c.n, 0) AS n_children, unnest(range(n.depth + 1)) AS up
+  FROM node n LEFT JOIN child c ON c.path = n.path
+), sums AS (
+  SELECT list_slice(path, 1, up) AS path, sum(saved) AS saved, sum(leaf) AS leaves FROM above GROUP BY 1
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0) AS n_children,
+       CAST(s.leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM node n JOIN sums s ON s.path = n.path LEFT JOIN child c ON c.path = n.path
+LEFT JOIN node p ON n.depth > 0 AND p.path = list_slice(n.path, 1, n.depth - 1)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -145,8 +192,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_neighbours": op9_neighbours,
         "op10_language_model": op10_language_model,
         "op11_language_id": op11_language_id,
+        "op13_conversation_trie": op13_conversation_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_sharding": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op8_mixing": OP8_SQL}
+    return {"op2_sharding": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op8_mixing": OP8_SQL, "op13_conversation_trie": OP13_SQL}
