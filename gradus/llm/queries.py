@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .collocations import collocations
 from .common import table
 from .exact_dedup import exact_dedup
 from .langid import identify
@@ -133,6 +134,45 @@ def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH pieces AS (
+  SELECT lang, unnest(regexp_split_to_array(s, '[.,;:!?
+-
+]')) AS s
+  FROM (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS s FROM documents)
+), words AS (
+  SELECT lang, regexp_extract_all(s, '[^ 	]+') AS w FROM pieces
+), places AS (
+  SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words
+), f AS (
+  SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase, count(*) AS f
+  FROM places CROSS JOIN range(1, 6) t(k) WHERE i + k - 1 <= len(w) GROUP BY ALL
+), size AS (
+  SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang
+), c AS (
+  SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 100
+), inside AS (
+  SELECT lang, k, a, unnest([array_to_string(w[2:], ' '), array_to_string(w[:-2], ' ')]) AS phrase FROM c
+), cut AS (
+  SELECT lang, phrase, a, unnest(range(1, k)) AS j, w FROM c
+  WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE i.lang = c.lang AND i.phrase = c.phrase AND 100 * i.a >= 100 * c.a)
+), scored AS (
+  SELECT cut.lang, cut.phrase, cut.a, j, l.f AS l, r.f AS r, n, CAST((1000::HUGEINT * cut.a * n) // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+  FROM cut JOIN size ON size.lang = cut.lang
+  JOIN f l ON l.lang = cut.lang AND l.phrase = array_to_string(w[1:j], ' ')
+  JOIN f r ON r.lang = cut.lang AND r.phrase = array_to_string(w[j + 1:], ' ')
+), least AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM least
+QUALIFY rank <= 2000
+"""
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(table(spark, sf_dir, "conversations")).drop("node")
 
@@ -146,7 +186,8 @@ WITH RECURSIVE bits AS (
   SELECT list(c ORDER BY n) AS tab FROM bits WHERE k = 8
 ), said AS (
   SELECT conv_id, turn, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS d,
-         len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS w
+         len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS w
   FROM conversations WHERE conv_id IS NOT NULL
 ), own AS (
   SELECT conv_id, list({'d': d, 'w': w} ORDER BY turn ASC NULLS FIRST, d) AS t,
@@ -192,9 +233,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_neighbours": op9_neighbours,
         "op10_language_model": op10_language_model,
         "op11_language_id": op11_language_id,
+        "op12_collocations": op12_collocations,
         "op13_conversation_trie": op13_conversation_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_sharding": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op8_mixing": OP8_SQL, "op13_conversation_trie": OP13_SQL}
+    return {"op2_sharding": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op8_mixing": OP8_SQL, "op12_collocations": OP12_SQL, "op13_conversation_trie": OP13_SQL}
