@@ -4,11 +4,13 @@ Texts are cut into pieces and words once and kept as coded blocks, shards of one
 vocabulary of their own. A shard's generalised suffix automaton, bounded in depth, is made by sorting: the places
 of a shard in the order of their words read backwards are the leaves of its tree of suffix links, so the
 substrings that end at the same places (a state) are a run of that order, and the run's length is
-their count. States enumerate their substrings with these counts, which Spark adds up over all shards.
+their count. States enumerate their substrings with these counts.
 
-A phrase occurs no more often than its parts, so two bit tables of bounded size (words, then word pairs
-that reach the threshold in all shards together) cut the shards into runs of frequent pairs before longer
-phrases are enumerated: they let more through when they fill up, never less, and all counts are exact.
+A phrase occurs no more often than its parts. So lengths are taken in turn: of each, shards send the hashes and
+counts of the phrases whose parts are frequent, sorted and packed, to ranges of hashes that add them up;
+hashes that reach the threshold go into a bit table of bounded size, by which the next length is chosen. Phrases
+with a colliding hash, or with a full table all, are let through, none is held back. Only phrases that pass are counted as
+words, exactly, by Spark over all shards.
 
 Along a suffix link, and likewise along a prefix, counts only grow: a candidate lies in a longer
 one that is as frequent if and only if it does in one that is longer by a word.
@@ -23,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -35,6 +37,8 @@ LEAST, LONGEST, TOP = 100, 5, 2000
 BLOCK, CUT = 1 << 21, 1 << 20
 #: log2 of the bits of a table: 16 bits an entry, within these.
 FEW_BITS, MOST_BITS = 15, 27
+#: Phrases whose hashes a task packs together; log2 of the words for each range of hashes.
+TOGETHER, RANGE_BITS = 1 << 22, 21
 SALTS = 64
 #: Totals of so many languages are broadcast at most.
 MOST_LANGUAGES = 4096
@@ -217,37 +221,148 @@ def table_of(marks: DataFrame, count: int) -> Bits:
 
 
 def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Mark of two words from theirs."""
+    """Hash of a phrase and the word that follows it from theirs."""
     h = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64)
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(32))
 
 
-def _phrases(batches: Iterator[pa.RecordBatch], words: Bits, pairs: Bits | None, longest: int) -> Iterator[pa.RecordBatch]:
-    """Counts of the word pairs, or with their table of longer phrases, of each block."""
-    least, most = (2, 2) if pairs is None else (3, longest)
+class Frequent(NamedTuple):
+    """What is known of phrases so far: bits of their hashes that count, and a table for each length from 2 on."""
+
+    bits: int
+    tables: tuple[Bits, ...]
+
+    def mark(self, hashes: np.ndarray) -> np.ndarray:
+        return hashes >> np.uint64(64 - self.bits)
+
+    def passing(self, x: np.ndarray, marks: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """For each length from 1 on, one more than there are tables, whether the phrase that ends at a place may be frequent; hashes of the longest."""
+        own = marks.astype(np.uint64)[x]
+        ok, h, every = x > 0, own, []
+        for t in self.tables:
+            every.append(ok)
+            more = ok.copy()
+            more[:1] = False
+            more[1:] &= ok[:-1]
+            h = np.concatenate([h[:1], pair(h[:-1], own[1:])])
+            more[more] = t.has(self.mark(h[more]))
+            ok = more
+        every.append(ok)
+        last = ok.copy()
+        last[:1] = False
+        last[1:] &= ok[:-1]
+        every.append(last)
+        return every, np.concatenate([h[:1], pair(h[:-1], own[1:])])
+
+
+def _read(b: pa.RecordBatch, i: int) -> tuple[str, pa.Array, np.ndarray, np.ndarray, int]:
+    """Language, words, their hashes (with one for 0), ids and context of a block."""
+    marks = np.concatenate([[0], b.column("marks")[i].values.to_numpy(zero_copy_only=False)]).astype(np.int64)
+    x = np.frombuffer(zstandard.ZstdDecompressor().decompress(b.column("ids")[i].as_py()), np.int32)
+    return b.column("lang")[i].as_py(), b.column("words")[i].values, marks, x, b.column("skip")[i].as_py()
+
+
+def _known(x: np.ndarray, marks: np.ndarray, words: Bits | None) -> np.ndarray:
+    if words is None:
+        return x
+    ok = words.has(marks)
+    ok[0] = False
+    return np.where(ok[x], x, 0)
+
+
+def pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Ascending 32-bit keys as differences, and counts, in planes of bytes."""
+    both = np.concatenate([np.diff(keys, prepend=np.uint32(0)), counts]).astype("<u4")
+    return zstandard.ZstdCompressor(level=1).compress(both.view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+    n = len(both) // 2
+    return np.cumsum(both[:n], dtype=np.uint64), both[n:].astype(np.int64)
+
+
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
+    return keys[first], np.add.reduceat(counts[order], first) if len(keys) else counts
+
+
+def _sketched(batches: Iterator[pa.RecordBatch], words: Bits | None, known: Frequent) -> Iterator[pa.RecordBatch]:
+    """Packed hashes and counts of the phrases of the next length, by ranges of hashes; several blocks together."""
+    keys, counts = [], []
+
+    def out() -> Iterator[pa.RecordBatch]:
+        k, n = summed(np.concatenate(keys), np.concatenate(counts))
+        keys.clear(), counts.clear()
+        if not len(k):
+            return
+        part = (k >> np.uint64(32)).astype(np.int64)
+        at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        for a, e in zip(at, [*at[1:], len(part)], strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array([int(part[a])], pa.int64()), pa.array([pack((k[a:e] & np.uint64(0xFFFFFFFF)).astype(np.uint32), n[a:e])], pa.binary())], names=["part", "data"])
+
+    for b in batches:
+        for i in range(b.num_rows):
+            _, _, marks, x, skip = _read(b, i)
+            x = _known(x, marks, words)
+            length = len(known.tables) + 2
+            ok, h = known.passing(x, marks)
+            s = automaton(x, length, skip)
+            end, n = next((s.end[own], s.endpos[own]) for _, own in s.substrings(length, length))
+            new = ok[-1][end]
+            keys.append(known.mark(h[end[new]]))
+            counts.append(n[new])
+            if sum(map(len, keys)) > TOGETHER:
+                yield from out()
+    if keys:
+        yield from out()
+
+
+def _reached(least: int):
+    def run(group: pa.Table) -> pa.Table:
+        parts = [unpack(x) for x in group.column("data").to_pylist()]
+        keys, counts = summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+        part = group.column("part")[0].as_py() << 32
+        return pa.table({"mark": pa.array((keys[counts >= least].astype(np.int64) | part), pa.int64())})
+
+    return run
+
+
+def _cut(batches: Iterator[pa.RecordBatch], words: Bits, known: Frequent) -> Iterator[pa.RecordBatch]:
+    """Blocks of nothing but runs of frequent pairs, with the words that are in them."""
+    for b in batches:
+        for i in range(b.num_rows):
+            lang, names, marks, x, skip = _read(b, i)
+            x = _known(x, marks, words)
+            x, skip = runs(x, known.passing(x, marks)[0][1][1:], skip)
+            used = np.unique(x[x > 0])
+            if len(used):
+                code = np.zeros(len(marks), np.int32)
+                code[used] = np.arange(1, len(used) + 1)
+                held = zstandard.ZstdCompressor(level=1).compress(code[x].tobytes())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang]), pa.array([names.take(pa.array(used - 1)).to_pylist()], pa.list_(pa.binary())), pa.array([marks[used]], pa.list_(pa.int64())), pa.array([held], pa.binary()), pa.array([skip], pa.int32())],
+                    names=["lang", "words", "marks", "ids", "skip"],
+                )
+
+
+def _exact(batches: Iterator[pa.RecordBatch], known: Frequent, longest: int) -> Iterator[pa.RecordBatch]:
+    """Phrases that may be frequent, of each block, with their counts there."""
     for b in batches:
         for i in range(b.num_rows):
-            lang, names, skip = b.column("lang")[i].as_py(), b.column("words")[i].values, b.column("skip")[i].as_py()
-            marks = np.concatenate([[0], b.column("marks")[i].values.to_numpy(zero_copy_only=False)]).astype(np.int64)
-            x = np.frombuffer(zstandard.ZstdDecompressor().decompress(b.column("ids")[i].as_py()), np.int32)
-            with np.errstate(over="ignore"):
-                ok = words.has(marks)
-                ok[0] = False
-                x = np.where(ok[x], x, 0)
-                if pairs is not None:
-                    x, skip = runs(x, pairs.has(pair(marks[x[:-1]], marks[x[1:]])), skip)
-                s = automaton(x, most, skip)
-                for n, own in s.substrings(least, most):
-                    for a in range(0, len(own), 1 << 16):
-                        part = own[a : a + (1 << 16)]
-                        end = s.end[part]
-                        said = pc.binary_join_element_wise(*(names.take(pa.array(x[end - k] - 1)) for k in range(n - 1, -1, -1)), b" ")
-                        key = pair(marks[x[end - 1]], marks[x[end]]).view(np.int64) if n == 2 else np.zeros(len(part), np.int64)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([lang] * len(part)), said.cast(pa.binary()), pa.array(np.full(len(part), n, np.int32)), pa.array(s.endpos[part], pa.int64()), pa.array(key)],
-                            names=["lang", "phrase", "words", "n", "mark"],
-                        )
+            lang, names, marks, x, skip = _read(b, i)
+            ok, _ = known.passing(x, marks)
+            s = automaton(x, longest, skip)
+            for n, own in s.substrings(2, longest):
+                own = own[ok[n - 1][s.end[own]]] if n <= len(ok) else own[:0]
+                for a in range(0, len(own), 1 << 16):
+                    part = own[a : a + (1 << 16)]
+                    said = pc.binary_join_element_wise(*(names.take(pa.array(x[s.end[part] - k] - 1)) for k in range(n - 1, -1, -1)), b" ")
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), said.cast(pa.binary()), pa.array(np.full(len(part), n, np.int32)), pa.array(s.endpos[part], pa.int64())], names=["lang", "phrase", "words", "n"])
 
 
 def runs(x: np.ndarray, ok: np.ndarray, skip: int) -> tuple[np.ndarray, int]:
@@ -284,17 +399,25 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
         each = coded.select("lang", F.inline(F.arrays_zip("words", "counts")).alias("phrase", "n")).select("lang", F.col("phrase").cast("string").alias("phrase"), "n")
         words = scratch.stored(_frequent(each, least).withColumn("words", F.lit(1)), "words")
         marked = coded.select("lang", "words", F.transform("words", lambda w: F.xxhash64("lang", w.cast("string"))).alias("marks"), "ids", "skip")
-        first = _sent(spark, words.select(of_word.alias("mark")), words.count())
-        found = "lang string, phrase binary, words int, n long, mark long"
-        two = marked.mapInArrow(lambda it: _phrases(it, first.value, None, longest), found)
-        pairs = two.groupBy("lang", "phrase").agg(F.sum("n").alias("f"), F.first("mark").alias("mark")).where(F.col("f") >= least)
-        pairs = scratch.stored(pairs.select("lang", F.col("phrase").cast("string").alias("phrase"), "f", "mark"), "pairs")
-        second = _sent(spark, pairs.select("mark"), pairs.count())
-        every = words.unionByName(pairs.select("lang", "phrase", "f", F.lit(2).alias("words")))
-        if longest > 2:
-            more = marked.mapInArrow(lambda it: _phrases(it, first.value, second.value, longest), found)
-            more = more.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-            every = every.unionByName(scratch.stored(more.select("lang", F.col("phrase").cast("string").alias("phrase"), "f", "words"), "longer"))
+        first = spark.sparkContext.broadcast(table_of(words.select(of_word.alias("mark")), words.count()))
+        total = coded.agg(F.sum("n")).first()[0] or 0
+        known = Frequent(32 + min(24, max(6, (total >> RANGE_BITS).bit_length())), ())
+        every = words
+        for length in range(2, max(3, longest)):
+            source, table = (marked, first.value) if length == 2 else (short, None)
+            reached = scratch.stored(_of_length(source, table, known, least), "reached")
+            count = reached.count()
+            if not count:
+                break
+            known = Frequent(known.bits, (*known.tables, table_of(reached, count)))
+            if length == 2:
+                held = spark.sparkContext.broadcast(known)
+                short = scratch.stored(marked.mapInArrow(lambda it: _cut(it, first.value, held.value), "lang string, words array<binary>, marks array<long>, ids binary, skip int"), "runs")
+        if known.tables:
+            found = spark.sparkContext.broadcast(known)
+            exact = short.mapInArrow(lambda it: _exact(it, found.value, longest), "lang string, phrase binary, words int, n long")
+            exact = exact.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+            every = words.unionByName(scratch.stored(exact.select("lang", F.col("phrase").cast("string").alias("phrase"), "f", "words"), "phrases"))
         sizes = coded.groupBy("lang").agg(F.sum("n").alias("n"))
         few = sizes.limit(MOST_LANGUAGES + 1).collect()
         if len(few) <= MOST_LANGUAGES:  # else joined as it is
@@ -306,8 +429,10 @@ def _frequent(rows: DataFrame, least: int) -> DataFrame:
     return rows.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
 
 
-def _sent(spark: SparkSession, marks: DataFrame, count: int):
-    return spark.sparkContext.broadcast(table_of(marks, count))  # 2^MOST_BITS bits at most
+def _of_length(blocks: DataFrame, words: Bits | None, known: Frequent, least: int) -> DataFrame:
+    """mark: hashes of the next length that reach ``least`` in all blocks together."""
+    sent = blocks.sparkSession.sparkContext.broadcast((words, known))  # tables of 2^MOST_BITS bits at most
+    return blocks.mapInArrow(lambda it: _sketched(it, *sent.value), "part long, data binary").groupBy("part").applyInArrow(_reached(least), "mark long")
 
 
 def _ranked(every: DataFrame, sizes: DataFrame, top: int) -> DataFrame:

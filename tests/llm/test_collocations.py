@@ -8,7 +8,7 @@ import pytest
 
 from gradus.llm import collocations as co
 from gradus.llm import queries
-from gradus.llm.collocations import Bits, automaton, collocations, cuts, runs, table_of
+from gradus.llm.collocations import Bits, Frequent, automaton, collocations, cuts, pack, runs, summed, table_of, unpack
 
 from ..conftest import DATA
 
@@ -144,3 +144,29 @@ def test_runs_and_bits(spark):
     assert bits.has(np.array(marks)).all() and not bits.has(np.array([2, 3, 78])).any()
     full = Bits(3, b"\xff")
     assert full.has(np.arange(-50, 50)).all()
+
+
+def test_packed_hashes_come_back():
+    r = np.random.default_rng(1)
+    keys, counts = summed(r.integers(0, 1 << 32, 5000).astype(np.uint64), r.integers(1, 1 << 31, 5000))
+    a, n = unpack(pack(keys.astype(np.uint32), counts))
+    assert (a == keys).all() and (n == counts).all()
+    k, n = summed(np.array([5, 3, 5], np.uint64), np.array([1, 2, 3]))
+    assert k.tolist() == [3, 5] and n.tolist() == [2, 4]
+
+
+def test_passing_never_holds_back(spark):
+    """With full tables all phrases within pieces pass; with empty ones none longer than a word."""
+    x, marks = np.array([1, 2, 0, 2, 1, 1], np.int32), np.array([0, -5, 9])
+    ok, h = Frequent(40, (Bits(3, b"\xff"),) * 2).passing(x, marks)
+    assert [o.tolist() for o in ok] == [[1, 1, 0, 1, 1, 1], [0, 1, 0, 0, 1, 1], [0, 0, 0, 0, 0, 1], [0] * 6]
+    ok, _ = Frequent(40, (Bits(3, b"\0"),)).passing(x, marks)
+    assert not ok[1].any() and not ok[2].any()
+
+
+def test_full_tables_change_nothing(spark, monkeypatch):
+    r = random.Random(11)
+    rows = [(" ".join(r.choices(["ab", "cd", "ef", "gh", "ij"], k=25)), "en") for _ in range(60)]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    monkeypatch.setattr(co, "table_of", lambda marks, count: Bits(15, b"\xff" * 4096))
+    assert got(collocations(docs, 4)) == brute(rows, 4, 5, 2000)
