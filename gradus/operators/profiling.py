@@ -6,73 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .percentiles import PERCENTILES, summary  # noqa: F401
+
 #: Requests (or steps) at a run's start that steady-state figures leave out.
 WARMUP = 3
-PERCENTILES = (50, 90, 95, 99)
-#: Rows of a group from which its percentiles are found by ranks.
-LARGE = 1_000_000
 
 
 def _keys(keys: list[str] | tuple[str, ...]) -> list[Column]:
     return [F.col(k) for k in keys]
 
 
-def percentile(value: str, p: float) -> Column:
-    """Nearest-rank percentile: a value that occurs, never an interpolation."""
-    return F.expr(f"percentile_disc({p / 100}) WITHIN GROUP (ORDER BY {value})")
-
-
-def _moments(value: str) -> list[Column]:
-    return [F.count(value).alias("count"), F.sum(value).alias("total"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"), F.stddev_pop(value).alias("stdev")]
-
-
-def describe(rows: DataFrame, value: str, keys: tuple[str, ...] = (), more: tuple[Column, ...] = (), large: int = LARGE) -> DataFrame:
-    """count, total, mean, min, max, population deviation and percentiles of a series; nulls do not count.
-
-    ``more`` are further aggregates. Groups of up to ``large`` rows are aggregated as they are; larger
-    ones, which cannot be many, take `ranked_percentiles`, as the aggregate holds all values of a group.
-    """
-    key = F.struct(*keys) if keys else F.struct(F.lit(0))
-    rows = rows.withColumn("_key", key)
-    big = F.broadcast(rows.groupBy("_key").count().where(F.col("count") > large).select("_key"))  # rows / large at most
-    small = rows.join(big, "_key", "left_anti").groupBy("_key").agg(*_moments(value), *(percentile(value, p).alias(f"p{p}") for p in PERCENTILES), *more)
-    whole = rows.join(big, "_key", "left_semi")
-    wide = whole.groupBy("_key").agg(*_moments(value), *more).join(ranked_percentiles(whole, value), "_key", "left")
-    out = small.unionByName(wide)
-    if not keys:  # one row, also of nothing
-        every = rows.limit(0).agg(*_moments(value), *(F.lit(None).cast("double").alias(f"p{p}") for p in PERCENTILES), *more)
-        return out.drop("_key").unionByName(every.join(rows.limit(1).select(F.lit(1).alias("_any")), how="left_anti"))
-    return out.select(*(F.col("_key")[k].alias(k) for k in keys), *(c for c in out.columns if c != "_key"))
-
-
-def ranked_percentiles(rows: DataFrame, value: str, bins: int = 1 << 14, levels: int = 2) -> DataFrame:
-    """Nearest-rank percentiles of each ``_key``, exact, without any group's values in one place.
-
-    A level counts the values of each group in bins between its least and its greatest, and running
-    sums over the bins tell which one holds each rank; the next level does the same within these
-    bins. What is left is counted by value and read off in order. Counts are combined where the rows
-    are; a window holds the bins of one group, and in the end the distinct values of one inmost bin.
-    """
-    v = F.col("_v")
-    rows = rows.where(F.col(value).isNotNull()).select("_key", F.col(value).cast("double").alias("_v"))
-    wanted = rows.groupBy("_key").agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    # rank in what is left of the group: the bins chosen so far are the path
-    ranks = wanted.select("_key", F.array().cast("array<int>").alias("_path"), "_lo", "_hi", F.explode(F.array(*(F.struct(F.lit(p).alias("p"), F.ceil(F.col("_n") * (p / 100)).alias("rank")) for p in PERCENTILES))).alias("_p")).select("_key", "_path", "_lo", "_hi", "_p.*")
-    rows = rows.withColumn("_path", F.array().cast("array<int>"))
-    for _ in range(levels):
-        ends = ranks.select("_key", "_path", "_lo", "_hi").distinct()  # four for each group at most
-        width = F.col("_hi") - F.col("_lo")
-        at = F.when(width > 0, F.least(F.lit(bins - 1), F.floor((v - F.col("_lo")) / width * bins))).otherwise(0).cast("int")
-        rows = rows.join(ends, ["_key", "_path"]).withColumn("_bin", at).select("_key", F.concat("_path", F.array("_bin")).alias("_path"), "_v", F.col("_path").alias("_outer"))
-        per = rows.groupBy("_key", "_outer", "_path").agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-        per = per.withColumn("_to", F.sum("_n").over(W.partitionBy("_key", "_outer").orderBy("_path")))
-        hit = (F.col("rank") <= F.col("_to")) & (F.col("rank") > F.col("_to") - F.col("_n"))
-        ranks = ranks.select("_key", F.col("_path").alias("_outer"), "p", "rank").join(per, ["_key", "_outer"]).where(hit).select("_key", "_path", "_lo", "_hi", "p", (F.col("rank") - F.col("_to") + F.col("_n")).alias("rank"))
-        rows = rows.drop("_outer")
-    values = rows.join(ranks.select("_key", "_path").distinct(), ["_key", "_path"]).groupBy("_key", "_path", "_v").agg(F.count("*").alias("_n"))
-    values = values.withColumn("_to", F.sum("_n").over(W.partitionBy("_key", "_path").orderBy("_v")))
-    found = ranks.join(values, ["_key", "_path"]).where((F.col("rank") <= F.col("_to")) & (F.col("rank") > F.col("_to") - F.col("_n")))
-    return found.groupBy("_key").agg(*(F.max(F.when(F.col("p") == p, v)).alias(f"p{p}") for p in PERCENTILES))
+def describe(rows: DataFrame, value: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """count, total, mean, min, max, population deviation and percentiles of a series; nulls do not count."""
+    return summary(rows, value, keys).drop("requests")
 
 
 def reported(c: Column | str) -> Column:
@@ -83,8 +29,7 @@ def reported(c: Column | str) -> Column:
 
 def coverage(rows: DataFrame, value: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """Statistics of the values that were reported, and the share of rows that reported one."""
-    more = F.count("*").alias("requests"), F.try_divide(F.count(value), F.count("*")).alias("coverage")
-    return describe(rows.withColumn(value, reported(value)), value, keys, more)
+    return summary(rows.withColumn(value, reported(value)), value, keys).withColumn("coverage", F.try_divide("count", "requests"))
 
 
 def steady(rows: DataFrame, keys: tuple[str, ...], order: list[str], warmup: int = WARMUP) -> DataFrame:

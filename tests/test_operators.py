@@ -44,17 +44,6 @@ def test_percentiles(spark):
     assert profiling.describe(spark.createDataFrame([], "v double"), "v").first()["count"] == 0
 
 
-def test_percentiles_of_large_groups(spark):
-    """Found by ranks, they are those of the aggregate, whatever the values' spread; no group's values meet in one buffer."""
-    i = F.col("id")
-    value = F.when(i % 9 == 0, None).when(i % 4 == 0, 5.0).when(i % 4 == 1, F.exp((i % 997) / 20.0)).when(i % 4 == 2, -(i % 31) / 7.0).otherwise(1e-9 * i)
-    rows = spark.range(6000).select(F.when(i % 5 != 4, i % 5).alias("k"), F.when(i % 3 == 0, "x").alias("kk"), value.alias("v")).cache()
-    for keys in (("k", "kk"), ("k",), ()):
-        small, wide = (sorted(map(str, profiling.describe(rows, "v", keys, large=n).select(*keys, "count", "min", "max", *(f"p{p}" for p in profiling.PERCENTILES)).collect())) for n in (10_000, 10))
-        assert small == wide and len(small) == (10 if len(keys) == 2 else 5 if keys else 1)
-    assert "percentile_disc" not in plan(profiling.ranked_percentiles(rows.withColumn("_key", F.struct("k")), "v"))
-
-
 def test_steady_state(spark):
     rows = spark.createDataFrame([("r", i, v, "valid", 1) for i, v in enumerate([900.0, 800.0, 100.0, 100.0, 100.0])] + [("s", 0, 5.0, "failed", None)], "run string, seq int, total_ms double, status string, generation_tokens int")
     got = {r["run"]: r for r in profiling.throughput(rows, ("run",), ["seq"], warmup=2).collect()}
