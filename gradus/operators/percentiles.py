@@ -106,6 +106,6 @@ def summary(rows: DataFrame, value: str, keys: tuple[str, ...] = (), most: int =
         if digit < len(DIGITS):
             groups = narrowed(base, groups, digit, small)
     if not keys and not got:
-        groups = spark.range(1).select(F.lit(0 if c in ("requests", "count") else None).cast(t).alias(c) for c, t in groups.dtypes)
+        groups = spark.range(1).select(*(F.lit(0 if c in ("requests", "count") else None).cast(t).alias(c) for c, t in groups.dtypes))
     at = {p: F.expr(f"get(filter(found, x -> x.p = {p}), 0).v") for p in PERCENTILES}
     return groups.select(*(F.col("_key")[k].alias(k) for k in keys), "requests", "count", "total", "mean", "min", "max", "stdev", *(c.alias(f"p{p}") for p, c in at.items()))
