@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .numbering import numbered
+
 
 def first_targets(rows: DataFrame, limit: int | None) -> DataFrame:
     """The first ``limit`` rows by position; before any resuming, so a resumed run has the same targets."""
@@ -47,18 +49,31 @@ def upsert(records: DataFrame, new: DataFrame, id_col: str = "qa_id") -> DataFra
 
 
 def batches(rows: DataFrame, order: list[str], size: int, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Adds ``batch``: consecutive rows by ``size``."""
-    w = W.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("int"))
+    """Adds ``batch``: consecutive rows by ``size``; without keys over all rows, by `numbered` (which then runs its jobs)."""
+    if keys:
+        place = F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1
+        return rows.withColumn("batch", F.floor(place / size).cast("int"))
+    rows, _ = numbered(rows, order, "_row")
+    return rows.withColumn("batch", F.expr(f"_row div {size}")).drop("_row")
 
 
 def replica_blocks(rows: DataFrame, order: list[str], replicas: int, keys: tuple[str, ...] = ()) -> DataFrame:
     """Adds ``replica``: contiguous blocks of equal size, the first ones one longer."""
-    return rows.withColumn("replica", F.ntile(replicas).over(W.partitionBy(*keys).orderBy(*order)) - 1)
+    if keys:
+        return rows.withColumn("replica", F.ntile(replicas).over(W.partitionBy(*keys).orderBy(*order)) - 1)
+    rows, n = numbered(rows, order, "_row")
+    size, longer = divmod(n, replicas)
+    head = longer * (size + 1)
+    block = F.when(F.col("_row") < head, F.expr(f"_row div {size + 1}")).otherwise(F.expr(f"{longer} + (_row - {head}) div {max(1, size)}"))
+    return rows.withColumn("replica", block.cast("int")).drop("_row")
 
 
 def round_robin(rows: DataFrame, order: list[str], replicas: int, keys: tuple[str, ...] = ()) -> DataFrame:
-    return rows.withColumn("replica", F.pmod(F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1, F.lit(replicas)))
+    """Adds ``replica``: rows dealt in turn."""
+    if keys:
+        return rows.withColumn("replica", F.pmod(F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1, F.lit(replicas)))
+    rows, _ = numbered(rows, order, "_row")
+    return rows.withColumn("replica", F.pmod("_row", F.lit(replicas)).cast("int")).drop("_row")
 
 
 def until_failure(rows: DataFrame, keys: tuple[str, ...], seq: str = "seq", batch: str | None = None) -> DataFrame:

@@ -322,6 +322,25 @@ def round_robin(spark: SparkSession, d: str) -> DataFrame:
     return runs.round_robin(requests(spark, d), ["ts", "event_id"], 2, ("user_id",)).select("user_id", "replica", "event_id")
 
 
+@query("global_batches", f"""
+SELECT batch, count(*) AS size, min(event_id) AS first_id, max(event_id) AS last_id
+FROM (SELECT event_id, (row_number() OVER (ORDER BY ts, event_id) - 1) // 64 AS batch FROM ({R})) GROUP BY batch""")
+def global_batches(spark: SparkSession, d: str) -> DataFrame:
+    rows = runs.batches(requests(spark, d).select("event_id", "ts"), ["ts", "event_id"], 64)
+    return rows.groupBy("batch").agg(F.count("*").alias("size"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
+
+
+@query("global_blocks", f"SELECT event_id, CAST(ntile(7) OVER (ORDER BY ts, event_id) - 1 AS INT) AS replica FROM ({R})")
+def global_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return runs.replica_blocks(requests(spark, d).select("event_id", "ts"), ["ts", "event_id"], 7).select("event_id", "replica")
+
+
+@query("global_round_robin", f"SELECT event_id, CAST((row_number() OVER (ORDER BY status, event_id) - 1) % 5 AS INT) AS replica FROM (SELECT event_id, concat(status, event_type) AS status FROM ({R}))")
+def global_round_robin(spark: SparkSession, d: str) -> DataFrame:
+    rows = requests(spark, d).select("event_id", F.concat("status", "event_type").alias("status"))
+    return runs.round_robin(rows, ["status", "event_id"], 5).select("event_id", "replica")
+
+
 @query("first_mismatch", "SELECT min(o_orderkey) AS row FROM orders WHERE o_orderkey % 777 = 500")
 def first_mismatch(spark: SparkSession, d: str) -> DataFrame:
     rows = qa(spark, d).select("pos", "qa_id", "k")
