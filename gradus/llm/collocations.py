@@ -34,11 +34,11 @@ from .common import ARROW_BYTES, ARROW_ROWS, Scratch, session_conf
 #: Least count of a candidate, words of the longest, rows returned for each language.
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Words of a block, bytes of text that are cut into words at a time.
-BLOCK, CUT = 1 << 21, 1 << 20
+BLOCK, CUT = 1 << 20, 1 << 20
 #: log2 of the bits of a table: 16 bits an entry, within these.
 FEW_BITS, MOST_BITS = 15, 27
 #: Phrases whose hashes a task packs together; log2 of the words for each range of hashes.
-TOGETHER, RANGE_BITS = 1 << 22, 21
+TOGETHER, RANGE_BITS = 1 << 21, 21
 SALTS = 64
 #: Totals of so many languages are broadcast at most.
 MOST_LANGUAGES = 4096
@@ -140,12 +140,12 @@ class States(NamedTuple):
             yield n, np.flatnonzero((self.shortest <= n) & (self.longest >= n))
 
 
-def automaton(x: np.ndarray, depth: int, skip: int = 0) -> States:
+def automaton(x: np.ndarray, depth: int, counted: np.ndarray | None = None) -> States:
     """The generalised suffix automaton of the sequences in ``x`` (0 ends one), substrings of up to ``depth``.
 
-    The first ``skip`` places are context alone: nothing that ends there counts.
+    Places that are not ``counted`` are context alone: nothing that ends there counts.
     """
-    at = np.flatnonzero(x[skip:]) + skip
+    at = np.flatnonzero(x if counted is None else (x > 0) & counted)
     bits = max(1, int(x.max(initial=0)).bit_length())
     cols = [x[at].astype(np.uint64)]
     for d in range(1, depth):
@@ -263,6 +263,51 @@ def _read(b: pa.RecordBatch, i: int) -> tuple[str, pa.Array, np.ndarray, np.ndar
     return b.column("lang")[i].as_py(), b.column("words")[i].values, marks, x, b.column("skip")[i].as_py()
 
 
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """Language, words, hashes, ids and the places that count of each block."""
+    for b in batches:
+        for i in range(b.num_rows):
+            lang, names, marks, x, skip = _read(b, i)
+            yield lang, names, marks, x, np.arange(len(x)) >= skip
+
+
+class Joined:
+    """Blocks of a language put together, so that a phrase is counted once for all of them."""
+
+    def __init__(self) -> None:
+        self.codes: dict[bytes, int] = {}
+        self.marks: list[int] = [0]
+        self.x: list[np.ndarray] = []
+        self.counted: list[np.ndarray] = []
+        self.n = 0
+
+    def add(self, names: pa.Array, marks: np.ndarray, x: np.ndarray, counted: np.ndarray) -> None:
+        code = [0]
+        for w, m in zip(names.to_pylist(), marks[1:].tolist(), strict=True):
+            if w not in self.codes:
+                self.codes[w] = len(self.marks)
+                self.marks.append(m)
+            code.append(self.codes[w])
+        self.x += [np.array(code, np.int32)[x], np.zeros(1, np.int32)]
+        self.counted += [counted, np.zeros(1, bool)]
+        self.n += len(x) + 1
+
+    def whole(self, lang: str) -> tuple[str, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+        return lang, pa.array([*self.codes], pa.binary()), np.array(self.marks, np.int64), np.concatenate(self.x), np.concatenate(self.counted)
+
+
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """`_each`, blocks of a language joined to about ``BLOCK`` words."""
+    held: dict[str, Joined] = {}
+    for lang, *block in _each(batches):
+        held.setdefault(lang, Joined()).add(*block)
+        while sum(j.n for j in held.values()) > BLOCK:
+            most = max(held, key=lambda k: held[k].n)
+            yield held.pop(most).whole(most)
+    for lang, j in held.items():
+        yield j.whole(lang)
+
+
 def _known(x: np.ndarray, marks: np.ndarray, words: Bits | None) -> np.ndarray:
     if words is None:
         return x
@@ -305,19 +350,17 @@ def _sketched(batches: Iterator[pa.RecordBatch], words: Bits | None, known: Freq
         for a, e in zip(at, [*at[1:], len(part)], strict=True):
             yield pa.RecordBatch.from_arrays([pa.array([int(part[a])], pa.int64()), pa.array([pack((k[a:e] & np.uint64(0xFFFFFFFF)).astype(np.uint32), n[a:e])], pa.binary())], names=["part", "data"])
 
-    for b in batches:
-        for i in range(b.num_rows):
-            _, _, marks, x, skip = _read(b, i)
-            x = _known(x, marks, words)
-            length = len(known.tables) + 2
-            ok, h = known.passing(x, marks)
-            s = automaton(x, length, skip)
-            end, n = next((s.end[own], s.endpos[own]) for _, own in s.substrings(length, length))
-            new = ok[-1][end]
-            keys.append(known.mark(h[end[new]]))
-            counts.append(n[new])
-            if sum(map(len, keys)) > TOGETHER:
-                yield from out()
+    length = len(known.tables) + 2
+    for _, _, marks, x, counted in _together(batches) if words is None else _each(batches):
+        x = _known(x, marks, words)
+        ok, h = known.passing(x, marks)
+        s = automaton(x, length, counted)
+        end, n = next((s.end[own], s.endpos[own]) for _, own in s.substrings(length, length))
+        new = ok[-1][end]
+        keys.append(known.mark(h[end[new]]))
+        counts.append(n[new])
+        if sum(map(len, keys)) > TOGETHER:
+            yield from out()
     if keys:
         yield from out()
 
@@ -351,18 +394,16 @@ def _cut(batches: Iterator[pa.RecordBatch], words: Bits, known: Frequent) -> Ite
 
 
 def _exact(batches: Iterator[pa.RecordBatch], known: Frequent, longest: int) -> Iterator[pa.RecordBatch]:
-    """Phrases that may be frequent, of each block, with their counts there."""
-    for b in batches:
-        for i in range(b.num_rows):
-            lang, names, marks, x, skip = _read(b, i)
-            ok, _ = known.passing(x, marks)
-            s = automaton(x, longest, skip)
-            for n, own in s.substrings(2, longest):
-                own = own[ok[n - 1][s.end[own]]] if n <= len(ok) else own[:0]
-                for a in range(0, len(own), 1 << 16):
-                    part = own[a : a + (1 << 16)]
-                    said = pc.binary_join_element_wise(*(names.take(pa.array(x[s.end[part] - k] - 1)) for k in range(n - 1, -1, -1)), b" ")
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), said.cast(pa.binary()), pa.array(np.full(len(part), n, np.int32)), pa.array(s.endpos[part], pa.int64())], names=["lang", "phrase", "words", "n"])
+    """Phrases that may be frequent with their counts in some blocks."""
+    for lang, names, marks, x, counted in _together(batches):
+        ok, _ = known.passing(x, marks)
+        s = automaton(x, longest, counted)
+        for n, own in s.substrings(2, longest):
+            own = own[ok[n - 1][s.end[own]]] if n <= len(ok) else own[:0]
+            for a in range(0, len(own), 1 << 16):
+                part = own[a : a + (1 << 16)]
+                said = pc.binary_join_element_wise(*(names.take(pa.array(x[s.end[part] - k] - 1)) for k in range(n - 1, -1, -1)), b" ")
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), said.cast(pa.binary()), pa.array(np.full(len(part), n, np.int32)), pa.array(s.endpos[part], pa.int64())], names=["lang", "phrase", "words", "n"])
 
 
 def runs(x: np.ndarray, ok: np.ndarray, skip: int) -> tuple[np.ndarray, int]:

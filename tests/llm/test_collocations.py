@@ -88,7 +88,7 @@ def test_long_pieces_are_cut_without_loss(spark, monkeypatch):
     for b in found:
         x = np.frombuffer(co.zstandard.ZstdDecompressor().decompress(b.column("ids")[0].as_py()), np.int32)
         words = [None, *b.column("words")[0].as_py()]
-        s = automaton(x, 5, b.column("skip")[0].as_py())
+        s = automaton(x, 5, np.arange(len(x)) >= b.column("skip")[0].as_py())
         for n, own in s.substrings(1, 5):
             for k in own:
                 e = s.end[k]
@@ -123,7 +123,7 @@ def test_automaton_states_are_classes_of_ends():
         by = {}
         for w, e in ends.items():
             by.setdefault(tuple(e), []).append(w)
-        s = automaton(x, depth, skip)
+        s = automaton(x, depth, np.arange(len(x)) >= skip)
         word = lambda k, n: tuple(x[s.end[k] - n + 1 : s.end[k] + 1])
         seen = {tuple(ends[word(k, s.longest[k])]): k for k in range(len(s.end))}
         assert set(seen) == set(by) and len(s.end) == len(by)
@@ -170,3 +170,18 @@ def test_full_tables_change_nothing(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "text string, lang string")
     monkeypatch.setattr(co, "table_of", lambda marks, count: Bits(15, b"\xff" * 4096))
     assert got(collocations(docs, 4)) == brute(rows, 4, 5, 2000)
+
+
+def test_joined_blocks_count_as_one(monkeypatch):
+    def block(lang, words, marks, x, skip):
+        held = co.zstandard.ZstdCompressor().compress(np.array(x, np.int32).tobytes())
+        import pyarrow as pa
+
+        return pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([words], pa.list_(pa.binary())), pa.array([marks], pa.list_(pa.int64())), pa.array([held], pa.binary()), pa.array([skip], pa.int32())], names=["lang", "words", "marks", "ids", "skip"])
+
+    blocks = [block("en", [b"a", b"b"], [7, 8], [1, 2, 1], 1), block("de", [b"b"], [9], [1, 1], 0), block("en", [b"b", b"c"], [8, 5], [1, 2, 0, 1], 0)]
+    got = {lang: ([names[int(i) - 1].as_py() if i else None for i in x], marks[x].tolist(), counted.tolist()) for lang, names, marks, x, counted in co._together(iter(blocks))}
+    assert got["en"] == ([b"a", b"b", b"a", None, b"b", b"c", None, b"b", None], [7, 8, 7, 0, 8, 5, 0, 8, 0], [False, True, True, False, True, True, True, True, False])
+    assert got["de"][0] == [b"b", b"b", None]
+    monkeypatch.setattr(co, "BLOCK", 3)
+    assert [(g[0], len(g[3])) for g in co._together(iter(blocks))] == [("en", 4), ("en", 5), ("de", 3)]
