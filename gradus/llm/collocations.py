@@ -39,6 +39,8 @@ BLOCK, CUT = 1 << 20, 1 << 20
 FEW_BITS, MOST_BITS = 15, 27
 #: Phrases whose hashes a task packs together; log2 of the words for each range of hashes.
 TOGETHER, RANGE_BITS = 1 << 21, 21
+#: Phrases whose counts a task adds up before they move.
+HELD = 1 << 20
 SALTS = 64
 #: Totals of so many languages are broadcast at most.
 MOST_LANGUAGES = 4096
@@ -394,7 +396,21 @@ def _cut(batches: Iterator[pa.RecordBatch], words: Bits, known: Frequent) -> Ite
 
 
 def _exact(batches: Iterator[pa.RecordBatch], known: Frequent, longest: int) -> Iterator[pa.RecordBatch]:
-    """Phrases that may be frequent with their counts in some blocks."""
+    """Phrases that may be frequent with their counts, added up over the blocks of a task as far as they fit."""
+    held: list[pa.RecordBatch] = []
+    for batch in _found(batches, known, longest):
+        held.append(batch)
+        if sum(map(len, held)) > HELD:
+            held = pa.Table.from_batches(held).group_by(["lang", "phrase", "words"]).aggregate([("n", "sum")]).rename_columns(["lang", "phrase", "words", "n"]).combine_chunks().to_batches()
+            if sum(map(len, held)) > HELD // 2:
+                yield from held
+                held = []
+    if held:
+        yield from pa.Table.from_batches(held).group_by(["lang", "phrase", "words"]).aggregate([("n", "sum")]).rename_columns(["lang", "phrase", "words", "n"]).to_batches()
+
+
+def _found(batches: Iterator[pa.RecordBatch], known: Frequent, longest: int) -> Iterator[pa.RecordBatch]:
+    """Phrases that may be frequent with their counts in each block."""
     for lang, names, marks, x, counted in _together(batches):
         ok, _ = known.passing(x, marks)
         s = automaton(x, longest, counted)
