@@ -139,3 +139,15 @@ def options_unique() -> Column:
 
     have = F.filter(F.array(*(squeeze(x) for x in LETTERS)), lambda x: x != "")
     return F.size(F.array_distinct(have)) == F.size(have)
+
+
+def unpermuted(answer: Column | str, order: Column | str, category: Column | str) -> Column:
+    """Letters of options as shown to the letters of their original places; null if one is shown nowhere.
+
+    ``order`` has the 0-based original place of each option shown. Where a category's letters are a set, they are sorted again.
+    """
+    answer, order = (F.col(c) if isinstance(c, str) else c for c in (answer, order))
+    at = F.transform(F.filter(F.split(answer, ""), lambda x: x != ""), lambda x: F.get(order, F.call_function("instr", F.lit(LETTERS), x) - 1))
+    back = F.transform(at, lambda i: F.substring(F.lit(LETTERS), i + 1, F.lit(1)))
+    back = F.when(category_of(category) == "multi", F.array_sort(back)).otherwise(back)
+    return F.when(~F.exists(at, lambda i: i.isNull()), F.array_join(back, ""))

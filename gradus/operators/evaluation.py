@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.answers import category_of, category_rank, option_letters, with_assessment
+from ..functions.answers import category_of, category_rank, option_letters, unpermuted, with_assessment
 from ..functions.text import clean, is_blank
 
 MISSING = "<missing>"
@@ -129,3 +129,22 @@ def order_violations(records: DataFrame, block: int = 1 << 16) -> DataFrame:
 def in_taxonomy_order(rows: DataFrame, category: str = "category") -> DataFrame:
     """Rows of a report with the known categories in the order of the taxonomy, then the others by name."""
     return rows.orderBy(category_rank(category).asc_nulls_last(), category)
+
+
+def option_order_consistency(base: DataFrame, shown: DataFrame, orders: DataFrame) -> DataFrame:
+    """How far answers hold when options are shown in another order, for each category.
+
+    ``base`` and ``shown`` are assessed rows (`assessed`) of the same questions, ``shown`` answered over options in the order of
+    ``orders`` (qa_id, order: the 0-based original place of each option shown). Answers go back to original letters
+    by their place in the order, sorted again where order has no meaning; of questions that both runs answer
+    validly, ``same`` counts those with the same answer. ``moved`` are shown in another order at all.
+    """
+    back = shown.select("qa_id", F.col("given").alias("_shown")).join(orders, "qa_id")
+    rows = base.select("qa_id", "category", "given").join(back, "qa_id")
+    rows = rows.withColumn("_back", unpermuted("_shown", "order", "category")).withColumn("moved", F.col("order") != F.array_sort("order"))
+    both = F.col("given").isNotNull() & F.col("_back").isNotNull()
+    same = both & (F.col("given") == F.col("_back"))
+    return rows.groupBy("category").agg(
+        F.count("*").alias("questions"), F.count_if("moved").alias("moved"), F.count_if(both).alias("both_valid"), F.count_if(same).alias("same"), F.count_if(same & F.col("moved")).alias("same_moved"),
+        F.try_divide(F.count_if(same), F.count_if(both)).alias("consistency"),
+    )

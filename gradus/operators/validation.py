@@ -53,23 +53,6 @@ def schema_checks(spark: SparkSession, tables: dict[str, tuple[list[str], tuple[
     return spark.createDataFrame(rows, "code string, status string, observed string, expected string, detail string")
 
 
-def _ids(rows: DataFrame, label: str) -> DataFrame:
-    per = rows.groupBy(clean("qa_id").alias("id")).count()
-    twice = (F.col("id") != "") & (F.col("count") > 1)
-    row = per.agg(F.coalesce(F.sum(F.when(F.col("id") == "", F.col("count"))), F.lit(0)).alias("blank"), F.count_if(twice).alias("twice"))
-    row = row.crossJoin(first_values(per.where(twice), F.col("id"), "id", "ids"))
-    return checks(row, zero(f"{label}_nonempty_ids", "blank", f"{label} blank qa_id"), zero(f"{label}_unique_ids", "twice", f"{label} duplicate qa_id", "ids"))
-
-
-def _order(a: DataFrame, b: DataFrame, code: str, detail: str) -> DataFrame:
-    """Whether two tables (pos, qa_id) list the same ids in the same order, and the first row where not."""
-    both = a.select("pos", clean("qa_id").alias("x"), F.lit(1).alias("in_a")).join(b.select("pos", clean("qa_id").alias("y"), F.lit(1).alias("in_b")), "pos", "full_outer")
-    differ = ~F.col("x").eqNullSafe(F.col("y"))
-    row = both.agg(F.count_if(differ).alias("n"), F.min(F.when(differ & F.col("in_a").isNotNull() & F.col("in_b").isNotNull(), F.col("pos") + 1)).alias("first"))
-    seen = F.when(F.col("n") == 0, "exact").otherwise(F.concat(F.lit("first mismatch at data row "), F.coalesce(F.col("first").cast("string"), F.lit("None"))))
-    return checks(row, check(code, F.col("n") == 0, seen, F.lit("exact order"), F.lit(detail)))
-
-
 def judged(submission: DataFrame, tests: DataFrame) -> DataFrame:
     """Each submission row with its first test row's category and the error of its prediction, if any."""
     first = tests.withColumn("_id", clean("qa_id")).withColumn("_rn", F.row_number().over(W.partitionBy("_id").orderBy("pos"))).where("_rn = 1 and _id <> ''")
@@ -81,27 +64,60 @@ def judged(submission: DataFrame, tests: DataFrame) -> DataFrame:
     return rows.select("pos", F.col("_id").alias("qa_id"), "category", raw.alias("prediction"), error.alias("error"))
 
 
+def _first(rows: DataFrame, value: Column, order: str, n: int = 10) -> str:
+    """The values of the first ``n`` rows in order, for a message."""
+    return ", ".join(r["v"] for r in rows.select(F.col(order).alias("o"), value.alias("v")).orderBy("o", "v").limit(n).collect())
+
+
 def submission_report(tests: DataFrame, template: DataFrame, submission: DataFrame) -> DataFrame:
-    """All checks of a submission against its template and test questions (each with a 0-based ``pos``)."""
-    own = lambda d: [c for c in d.columns if c != "pos"]
-    parts = [schema_checks(tests.sparkSession, {"test_schema": (own(tests), QA_COLUMNS, "superset"), "template_columns": (own(template), SUBMISSION_COLUMNS, "ordered"), "submission_columns": (own(submission), SUBMISSION_COLUMNS, "ordered")})]
+    """All checks of a submission against its template and test questions (each with a 0-based ``pos``).
+
+    Evaluated when called: rows of questions, ids and positions of the three tables, and predictions are aggregated once
+    each; examples are looked up for the checks that failed alone.
+    """
+    spark = tests.sparkSession
+    columns = lambda d: [c for c in d.columns if c != "pos"]
+    found = [tuple(r) for r in schema_checks(spark, {"test_schema": (columns(tests), QA_COLUMNS, "superset"), "template_columns": (columns(template), SUBMISSION_COLUMNS, "ordered"), "submission_columns": (columns(submission), SUBMISSION_COLUMNS, "ordered")}).collect()]
+
+    def add(code: str, ok: bool, observed: object, expected: object, detail: str) -> None:
+        found.append((code, "PASS" if ok else "FAIL", str(observed), str(expected), detail))
+
+    def none(code: str, n: int, what: str, rows: DataFrame | None = None, value: Column | None = None, order: str = "", most: int = 10) -> None:
+        add(code, n == 0, n, 0, what if rows is None else f"{what}: {_first(rows, value, order, most) if n else ''}")
+
+    # questions
     rows = tests.select("pos", clean("qa_id").alias("id"), category_of("category").alias("kind"), option_layout_ok().alias("laid"), options_unique().alias("apart"))
-    row = rows.agg(F.array_sort(F.collect_set(F.when(~F.col("kind").isin(*CATEGORIES), F.substring("kind", 1, 40)))).alias("kinds"), F.count_if(~F.col("laid")).alias("layout"), F.count_if(~F.col("apart")).alias("twice"))
-    row = row.crossJoin(first_values(rows.where("not laid"), F.col("id"), "pos", "layout_ids")).crossJoin(first_values(rows.where("not apart"), F.col("id"), "pos", "twice_ids"))
-    parts.append(checks(row, check("test_categories", F.size("kinds") == 0, F.array_join("kinds", ","), F.lit("known taxonomy"), F.lit("test categories")), zero("test_option_layout", "layout", "option layout", "layout_ids"), zero("test_unique_options", "twice", "equal options", "twice_ids")))
-    parts += [_ids(d, n) for n, d in (("test", tests), ("template", template), ("submission", submission))]
-    parts.append(_order(template, tests, "template_matches_test_order", "template ids must follow the test questions"))
-    counts = submission.agg(F.count("*").alias("n")).crossJoin(template.agg(F.count("*").alias("m")))
-    parts.append(checks(counts, check("submission_row_count", F.col("n") == F.col("m"), F.col("n"), F.col("m"), F.lit("one row per template row"))))
-    a, b = (d.select(clean("qa_id").alias("id")).distinct() for d in (template, submission))
-    gone = a.join(b, "id", "left_anti").agg(F.count("*").alias("missing"))
-    new = b.join(a, "id", "left_anti").agg(F.count("*").alias("unexpected"))
-    parts.append(checks(gone.crossJoin(new), check("submission_id_set", (F.col("missing") == 0) & (F.col("unexpected") == 0), F.concat_ws(",", F.col("missing").cast("string"), F.col("unexpected").cast("string")), F.lit("0,0"), F.lit("missing, unexpected ids"))))
-    parts.append(_order(submission, template, "submission_id_order", "ids must follow the template"))
-    own = judged(submission, tests).where("error is not null")
-    bad = own.agg(F.count("*").alias("bad")).crossJoin(first_values(own, F.concat_ws(":", "qa_id", "error"), "pos", "bad_ids", 5))
-    parts.append(checks(bad, zero("prediction_format", "bad", "predictions must be canonical", "bad_ids")))
-    return reduce(DataFrame.unionByName, parts)
+    seen = rows.agg(F.array_sort(F.collect_set(F.when(~F.col("kind").isin(*CATEGORIES), F.substring("kind", 1, 40)))).alias("kinds"), F.count_if(~F.col("laid")).alias("layout"), F.count_if(~F.col("apart")).alias("twice")).first()
+    add("test_categories", not seen["kinds"], ",".join(seen["kinds"]), "known taxonomy", "test categories")
+    none("test_option_layout", seen["layout"], "option layout", rows.where("not laid"), F.col("id"), "pos")
+    none("test_unique_options", seen["twice"], "equal options", rows.where("not apart"), F.col("id"), "pos")
+
+    # ids and positions of all three tables
+    names = ("test", "template", "submission")
+    every = reduce(DataFrame.unionByName, (d.select("pos", clean("qa_id").alias("id"), F.lit(n).alias("t")) for n, d in zip(names, (tests, template, submission), strict=True)))
+    per = every.groupBy("id").agg(*(F.count_if(F.col("t") == n).alias(n) for n in names))
+    known = F.col("id") != ""
+    ids = per.agg(
+        *(F.sum(F.col(n)).alias(f"{n}_rows") for n in names), *(F.sum(F.when(~known, F.col(n)).otherwise(0)).alias(f"{n}_blank") for n in names), *(F.count_if(known & (F.col(n) > 1)).alias(f"{n}_twice") for n in names),
+        F.count_if((F.col("template") > 0) & (F.col("submission") == 0)).alias("missing"), F.count_if((F.col("template") == 0) & (F.col("submission") > 0)).alias("unexpected"),
+    ).first()
+    ids = {k: v or 0 for k, v in ids.asDict().items()}
+    for n in names:
+        none(f"{n}_nonempty_ids", ids[f"{n}_blank"], f"{n} blank qa_id")
+        none(f"{n}_unique_ids", ids[f"{n}_twice"], f"{n} duplicate qa_id", per.where(known & (F.col(n) > 1)), F.col("id"), "id")
+    places = every.groupBy("pos").agg(*(F.max(F.when(F.col("t") == n, F.col("id"))).alias(n) for n in names))
+    pairs = {"template_matches_test_order": ("template", "test", "template ids must follow the test questions"), "submission_id_order": ("submission", "template", "ids must follow the template")}
+    differ = lambda x, y: ~F.col(x).eqNullSafe(F.col(y))
+    order = places.agg(*(c for code, (x, y, _) in pairs.items() for c in (F.count_if(differ(x, y)).alias(code), F.min(F.when(F.col(x) != F.col(y), F.col("pos") + 1)).alias(f"{code}_first")))).first()
+    for code, (_, _, what) in pairs.items():
+        add(code, order[code] == 0, "exact" if order[code] == 0 else f"first mismatch at data row {order[f'{code}_first']}", "exact order", what)
+    add("submission_row_count", ids["submission_rows"] == ids["template_rows"], ids["submission_rows"], ids["template_rows"], "one row per template row")
+    add("submission_id_set", not (ids["missing"] or ids["unexpected"]), f"{ids['missing']},{ids['unexpected']}", "0,0", "missing, unexpected ids")
+
+    # predictions
+    wrong = judged(submission, tests).where("error is not null").select("pos", "qa_id", "error")
+    none("prediction_format", wrong.count(), "predictions must be canonical", wrong, F.concat_ws(":", "qa_id", "error"), "pos", 5)
+    return spark.createDataFrame(found, "code string, status string, observed string, expected string, detail string")
 
 
 def submission_counts(submission: DataFrame, tests: DataFrame) -> DataFrame:
@@ -110,6 +126,12 @@ def submission_counts(submission: DataFrame, tests: DataFrame) -> DataFrame:
     return rows.groupBy("category").agg(F.count("*").alias("n"), F.count_if(F.col("error").isNotNull()).alias("invalid"), (F.count("*") - F.count_if(F.col("error").isNotNull())).alias("canonical"))
 
 
+def submission_totals(submission: DataFrame, tests: DataFrame) -> DataFrame:
+    """One row: rows of a submission, canonical ones, and invalid ones: all others, unknown ids among them."""
+    ok = F.col("error").isNull()
+    return judged(submission, tests).agg(F.count("*").alias("rows"), F.count_if(ok).alias("canonical"), F.count_if(~ok).alias("invalid"), F.count_if(F.col("error") == "unknown id").alias("unknown"))
+
+
 def verdict(report: DataFrame) -> DataFrame:
     """One row: PASS only if every check passed, and the codes that did not."""
     failed = F.col("status") != "PASS"

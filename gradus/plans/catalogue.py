@@ -87,6 +87,20 @@ def improvement_gate(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.improves(_assessed(spark, d), _assessed(spark, d, 5))
 
 
+_BACK = "CASE WHEN n = 4 THEN CASE r WHEN 0 THEN g WHEN 1 THEN translate(g, 'ABCD', 'BCDA') WHEN 2 THEN translate(g, 'ABCD', 'CDAB') ELSE translate(g, 'ABCD', 'DABC') END ELSE CASE r WHEN 0 THEN g WHEN 1 THEN translate(g, 'ABC', 'BCA') ELSE translate(g, 'ABC', 'CAB') END END"
+
+
+@query("option_order_consistency", f"""
+WITH s AS (SELECT qa_id, kind, given AS g, CASE WHEN k % 7 = 0 THEN 3 ELSE 4 END AS n, k % CASE WHEN k % 7 = 0 THEN 3 ELSE 4 END AS r FROM ({J5})),
+b AS (SELECT qa_id, kind, r <> 0 AS moved, CASE WHEN kind = 'multi' THEN array_to_string(list_sort(string_split({_BACK}, '')), '') ELSE {_BACK} END AS back FROM s),
+x AS (SELECT b.kind AS category, moved, given IS NOT NULL AND back IS NOT NULL AS two, coalesce(given = back, false) AS same FROM b JOIN ({J}) j USING (qa_id))
+SELECT category, count(*) AS questions, count(*) FILTER (moved) AS moved, count(*) FILTER (two) AS both_valid, count(*) FILTER (same) AS same, count(*) FILTER (same AND moved) AS same_moved, count(*) FILTER (same) / nullif(count(*) FILTER (two), 0) AS consistency FROM x GROUP BY category""")
+def option_order_consistency(spark: SparkSession, d: str) -> DataFrame:
+    n = F.when(F.col("k") % 7 == 0, 3).otherwise(4)
+    order = F.transform(F.sequence(F.lit(0), n - 1), lambda i: ((i + F.col("k") % n) % n).cast("int"))
+    return evaluation.option_order_consistency(_assessed(spark, d), _assessed(spark, d, 5), qa(spark, d).select("qa_id", order.alias("order")))
+
+
 @query("id_alignment", """
 WITH a AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 4 <> 0), b AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 3 <> 0)
 SELECT side, count(*) AS n FROM (SELECT CASE WHEN b.k IS NULL THEN 'missing' ELSE 'unexpected' END AS side FROM a FULL JOIN b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL) GROUP BY side""")
@@ -548,6 +562,14 @@ def submission_counts(spark: SparkSession, d: str) -> DataFrame:
     return validation.submission_counts(submission, tests)
 
 
+@query("submission_totals", _SUBMITTED + """
+SELECT count(*) AS rows, count(*) FILTER (NOT bad_) AS canonical, count(*) FILTER (bad_) AS invalid, count(*) FILTER (category IS NULL) AS unknown
+FROM (SELECT *, category IS NULL OR category = 'odd' OR bad IS NOT NULL OR given IS NULL OR given <> prediction AS bad_ FROM j)""")
+def submission_totals(spark: SparkSession, d: str) -> DataFrame:
+    tests, submission = _submitted(spark, d)
+    return validation.submission_totals(submission, tests)
+
+
 def _submitted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Questions with blank and repeated ids, unknown categories and equal options; a submission with missing and unknown ids."""
     k = F.col("k")
@@ -628,9 +650,7 @@ def cached_input_report(spark: SparkSession, d: str) -> DataFrame:
     return report.where(~F.col("code").isin(*left)).select("code", "status", "observed")
 
 
-@query("fold_report", f"""
-WITH q AS (SELECT *, k % 5 AS f FROM ({QA_SQL})), j AS (SELECT * FROM q WHERE k % 83 <> 6)
-""" + _check_sql({
+_FOLD_RULES = {
     **_zero_sql("(SELECT 1 WHERE false)", {"unique_qa_ids": "true", "unique_fold_ids": "true", "unique_pilot_ids": "true"}),
     **_zero_sql("q", {"fold_ids": "k % 83 = 6"}), "pilot_ids": ("1", "false"),
     **_zero_sql("j", {
@@ -640,7 +660,12 @@ WITH q AS (SELECT *, k % 5 AS f FROM ({QA_SQL})), j AS (SELECT * FROM q WHERE k
     **_zero_sql("(SELECT s FROM (SELECT CASE WHEN k % 41 = 4 THEN '' ELSE 'u' || clip % 50 END AS s, CASE WHEN k % 37 = 3 THEN 7 ELSE f END AS f FROM j) GROUP BY s HAVING count(DISTINCT f) > 1)", {"leaks_subject_id": "true"}),
     **_zero_sql("(SELECT c FROM (SELECT CASE WHEN k % 47 = 7 THEN 'train:other' ELSE 'train:' || path END AS c, CASE WHEN k % 37 = 3 THEN 7 ELSE f END AS f FROM j) GROUP BY c HAVING count(DISTINCT f) > 1)", {"leaks_clip_key": "true"}),
     **_zero_sql("j", {"pilot_fold": "k % 101 = 10 AND (k % 37 = 3 OR f <> 4)"}),
-}))
+}
+
+
+@query("fold_report", f"""
+WITH q AS (SELECT *, k % 5 AS f FROM ({QA_SQL})), j AS (SELECT * FROM q WHERE k % 83 <> 6)
+""" + _check_sql(_FOLD_RULES))
 def fold_report(spark: SparkSession, d: str) -> DataFrame:
     return suites.fold_report(*_folds(spark, d)).select("code", "status", "observed")
 
@@ -658,6 +683,22 @@ def _folds(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
     return rows, folds, pilot
 
 
+@query("training_report", f"""
+WITH q AS (SELECT *, k % 5 AS f FROM ({QA_SQL})), j AS (SELECT * FROM q WHERE k % 83 <> 6), own AS (SELECT *, k % 97 = 15 OR k % 101 = 16 OR k % 103 = 17 AS bad FROM q WHERE k % 29 <> 1 AND k % 83 <> 2), joined AS (SELECT * FROM own WHERE k % 43 <> 3 AND k % 83 <> 6)
+""" + _check_sql({
+    **_FOLD_RULES, **_zero_sql("own", _CLIP_RULES),
+    **_zero_sql("(SELECT path FROM own GROUP BY path HAVING count(*) > 1)", {"cache_clips": "true"}), **_zero_sql("(SELECT 1 WHERE false)", {"cache_links": "true"}),
+    **_zero_sql("own", {"cache_questions": "k % 43 = 3 OR k % 83 = 6"}), **_zero_sql("joined", {"cache_clip": "k % 47 = 7", "cache_source": "k % 31 = 5"}),
+    **_zero_sql("(SELECT 8 FROM own WHERE k % 89 = 8 HAVING count(*) > 1)", {"frames_of_one_clip": "true"}), **_zero_sql("(SELECT k, bad FROM own UNION ALL SELECT k, bad FROM own WHERE k % 89 <> 8)", {"images": "bad"}),
+}))
+def training_report(spark: SparkSession, d: str) -> DataFrame:
+    rows, folds, pilot = _folds(spark, d)
+    _, frames, sidecars, images = _own_clips(spark, d)
+    # the image that many clips share is a good one
+    shared = images.limit(0).union(spark.createDataFrame([("c8/a", 448, 448, 3, True)], images.schema))
+    return suites.training_report(rows, folds, pilot, frames, sidecars, images.where("path <> 'c8/a'").union(shared), _FIXED, n=2).select("code", "status", "observed")
+
+
 @query("training_coverage", f"""
 WITH r AS (SELECT *, CASE WHEN k % 37 = 3 THEN NULL WHEN fold < 3 THEN 'train' WHEN fold = 3 THEN 'dev' ELSE 'confirm' END AS split, k % 29 <> 1 AND k % 43 <> 3 AND k % 83 <> 2 AS there FROM ({QA_SQL}) WHERE k % 83 <> 6 AND k % 101 <> 10)
 SELECT split, count(*) AS expected, count(*) FILTER (there) AS available, count(*) FILTER (NOT there) AS missing, CASE WHEN count(*) FILTER (NOT there) = 0 THEN 'PASS' ELSE 'INCOMPLETE' END AS status FROM r WHERE split IS NOT NULL GROUP BY split""")
@@ -729,3 +770,16 @@ def incomplete_layers(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
     name = F.concat(F.when(F.col("p_size") % 4 == 0, "visual.").otherwise(""), F.lit("layers."), F.col("p_size"), F.lit(".attn."), F.when(k % 2 == 0, "q_proj").otherwise("v_proj"))
     return paths.incomplete_layers(table(spark, d, "part").where(k % 5 == 1).select(name.alias("name"))).withColumn("missing", F.array_join("missing", ","))
+
+
+@query("attention_targets", """
+WITH m AS (SELECT p_partkey // 2 AS layer, CASE WHEN p_partkey % 2 = 0 THEN 'q_proj' ELSE 'v_proj' END AS part FROM part WHERE p_partkey % 7 <> 3 AND (p_partkey // 2) % 5 <> 0)
+SELECT 'model.layers.' || layer || '.attn' AS layer, CASE WHEN max(part) = 'q_proj' THEN 'v_proj' ELSE 'q_proj' END AS missing FROM m GROUP BY m.layer HAVING count(*) = 1""")
+def attention_targets(spark: SparkSession, d: str) -> DataFrame:
+    """Half of some layers' projections is missing at every scale; other parts of the model do not count."""
+    k = F.col("p_partkey")
+    layer = F.floor(k / 2)
+    name = F.concat(F.when(layer % 5 == 0, "visual.").otherwise("model."), F.lit("layers."), layer, F.lit(".attn."), F.when(k % 2 == 0, "q_proj").otherwise("v_proj"))
+    other = F.concat(F.lit("model.layers."), layer, F.lit(".mlp.up_proj"))
+    rows = table(spark, d, "part")
+    return paths.incomplete_layers(rows.where(k % 7 != 3).select(name.alias("name")).union(rows.select(other.alias("name")))).withColumn("missing", F.array_join("missing", ","))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.paths import safe_relative
+from .csv_records import records
 
 _BAD = "_corrupt"
 #: Fields of a checkpoint record, without its own hash.
@@ -25,12 +26,21 @@ class SourceError(ValueError):
     """A file that breaks its format."""
 
 
-def header(spark: SparkSession, path: str) -> list[str]:
-    """Column names of a CSV file, without byte order mark; unique and not empty, or an error."""
-    line = spark.read.text(path).first()
-    names = [] if line is None else spark.createDataFrame([(line[0].lstrip("﻿"),)], "v string").select(F.from_csv("v", ", ".join(f"c{i} string" for i in range(line[0].count(",") + 1)))).first()[0]
-    names = [n or "" for n in names]
-    while names and names[-1] == "" and len(names) > 1 and not line[0].endswith(","):
+def cells(c: str, schema: str | T.StructType) -> Column:
+    """The cells of a record as a struct; its last field tells a record of another width."""
+    return F.from_csv(F.col(c), schema if isinstance(schema, str) else schema.simpleString()[7:-1], {"escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD, "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "maxCharsPerColumn": "-1"})
+
+
+def header(found: DataFrame, path: str) -> list[str]:
+    """Column names of CSV records, without byte order mark; the same in all files, unique and not empty, or an error."""
+    heads = found.where("row = 0").select("text").distinct().limit(2).collect()
+    if len(heads) != 1:
+        raise SourceError(f"{path}: {'files differ in their header' if heads else 'no header'}")
+    text = heads[0][0].lstrip("\ufeff")
+    spark = found.sparkSession
+    got = spark.createDataFrame([(text,)], "v string").select(cells("v", ", ".join(f"c{i} string" for i in range(text.count(",") + 1)))).first()[0]
+    names = [n or "" for n in got]
+    while names and names[-1] == "" and len(names) > 1 and not text.endswith(","):
         names.pop()
     if not names or "" in names or len(set(names)) != len(names):
         raise SourceError(f"{path}: header must be unique and not empty: {names}")
@@ -38,23 +48,23 @@ def header(spark: SparkSession, path: str) -> list[str]:
 
 
 def read_csv(spark: SparkSession, path: str, columns: tuple[str, ...] | None = None, strict: bool = True, mode: str = "superset") -> DataFrame:
-    """All columns as strings, empty cells as empty strings, with ``pos`` (0-based row number).
+    """All columns as strings, empty cells as empty strings, with ``pos`` (0-based row number, over the files in the order of their names).
 
-    Strict files have at least one row and no ragged rows. ``columns`` are compared by ``mode``:
-    ``ordered``, ``set`` or ``superset``.
+    Strict files have at least one row and no ragged rows, and close their quotes. ``columns`` are compared by
+    ``mode``: ``ordered``, ``set`` or ``superset``. Files are read in as many tasks as Spark splits them into.
     """
-    names = header(spark, path)
+    found = records(spark, path)
+    names = header(found, path)
     if columns is not None and not {"ordered": tuple(names) == tuple(columns), "set": set(names) == set(columns), "superset": set(columns) <= set(names)}[mode]:
         raise SourceError(f"{path}: columns {names} are not {mode} {list(columns)}")
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField(_BAD, T.StringType())])
-    rows = spark.read.csv(path, header=True, schema=schema, multiLine=True, escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord=_BAD, enforceSchema=True, encoding="UTF-8")
-    # a multi-line file is one task, so this number is its order
-    rows = rows.withColumn("pos", F.monotonically_increasing_id())
+    inner = ", ".join([*(f"c{i} string" for i in range(len(names))), f"{_BAD} string"])
+    rows = found.where("pos >= 0").select("pos", "text", cells("text", inner).alias("_c"))
     if strict:
-        seen = rows.agg(F.count("*").alias("n"), F.count(_BAD).alias("bad"), F.max(F.length(F.col(f"`{names[0]}`")))).first()
+        open_ = F.pmod(F.length("text") - F.length(F.replace("text", F.lit('"'), F.lit(""))), F.lit(2)) == 1
+        seen = rows.agg(F.count("*").alias("n"), F.count_if(F.col(f"_c.{_BAD}").isNotNull() | open_).alias("bad")).first()
         if seen["n"] == 0 or seen["bad"]:
             raise SourceError(f"{path}: {seen['n']} rows, {seen['bad']} ragged")
-    return rows.select("pos", *(F.coalesce(F.col(f"`{n}`"), F.lit("")).alias(n) for n in names))
+    return rows.select("pos", *(F.coalesce(F.col(f"_c.c{i}"), F.lit("")).alias(n) for i, n in enumerate(names)))
 
 
 def try_csv(spark: SparkSession, path: str, columns: tuple[str, ...]) -> tuple[DataFrame, str | None]:
@@ -133,7 +143,7 @@ def read_images(spark: SparkSession, root: str) -> DataFrame:
 
 
 def discover_runs(spark: SparkSession, root: str) -> DataFrame:
-    """Run summaries at any depth below a folder (the folder itself left out) with their relative id and contract."""
+    """Run summaries at any depth below a folder (the folder itself left out) with their relative id and contract, in the order of ids."""
     top = root.split("://")[-1].rstrip("/")
     run = F.regexp_extract(F.col("_metadata.file_path"), f"{top}/(.+)/[^/]*$", 1)
     read = lambda name, schema: spark.read.json(root, schema=schema, multiLine=True, recursiveFileLookup=True, pathGlobFilter=name, mode="PERMISSIVE").withColumn("run_id", run)
@@ -143,7 +153,7 @@ def discover_runs(spark: SparkSession, root: str) -> DataFrame:
         "run_id", "status", "signature", F.coalesce("contract.engine", F.lit("transformers")).alias("engine"), F.coalesce("contract.dataset", F.lit("?")).alias("dataset"),
         F.coalesce("contract.engine_options", F.create_map().cast("map<string,string>")).alias("engine_options"), F.coalesce(F.size("target_ids"), F.lit(0)).alias("targets"), F.coalesce("resumed_valid", F.lit(0)).alias("resumed"),
         "counts.*", F.col("elapsed_seconds").alias("elapsed_s"), F.col("backend.backend").alias("backend"), F.col("backend.load_seconds").alias("load_s"), F.col("latency.batch.throughput_rps").alias("throughput_rps"),
-    )
+    ).orderBy("run_id")
 
 
 def preferred_predictions(exported: DataFrame, checkpoint: DataFrame) -> DataFrame:

@@ -133,3 +133,26 @@ def test_submission_faults(spark, rows, failed):
     assert validation.verdict(report).first()["failed"] == failed
     with pytest.raises(ValueError, match=failed[0]):
         validation.required(report)
+
+
+def test_invalid_counts_unknown_ids(spark):
+    tests, _, sent = _tables(spark, [*GOOD[:3], ("q4", "E"), ("q9", "A"), ("", "B")])
+    r = validation.submission_totals(sent, tests).first()
+    assert (r["rows"], r["canonical"], r["invalid"], r["unknown"]) == (6, 3, 3, 2)
+
+
+def test_submission_examples_of_failed_checks(spark):
+    tests, template, sent = _tables(spark, [("q1", "A"), ("q1", "A"), ("q3", "ABDC"), ("q7", "D")])
+    rows = {r["code"]: r for r in validation.submission_report(tests, template, sent).collect()}
+    assert rows["submission_unique_ids"]["detail"].endswith(": q1") and rows["submission_id_set"]["observed"] == "2,1"
+    assert rows["submission_id_order"]["observed"] == "first mismatch at data row 2" and rows["prediction_format"]["detail"].endswith("q7:unknown id")
+
+
+def test_option_order(spark):
+    rows = spark.createDataFrame([("q1", "multi", "AC"), ("q2", "sequence", "ABDC"), ("q3", "single", None), ("q4", "single", "B"), ("q5", "single", "C")], "qa_id string, category string, given string")
+    shown = spark.createDataFrame([("q1", "multi", "BD"), ("q2", "sequence", "DABC"), ("q3", "single", "A"), ("q4", "single", "A"), ("q5", "single", "D")], "qa_id string, category string, given string")
+    orders = spark.createDataFrame([("q1", [3, 0, 1, 2]), ("q2", [1, 3, 2, 0]), ("q3", [0, 1, 2, 3]), ("q4", [0, 1, 2]), ("q5", [2, 1, 0])], "qa_id string, order array<int>")
+    got = {r["category"]: r for r in evaluation.option_order_consistency(rows, shown, orders).collect()}
+    # B, D as shown are A, C; D, A, B, C as shown are A, B, D, C; D is shown nowhere among three
+    assert (got["multi"]["same"], got["multi"]["consistency"], got["sequence"]["same_moved"]) == (1, 1.0, 1)
+    assert (got["single"]["questions"], got["single"]["both_valid"], got["single"]["same"], got["single"]["moved"]) == (3, 1, 0, 1)
