@@ -2,7 +2,7 @@
 
 A worklist holds layers: the text itself, then what percent escapes, Unicode and hexadecimal
 escapes, base64 runs and compressed bytes in it unwrap to. Each layer is scanned, and unwrapped
-again until nothing new appears; a digest of every layer seen stops cycles. A find in a layer is
+again, depth first, until nothing new appears; a digest of every layer seen stops cycles. A find in a layer is
 mapped to the span of the original text that the layer came from: character by character where
 escapes were unwrapped in place, the whole encoded run for base64 and compressed bytes. Runs may be
 broken over lines, and may begin anywhere in a stretch of their alphabet: every alignment is tried.
@@ -15,8 +15,8 @@ import hashlib
 import re
 import urllib.parse
 import zlib
-from collections import deque
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,8 +37,11 @@ _LINE = re.compile(r"[^\s=]+=*")
 #: Text inside other bytes; shorter stretches hold no find. Where compressed bytes may begin.
 _STRETCH = re.compile("[^\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\ufffd]{14,}")
 _MAGIC = re.compile(rb"\x1f\x8b\x08|\x28\xb5\x2f\xfd|\x78[\x01\x5e\x9c\xda]")
-#: Compressed bytes are unwrapped piece by piece; pieces of this size overlap by ``OVERLAP``.
-PIECE, OVERLAP = 1 << 22, 1 << 12
+#: Compressed bytes are unwrapped piece by piece; pieces of this size overlap by ``OVERLAP``. Compressions that directly hold one another.
+PIECE, OVERLAP, DEEP = 1 << 22, 1 << 12, 200
+#: Bytes that encoded runs consist of, line breaks and escapes with them; a gap inside a line ends a run.
+_GOES_ON = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=%\\&#;{}\x20\t\r\n"
+_GAP = re.compile(rb"[^\s][\x20\t]+(?=[^\s])")
 
 Span = tuple[str, int, int]
 
@@ -142,69 +145,112 @@ def _packed(raw: bytes) -> bool:
     return raw[:2] == b"\x1f\x8b" or raw[:4] == b"\x28\xb5\x2f\xfd" or (raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] * 256 + raw[1]) % 31 == 0)
 
 
-def _members(raw: bytes) -> Iterator[bytes]:
-    """What all members and frames from the start of ``raw`` hold, in parts of bounded size; what follows them is left."""
-    while _packed(raw):
-        if raw[0] == 0x28:
+def _members(left: bytes, more: Iterator[bytes]) -> Iterator[bytes]:
+    """What all members and frames from the start of some bytes hold, in parts of bounded size; what follows them is left."""
+    while True:
+        while len(left) < 4 and (new := next(more, None)) is not None:
+            left += new
+        if not _packed(left):
+            return
+        if left[0] == 0x28:
             import zstandard
 
             way, at = zstandard.ZstdDecompressor().decompressobj(), 0
             try:
-                while at < len(raw) and not way.eof:  # few bytes at a time, as they may hold much
-                    yield way.decompress(raw[at : at + 128])
+                while not way.eof:  # few bytes at a time, as they may hold much
+                    if at >= len(left):
+                        left, at = next(more, b""), 0
+                        if not left:
+                            return
+                    out = way.decompress(left[at : at + 128])
                     at += 128
+                    if out:
+                        yield out
             except zstandard.ZstdError:
                 return
-            raw = way.unused_data + raw[at:] if way.eof else b""
+            left = way.unused_data + left[at:]
         else:
-            way, left = zlib.decompressobj(wbits=47), raw
+            way = zlib.decompressobj(wbits=47)
             try:
                 while not way.eof:
                     out = way.decompress(left, PIECE)
                     left = way.unconsumed_tail
-                    if not out and not left and not way.eof:
-                        break
-                    yield out
+                    if out:
+                        yield out
+                    elif not left and not way.eof and not (left := next(more, b"")):
+                        return
             except zlib.error:
                 return
-            raw = way.unused_data
-
-
-def _inflated(raw: bytes) -> Iterator[bytes]:
-    """Pieces of what gzip, zlib or zstandard bytes hold, overlapping so that no find is cut; all of it."""
-    held, new = bytearray(), False
-    for part in _members(raw):
+            left = way.unused_data
+
+
+def _unpacked(raw: bytes) -> Iterator[bytes] | None:
+    """Parts of what compressed bytes hold, through all compressions that directly hold one another; null if they are none."""
+    parts, depth = iter([raw]), 0
+    while True:
+        head = next((p for p in parts if p), b"")
+        while len(head) < 4 and (new := next(parts, None)) is not None:
+            head += new
+        if depth < DEEP and _packed(head):
+            inner = _members(head, parts)
+            first = next((p for p in inner if p), None)
+            if first is not None:
+                parts, depth = chain([first], inner), depth + 1
+                continue
+            if depth:  # it only looked so; its parts are gone but for the head
+                return iter([head])
+        return chain([head], parts) if depth else None
+
+
+def _open(held: bytearray) -> int:
+    """Bytes at the end that may belong to an encoded run that goes on."""
+    tail = held[len(held.rstrip(_GOES_ON)) :]
+    last = None
+    for last in _GAP.finditer(tail):
+        pass
+    return len(tail) - (last.end() - 1 if last else 0)
+
+
+def _pieces(parts: Iterator[bytes]) -> Iterator[bytes]:
+    """Parts put together to pieces that no find and no encoded run is cut by: a run that is open at the end of a piece is carried over whole."""
+    held, done, looked = bytearray(), 0, 0  # the first ``done`` bytes were in the piece before
+    for part in parts:
         held += part
-        new = new or bool(part)
-        if len(held) >= PIECE:
-            yield bytes(held)
-            del held[:-OVERLAP]
-            new = False
-    if new:
+        if len(held) >= max(PIECE, 2 * looked):
+            end = len(held) - _open(held)
+            looked = len(held) - end  # a long run is looked at again when it is twice as long
+            if end > max(done, OVERLAP):
+                yield bytes(held[:end])
+                keep = max(0, end - OVERLAP)
+                del held[:keep]
+                done = end - keep
+    if len(held) > done:
         yield bytes(held)
 
 
 def _texts(raw: bytes) -> Iterator[str]:
     """What decoded bytes say as text: themselves, or what they unpack to."""
-    found = False
-    for piece in _inflated(raw):
-        found = True
-        yield piece.decode("utf-8", "replace")
-    if not found:
-        try:
-            text = raw.decode("utf-8")
-        except UnicodeDecodeError:
-            return
-        if text and sum(c.isprintable() or c in "\t\n\r" for c in text) >= 0.9 * len(text):
-            yield text
+    parts = _unpacked(raw)
+    if parts is not None:
+        for piece in _pieces(parts):
+            yield piece.decode("utf-8", "replace")
+        return
+    try:
+        text = raw.decode("utf-8")
+    except UnicodeDecodeError:
+        return
+    if text and sum(c.isprintable() or c in "\t\n\r" for c in text) >= 0.9 * len(text):
+        yield text
 
 
 def _inner(raw: bytes) -> Iterator[str]:
     """Text and compressed bytes that begin somewhere in decoded bytes."""
-    yield from _STRETCH.findall(raw.decode("utf-8", "replace"))
+    for m in _STRETCH.finditer(raw.decode("utf-8", "replace")):
+        yield m[0]
     for m in _MAGIC.finditer(raw):
-        for piece in _inflated(raw[m.start() :]):
-            yield from _STRETCH.findall(piece.decode("utf-8", "replace"))
+        for piece in _pieces(_unpacked(raw[m.start() :]) or iter(())):
+            for x in _STRETCH.finditer(piece.decode("utf-8", "replace")):
+                yield x[0]
 
 
 def _base64(run: str) -> bytes:
@@ -242,8 +288,10 @@ def _runs(layer: Layer) -> Iterator[Layer]:
                 for skip in range(kind):
                     part = run[skip:]
                     raw = _base64(part) if kind == 4 else bytes.fromhex(part[: len(part) // 2 * 2])
-                    found = list(_texts(raw)) if not skip else []
-                    for text in found or _inner(raw):
+                    texts = _texts(raw) if not skip else iter(())
+                    first = next(texts, None)
+                    found = first is not None
+                    for text in chain([first], texts) if found else _inner(raw):
                         yield Layer(text, [(0, *layer.original(a, b), False)])
                     if found:
                         break
@@ -251,24 +299,31 @@ def _runs(layer: Layer) -> Iterator[Layer]:
                     break  # the whole run is one
 
 
+def _unwrapped(layer: Layer) -> Iterator[Layer]:
+    yield from _escapes(layer)
+    yield from _runs(layer)
+
+
 def scan(text: str | None) -> tuple[list[Span], list[Span], int]:
     """(base finds, all finds over every layer, number of layers) of a text."""
     text = text or ""
     own = base(text)
-    every, layers = set(own), 0
-    work, seen = deque([Layer(text, [(0, 0, len(text), True)])]), {hashlib.sha256(text.encode("utf-8", "replace")).digest()}
-    while work:
-        layer = work.popleft()
-        layers += 1
-        if layers > 1:
-            every.update((k, *layer.original(a, b)) for k, a, b in base(layer.text))
-        for step in (_escapes, _runs):
-            for new in step(layer):
-                # a layer is known by its text and the place it came from
-                key = hashlib.sha256(f"{new.marks[0][1:3]}{len(new.marks)}\0{new.text}".encode("utf-8", "replace")).digest()
-                if key not in seen:
-                    seen.add(key)
-                    work.append(new)
+    every = set(own)
+    seen = {hashlib.sha256(text.encode("utf-8", "replace")).digest()}
+    work = [_unwrapped(Layer(text, [(0, 0, len(text), True)]))]
+    layers = 1
+    while work:  # depth first: a layer is scanned when it is unwrapped, and gone before the next one beside it is
+        new = next(work[-1], None)
+        if new is None:
+            work.pop()
+            continue
+        # a layer is known by its text and the place it came from
+        key = hashlib.sha256(f"{new.marks[0][1:3]}{len(new.marks)}\0{new.text}".encode("utf-8", "replace")).digest()
+        if key not in seen:
+            seen.add(key)
+            layers += 1
+            every.update((k, *new.original(a, b)) for k, a, b in base(new.text))
+            work.append(_unwrapped(new))
     return own, ordered(every), layers
 
 

@@ -2,8 +2,11 @@ import base64
 import gzip
 import hashlib
 import math
+import os
 import random
 import re
+import subprocess
+import sys
 import urllib.parse
 import zlib
 from collections import Counter
@@ -336,6 +339,45 @@ def test_finds_across_pieces_and_glued(monkeypatch):
         assert any(k == "assign" for k, _, _ in secrets.scan(glue + base64.b64encode(SECRET.encode()).decode())[1]), glue
 
 
+@pytest.mark.parametrize("at", [1000, (1 << 22) - 20_000, (1 << 22) - 300, (1 << 22) + 100, 2 * (1 << 22) - 9000])
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, zstandard.ZstdCompressor().compress])
+def test_nested_layers_across_the_cut(pack, at):
+    """A long run that holds compressed bytes with one secret, wherever the unpacked bytes around it are cut."""
+    r = random.Random(at)
+    noise = "".join(r.choices("abcdefghij ", k=50_000))
+    inner = base64.b64encode(pack((noise + " " + SECRET + " " + noise).encode())).decode()
+    assert len(inner) > 30_000
+    text = "ab " * (at // 3) + inner + " yz" * 2_000_000
+    packed = base64.b64encode(pack(text.encode())).decode()
+    own, every, layers = secrets.scan(f"see {packed} there")
+    assert [s for s in every if s[0] == "assign"] == [("assign", 4, 4 + len(packed))] and layers >= 3
+
+
+def test_compressions_that_hold_one_another():
+    data = SECRET.encode()
+    for k in range(60):
+        data = (gzip.compress, zlib.compress, zstandard.ZstdCompressor().compress)[k % 3](data)
+    packed = base64.b64encode(data).decode()
+    assert any(s[0] == "assign" for s in secrets.scan(packed)[1])
+    # what only looks compressed is text
+    assert any(s[0] == "assign" for s in secrets.scan(base64.b64encode(zlib.compress(b"x^ " + SECRET.encode())).decode())[1])
+
+
+def test_unpacked_bytes_are_not_held(tmp_path):
+    """What unpacks to 128 MB needs at most 64 MB more than what unpacks to 32 MB."""
+    used = {}
+    for n in (32, 128):
+        with gzip.open(tmp_path / f"{n}.gz", "wb", 1) as f:
+            for _ in range(n):
+                f.write(b"a line of words, and then some more of it.\n" * ((1 << 20) // 43))
+            f.write(b" " + SECRET.encode())
+        (tmp_path / f"{n}.txt").write_bytes(base64.b64encode((tmp_path / f"{n}.gz").read_bytes()))
+        code = f"import resource; from gradus.llm import secrets; got = secrets.scan(open({str(tmp_path / f'{n}.txt')!r}).read())[1]; assert any(s[0] == 'assign' for s in got); print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)"
+        root = os.path.dirname(os.path.dirname(secrets.__file__)).rsplit("/", 1)[0]
+        used[n] = int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, env={**os.environ, "PYTHONPATH": root}).stdout)
+    assert used[128] - used[32] <= 64
+
+
 def test_neighbours(spark):
     v = spark.read.parquet(f"{DATA}/embeddings.parquet")
     odd = spark.createDataFrame([(10_000, None), (10_020, [0.0] * 64), (10_040, [float("nan")] * 64), (10_060, [None] + [1.0] * 63), (None, [1.0] * 64)], "vec_id long, embedding array<float>")
