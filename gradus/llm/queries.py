@@ -95,7 +95,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP8_SQL = r"""
 WITH n AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-         coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, ''))) || ':' || coalesce(source, '') AS name
+         coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, ''))) || ':' || coalesce(source, '') AS name, md5(coalesce(text, '')) AS digest
   FROM documents
 ), p AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS s,
@@ -111,14 +111,14 @@ WITH n AS (
   SELECT source, s, least(3.0::DOUBLE * s, coalesce(w * final, 3.0::DOUBLE * s)) AS target FROM l CROSS JOIN f
 ), r AS (
   SELECT n.doc_id, n.size, t.s AS source_size, t.target,
-         CASE WHEN n.size > 0 THEN t.target / t.s ELSE 0.0::DOUBLE END AS rate,
-         CAST('0x' || substr(md5('gradus-mix:' || n.name), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS draw
+         CASE WHEN t.s > 0 THEN t.target / t.s ELSE 0.0::DOUBLE END AS rate,
+         CAST(row_number() OVER (PARTITION BY n.source ORDER BY n.size, md5('gradus-mix:' || n.name), n.digest) AS DOUBLE) AS place,
+         CAST('0x' || substr(md5('gradus-mix:' || coalesce(n.source, '')), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS u
   FROM n JOIN t ON n.source IS NOT DISTINCT FROM t.source
+), c AS (
+  SELECT *, CAST(floor(rate) + floor((rate - floor(rate)) * place + u) - floor((rate - floor(rate)) * (place - 1) + u) AS BIGINT) AS copies FROM r
 )
-SELECT doc_id, size, source_size, target,
-       CAST(size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken,
-       CAST(floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) AS copies
-FROM r
+SELECT doc_id, size, source_size, target, size * copies AS taken, copies FROM c
 """
 
 

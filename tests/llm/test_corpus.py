@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gradus.llm import lm_contexts, lm_tokens, mixing_lm, queries, secrets
-from gradus.llm.mixing import mixed, mixture, targets
+from gradus.llm.mixing import dealt, marked, mixed, mixture, targets
 from gradus.llm.mixing_lm import language_model_scores
 from gradus.llm.neighbours import Index, neighbours
 from gradus.llm.sharding import shards
@@ -93,9 +93,40 @@ def test_mixture(spark, edge, nothing):
     assert len(rows) == edge.count() and all(r["taken"] == r["size"] * r["copies"] <= 3 * r["size"] for r in rows)
     assert sorted(map(str, rows)) == sorted(map(str, mixture(edge.repartition(3)).collect()))
     assert mixture(nothing).count() == 0 and mixed(edge).columns == edge.columns
-    n = {r["doc_id"]: r["copies"] for r in rows}
-    out = Counter(r["doc_id"] for r in mixed(edge).collect())
-    assert out == Counter({i: c * sum(r["doc_id"] == i for r in rows) for i, c in n.items() if c})
+    n = Counter()
+    for r in rows:
+        n[r["doc_id"]] += r["copies"]
+    assert Counter(r["doc_id"] for r in mixed(edge).collect()) == +n
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_sources_come_near_their_targets(spark, sf):
+    """What a source takes differs from its target by its largest document at most."""
+    docs = spark.read.parquet(f"{DATA.replace('0.001', sf)}/documents.parquet")
+    named = docs.select(F.col("doc_id").alias("_id"), "source")
+    per = mixture(docs).join(named, F.col("doc_id") == F.col("_id")).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max("size").alias("most"), F.max("source_size").alias("size")).collect()
+    for r in per:
+        assert abs(r["taken"] - r["target"]) <= r["most"] + 1e-6 or r["target"] == 3.0 * r["size"] == r["taken"]
+
+
+def test_strata_of_bounded_length(spark):
+    """With strata of a few documents: near the target, the same on other partitions, each draw as likely as its fraction."""
+    r = random.Random(8)
+    rows = [(i, " ".join("w" * r.choice([1, 2, 5, 40])), "hot" if i % 3 else None) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {}
+    for seed in ("a", "b", "c", "d"):
+        own = marked(docs.repartition(3), seed)
+        rates = targets(own.select("source", "size"))
+        out = dealt(own, rates, seed, 16).select("doc_id", "source", "size", "target", "copies").collect()
+        again = dealt(marked(docs, seed), rates, seed, 16).select("doc_id", "source", "size", "target", "copies").collect()
+        assert sorted(map(str, out)) == sorted(map(str, again)) and len(out) == 900
+        for s in ("hot", None):
+            assert abs(sum(x["size"] * x["copies"] for x in out if x["source"] == s) - next(x["target"] for x in out if x["source"] == s)) <= 40 * 5
+        for x in out:
+            got.setdefault(x["source"], []).append(x["copies"])
+    for x in got.values():
+        assert max(x) - min(x) <= 1
 
 
 def test_mixture_against_sql(spark):
