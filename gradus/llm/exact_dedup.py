@@ -1,14 +1,15 @@
 """Exact dedup by a tree merge of sorted digest runs (DataFrame functions only).
 
-Rows are dealt by the input partition they come from: each is a run, sorted by digest and reduced to one
-row per digest with the identifier that stays. Runs then meet in binomial rounds: in round k every
-run exchanges with the partners whose numbers differ from its own in digit k alone, and keeps of
-all of them the digests that have that digit; each partition merges the sorted parts that it gets,
-digest by digest, and retains the verified best identifier (most code points, then smallest doc_id,
-then first row) and the number of rows. After one round for each digit a run holds all of its
-digests and no other, and the runs together are the whole; at no level does a partition hold more than
-its share, nor a text. A digest has one row in each run at most, so a group of copies that holds a
-third of all rows costs no more than any other.
+Digests are written once; their files are read by as many tasks as there are shuffle partitions at most, and
+each of them is a run in a partition of its own, sorted by digest and reduced to one row per digest with the identifier
+that stays. Runs then meet in binomial rounds: in round k every run exchanges with the partners whose
+numbers differ from its own in digit k alone, and keeps of all of them the digests that have that digit;
+each partition sorts the runs that it gets into one, digest by digest, and retains the verified best identifier
+(most code points, then smallest doc_id, then first row) and the number of rows. After one round for
+each digit a run holds all of its digests and no other, and the runs together are the whole; at no level does a
+partition hold more than its share, nor a text. A digest has one row in each run at most, so a group of
+copies that holds a third of all rows costs no more than any other. A run has blocks for ``fan_in`` partners, so
+blocks grow with the runs, not with their square, and runs do not grow with the input's files.
 
 "Verified" means that a group's identity is SHA-256 of the normalised text together with
 its length and an independent 64-bit hash: rows fall into one group only if all three agree.
@@ -26,13 +27,12 @@ _KEY = ["text_sha256", "n_norm", "check"]
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """One row per document: row_id, run, doc_id, n_points and the digest columns."""
+    """One row per document: row_id, doc_id, n_points and the digest columns; row ids hold for the table that this is written to."""
     normal = F.regexp_replace(text_of(), f"[{SPACE}]+", "")
     return (
         docs.select("doc_id", normal.alias("_n"), F.length(text_of()).alias("n_points"))
         .select(
             F.monotonically_increasing_id().alias("row_id"),
-            F.spark_partition_id().alias("run"),
             "doc_id",
             "n_points",
             F.sha2(F.col("_n").cast("binary"), 256).alias("text_sha256"),
@@ -43,13 +43,14 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def tree_merge(rows: DataFrame, n_runs: int, fan_in: int = FAN_IN) -> DataFrame:
-    """Winner and size of each digest: sorted runs, merged in rounds of exchanges of ``fan_in`` partners at most."""
+    """Winner and size of each digest: sorted runs, ``n_runs`` at most, merged in rounds of exchanges of ``fan_in`` partners at most."""
     rounds = 0
     while fan_in**rounds < n_runs:
         rounds += 1
     digits = next(d for d in range(1, fan_in + 1) if d**rounds >= n_runs)  # as few as make room for all runs
     best = F.struct((-F.col("n_points")).alias("short"), F.col("doc_id").isNull().alias("none"), "doc_id", "row_id")
-    level = _merged(rows.withColumn("best", best).withColumn("rows", F.lit(1)), max(1, n_runs))
+    runs = rows.coalesce(n_runs).withColumns({"run": F.spark_partition_id(), "best": best, "rows": F.lit(1)})
+    level = _merged(runs, digits**rounds)
     for k in range(rounds):
         step = digits**k
         own, other = F.expr(f"cast(run div {step} % {digits} as int)"), F.expr(f"cast(pmod(check, {step * digits}L) div {step} as int)")
@@ -58,8 +59,8 @@ def tree_merge(rows: DataFrame, n_runs: int, fan_in: int = FAN_IN) -> DataFrame:
 
 
 def _merged(runs: DataFrame, n: int) -> DataFrame:
-    """Runs dealt to partitions by their number and sorted there; one row for each digest of a run."""
-    level = runs.repartition(n, "run").sortWithinPartitions("run", *_KEY)
+    """Each run in the partition of its number, sorted; one row for each digest of it."""
+    level = runs.repartitionById(n, "run").sortWithinPartitions("run", *_KEY)
     return level.groupBy("run", *_KEY).agg(F.min("best").alias("best"), F.sum("rows").alias("rows"))
 
 
@@ -74,9 +75,9 @@ def exact_dedup(docs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
     Runs its jobs when called; the result is a table in the shared folder.
     """
     with Scratch(docs.sparkSession) as scratch:
-        rows = scratch.kept(digests(docs))
-        last, total = rows.agg(F.max("run"), F.count("*")).first()
-        winners = scratch.kept(tree_merge(rows, (last or 0) + 1, fan_in))
+        rows = scratch.stored(digests(docs), "digests")
+        total = rows.count()
+        winners = scratch.kept(tree_merge(rows, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), fan_in))
         out = by_size(rows, winners, _KEY, "group_size", total)
         out = out.select("doc_id", "keep_id", "group_size", (F.col("row_id") == F.col("keep_row")).alias("kept"), "text_sha256")
         return scratch.stored(out, "exact", stays=True)

@@ -1,15 +1,17 @@
 import os
 import random
 import re
+import time
 from collections import Counter
 
 import duckdb
 import numpy as np
+from pyspark.sql import functions as F
 
 from gradus.llm import queries
 from gradus.llm.common import Scratch
 from gradus.llm.components import components
-from gradus.llm.exact_dedup import exact_dedup, keep_one
+from gradus.llm.exact_dedup import digests, exact_dedup, keep_one, tree_merge
 from gradus.llm.near_dedup import NearDedup, band_keys, keep_representatives, minhash, most_xor, near_dedup, odd_sketch
 
 from ..conftest import DATA, plan
@@ -44,6 +46,29 @@ def test_exact_against_sql(spark):
     assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
 
 
+def test_runs_have_partitions_of_their_own_and_few_blocks(spark):
+    docs = spark.createDataFrame([(i, f"text {i % 700}") for i in range(2000)], "doc_id long, text string").repartition(60)
+    rows = digests(docs)
+    level = tree_merge(rows, 20, 5)
+    text = plan(level)
+    assert text.count("shufflepartitionidpassthrough") == 3 and "Exchange hashpartitioning" not in text and "25)" in text
+    assert level.count() == 700 and level.agg({"group_size": "sum"}).first()[0] == 2000
+    spread = level.withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()
+    assert len(spread) == 25  # digests that have a run's digits, in that run's partition
+
+
+def test_many_input_partitions_cost_about_as_few_do(spark):
+    docs = spark.createDataFrame([(i, f"text {i % 700}") for i in range(2000)], "doc_id long, text string")
+    took = {}
+    for n in (4, 300, 4, 300):
+        own = docs.repartition(n)
+        began = time.perf_counter()
+        assert exact_dedup(own).where("kept").count() == 700
+        took[n] = time.perf_counter() - began
+    # writing the digests is one task for each of the input's partitions
+    assert took[300] < 2 * took[4] + 5
+
+
 def test_keep_one(spark):
     docs = spark.createDataFrame([(1, "a b", 0), (2, "ab", 1), (3, "c", 2)], "doc_id long, text string, kept int")
     assert {tuple(r) for r in keep_one(docs).collect()} == {(1, "a b", 0), (3, "c", 2)}
