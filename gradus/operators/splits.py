@@ -98,3 +98,50 @@ def merged_caches(first: DataFrame, second: DataFrame, key: str = "sample_id") -
     value = F.struct(*sorted(first.columns))
     conflicts = both.groupBy(key).agg(F.count_distinct(F.sha2(F.to_json(value, {"ignoreNullFields": "false"}), 256)).alias("kinds")).where("kinds > 1").select(key)
     return both.dropDuplicates([key]), conflicts
+
+
+def action_coverage(rows: DataFrame, n_folds: int = 5) -> DataFrame:
+    """For each action of ``rows`` (action, subject_id, fold): subjects, folds that have it, the most that could, and the missing ones.
+
+    A subject is in one fold, so an action is in no more folds than it has subjects.
+    """
+    every = F.sequence(F.lit(0), F.lit(n_folds - 1))
+    per = rows.where("action is not null").groupBy("action").agg(F.count_distinct("subject_id").alias("subjects"), F.array_sort(F.collect_set(F.col("fold").cast("int"))).alias("present"))
+    return per.select("action", "subjects", F.size("present").alias("folds"), F.least("subjects", F.lit(n_folds)).cast("int").alias("bound"), "present", F.array_except(every, "present").alias("missing"))
+
+
+def fold_gates(rows: DataFrame, sources: tuple[str, ...], categories: tuple[str, ...], n_folds: int = 5) -> DataFrame:
+    """The eleven gates of a fold design over questions (qa_id, subject_id, clip_key, fold, source, category, action).
+
+    ``fold`` is null for a question that has none, ``action`` for a clip without one. Evaluated when called, in a grouping each
+    of questions, subjects, clips, folds and actions.
+    """
+    folds = F.count_distinct("fold").alias("f")
+    qa = rows.groupBy("qa_id").agg(F.count("fold").alias("f")).agg(F.count("*").alias("n"), F.coalesce(F.sum("f"), F.lit(0)).alias("given"), F.count_if(F.col("f") == 1).alias("once")).first()
+    subjects, clips = (
+        rows.groupBy(c).agg(folds, F.count("*").alias("q")).agg(F.count("*").alias("n"), F.coalesce(F.sum("f"), F.lit(0)).alias("given"), F.count_if(F.col("f") == 1).alias("once"), F.coalesce(F.sum(F.when(F.col("f") > 1, F.col("q"))), F.lit(0)).alias("crossing")).first()
+        for c in ("subject_id", "clip_key")
+    )
+    known = F.col("source").isin(*sources), F.col("category").isin(*categories)
+    per = rows.where("fold is not null").groupBy(F.col("fold").cast("int").alias("fold")).agg(F.count_distinct("subject_id").alias("subjects"), F.count_distinct(F.when(known[0], F.col("source"))).alias("sources"), F.count_distinct(F.when(known[1], F.col("category"))).alias("categories"))
+    per = sorted(per.limit(4 * n_folds).collect())
+    actions = action_coverage(rows, n_folds)
+    only = {r["fold"]: r["count"] for r in actions.where("folds = 1").groupBy(F.col("present")[0].alias("fold")).count().limit(4 * n_folds).collect()}
+    total, short = actions.agg(F.count("*"), F.count_if(F.col("folds") < F.col("bound"))).first()
+    kept = [total - only.get(k, 0) for k in range(n_folds)]
+    sizes = [r["subjects"] for r in per]
+    listed = lambda x: ",".join(map(str, x))
+    found = [
+        ("subjects_assigned_once", subjects["given"] == subjects["n"] == subjects["once"], subjects["given"], subjects["n"]),
+        ("fold_ids", [r["fold"] for r in per] == list(range(n_folds)), listed(r["fold"] for r in per), listed(range(n_folds))),
+        ("clips_assigned_once", clips["given"] == clips["n"] == clips["once"], clips["given"], clips["n"]),
+        ("questions_assigned_once", qa["given"] == qa["n"] == qa["once"], qa["given"], qa["n"]),
+        ("subjects_in_one_fold", subjects["once"] == subjects["n"], subjects["once"], subjects["n"]),
+        ("clip_questions_together", clips["crossing"] == 0, clips["crossing"], 0),
+        ("training_keeps_actions", all(k == total for k in kept), listed(kept), total),
+        ("action_coverage_at_bound", short == 0, short, 0),
+        ("subject_balance", bool(sizes) and max(sizes) - min(sizes) <= 1, listed(sizes), "difference <= 1"),
+        ("sources_in_every_fold", all(r["sources"] == len(sources) for r in per), listed(r["sources"] for r in per), len(sources)),
+        ("categories_in_every_fold", all(r["categories"] == len(categories) for r in per), listed(r["categories"] for r in per), len(categories)),
+    ]
+    return rows.sparkSession.createDataFrame([(c, "PASS" if ok else "FAIL", str(seen), str(want)) for c, ok, seen, want in found], "code string, status string, observed string, expected string")

@@ -41,6 +41,17 @@ def _round(df: DataFrame, **places: int) -> DataFrame:
     return df.withColumns({c: F.round(c, n) for c, n in places.items()})
 
 
+def _check_sql(rules: dict[str, tuple[str, str]]) -> str:
+    """A report's rows from (observed, passed) expressions over one-row queries."""
+    return "\nUNION ALL ".join(f"SELECT '{code}' AS code, CASE WHEN {ok} THEN 'PASS' ELSE 'FAIL' END AS status, CAST({seen} AS VARCHAR) AS observed" for code, (seen, ok) in rules.items())
+
+
+def _zero_sql(source: str, rules: dict[str, str]) -> dict[str, tuple[str, str]]:
+    """Rules that count the rows of ``source`` for which a condition holds, and pass at 0."""
+    found = {code: f"(SELECT count(*) FROM {source} WHERE {bad})" for code, bad in rules.items()}
+    return {code: (n, f"{n} = 0") for code, n in found.items()}
+
+
 # ---------------------------------------------------------------- evaluation
 
 
@@ -272,6 +283,43 @@ def missing_actions(spark: SparkSession, d: str) -> DataFrame:
     return splits.missing_actions(rows)
 
 
+_DESIGN = f"""
+WITH r AS (SELECT qa_id, 'u' || clip % 18 AS subject_id, path AS clip_key, CASE WHEN k % 89 = 4 THEN NULL WHEN k % 97 = 3 THEN (clip % 18 + 1) % 5 ELSE clip % 18 % 5 END AS fold,
+  CASE WHEN k % 2 = 0 THEN 'HARn' ELSE 'HAU' END AS source, lower(category) AS category, CASE WHEN k % 2 = 0 THEN 'a' || (k % 44) END AS action FROM ({QA_SQL})),
+s AS (SELECT subject_id, count(DISTINCT fold) AS f FROM r GROUP BY 1), c AS (SELECT clip_key, count(DISTINCT fold) AS f, count(*) AS q FROM r GROUP BY 1), g AS (SELECT qa_id, count(fold) AS f FROM r GROUP BY 1),
+d AS (SELECT fold, count(DISTINCT subject_id) AS subjects, count(DISTINCT source) AS sources, count(DISTINCT category) AS categories FROM r WHERE fold IS NOT NULL GROUP BY 1),
+a AS (SELECT action, count(DISTINCT subject_id) AS subjects, count(DISTINCT fold) AS folds, min(fold) AS first FROM r WHERE action IS NOT NULL GROUP BY 1),
+k AS (SELECT f.range AS fold, (SELECT count(*) FROM a) - (SELECT count(*) FROM a WHERE folds = 1 AND first = f.range) AS kept FROM range(5) f)
+"""
+
+
+@query("fold_gates", _DESIGN + _check_sql({
+    "subjects_assigned_once": ("(SELECT CAST(sum(f) AS BIGINT) FROM s)", "(SELECT bool_and(f = 1) FROM s)"), "fold_ids": ("(SELECT string_agg(fold, ',' ORDER BY fold) FROM d)", "(SELECT count(*) FROM d) = 5"),
+    "clips_assigned_once": ("(SELECT CAST(sum(f) AS BIGINT) FROM c)", "(SELECT bool_and(f = 1) FROM c)"), "questions_assigned_once": ("(SELECT CAST(sum(f) AS BIGINT) FROM g)", "(SELECT bool_and(f = 1) FROM g)"),
+    "subjects_in_one_fold": ("(SELECT count(*) FROM s WHERE f = 1)", "(SELECT bool_and(f = 1) FROM s)"), "clip_questions_together": ("(SELECT CAST(coalesce(sum(q), 0) AS BIGINT) FROM c WHERE f > 1)", "(SELECT count(*) FROM c WHERE f > 1) = 0"),
+    "training_keeps_actions": ("(SELECT string_agg(kept, ',' ORDER BY fold) FROM k)", "(SELECT bool_and(kept = (SELECT count(*) FROM a)) FROM k)"), "action_coverage_at_bound": ("(SELECT count(*) FROM a WHERE folds < least(subjects, 5))", "(SELECT count(*) FROM a WHERE folds < least(subjects, 5)) = 0"),
+    "subject_balance": ("(SELECT string_agg(subjects, ',' ORDER BY fold) FROM d)", "(SELECT max(subjects) - min(subjects) <= 1 FROM d)"),
+    "sources_in_every_fold": ("(SELECT string_agg(sources, ',' ORDER BY fold) FROM d)", "(SELECT bool_and(sources = 2) FROM d)"), "categories_in_every_fold": ("(SELECT string_agg(categories, ',' ORDER BY fold) FROM d)", "(SELECT bool_and(categories = 6) FROM d)"),
+}))
+def fold_gates(spark: SparkSession, d: str) -> DataFrame:
+    return splits.fold_gates(_design(spark, d), ("HAU", "HARn"), answers.CATEGORIES).select("code", "status", "observed")
+
+
+@query("action_coverage", _DESIGN + "SELECT action, subjects, folds, least(subjects, 5) AS bound, 5 - folds AS missing FROM a")
+def action_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return splits.action_coverage(_design(spark, d)).select("action", "subjects", "folds", "bound", F.size("missing").alias("missing"))
+
+
+def _design(spark: SparkSession, d: str) -> DataFrame:
+    """Questions with folds by subject; some have another fold than their subject, some none."""
+    k, subject = F.col("k"), F.col("clip") % 18
+    fold = F.when(k % 89 == 4, None).when(k % 97 == 3, (subject + 1) % 5).otherwise(subject % 5)
+    return qa(spark, d).select(
+        "qa_id", F.concat(F.lit("u"), subject).alias("subject_id"), F.col("path").alias("clip_key"), fold.alias("fold"), F.when(k % 2 == 0, "HARn").otherwise("HAU").alias("source"),
+        F.lower("category").alias("category"), F.when(k % 2 == 0, F.concat(F.lit("a"), k % 44)).alias("action"),
+    )
+
+
 @query("smoke_slice", "SELECT event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS rn FROM events) WHERE rn <= 16")
 def smoke_slice(spark: SparkSession, d: str) -> DataFrame:
     return splits.first_of_each(table(spark, d, "events"), "event_type", "event_id").select("event_type", "event_id")
@@ -479,17 +527,6 @@ def file_report(spark: SparkSession, d: str) -> DataFrame:
     return validation.file_report(manifest, rows.where("p_partkey % 5 <> 0").select("path", "bytes", "sha256")).groupBy("problem").agg(F.count("*").alias("n"))
 
 
-def _check_sql(rules: dict[str, tuple[str, str]]) -> str:
-    """A report's rows from (observed, passed) expressions over one-row queries."""
-    return "\nUNION ALL ".join(f"SELECT '{code}' AS code, CASE WHEN {ok} THEN 'PASS' ELSE 'FAIL' END AS status, CAST({seen} AS VARCHAR) AS observed" for code, (seen, ok) in rules.items())
-
-
-def _zero_sql(source: str, rules: dict[str, str]) -> dict[str, tuple[str, str]]:
-    """Rules that count the rows of ``source`` for which a condition holds, and pass at 0."""
-    found = {code: f"(SELECT count(*) FROM {source} WHERE {bad})" for code, bad in rules.items()}
-    return {code: (n, f"{n} = 0") for code, n in found.items()}
-
-
 _ENTRIES = """
 WITH e AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 101 = 1 THEN '../' || p_partkey WHEN p_partkey % 113 = 5 THEN 'm/A' || p_partkey // 226 WHEN p_partkey = 7 THEN 'manifest.json' ELSE 'm/' || p_partkey END AS name,
   CAST(p_size AS BIGINT) * CASE WHEN p_partkey % 211 = 8 THEN 1000000 ELSE 1 END AS size, CAST(p_size AS BIGINT) AS packed FROM part),

@@ -156,3 +156,21 @@ def test_option_order(spark):
     # B, D as shown are A, C; D, A, B, C as shown are A, B, D, C; D is shown nowhere among three
     assert (got["multi"]["same"], got["multi"]["consistency"], got["sequence"]["same_moved"]) == (1, 1.0, 1)
     assert (got["single"]["questions"], got["single"]["both_valid"], got["single"]["same"], got["single"]["moved"]) == (3, 1, 0, 1)
+
+
+def test_fold_gates(spark):
+    kinds = ("single", "multi")
+    good = [(f"q{u}{c}{k}", f"u{u}", f"c{u}{c}", u % 2, s, k, f"a{c}") for u in range(4) for c, s in enumerate(("HAU", "HARn")) for k in kinds]
+    schema = "qa_id string, subject_id string, clip_key string, fold int, source string, category string, action string"
+    gates = lambda rows: {r["code"]: (r["status"], r["observed"]) for r in splits.fold_gates(spark.createDataFrame(rows, schema), ("HAU", "HARn"), kinds, 2).collect()}
+    got = gates(good)
+    assert len(got) == 11 and {s for s, _ in got.values()} == {"PASS"} and got["training_keeps_actions"][1] == "2,2"
+    # one question of a clip in the other fold; an action of one subject alone; a fold that is no fold
+    bad = gates([(*r[:3], 1 - r[3], *r[4:]) if r[0] == "q00single" else r for r in good])
+    assert {c for c, (s, _) in bad.items() if s == "FAIL"} == {"subjects_assigned_once", "clips_assigned_once", "subjects_in_one_fold", "clip_questions_together"}
+    lone = gates([*good, ("q9", "u0", "c00", 0, "HAU", "multi", "rare")])
+    assert lone["training_keeps_actions"] == ("FAIL", "2,3") and lone["action_coverage_at_bound"] == ("PASS", "0")
+    apart = gates([(*r[:6], "both") if r[1] in ("u0", "u2") else r for r in good])
+    assert apart["action_coverage_at_bound"] == ("FAIL", "3")
+    assert gates([*good, ("q9", "u9", "c9", 7, "HAU", "multi", None)])["fold_ids"] == ("FAIL", "0,1,7")
+    assert gates([*good, ("q9", "u9", "c9", None, "HAU", "multi", None)])["questions_assigned_once"][0] == "FAIL"

@@ -39,14 +39,6 @@ def test_settings():
     assert len(settings.training_errors({**good, "caches": [], "splits": {}}, "small_v1")) == 2
 
 
-def test_engine_options():
-    assert settings.engine_options("transformers") == {}
-    assert settings.engine_options("vllm", data_parallel=2, max_seqs=16, batch_size=32)["data_parallel_size"] == 2
-    for bad in ({"tensor_parallel": 2, "data_parallel": 2}, {"max_seqs": 16, "batch_size": 17}, {"batch_size": 0}):
-        with pytest.raises(SourceError):
-            settings.engine_options("vllm", **bad)
-
-
 def test_lenient_csv(spark, tmp_path):
     rows, why = files.try_csv(spark, f"{tmp_path}/none.csv", ("qa_id", "prediction"))
     assert rows.columns == ["pos", "qa_id", "prediction"] and rows.count() == 0 and "missing" in why
