@@ -25,6 +25,8 @@ SHARED = ("sample_id", "clip_key", "source", "split", "status", "modality", "con
 TIMELINES = ("normalized_positions", "target_timestamps_seconds", "actual_timestamps_seconds")
 # The protocol of the cache, the version of the folds, the folds of each split.
 FRAMES, IMAGE_SIZE, RESIZE = 8, 448, "letterbox"
+#: Files of an adapter (fixed values).
+ADAPTER_FILES = ("adapter_config.json", "adapter_model.safetensors")
 FOLD_VERSION, N_FOLDS, PILOT_FOLD = "subject_grouped_v1", 5, 4
 
 
@@ -154,3 +156,34 @@ def training_coverage(qa: DataFrame, folds: DataFrame, pilot: DataFrame, frames:
     """Expected, available and missing questions of each split, and PASS or INCOMPLETE."""
     rows = prepared(qa, folds, pilot, frames)
     return splits.coverage(rows, rows.where("frames is not null"), "qa_id")
+
+
+def receipt_report(receipts: DataFrame, configs: DataFrame, files: DataFrame, base: dict[str, str]) -> DataFrame:
+    """Checks of adapters' receipts against the base model (model_id, revision, receipt_sha256), their configs and the files that are there.
+
+    ``receipts`` have root, schema_version, purpose, base_model_id, base_revision, base_receipt_sha256, lora (r, alpha, dropout),
+    target_modules and files (path, bytes, sha256); ``configs`` have root and the adapter's own settings; ``files`` root, path, bytes, sha256.
+    """
+    listed = receipts.select("root", F.inline("files")).join(files.select("root", "path", F.col("bytes").alias("_bytes"), F.col("sha256").alias("_sha")), ["root", "path"], "left")
+    same = F.coalesce((F.col("bytes") == F.col("_bytes")) & (F.col("sha256") == F.col("_sha")), F.lit(False))
+    disk = listed.groupBy("root").agg(F.count_if(~same).alias("_differ"))
+    own = configs.select(F.col("root").alias("_root"), F.struct(*configs.columns).alias("c"))
+    rows = receipts.join(own, F.col("root") == F.col("_root"), "left").join(disk, "root", "left")
+    suffix = lambda x: F.regexp_extract(x, r"([^.]*)$", 1)
+    saved, wanted = F.array_sort("c.target_modules"), F.array_sort("target_modules")
+    short = F.forall("c.target_modules", lambda x: F.array_contains(F.transform("target_modules", suffix), x)) & (F.size("c.target_modules") > 0)
+    rules = {
+        "receipt_schema": F.col("schema_version") == 1,
+        "receipt_purpose": F.col("purpose").isin("sft", "smoke"),
+        "base_model": F.col("base_model_id") == base["model_id"],
+        "base_revision": F.col("base_revision") == base["revision"],
+        "base_receipt": F.col("base_receipt_sha256") == base["receipt_sha256"],
+        "file_set": F.array_sort(F.transform("files", lambda f: f["path"])) == F.array(*map(F.lit, sorted(ADAPTER_FILES))),
+        "files": F.col("_differ") == 0,
+        "adapter_type": (F.col("c.peft_type") == "LORA") & (F.col("c.task_type") == "CAUSAL_LM") & (F.coalesce("c.bias", F.lit("none")) == "none"),
+        "other_modules": F.col("_root").isNotNull() & (F.coalesce(F.size("c.modules_to_save"), F.lit(0)) <= 0) & ~F.coalesce("c.use_dora", F.lit(False)),
+        "target_modules": (saved == wanted) | short,
+        "adapter_sizes": (F.col("c.r") == F.col("lora.r")) & (F.col("c.lora_alpha") == F.col("lora.alpha")) & (F.col("c.lora_dropout") == F.col("lora.dropout")),
+        "config_base": (F.col("c.base_model_name_or_path") == base["model_id"]) & (F.col("c.revision") == base["revision"]),
+    }
+    return _counted(rows, rules, "adapters").union(_none(receipts.groupBy("root").count().where("count > 1"), "receipts", "adapters with several receipts"))

@@ -736,6 +736,71 @@ def training_report(spark: SparkSession, d: str) -> DataFrame:
     return suites.training_report(rows, folds, pilot, frames, sidecars, images.where("path <> 'c8/a'").union(shared), _FIXED, n=2).select("code", "status", "observed")
 
 
+@query("receipt_report", _check_sql({
+    **_zero_sql("part", {
+        "receipt_schema": "p_partkey % 31 = 1", "receipt_purpose": "p_partkey % 37 = 2", "base_model": "p_partkey % 41 = 3", "base_revision": "p_partkey % 43 = 4", "base_receipt": "p_partkey % 47 = 5 OR p_partkey % 53 = 6",
+        "file_set": "p_partkey % 59 = 7", "files": "p_partkey % 61 = 8 OR p_partkey % 67 = 9 OR p_partkey % 59 = 7", "adapter_type": "p_partkey % 71 = 10 OR p_partkey % 73 = 11", "other_modules": "p_partkey % 71 = 10 OR p_partkey % 79 = 12",
+        "target_modules": "p_partkey % 71 = 10 OR p_partkey % 83 = 13", "adapter_sizes": "p_partkey % 71 = 10 OR p_partkey % 89 = 14", "config_base": "p_partkey % 71 = 10 OR p_partkey % 97 = 15",
+    }), **_zero_sql("(SELECT 1 WHERE false)", {"receipts": "true"}),
+}))
+def receipt_report(spark: SparkSession, d: str) -> DataFrame:
+    """Adapters with a receipt, a config (some have none) and two files, with faults by the key's remainders."""
+    k = F.col("p_partkey")
+    rows = table(spark, d, "part").select(k, k.cast("string").alias("root"), F.sha2("p_name", 256).alias("sha"), F.col("p_size").cast("long").alias("bytes"))
+    off = lambda m, r, bad, good: F.when(k % m == r, bad).otherwise(good)
+    entry = lambda name: F.struct(F.lit(name).alias("path"), "bytes", F.col("sha").alias("sha256"))
+    other = F.struct(off(59, 7, F.lit("notes.txt"), F.lit("adapter_config.json")).alias("path"), "bytes", F.col("sha").alias("sha256"))
+    modules = F.array(F.lit("model.layers.0.q_proj"), F.lit("model.layers.0.v_proj"))
+    receipts = rows.select(
+        "root", off(31, 1, 2, 1).alias("schema_version"), off(37, 2, F.lit("test"), F.lit("sft")).alias("purpose"), off(41, 3, F.lit("other"), F.lit("base")).alias("base_model_id"), off(43, 4, F.lit("r0"), F.lit("r1")).alias("base_revision"),
+        off(47, 5, F.lit("0"), off(53, 6, F.lit(None).cast("string"), F.lit("ab"))).alias("base_receipt_sha256"), F.struct(F.lit(16).alias("r"), F.lit(32).alias("alpha"), F.lit(0.05).alias("dropout")).alias("lora"),
+        modules.alias("target_modules"), F.array(other, entry("adapter_model.safetensors")).alias("files"),
+    )
+    configs = rows.where(k % 71 != 10).select(
+        "root", off(73, 11, F.lit("PREFIX"), F.lit("LORA")).alias("peft_type"), F.lit("CAUSAL_LM").alias("task_type"), F.lit("none").alias("bias"), off(79, 12, F.array(F.lit("head")), F.array().cast("array<string>")).alias("modules_to_save"), F.lit(False).alias("use_dora"),
+        off(83, 13, F.array(F.lit("up_proj")), F.when(k % 2 == 0, F.array(F.lit("v_proj"), F.lit("q_proj"))).otherwise(F.reverse(modules))).alias("target_modules"), off(89, 14, 8, 16).alias("r"), F.lit(32).alias("lora_alpha"), F.lit(0.05).alias("lora_dropout"),
+        F.lit("base").alias("base_model_name_or_path"), off(97, 15, F.lit("r2"), F.lit("r1")).alias("revision"),
+    )
+    there = rows.select("root", F.lit("adapter_config.json").alias("path"), off(61, 8, F.col("bytes") + 1, F.col("bytes")).alias("bytes"), F.col("sha").alias("sha256")).union(rows.where(k % 67 != 9).select("root", F.lit("adapter_model.safetensors").alias("path"), "bytes", "sha"))
+    return suites.receipt_report(receipts, configs, there, {"model_id": "base", "revision": "r1", "receipt_sha256": "ab"}).select("code", "status", "observed")
+
+
+_CACHED = f"""
+WITH q AS (SELECT * FROM ({QA_SQL})), own AS (SELECT *, k % 97 = 15 OR k % 101 = 16 OR k % 103 = 17 AS bad FROM q WHERE k % 29 <> 1 AND k % 83 <> 2), linked AS (SELECT * FROM own WHERE k % 43 <> 3),
+every AS (SELECT k, 'c' || k || '/b' AS path FROM own UNION ALL SELECT k, 'c' || k || '/metadata.json' FROM own UNION SELECT CASE WHEN k % 89 = 8 THEN 8 ELSE k END, 'c' || CASE WHEN k % 89 = 8 THEN 8 ELSE k END || '/a' FROM own),
+needed AS (SELECT DISTINCT path FROM (SELECT 'c' || k || '/b' AS path FROM linked UNION ALL SELECT 'c' || k || '/metadata.json' FROM linked UNION ALL SELECT 'c' || CASE WHEN k % 89 = 8 THEN 8 ELSE k END || '/a' FROM linked)),
+m AS (SELECT path, 5 AS bytes FROM every WHERE NOT (k % 107 = 18 AND path LIKE '%/b') UNION ALL SELECT path, 5 FROM every WHERE k % 113 = 20 AND k % 107 <> 18 AND path LIKE '%/b'),
+fl AS (SELECT path, CASE WHEN k % 109 = 19 AND path LIKE '%/b' THEN 6 ELSE 5 END AS bytes FROM every),
+j AS (SELECT a.bytes AS x, b.bytes AS y FROM (SELECT DISTINCT m.* FROM m JOIN needed USING (path)) a FULL JOIN (SELECT fl.* FROM fl JOIN needed USING (path)) b ON a.path = b.path),
+t AS (SELECT qa_id FROM q WHERE k % 127 <> 21 UNION ALL SELECT qa_id FROM q WHERE k % 131 = 22 AND k % 127 <> 21 UNION ALL SELECT 'y' || k FROM q WHERE k % 137 = 23)
+"""
+
+
+@query("cached_input_files", _CACHED + _check_sql({
+    **_zero_sql("(SELECT 8 FROM linked WHERE k % 89 = 8 HAVING count(*) > 1)", {"frames_of_one_clip": "true"}), **_zero_sql("(SELECT bad FROM linked UNION ALL SELECT bad FROM linked WHERE k % 89 <> 8)", {"images": "bad"}),
+    **_zero_sql("(SELECT path FROM m GROUP BY path HAVING count(*) > 1)", {"manifest_paths": "true"}), **_zero_sql("needed", {"assets_registered": "path NOT IN (SELECT path FROM m)"}), **_zero_sql("j", {"assets": "x IS DISTINCT FROM y"}),
+    "template_ids": ("(SELECT count(*) FROM t WHERE qa_id NOT IN (SELECT qa_id FROM q)) + (SELECT count(*) FROM q WHERE qa_id NOT IN (SELECT qa_id FROM t))", "(SELECT count(*) FROM t WHERE qa_id NOT IN (SELECT qa_id FROM q)) + (SELECT count(*) FROM q WHERE qa_id NOT IN (SELECT qa_id FROM t)) = 0"),
+    **_zero_sql("(SELECT qa_id FROM t GROUP BY qa_id HAVING count(*) > 1)", {"template_unique": "true"}),
+}))
+def cached_input_files(spark: SparkSession, d: str) -> DataFrame:
+    """The checks of images, assets and template ids that `cached_input_report` leaves to this query."""
+    k, last = F.col("k"), F.col("path").endswith("/b")
+    rows, frames, sidecars, images = _clips(spark, d)
+    shared = images.limit(0).union(spark.createDataFrame([("c8/a", 448, 448, 3, True)], images.schema))
+    images = images.where("path <> 'c8/a'").union(shared)
+    own = frames.where("k % 83 <> 2")
+    paths_ = own.select(k, F.explode(F.concat(F.split("frame_paths", ";"), F.array("metadata_path"))).alias("path"))
+    paths_ = paths_.select(F.when(F.col("path") == "c8/a", 8).otherwise(k).alias("k"), "path").distinct()
+    files = paths_.select("path", F.when((k % 109 == 19) & last, 6).otherwise(5).cast("long").alias("bytes"), F.lit("ab").alias("sha256"))
+    manifest = paths_.where(~((k % 107 == 18) & last)).select("k", "path", F.lit(5).cast("long").alias("bytes"), F.lit("ab").alias("sha256"))
+    manifest = manifest.union(manifest.where((k % 113 == 20) & last)).drop("k")
+    template = rows.where(k % 127 != 21).select("k", "qa_id")
+    template = template.select("qa_id").union(template.where(k % 131 == 22).select("qa_id")).union(rows.where(k % 137 == 23).select(F.concat(F.lit("y"), k)))
+    report = suites.cached_input_report(rows, own.drop("k"), sidecars.where("sample_id <> 's'"), images, manifest, files, _FIXED, template, n=2)
+    codes = ("frames_of_one_clip", "images", "manifest_paths", "assets_registered", "assets", "template_ids", "template_unique")
+    return report.where(F.col("code").isin(*codes)).select("code", "status", "observed")
+
+
 @query("training_coverage", f"""
 WITH r AS (SELECT *, CASE WHEN k % 37 = 3 THEN NULL WHEN fold < 3 THEN 'train' WHEN fold = 3 THEN 'dev' ELSE 'confirm' END AS split, k % 29 <> 1 AND k % 43 <> 3 AND k % 83 <> 2 AS there FROM ({QA_SQL}) WHERE k % 83 <> 6 AND k % 101 <> 10)
 SELECT split, count(*) AS expected, count(*) FILTER (there) AS available, count(*) FILTER (NOT there) AS missing, CASE WHEN count(*) FILTER (NOT there) = 0 THEN 'PASS' ELSE 'INCOMPLETE' END AS status FROM r WHERE split IS NOT NULL GROUP BY split""")
