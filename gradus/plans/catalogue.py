@@ -484,11 +484,14 @@ def clip_paths(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", paths.clip_path(raw).alias("clip"))
 
 
-@query("answer_space_sizes", """
-WITH o AS (SELECT s.mask, bit_count(s.mask) AS n FROM range(1, 16) s(mask)), c AS (SELECT unnest(['single', 'multi', 'combination', 'sequence', 'object_interaction', 'emotion']) AS category)
-SELECT category, CAST(n AS INT) AS letters, count(DISTINCT mask) AS option_sets, CAST(sum(CASE category WHEN 'multi' THEN (1 << n) - 1 WHEN 'sequence' THEN factorial(n) ELSE n END) AS BIGINT) AS outputs FROM o CROSS JOIN c GROUP BY category, n""")
+@query("answer_space_sizes", f"""
+WITH u AS (SELECT DISTINCT lower(category) AS category, CASE WHEN k % 7 = 0 THEN 'ABC' ELSE 'ABCD' END AS o FROM ({QA_SQL}))
+SELECT category, CAST(length(o) AS INT) AS letters, count(*) AS option_sets, CAST(sum(CASE category WHEN 'multi' THEN (1 << length(o)) - 1 WHEN 'sequence' THEN factorial(CAST(length(o) AS INT)) ELSE length(o) END) AS BIGINT) AS outputs FROM u GROUP BY category, length(o)""")
 def answer_space_sizes(spark: SparkSession, d: str) -> DataFrame:
-    return answers.answer_space(spark).groupBy("category", F.length("options").alias("letters")).agg(F.count_distinct("options").alias("option_sets"), F.count("*").alias("outputs"))
+    """Outputs that are possible for the categories and options that the questions have."""
+    seen = qa(spark, d).select(answers.category_of("category").alias("category"), answers.option_letters().alias("options")).distinct()
+    space = answers.answer_space(spark).join(seen, ["category", "options"], "left_semi")
+    return space.groupBy("category", F.length("options").alias("letters")).agg(F.count_distinct("options").alias("option_sets"), F.count("*").alias("outputs"))
 
 
 @query("next_tokens", """
