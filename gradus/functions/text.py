@@ -42,3 +42,9 @@ def kilo(seconds: Column | str) -> Column:
 def mebi(n_bytes: Column | str) -> Column:
     """Bytes to MiB."""
     return col(n_bytes) / float(1 << 20)
+
+
+def data_uri(content: Column | str, kind: Column | str = "image/png") -> Column:
+    """Bytes as a data URI of a media type (re-encoding is left to whoever has the pixels)."""
+    kind = F.lit(kind) if isinstance(kind, str) else kind
+    return F.concat(F.lit("data:"), kind, F.lit(";base64,"), F.replace(F.base64(F.col(content) if isinstance(content, str) else content), F.lit("\r\n"), F.lit("")))

@@ -84,6 +84,42 @@ def engine_batches(requests: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     )
 
 
+# The engine's own fields, the spellings of tokens served from its prefix cache, and where these may be nested.
+ENGINE_FIELDS = ("first_token_latency", "e2e_latency", "num_prompt_tokens", "num_generation_tokens", "queued_ts", "scheduled_ts")
+CACHED_FIELDS = ("num_cached_tokens", "num_prefix_cached_tokens", "cached_tokens", "prefix_cache_hit_tokens", "num_cached_prompt_tokens")
+CACHE_GROUPS = ("kv_cache_metrics", "prefix_cache_stats", "cache_metrics")
+
+
+def measured(metrics: Column, *path: str) -> Column:
+    """The number at a path of a VARIANT as a double; null where there is none, or something else than a number."""
+    at = "$." + ".".join(path)
+    found = F.try_variant_get(metrics, at, "variant")
+    number = F.regexp_like(F.schema_of_variant(found), F.lit("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"))
+    return F.when(number, F.try_variant_get(metrics, at, "double"))
+
+
+def engine_metrics(rows: DataFrame, metrics: str = "metrics") -> DataFrame:
+    """Adds what an engine's metrics (a VARIANT, other fields in each release) report: the engine's fields, num_cached_tokens, reported.
+
+    Cached tokens are looked for under all spellings, on top before groups. What is not reported stays null, never 0.
+    """
+    m = F.col(metrics)
+    found = {c: measured(m, c) for c in ENGINE_FIELDS}
+    found["num_cached_tokens"] = F.coalesce(*(measured(m, c) for c in CACHED_FIELDS), *(measured(m, g, c) for g in CACHE_GROUPS for c in CACHED_FIELDS))
+    rows = rows.withColumns(found)
+    return rows.withColumn("reported", F.coalesce(*(F.col(c) for c in found)).isNotNull())
+
+
+def metric_fields(rows: DataFrame, metrics: str = "metrics") -> DataFrame:
+    """field, type, rows: which fields the engine's metrics have, with those of groups under ``group.field``; each release has its own."""
+    spark = rows.sparkSession
+    top = rows.select(metrics).lateralJoin(spark.tvf.variant_explode(F.col(metrics).outer())).select("key", "value")
+    inner = top.where(F.col("key").isin(*CACHE_GROUPS)).select(F.col("key").alias("group"), F.col("value").alias("inner"))
+    inner = inner.lateralJoin(spark.tvf.variant_explode(F.col("inner").outer())).select(F.concat_ws(".", "group", "key").alias("key"), "value")
+    every = top.union(inner).select(F.col("key").alias("field"), F.regexp_replace(F.schema_of_variant("value"), "[<(].*", "").alias("type"))
+    return every.groupBy("field", "type").agg(F.count("*").alias("rows"))
+
+
 def prefix_hits(requests: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Cached over prompt tokens of the requests that report both; null where none has prompt tokens."""
     ok = F.col("cached_tokens").isNotNull() & F.col("prompt_tokens").isNotNull()

@@ -179,6 +179,35 @@ def engine_batches(spark: SparkSession, d: str) -> DataFrame:
     return _round(profiling.engine_batches(requests(spark, d), ("event_type", "user_id")), ttft_mean=9)
 
 
+def _metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics as engines of several releases write them."""
+    i = F.col("event_id")
+    seven, text = (i % 7).cast("string"), lambda *x: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in x))
+    raw = (
+        F.when(i % 6 == 1, "{}").when(i % 6 == 2, text('{"num_cached_tokens": ', seven, ', "num_prompt_tokens": ', (i % 11).cast("string"), ', "state": "done"}'))
+        .when(i % 6 == 3, text('{"cached_tokens": "many", "prefix_cache_hit_tokens": ', seven, ', "e2e_latency": 0.5}'))
+        .when(i % 6 == 4, text('{"kv_cache_metrics": {"num_cached_prompt_tokens": ', seven, '}}')).when(i % 6 == 5, text('{"prefix_cache_stats": {"hits": 1}, "cache_metrics": {"cached_tokens": ', seven, '}}'))
+    )
+    return table(spark, d, "events").select("event_id", "event_type", F.parse_json(raw).alias("metrics"))
+
+
+@query("engine_metrics", """
+SELECT event_type, count(*) AS requests, count(*) FILTER (event_id % 6 > 1) AS reported, count(*) FILTER (event_id % 6 > 1) AS with_cached, CAST(sum(event_id % 7) FILTER (event_id % 6 > 1) AS DOUBLE) AS cached,
+       count(*) FILTER (event_id % 6 = 2) AS with_prompt, CAST(sum(event_id % 11) FILTER (event_id % 6 = 2) AS DOUBLE) AS prompt, count(*) FILTER (event_id % 6 = 3) AS with_e2e FROM events GROUP BY event_type""")
+def engine_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return profiling.engine_metrics(_metrics(spark, d)).groupBy("event_type").agg(
+        F.count("*").alias("requests"), F.count_if("reported").alias("reported"), F.count("num_cached_tokens").alias("with_cached"), F.sum("num_cached_tokens").alias("cached"),
+        F.count("num_prompt_tokens").alias("with_prompt"), F.sum("num_prompt_tokens").alias("prompt"), F.count("e2e_latency").alias("with_e2e"),
+    )
+
+
+@query("metric_fields", """
+SELECT field, type, count(*) AS rows FROM (SELECT unnest(CASE event_id % 6 WHEN 2 THEN ['num_cached_tokens:BIGINT', 'num_prompt_tokens:BIGINT', 'state:STRING'] WHEN 3 THEN ['cached_tokens:STRING', 'prefix_cache_hit_tokens:BIGINT', 'e2e_latency:DECIMAL']
+  WHEN 4 THEN ['kv_cache_metrics:OBJECT', 'kv_cache_metrics.num_cached_prompt_tokens:BIGINT'] WHEN 5 THEN ['prefix_cache_stats:OBJECT', 'prefix_cache_stats.hits:BIGINT', 'cache_metrics:OBJECT', 'cache_metrics.cached_tokens:BIGINT'] ELSE [] END) AS f, split_part(f, ':', 1) AS field, split_part(f, ':', 2) AS type FROM events) GROUP BY ALL""")
+def metric_fields(spark: SparkSession, d: str) -> DataFrame:
+    return profiling.metric_fields(_metrics(spark, d))
+
+
 @query("prefix_hits", f"""
 SELECT event_type, sum(cached_tokens) FILTER (cached_tokens IS NOT NULL) / sum(prompt_tokens) FILTER (cached_tokens IS NOT NULL) AS hit_rate, count(cached_tokens) AS reported, count(*) - count(cached_tokens) AS not_reported FROM ({R}) GROUP BY event_type""")
 def prefix_hits(spark: SparkSession, d: str) -> DataFrame:

@@ -103,3 +103,12 @@ def test_names(spark):
     assert one(spark, paths.clip_path(F.lit(" a\\b\\IR\\x.mp4 "))) == "a/b" and one(spark, paths.clip_path(F.lit("a/b/"))) == "a/b"
     assert one(spark, paths.is_run_id(F.lit("run_1-a"))) and not one(spark, paths.is_run_id(F.lit("-x")))
     assert one(spark, paths.trainable_module(F.lit("model.layers.0.self_attn.q_proj"))) and not one(spark, paths.trainable_module(F.lit("visual.layers.0.q_proj")))
+
+
+def test_data_uri(spark):
+    import base64
+
+    raw = [b"", b"\x89PNG", bytes(range(256)) * 40]
+    rows = spark.createDataFrame([(r,) for r in raw], "content binary").select(text.data_uri("content").alias("u"), text.data_uri("content", "image/jpeg").alias("j"))
+    assert sorted(r["u"] for r in rows.collect()) == sorted("data:image/png;base64," + base64.b64encode(x).decode() for x in raw)
+    assert rows.first()["j"].startswith("data:image/jpeg;base64,")

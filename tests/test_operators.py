@@ -174,3 +174,10 @@ def test_fold_gates(spark):
     assert apart["action_coverage_at_bound"] == ("FAIL", "3")
     assert gates([*good, ("q9", "u9", "c9", 7, "HAU", "multi", None)])["fold_ids"] == ("FAIL", "0,1,7")
     assert gates([*good, ("q9", "u9", "c9", None, "HAU", "multi", None)])["questions_assigned_once"][0] == "FAIL"
+
+
+def test_engine_metrics_are_numbers_or_missing(spark):
+    rows = [(0, None), (1, "{}"), (2, '{"num_cached_tokens": 0}'), (3, '{"num_cached_tokens": "12", "cached_tokens": true, "cache_metrics": {"num_cached_tokens": 7.5}}'), (4, '{"e2e_latency": 1e-3, "kv_cache_metrics": null}'), (5, "[1]"), (6, '{"other": 3}')]
+    df = spark.createDataFrame(rows, "i int, text string").select("i", F.parse_json("text").alias("metrics"))
+    got = {r["i"]: (r["reported"], r["num_cached_tokens"], r["e2e_latency"]) for r in profiling.engine_metrics(df).collect()}
+    assert got == {0: (False, None, None), 1: (False, None, None), 2: (True, 0.0, None), 3: (True, 7.5, None), 4: (True, None, 0.001), 5: (False, None, None), 6: (False, None, None)}
