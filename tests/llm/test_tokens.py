@@ -1,8 +1,10 @@
 import hashlib
+import json
 import random
 import time
 
 import public_tokenizers
+import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -101,3 +103,19 @@ def test_encode_decode(spark, edge, nothing):
         want.append((str(r["doc_id"]), len(ids), sha(" ".join(map(str, ids))), sha(lib.decode(ids))))
     assert sorted((str(r[0]), *r[1:]) for r in map(tuple, encode_decode(edge).collect())) == sorted(want)
     assert encode_decode(nothing).count() == 0
+
+
+@pytest.mark.parametrize("pattern", [r"[^\s]+", r"[^\s.]+|[.]+", r"[^\s]{1,4}"])
+def test_a_tokenizer_that_cuts_words_elsewhere_encodes_whole_texts(spark, tmp_path, pattern):
+    spec = json.loads(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read())
+    spec["pre_tokenizer"] = {"type": "Split", "pattern": {"Regex": pattern}, "behavior": "Removed", "invert": True}
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    lib = Tokenizer.from_file(str(path))
+    texts = ["A word. And words, of some more kinds! yes?", "x", "", "end... of it; all:"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = {r["doc_id"]: r["n_tokens"] for r in tc.token_counts(docs, model=str(path)).collect()}
+    assert got == {i: len(lib.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    assert tc.counter(public_tokenizers.path("word_bpe_49k.json")).by_word
