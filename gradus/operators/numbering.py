@@ -28,15 +28,15 @@ def splitters(rows: DataFrame, order: list[str], ranges: int, n: int) -> Column
     if not cut:
         return None
     kind = rows.select(F.array(key)).schema[0].dataType
-    return F.array_sort(F.array_distinct(F.from_json(F.lit(json.dumps(cut)), kind)))
+    # a constant of the plan: functions with lambdas, like array_sort, would be computed again for every row
+    return F.sort_array(F.array_distinct(F.from_json(F.lit(json.dumps(cut)), kind)))
 
 
 def _range(key: Column, cut: Column, ranges: int) -> Column:
-    """How many splitters are not above a key: first among every n-th of them, then between two of these."""
-    step = max(1, int(ranges**0.5))
-    coarse = F.filter(cut, lambda x, i: i % step == step - 1)
-    at = F.size(F.filter(coarse, lambda x: x <= key)) * step
-    return at + F.size(F.filter(F.slice(cut, at + 1, F.lit(step)), lambda x: x <= key))
+    """How many of fewer than ``ranges`` splitters are not above a key, by halving."""
+    steps = F.lit([1 << k for k in reversed(range((ranges - 1).bit_length()))] or [1])
+    search = F.transform(F.array(key), lambda k: F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get(cut, at + step - 1) <= k, step).otherwise(0)))
+    return F.get(search, F.lit(0))
 
 
 def numbered(rows: DataFrame, order: list[str], name: str = "row", ranges: int | None = None) -> tuple[DataFrame, int]:

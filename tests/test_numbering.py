@@ -46,6 +46,18 @@ def test_blocks_of_all_rows(spark, n):
     assert {(r["id"], r["batch"]) for r in runs.batches(rows, ["id"], 8).collect()} == {(i, i // 8) for i in range(n)}
 
 
+@pytest.mark.parametrize("order", [["name", "id"], ["x", "id"], ["ts", "id"]])
+@pytest.mark.parametrize("ranges", [2, 3, 8, 9, 200])
+def test_splitters_are_a_constant_and_ranges_are_as_counted(spark, order, ranges):
+    rows = hot(spark)
+    cut = numbering.splitters(rows, order, ranges, 4000)
+    got = rows.select(numbering._range(F.struct(*order), cut, ranges).alias("k"), F.size(F.filter(cut, lambda x: x <= F.struct(*order))).alias("want"))
+    optimized = got._jdf.queryExecution().optimizedPlan().toString()
+    # nothing is parsed or sorted for every row
+    assert not any(f in optimized for f in ("from_json", "array_sort", "sort_array", "array_distinct"))
+    assert got.where("k <=> want").count() == 4000 and got.select("k").distinct().count() > ranges // 2
+
+
 def test_rows_alike_in_the_order_are_all_numbered(spark):
     got, n = numbering.numbered(spark.range(300).select(F.lit(1).alias("k"), "id"), ["k"])
     assert n == 300 and sorted(r["row"] for r in got.collect()) == list(range(300))
