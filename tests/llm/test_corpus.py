@@ -718,3 +718,16 @@ def test_pipeline_edges(spark, edge, nothing):
         empty = stage(spark, empty, DATA)
         assert empty.columns == ["doc_id", "text", "source", "extra"]
     assert corpus_pipeline.STAGES[-1][1](spark, empty, DATA).count() == 0
+
+
+def test_language_model_deals_answers_out_in_parts(spark, monkeypatch):
+    """No more than a part of the answers is dealt out before those of the last part are gone; scores are those of one part."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 37}" for j in range(i % 50))) for i in range(400)], "doc_id long, text string").repartition(6)
+    one = sorted(map(str, language_model_scores(docs).collect()))
+    steps, stored, drop = [], mixing_lm.Scratch.stored, mixing_lm.Scratch.drop_part
+    monkeypatch.setattr(mixing_lm.Scratch, "stored", lambda self, df, name, **how: (steps.append(name), stored(self, df, name, **how))[1])
+    monkeypatch.setattr(mixing_lm.Scratch, "drop_part", lambda self, name, *what: (steps.append(f"-{name}"), drop(self, name, *what))[1])
+    monkeypatch.setattr(mixing_lm, "PARTS", 3)
+    monkeypatch.setattr(mixing_lm, "LEAST_BLOCKS", 1)
+    assert sorted(map(str, language_model_scores(docs).collect())) == one
+    assert steps == ["blocks", "words", "coded", *(["asks", *["contexts", "-asks"] * 3] * 2), *["scores", "-contexts"] * 3]
