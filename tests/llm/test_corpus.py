@@ -731,3 +731,40 @@ def test_language_model_deals_answers_out_in_parts(spark, monkeypatch):
     monkeypatch.setattr(mixing_lm, "LEAST_BLOCKS", 1)
     assert sorted(map(str, language_model_scores(docs).collect())) == one
     assert steps == ["blocks", "words", "coded", *(["asks", *["contexts", "-asks"] * 3] * 2), *["scores", "-contexts"] * 3]
+
+
+def test_opinions_are_sent_as_far_as_they_differ():
+    """Rows come back whole; what a row repeats to its end takes no room."""
+    r = np.random.default_rng(5)
+    rows = np.repeat(r.integers(-127, 128, (3000, 1)), 25, axis=1).astype(np.int8)
+    far = r.integers(0, 26, 3000)
+    far[:2] = 0, 25
+    differ = np.arange(25) < far[:, None]
+    rows[differ] = r.integers(-127, 128, differ.sum())
+    reached = lm_contexts.reach(rows)
+    assert (reached <= np.minimum(far + 1, 25)).all() and reached[0] == 1
+    raw, out = lm_contexts.squeezed(rows, reached), np.zeros((3001, 26), np.int8)
+    assert lm_contexts.spread(raw, out) == 3000 and (out[:-1, 1:] == rows).all() and not out[-1].any() and not out[:, 0].any()
+    assert len(raw) < differ.sum() + 2 * 3000 + 200
+    none = lm_contexts.squeezed(rows[:0], reached[:0])
+    assert lm_contexts.spread(none, out) == 0 and lm_contexts.spread(none, out[:0]) == 0
+
+
+def test_blocks_keep_short_names_of_words():
+    """Names stay distinct, in order and in their cells, and take less than half of the room."""
+    place = np.unique(np.append(np.random.default_rng(3).integers(0, 1 << 63, 200_000, dtype=np.uint64) * np.uint64(2), np.array([0, 1, 2, (1 << 64) - 1, (1 << 64) - 2], np.uint64)))
+    names = lm_tokens.shortened(place)
+    assert (names[1:] > names[:-1]).all() and (lm_tokens.cell_of(names) == lm_tokens.cell_of(place)).all()
+    assert 2 * len(lm_tokens.pack(names)) < len(lm_tokens.pack(place))
+    assert all((lm_tokens.cell_of(lm_tokens.shortened(place[:n])) == lm_tokens.cell_of(place[:n])).all() for n in (0, 1, 2))
+    asks = pa.table({"range": pa.array([0], pa.int32()), "block": [7], "places": pa.array([lm_tokens.pack(place)], pa.binary()), "counts": pa.array([lm_tokens.pack(np.ones(len(place), np.int32))], pa.binary())})
+    got = lm_tokens.word_answers(0)(asks)
+    assert (lm_tokens.unpack(got["names"][0].as_py(), np.uint64) == names).all()
+
+
+def test_grouped_orders_and_marks_changes():
+    a, b = np.random.default_rng(1).integers(0, 9, (2, 500))
+    for bits in (4, 60):
+        order, new = lm_tokens.grouped((a, 4), (b, bits))
+        pairs = list(zip(a[order].tolist(), b[order].tolist(), strict=True))
+        assert pairs == sorted(pairs) and new.tolist() == [i == 0 or pairs[i] != pairs[i - 1] for i in range(500)]
