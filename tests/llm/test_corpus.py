@@ -768,3 +768,12 @@ def test_grouped_orders_and_marks_changes():
         order, new = lm_tokens.grouped((a, 4), (b, bits))
         pairs = list(zip(a[order].tolist(), b[order].tolist(), strict=True))
         assert pairs == sorted(pairs) and new.tolist() == [i == 0 or pairs[i] != pairs[i - 1] for i in range(500)]
+
+
+def test_asks_of_two_words_need_no_runs():
+    """What only the statistics and scores look at is made when it is read."""
+    rows, _ = lm_rows(random_texts())
+    text = lm_contexts.Text(rows[0], 30)
+    text.events(2)
+    assert not {"near", "pair", "run"} & set(vars(text))
+    assert text.pair.tolist() == (text.near * lm_contexts.CLASSES + np.where(np.isin(np.arange(len(text.near)), text.start), text.end_cls, np.roll(text.near, 1))).tolist()
