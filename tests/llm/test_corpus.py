@@ -777,3 +777,35 @@ def test_asks_of_two_words_need_no_runs():
     text.events(2)
     assert not {"near", "pair", "run"} & set(vars(text))
     assert text.pair.tolist() == (text.near * lm_contexts.CLASSES + np.where(np.isin(np.arange(len(text.near)), text.start), text.end_cls, np.roll(text.near, 1))).tolist()
+
+
+def test_opinions_are_made_as_far_as_keys_meet_others():
+    """A key has an opinion for each bit until it is alone and one more, equal to those of all counts; nothing is made for the bits after."""
+    r = np.random.default_rng(8)
+    keys = np.unique(np.concatenate([r.integers(0, 1 << 40, 3000), r.integers(0, 1 << 9, 200), (5 << 25) + r.integers(0, 1 << 25, 2000)]).astype(np.uint64))
+    n = r.choice([0, 1, 2, 3, 700], len(keys), p=[0.2, 0.5, 0.2, 0.09, 0.01])
+    reached, *tables = lm_tokens.prefix_opinions(keys, n, 25)
+    assert len(tables) == 2 and all(len(t) == reached.sum() for t in tables) and 3 * reached.sum(dtype=int) < 2 * 25 * len(keys)
+    every = Counter()
+    for k, c in zip(keys.tolist(), n.tolist(), strict=True):
+        every.update({(d, k >> 25 - d): c for d in range(26)})
+    end = np.cumsum(reached, dtype=int)
+    for k, c, a, b in zip(keys.tolist(), n.tolist(), (end - reached).tolist(), end.tolist(), strict=True):
+        for table, less in zip(tables, (0, min(1, c)), strict=True):
+            same = np.array([every[d + 1, k >> 24 - d] for d in range(25)]) - less
+            total = np.array([every[d, k >> 25 - d] for d in range(25)]) - less
+            assert (lm_tokens.stretched(same, total - same) == np.append(table[a:b], np.repeat(table[b - 1], 25 - b + a))).all()
+    assert [len(x) for x in lm_tokens.prefix_opinions(keys[:0], n[:0], 25)] == [0, 0, 0]
+    assert (lm_tokens.prefix_opinions(keys, n, 25, less=0)[1] == tables[0]).all() and len(lm_tokens.prefix_opinions(keys, n, 25, less=0)) == 2
+
+
+def test_decisions_past_a_word_teach_nothing():
+    """What the table holds past a token's string neither counts nor moves weights."""
+    r = np.random.default_rng(2)
+    n, table = 400, r.integers(-60, 60, (9, 26)).astype(np.int8)
+    index, used = r.integers(0, 8, (4, n)), r.integers(0, 26, n)
+    flags, never = np.zeros((2, n), np.int8), np.zeros(n, bool)
+    table[:, 0] = 0
+    cut = np.concatenate([table[index[k], :] * (np.arange(26) <= used[:, None]) for k in range(4)]).astype(np.int8)
+    rest = (flags, never, r.integers(0, 4, n), used, np.array([0, 300]), np.array([300, 100]))
+    assert (mixing_lm.mixed(table, index, *rest) == mixing_lm.mixed(cut, np.arange(4 * n).reshape(4, n), *rest)).all()
